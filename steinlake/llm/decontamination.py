@@ -126,7 +126,7 @@ def _pass(state: DataFrame, patterns: list, last: bool, kept: int) -> DataFrame:
 
 
 #: The result's columns, after the kept ones.
-RESULT = T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+RESULT = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
