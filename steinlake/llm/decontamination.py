@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, prepared, stored
+from .common import arrow_map, fields, prepared, stored
 
 WINDOW = 13
 #: Bytes of patterns that one pass broadcasts. A larger benchmark is searched in that many passes, each over its own share.
@@ -126,7 +126,7 @@ def _pass(state: DataFrame, patterns: list, last: bool, kept: int) -> DataFrame:
 
 
 #: The result's columns, after the kept ones.
-RESULT = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
+RESULT = fields("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
