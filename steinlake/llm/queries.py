@@ -20,6 +20,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_and_read
 
@@ -32,6 +38,6 @@ def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_wu_manber_decontamination, op4_seekable_warc, op5_best_fit_packing, op6_karmarkar_karp_sharding)}
+QUERIES = {f.__name__: f for f in (op2_wu_manber_decontamination, op3_lsh_forest_near_dedup, op4_seekable_warc, op5_best_fit_packing, op6_karmarkar_karp_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
