@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepared, table
+from .common import held_out, prepared, table
 
 
 def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,39 @@ def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_wu_manber_decontamination, op3_lsh_forest_near_dedup, op4_seekable_warc, op5_best_fit_packing, op6_karmarkar_karp_sharding)}
+def op7_script_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import knn_join
+
+    rows = table(spark, sf_dir, "embeddings")
+    return knn_join(rows, F.col("vec_id") % 20 == 0)
+
+
+def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_wu_manber_decontamination,
+        op3_lsh_forest_near_dedup,
+        op4_seekable_warc,
+        op5_best_fit_packing,
+        op6_karmarkar_karp_sharding,
+        op7_script_viterbi_language_id,
+        op9_voronoi_knn_join,
+        op10_kneser_ney_toxicity,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fields, new_path, prepared, stored
 from .files import open_folder, write_new
 
-MIN_REVISIT, FRAME, BUNDLE = 1000, 1 << 20, 64 << 20
+MIN_REVISIT, FRAME, BUNDLE, RECORDS = 1000, 1 << 20, 64 << 20, 4_000
 #: Fixed values of the seekable format: the skippable frame's magic number and the seek table's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -171,7 +171,9 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
     """
     prepared(manifest.sparkSession)
     schema = fields("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
-    one = manifest.groupBy("bundle", "frame", "frame_at", "frame_bytes").agg(F.collect_list(F.struct("at", "length")).alias("records"))
+    # The rows are small but each stands for a record to decompress, so the number of tasks follows their count, not their bytes.
+    dealt = manifest.repartition(max(1, -(-manifest.count() // RECORDS)), "bundle", "frame")
+    one = dealt.groupBy("bundle", "frame", "frame_at", "frame_bytes").agg(F.collect_list(F.struct("at", "length")).alias("records"))
 
     def number(urn: str | None) -> int | None:
         text = (urn or "None").removeprefix("<urn:page:").removesuffix(">")
