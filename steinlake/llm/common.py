@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Rows and bytes of one Arrow batch: a Python worker holds one at a time, so this bounds its memory with long texts too.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with bounded Arrow batches and a checkpoint folder (set only where the cluster names none)."""
+    """The session with this package on its workers, bounded Arrow batches and a checkpoint folder (set only where the cluster names none)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_folder(spark)
