@@ -8,8 +8,10 @@ from ..functions import closed_forms as C
 from ..functions import kernels as K
 from ..functions import sequences as Q
 from ..functions.arrays import hamming, rounded
-from ..operators import constraints, dataset, metrics, pairs, structure
-from .queries import query, read
+from ..operators import alignment, constraints, dataset, metrics, pairs, structure
+from ..sources import sequences as sequence_files
+from ..sources import writers
+from .queries import query, read, samples
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 P_SQL = "p AS MATERIALIZED (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS i, p_name, string_split(p_name, '') AS c FROM part)"
@@ -362,3 +364,21 @@ def acmmd_composite(spark, sf_dir):
     w = F.col("n1") * F.col("n2")
     kx = F.exp(-F.pow(F.col("p1") - F.col("p2"), 2) / 2)
     return both.agg(F.round(F.sum(w * kx * C.acmmd_pair(F.col("p1"), F.col("p2"), F.lit(0.3), 1.0)) / F.sum(w), 9).alias("acmmd"))
+
+
+# Files and alignment.
+
+
+@query(f"WITH {P_SQL} SELECT p_partkey, 'score=' || printf('%.4f', p_retailprice / 1000) || ', name=' || p_partkey AS header, p_name AS sequence, printf('%.4f', p_retailprice / 1000) AS score FROM part")
+def fasta_roundtrip(spark, sf_dir):
+    """Records formatted as FASTA with score headers, and parsed again."""
+    p = read(spark, sf_dir, "part")
+    text = writers.fasta_text(writers.design_header({"score": F.col("p_retailprice") / 1000, "name": F.col("p_partkey")}), F.col("p_name"))
+    r = p.select("p_partkey", F.explode(sequence_files.fasta_records(text)).alias("r"))
+    return r.select("p_partkey", "r.header", "r.sequence", sequence_files.header_field(F.col("r.header"), "score").alias("score"))
+
+
+@query()
+def dtw_gram(spark, sf_dir):
+    """Soft alignment of neighbouring rows' point sequences (dynamic programming, not SQL)."""
+    return alignment.soft_alignment(pairs.adjacent(samples(spark, sf_dir).select("i", "points")))
