@@ -8,8 +8,9 @@ and those with a common prefix of at least the first depth in DEPTHS form a regi
 by longer prefixes, so the depth adapts to how crowded a part of the order is; a region still crowded at the full depth is
 dealt into parts of that size, differently in each order. Members whose signatures agree in at least AGREE places are
 candidates. Two rounds: first a spanning forest of each region's candidates, best agreement first, is confirmed; then, with
-the components so found, every candidate pair of a region whose ends are still in different components. In the second round
-a member of a crowded full-depth region that is not in the region's main component meets all parts of that region.
+the components so found, every candidate pair of a region whose ends are still in different components is tested where the
+region is, and only links leave the task. In the second round a member of a crowded full-depth region that is not in the
+region's main component meets all parts of that region.
 
 Sets of similarity 0.85 share four given values with probability 0.52, so all 16 orders miss such a pair with probability
 8e-6, and agree in under 90 of 128 places with probability 3e-6.
@@ -126,49 +127,88 @@ def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _across(sig: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs that agree in at least AGREE places and lie in different components."""
-    edges = []
+def _linked_across(sig: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components, confirmed on full sets; a pair that an earlier link has joined is not tested again."""
+    component, edges = component.copy(), []
+    size = np.array([len(x) for x in sets])
     for i in range(len(sig) - 1):
         other = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-        if len(other):
-            edges.extend((i, int(j)) for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE])
+        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+        for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE] if len(other) else ():
+            if component[j] != component[i] and similar(sets[i], sets[j], percent):
+                component[component == component[j]] = component[i]
+                edges.append((i, int(j)))
     return edges
 
 
-def candidates(members: DataFrame, forest: bool) -> DataFrame:
-    """(a, b) with a < b from members(region, id, component, sig), each pair once. Tasks read regions one after another, in order."""
-    dealt = members.select("region", "id", "component", "sig").repartition("region").sortWithinPartitions("region", "sig", "id")
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets, neither empty."""
+    if not len(p) or not len(q):
+        return False
+    at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+    both = int(np.count_nonzero(p[at] == q))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _by_region(members: DataFrame, find) -> DataFrame:
+    """(a, b) with a < b, found in each region of members(region, id, sig, ...): find gets the region's columns and returns pairs of places.
+
+    Regions are dealt out by their key and read one after another, sorted by signature; one region is in memory at a time.
+    """
+    rest = [c for c in members.columns if c not in ("region", "id", "sig")]
+    dealt = members.select("region", "id", "sig", *rest).repartition("region").sortWithinPartitions("region", "sig", "id")
     schema = fields("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        kept: list[pa.RecordBatch] = []
 
-        def pairs(region, ids, comps, sigs) -> pa.RecordBatch:
-            out: list[tuple[int, int]] = []
-            cut = np.flatnonzero(np.diff(region)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(region)], strict=True):
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            region = table.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
+            out: set[tuple[int, int]] = set()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if b - a > 1:
-                    edges = _forest(sigs[a:b]) if forest else _across(sigs[a:b], comps[a:b])
-                    out.extend((int(ids[a + i]), int(ids[a + j])) for i, j in edges)
-            out = list({(min(x), max(x)) for x in out if x[0] != x[1]})
-            x = np.array(out, np.int64).reshape(-1, 2)
+                    part = table.slice(a, b - a)
+                    ids = part.column(1).to_pylist()
+                    sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(b - a, -1)
+                    out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in find(sig, *part.columns[3:]) if ids[i] != ids[j])
+            x = np.array(sorted(out), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], schema.names)
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
-            cols.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, TREES * DEPTH))
-            kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
-            whole = int(np.searchsorted(kept[0], kept[0][-1]))  # the last region may go on in the next batch
-            if whole:
-                yield pairs(*(x[:whole] for x in kept))
-                kept = [x[whole:] for x in kept]
+            region = batch.column(0).to_numpy()
+            if not len(region):
+                continue
+            last = int(np.searchsorted(region, region[-1]))  # the last region may go on in the next batch
+            if last or kept and kept[-1].column(0)[0].as_py() != region[0]:
+                yield pairs(pa.Table.from_batches([*kept, batch.slice(0, last)]))
+                kept = []
+            kept.append(batch.slice(last))
         if kept:
-            yield pairs(*kept)
+            yield pairs(pa.Table.from_batches(kept))
 
     return dealt.mapInArrow(run, schema).distinct()
 
 
+def candidates(members: DataFrame) -> DataFrame:
+    """The pairs of a spanning forest of each region of members(region, id, sig)."""
+    return _by_region(members.select("region", "id", "sig"), _forest)
+
+
+def linked_across(members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between the components of each region of members(region, id, sig, component, text).
+
+    All candidate pairs of a region are tested where they are; only links leave the task, fewer than the region has members.
+    """
+
+    def find(sig: np.ndarray, component: pa.ChunkedArray, text: pa.ChunkedArray) -> list[tuple[int, int]]:
+        got = [shingle_sets(raw, offs) for _, _, raw, offs in chunks(text)]
+        sets = [x[a:b] for x, at in got for a, b in zip(at[:-1], at[1:], strict=True)]
+        return _linked_across(sig, component.to_numpy(), sets, percent)
+
+    return _by_region(members.select("region", "id", "sig", "component", "text"), find)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     schema = fields("a long, b long")
@@ -185,9 +225,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     sets.append(shingle_sets(*got[0]))
                 (x, at_x), (y, at_y) = sets
                 for i in range(part.num_rows):
-                    p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
-                    both_in = len(np.intersect1d(p, q, assume_unique=True))
-                    good[row + i] = 100 * both_in >= percent * (len(p) + len(q) - both_in) and both_in > 0
+                    good[row + i] = similar(x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]], percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
         return each
@@ -231,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = stored(part.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     placed = regions(classes)
     sigs = classes.select("id", "sig")
-    first = stored(candidates(placed.withColumn("component", F.col("id")).join(sigs, "id"), True), "pairs")
+    first = stored(candidates(placed.join(sigs, "id")), "pairs")
     involved = stored(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     narrow = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     # Only the texts of candidates are shuffled; repeated rows of one id give one text.
@@ -249,8 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         rest = crowded.join(main, "crowd").filter("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         rest = rest.withColumn("region", F.xxhash64("crowd", F.col("part")))
         known = known.unionByName(rest.select(*known.columns)).dropDuplicates(["region", "tree", "id"])
-    second = candidates(known.join(sigs, "id"), False).join(first, ["a", "b"], "left_anti")
-    more = stored(confirmed(stored(second, "second"), texts, percent), "more")
+    more = stored(linked_across(known.join(sigs, "id").join(texts, "id"), percent), "more")
     if not more.isEmpty():
         found = components(edges.union(more))
     by_class = _known(classes.select("id", "n_shingles", "key1", "key2"), found).select("component", "n_shingles", "key1", "key2")
