@@ -20,6 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with this package on its workers, bounded Arrow batches and a checkpoint folder (set only where the cluster names none)."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_folder(spark)
