@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models of the bytes within words.
 
 Two models, of toxic and of ordinary text, give the next byte of a word from the five before it (a word is a run of letters,
-with a mark before and after). Each discounts its own counts and backs off to shared Kneser-Ney continuation counts of both
-classes, so an expression that is rare in both says little. A text's evidence is the difference of its two log-likelihoods
+with a mark before and after). Each discounts its own counts and backs off, from SHARED bytes on to Kneser-Ney continuation
+counts of both classes together, so an expression that is rare in both says little. A text's evidence is the difference of its two log-likelihoods
 divided by its length, over the whole text and over the part by which single words exceed CLEAR nats; a logistic curve, fitted on labelled documents that the counts have not seen, turns it into a score.
 
 Fitting uses at most about FIT documents of each label, chosen by a hash of the id among labelled ids outside the held-out
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import arrow_map, fields, held_out, prepared, stored
 from .textkernel import LETTER, LOWER, U, chunks, word_bounds, word_hashes
 
-ORDER, DISCOUNT, CLEAR, FIT = 6, 0.75, 4.0, 8_000
+ORDER, SHARED, DISCOUNT, CLEAR, FIT = 6, 4, 0.75, 3.0, 8_000
 _MARK = 1
 
 
@@ -54,40 +54,58 @@ def word_grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int
 
 
 class KneserNeyPair:
-    """The log-likelihood ratio of every gram and, for grams seen in neither class, of every context."""
+    """The two models: for every order above SHARED the log-likelihood ratio of each gram, and of the rest of each context.
+
+    A class discounts its counts (at the highest order; continuation types below) and backs off to its own next lower order;
+    at SHARED bytes both back off to the same continuation counts, pooled over the classes.
+    """
 
     def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, d: float = DISCOUNT):
-        """keys: distinct grams, sorted; their counts in each class."""
+        """keys: distinct grams of the highest order, sorted; their counts in each class."""
         low = lambda m: U((1 << (8 * m)) - 1)
-        shared, lower = None, None
-        for m in range(1, order):
-            grams = keys
-            for k in range(order - 1, m - 1, -1):  # types of k bytes that end the types of k + 1 bytes
-                grams, counts = np.unique(grams & low(k), return_counts=True)
-            context = grams >> U(8)
-            heads, of, kinds = np.unique(context, return_inverse=True, return_counts=True)
+        # Grams of each order, with counts or types by class, from the highest down.
+        levels = {order: (keys, toxic, ordinary)}
+        for m in range(order - 1, 0, -1):
+            above, t, o = levels[m + 1]
+            grams, at = np.unique(above & low(m), return_inverse=True)
+            levels[m] = (grams, np.bincount(at, t > 0).astype(float), np.bincount(at, o > 0).astype(float))
+
+        def interpolated(grams, counts, base):
+            """Probabilities, and what a context leaves to the order below (1 where it was not seen)."""
+            heads, of = np.unique(grams >> U(8), return_inverse=True)
             total = np.bincount(of, counts)
-            base = np.full(len(grams), 1 / 256) if lower is None else shared[np.searchsorted(lower, grams & low(m - 1))]
-            shared = (counts - d) / total[of] + (d * kinds / total)[of] * base
-            lower = grams
-        base = shared[np.searchsorted(lower, keys & low(order - 1))]
-        self.heads, of = np.unique(keys >> U(8), return_inverse=True)
-        logs, rests = [], []
-        for c in (toxic, ordinary):
-            total = np.bincount(of, c)
-            rest = np.where(total > 0, d * np.bincount(of, c > 0) / np.maximum(total, 1), 1.0)
-            logs.append(np.log(np.maximum(c - d, 0) / np.maximum(total, 1)[of] + rest[of] * base))
-            rests.append(np.log(rest))
-        self.keys, self.ratio, self.rest = keys, logs[0] - logs[1], rests[0] - rests[1]
+            rest = np.where(total > 0, d * np.bincount(of, counts > 0) / np.maximum(total, 1), 1.0)
+            return np.maximum(counts - d, 0) / np.maximum(total, 1)[of] + rest[of] * base, heads, rest
+
+        below, p = None, None
+        for m in range(1, SHARED + 1):
+            grams, t, o = levels[m]
+            base = np.full(len(grams), 1 / 256) if below is None else p[np.searchsorted(below, grams & low(m - 1))]
+            p, _, _ = interpolated(grams, t + o, base)
+            below = grams
+        both = [p, p]
+        self.levels = []
+        for m in range(SHARED + 1, order + 1):
+            grams, *counts = levels[m]
+            at = np.searchsorted(below, grams & low(m - 1))
+            found = [interpolated(grams, c, q[at]) for c, q in zip(counts, both, strict=True)]
+            both, below = [f[0] for f in found], grams
+            self.levels.append((m, grams, np.log(both[0]) - np.log(both[1]), found[0][1], np.log(found[0][2]) - np.log(found[1][2])))
 
     def ratios(self, grams: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        out = np.where(self.keys[at] == grams, self.ratio[at], 0.0)
-        new = np.flatnonzero(self.keys[at] != grams)
-        if len(new):
-            context = grams[new] >> U(8)
-            at = np.minimum(np.searchsorted(self.heads, context), len(self.heads) - 1)
-            out[new] = np.where(self.heads[at] == context, self.rest[at], 0.0)
+        """The log-likelihood ratio of the last byte of each gram."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for m, keys, ratio, heads, rest in reversed(self.levels):
+            own = grams[left] & U((1 << (8 * m)) - 1)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            seen = keys[at] == own
+            out[left[seen]] += ratio[at[seen]]
+            left, context = left[~seen], own[~seen] >> U(8)
+            if not len(left):
+                break
+            at = np.minimum(np.searchsorted(heads, context), len(heads) - 1)
+            out[left] += np.where(heads[at] == context, rest[at], 0.0)
         return out
 
     def evidence(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
