@@ -1,9 +1,10 @@
 """Sharding of indivisible groups by Karmarkar-Karp differencing.
 
-Documents with equal texts are one group and stay together. Groups are dealt by hash into buckets of about BUCKET groups; in
-each bucket the differencing method runs over the groups: the two partial partitions with the largest spread are combined,
-the fullest part of one with the emptiest of the other, until one partial partition is left. Its parts are then differenced in
-the same way over the buckets, which is at most one row per bucket and shard, and that fixes the shard of every bucket's parts.
+Documents with equal texts are one group and stay together. Differencing combines the two partial partitions with the largest
+spread, the fullest part of one with the emptiest of the other, until one partial partition is left. It runs twice: over
+the heavy groups, those that reach a quarter of a bucket's fair share of a shard (at most 64 rows per bucket, so at most 64 *
+BUCKETS); and over the others in hash buckets of about BUCKET groups, a task each, where every shard's heavy load takes part
+with the bucket's share of it, so that light groups fill what heavy ones leave.
 
 Cases: the law is `bytes`; a null text counts as no bytes (size 1) and groups with the empty text; repeated rows are rows of
 their own; null ids are kept; an empty table gives no rows. Only doc_id and text are read.
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, fields, prepared, stored
 
-SHARDS, BUCKET = 16, 20_000
+SHARDS, BUCKET, BUCKETS = 16, 20_000, 2048
 
 
 def difference(vectors: list[list[tuple[int, object]]], shards: int) -> list[tuple[int, object]]:
@@ -64,31 +65,36 @@ def members(tree) -> Iterator[int]:
 
 def shard_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET) -> DataFrame:
     """(key, shard) of groups(key, size): one row per key, sizes at least 0."""
-    buckets = max(1, -(-groups.count() // bucket))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    spark = groups.sparkSession
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(1, min(BUCKETS, -(-n // bucket)))
+    limit = max(1, -(-int(total) // (4 * shards * buckets)))
+    # At most 4 * shards * buckets groups can be this large.
+    large = groups.filter(F.col("size") >= limit).select("key", "size").orderBy(F.desc("size"), "key").collect()
+    parts = difference([[(r["size"], k)] for k, r in enumerate(large)], shards)
+    load = [s for s, _ in parts] + [0] * (shards - len(parts))
     key = groups.schema["key"].dataType
+    placed_schema = T.StructType([T.StructField("key", key), *fields("shard int")])
+    fixed = spark.createDataFrame([(large[k]["key"], s) for s, (_, tree) in enumerate(parts) for k in members(tree)], placed_schema)
+    light = groups.filter(F.col("size") < limit)
+    dealt = light.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    sizes = dealt.groupBy("bucket").agg(F.sum("size").alias("n")).collect()  # a row per bucket
+    whole = sum(r["n"] for r in sizes) or 1
+    share = {r["bucket"]: r["n"] for r in sizes}
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
-        parts = difference([[(n, k)] for k, n in enumerate(frame["size"].tolist())], shards)
-        part = np.zeros(len(frame), np.int32)
-        total = np.zeros(len(frame), np.int64)
-        for p, (size, tree) in enumerate(parts):
+        b = int(frame["bucket"].iloc[0])
+        start = [[(n, k)] for k, n in enumerate(frame["size"].tolist())]
+        # Each shard is a part of one partial partition, marked by a negative leaf; parts of one partition never meet.
+        start.append([(x * share[b] // whole, -1 - s) for s, x in enumerate(load)])
+        shard = np.zeros(len(frame), np.int32)
+        for _, tree in difference(start, shards):
             at = list(members(tree))
-            part[at], total[at] = p, size
-        return pd.DataFrame({"key": frame["key"], "bucket": frame["bucket"], "part": part, "part_size": total})
-
-    schema = T.StructType([T.StructField("key", key), *fields("bucket long, part int, part_size long")])
-    placed = stored(dealt.groupBy("bucket").applyInPandas(one, schema), "parts")
-    # One row per bucket and part: BUCKET groups stand behind each `shards` of these rows, and only they come to the driver.
-    rows = placed.groupBy("bucket", "part").agg(F.first("part_size").alias("size")).orderBy("bucket", "part").collect()
-    by_bucket: dict[int, list] = {}
-    for k, r in enumerate(rows):
-        by_bucket.setdefault(r["bucket"], []).append((r["size"], k))
-    parts = difference(list(by_bucket.values()), shards)
-    where = [(rows[k]["bucket"], rows[k]["part"], s) for s, (_, tree) in enumerate(parts) for k in members(tree)]
-    to = placed.sparkSession.createDataFrame(where, "bucket long, part int, shard int")
-    return placed.join(F.broadcast(to) if len(where) <= 1_000_000 else to, ["bucket", "part"]).select("key", "shard")
+            shard[[x for x in at if x >= 0]] = next(-1 - x for x in at if x < 0)
+        return pd.DataFrame({"key": frame["key"], "shard": shard})
+
+    return dealt.groupBy("bucket").applyInPandas(one, placed_schema).unionByName(fixed)
 
 
 def with_slots(rows: DataFrame, group: str) -> DataFrame:
@@ -131,5 +137,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket: int = BUCKET)
     rows = docs.select(docs["doc_id"].alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("key"))
     rows = stored(rows, "sizes")
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
-    placed = rows.join(shard_groups(stored(groups, "groups"), shards, bucket), "key").select("doc_id", "size", "text_crc32", "shard")
+    placed = rows.join(stored(shard_groups(stored(groups, "groups"), shards, bucket), "placed"), "key").select("doc_id", "size", "text_crc32", "shard")
     return with_slots(placed, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
