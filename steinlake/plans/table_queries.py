@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import closed_forms as C
 from ..functions import kernels as K
 from ..functions import sequences as Q
-from ..functions.arrays import hamming, rounded
-from ..operators import alignment, constraints, dataset, metrics, pairs, structure
+from ..functions.arrays import hamming, rounded, sqdist
+from ..functions.chi_square import gaussian_median
+from ..operators import alignment, constraints, dataset, metrics, pairs, particles, structure
+from ..operators import statistics as S
 from ..sources import sequences as sequence_files
 from ..sources import writers
+from . import hypothesis as H
 from .queries import query, read, samples
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -382,3 +385,20 @@ def fasta_roundtrip(spark, sf_dir):
 def dtw_gram(spark, sf_dir):
     """Soft alignment of neighbouring rows' point sequences (dynamic programming, not SQL)."""
     return alignment.soft_alignment(pairs.adjacent(samples(spark, sf_dir).select("i", "points")))
+
+
+@query()
+def gauss_bandwidth(spark, sf_dir):
+    """The bandwidth of Gaussian models: the median over neighbours of the median distance under their mixture (a root of a series)."""
+    p = pairs.adjacent(samples(spark, sf_dir).select("i", "mu", "s"))
+    d = gaussian_median(F.size("a_mu"), F.col("a_s"), F.col("b_s"), sqdist("a_mu", "b_mu"))
+    return p.select(d.alias("d")).agg(F.percentile("d", F.lit(0.5)).alias("sigma"))
+
+
+@query()
+def cgof_sampled_particles(spark, sf_dir):
+    """Conditional goodness of fit with ten seeded particles per row in place of the closed forms."""
+    rows = samples(spark, sf_dir).select("i", "x", "mu", "s", F.col("z").alias("y"))
+    drawn = particles.gaussian_particles(rows, 10, "11")
+    out = H.run_test(rows.join(drawn, "i").select("i", "x", "points", "y"), S.cgof_particles(), H.TestConfig(diagonals=1))
+    return out.select("m", "val", "quantile", "reject")
