@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Rows and bytes of one Arrow batch: a Python worker holds one at a time, so this bounds its memory with long texts too.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
@@ -27,16 +26,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="steinlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses, with its scheme, so that Spark and other readers mean the same place."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")

@@ -34,7 +34,7 @@ from .textkernel import LOWER, VISIBLE, U, flat, mix, word_bounds, word_hashes
 
 ORDER, ALPHA, LEAST, BLOCK, BITS = 3, 0.4, 2, 8 << 20, 48
 #: Distinct n-grams of all blocks that one partition of the count tables adds up, about.
-SHARE = 4_000_000
+SHARE = 2_000_000
 
 
 def pack(values: np.ndarray, wide: int) -> bytes:

@@ -123,7 +123,8 @@ def write_training_order(docs: DataFrame, folder: str, stride: int = STRIDE, key
         if out is not None:
             out.close()
 
-    dealt = rows.mapInArrow(tokenise, cut).repartition(shards, "shard").sortWithinPartitions("shard", "order")
+    # One shard to a task: a hash of the shard's number would give some tasks several.
+    dealt = rows.mapInArrow(tokenise, cut).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order")
     return stored(dealt.mapInArrow(write, written), "order")
 
 
