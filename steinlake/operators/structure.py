@@ -99,3 +99,76 @@ def centred(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Coordinates less their mean over the structure; nulls stay null and do not count."""
     w = Window.partitionBy(*keys)
     return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
+
+
+def _cross(a: Column, b: Column) -> Column:
+    g = [(F.get(a, i), F.get(b, i)) for i in range(3)]
+    return F.array(*(g[i][0] * g[j][1] - g[j][0] * g[i][1] for i, j in ((1, 2), (2, 0), (0, 1))))
+
+
+def _unit(a: Column) -> Column:
+    n = F.sqrt(_dot(a, a))
+    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+
+
+def trace_angles(df: DataFrame, chain: list[str], pos: str, xyz: str, low: float = 3.6, high: float = 4.0) -> DataFrame:
+    """df with cos_bend, cos_twist and sin_twist of the C-alpha trace: the angle of the steps into and out of a residue, and
+    the dihedral of the step before, into and out of it. A step whose length is outside the bounds counts as none, and an
+    angle with such a step, or at an end, is 0.
+    """
+    w = Window.partitionBy(*chain).orderBy(pos)  # a chain is a bounded group
+    step = _minus(F.lead(xyz).over(w), F.col(xyz))
+    out = df.withColumn("_s", step).withColumn("_n", F.sqrt(_dot(F.col("_s"), F.col("_s"))))
+    out = out.withColumn("_u", F.when((F.col("_n") > low) & (F.col("_n") < high), F.transform("_s", lambda x: x / F.col("_n"))))
+    out = out.withColumn("_u1", F.lag("_u").over(w)).withColumn("_u2", F.lag("_u", 2).over(w))
+    n1, n2 = _unit(_cross(F.col("_u2"), F.col("_u1"))), _unit(_cross(F.col("_u1"), F.col("_u")))
+    clip = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))  # noqa: E731  least and greatest skip nulls
+    cos_twist, side = clip(_dot(n1, n2)), F.signum(_dot(F.col("_u2"), n2))
+    return out.withColumns({"cos_bend": F.coalesce(clip(_dot(F.col("_u1"), F.col("_u"))), F.lit(0.0)), "cos_twist": F.coalesce(cos_twist, F.lit(0.0)), "sin_twist": F.coalesce(side * F.sqrt(1 - cos_twist * cos_twist), F.lit(0.0))}).drop("_s", "_n", "_u", "_u1", "_u2")
+
+
+def chain_pairs(df: DataFrame, keys: list[str], chain: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """All ordered pairs of chains of a structure from measured pairs a < b: mirrored, and each with itself.
+
+    df has keys, chain_a, chain_b and the named columns; values gives, for each, its mirrored column and its own-pair value.
+    """
+    swapped = df.select(*keys, F.col(f"{chain}_b").alias(f"{chain}_a"), F.col(f"{chain}_a").alias(f"{chain}_b"), *(F.col(m).alias(c) for c, (m, _) in values.items()))
+    ends = df.select(*keys, F.explode(F.array(f"{chain}_a", f"{chain}_b")).alias(f"{chain}_a")).distinct()
+    own = ends.select(*keys, f"{chain}_a", F.col(f"{chain}_a").alias(f"{chain}_b"), *(v.alias(c) for c, (_, v) in values.items()))
+    return df.select(*keys, f"{chain}_a", f"{chain}_b", *values).unionByName(swapped).unionByName(own)
+
+
+def homologous(pairs: DataFrame, keys: list[str], chain: str = "chain", identity: str = "seqid", least: float = 0.7) -> DataFrame:
+    """(keys, chain, others): chains of sequence identity above a bound."""
+    return pairs.filter(F.col(identity) > least).groupBy(*keys, F.col(f"{chain}_a").alias(chain)).agg(F.array_sort(F.collect_set(f"{chain}_b")).alias("others"))
+
+
+def promote_identical(chains: DataFrame, keys: list[str], seq: str = "seq", masked: str = "masked") -> DataFrame:
+    """chains with masked also true where an equal sequence of the same structure is masked."""
+    hidden = chains.filter(F.col(masked)).select(*keys, seq).distinct().withColumn("_h", F.lit(True))
+    out = chains.join(hidden, [*keys, seq], "left")
+    return out.withColumn(masked, F.col(masked) | F.coalesce("_h", F.lit(False))).drop("_h")
+
+
+def edge_union(*edges: DataFrame) -> DataFrame:
+    """One edge table of several (spatial, nearest, sequential), each (name, src, dst) once with its kinds."""
+    out = None
+    for k, e in enumerate(edges):
+        one = e.select("name", "src", "dst", F.lit(k).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("name", "src", "dst").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def sequential_edges(nodes: DataFrame, reach: int = 2, name: str = "name", node: str = "node") -> DataFrame:
+    """Edges between nodes at most `reach` apart in number, by equi-joins."""
+    a = nodes.select(F.col(name).alias("name"), F.col(node).alias("src"))
+    wide = a.withColumn("dst", F.explode(F.sequence(F.col("src") - reach, F.col("src") + reach))).filter("src <> dst")
+    return wide.join(nodes.select(F.col(name).alias("name"), F.col(node).alias("dst")), ["name", "dst"], "left_semi").select("name", "src", "dst")

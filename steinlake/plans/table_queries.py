@@ -242,6 +242,25 @@ def centred_coordinates(spark, sf_dir):
     return structure.centred(x, ["l_orderkey"], ["q"]).withColumn("q", rounded("q"))
 
 
+@query("SELECT name, src, src + d AS dst FROM (SELECT DISTINCT l_orderkey AS name, l_linenumber AS src FROM lineitem) a, (VALUES (-2), (-1), (1), (2)) v(d) WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = name AND b.l_linenumber = src + d)")
+def sequential_edges(spark, sf_dir):
+    """Edges along the chain up to two places apart."""
+    n = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return structure.sequential_edges(n, 2, "l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH n AS (SELECT l_orderkey AS o, l_linenumber AS k, min(l_quantity)::DOUBLE AS q, min(l_tax)::DOUBLE * 100 AS t, min(l_discount)::DOUBLE * 100 AS d FROM lineitem GROUP BY 1, 2),
+s AS (SELECT o, k, CASE WHEN lead(q) OVER w IS NOT NULL THEN [lead(q) OVER w - q, lead(t) OVER w - t, lead(d) OVER w - d] END AS s FROM n WINDOW w AS (PARTITION BY o ORDER BY k)),
+u AS (SELECT o, k, CASE WHEN sqrt(list_inner_product(s, s)) > 2 AND sqrt(list_inner_product(s, s)) < 40 THEN list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) END AS u FROM s),
+v AS (SELECT o, k, u, lag(u) OVER (PARTITION BY o ORDER BY k) AS u1 FROM u)
+SELECT o AS l_orderkey, k AS l_linenumber, round(CASE WHEN u IS NULL OR u1 IS NULL THEN 0.0 ELSE least(greatest(list_inner_product(u1, u), -1), 1) END, 6) + 0.0 AS bend FROM v""")
+def trace_bends(spark, sf_dir):
+    """Angles of the trace of each chain; steps outside the bounds count as none."""
+    low = [F.min(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount")]
+    n = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.array(low[0], low[1] * 100, low[2] * 100).alias("xyz"))
+    return structure.trace_angles(n, ["l_orderkey"], "l_linenumber", "xyz", 2.0, 40.0).select("l_orderkey", "l_linenumber", rounded("cos_bend").alias("bend"))
+
+
 # Metrics.
 
 
