@@ -251,9 +251,10 @@ def sequential_edges(spark, sf_dir):
 
 @query(f"""WITH n AS (SELECT l_orderkey AS o, l_linenumber AS k, min(l_quantity)::DOUBLE AS q, min(l_tax)::DOUBLE * 100 AS t, min(l_discount)::DOUBLE * 100 AS d FROM lineitem GROUP BY 1, 2),
 s AS (SELECT o, k, CASE WHEN lead(q) OVER w IS NOT NULL THEN [lead(q) OVER w - q, lead(t) OVER w - t, lead(d) OVER w - d] END AS s FROM n WINDOW w AS (PARTITION BY o ORDER BY k)),
-u AS (SELECT o, k, CASE WHEN sqrt(list_inner_product(s, s)) > 2 AND sqrt(list_inner_product(s, s)) < 40 THEN list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) END AS u FROM s),
+r AS (SELECT *, sqrt(list_sum(list_transform(s, lambda y: y * y))) AS m FROM s),
+u AS (SELECT o, k, CASE WHEN m > 2 AND m < 40 THEN [s[1] / m, s[2] / m, s[3] / m] END AS u FROM r),
 v AS (SELECT o, k, u, lag(u) OVER (PARTITION BY o ORDER BY k) AS u1 FROM u)
-SELECT o AS l_orderkey, k AS l_linenumber, round(CASE WHEN u IS NULL OR u1 IS NULL THEN 0.0 ELSE least(greatest(list_inner_product(u1, u), -1), 1) END, 6) + 0.0 AS bend FROM v""")
+SELECT o AS l_orderkey, k AS l_linenumber, round(CASE WHEN u IS NULL OR u1 IS NULL THEN 0.0 ELSE least(greatest(list_sum(list_transform(list_zip(u1, u), lambda q: q[1] * q[2])), -1), 1) END, 6) + 0.0 AS bend FROM v""")
 def trace_bends(spark, sf_dir):
     """Angles of the trace of each chain; steps outside the bounds count as none."""
     low = [F.min(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount")]
