@@ -20,11 +20,10 @@ counted and scored each; an empty table gives no rows. Only doc_id and text are
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,18 +37,20 @@ SHARE = 2_000_000
 
 
 def pack(values: np.ndarray, wide: int) -> bytes:
-    """Small numbers as `wide` bytes each; larger ones are listed behind."""
+    """Small numbers as `wide` planes of bytes, highest first (the high ones are alike and compress); larger numbers are listed behind."""
     top = (1 << (8 * wide)) - 1
-    kind = {1: "<u1", 4: "<u4"}[wide]
     large = np.flatnonzero(values >= top)
-    return np.array([len(values), len(large)], "<u8").tobytes() + np.minimum(values, top).astype(kind).tobytes() + large.astype("<u4").tobytes() + values[large].astype("<u8").tobytes()
+    planes = np.minimum(values, top).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - wide :].T
+    return np.array([len(values), len(large)], "<u8").tobytes() + planes.tobytes() + large.astype("<u4").tobytes() + values[large].astype("<u8").tobytes()
 
 
 def unpack(raw: bytes, wide: int, at: int = 0) -> tuple[np.ndarray, int]:
     """The numbers of pack(), and where they end."""
     n, large = np.frombuffer(raw, "<u8", 2, at).tolist()
     at += 16
-    out = np.frombuffer(raw, {1: "<u1", 4: "<u4"}[wide], n, at).astype(np.uint64)
+    out = np.zeros(n, np.uint64)
+    for plane in np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n):
+        out = out << U(8) | plane
     at += n * wide
     where = np.frombuffer(raw, "<u4", large, at)
     at += 4 * large
@@ -57,6 +58,14 @@ def unpack(raw: bytes, wide: int, at: int = 0) -> tuple[np.ndarray, int]:
     return out, at + 8 * large
 
 
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def opened(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def grams(texts: pd.Series, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each n, the hash of the n words that end at each word (0 where the text has fewer); each word's place; first words."""
     raw, offs = flat(pa.array(texts, pa.large_string(), from_pandas=True))
@@ -93,12 +102,12 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
         keys, counts = distinct(found)
         part = (keys.astype(float) * (parts / 2.0**bits)).astype(int) if bits <= 52 else (keys >> U(bits - 52)).astype(float) * (parts / 2.0**52) // 1
         cut = np.searchsorted(part, np.arange(parts + 1))
-        data = [pack(np.diff(keys[a:b], prepend=U(0)), 4) + pack(counts[a:b].astype(U), 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        data = [squeezed(pack(np.diff(keys[a:b], prepend=U(0)), 4) + pack(counts[a:b].astype(U), 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pd.DataFrame({"block": frame["block"].iloc[0], "part": np.arange(parts, dtype=np.int32), "data": data})
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = [], []
-        for raw in frame["data"]:
+        for raw in map(opened, frame["data"]):
             deltas, at = unpack(raw, 4)
             keys.append(np.cumsum(deltas, dtype=np.uint64))
             counts.append(unpack(raw, 1, at)[0].astype(np.int64))
@@ -106,7 +115,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
         # Counts are exact in doubles up to 2**53.
         total = np.bincount(of, np.concatenate(counts).astype(float), minlength=1)
         ends = np.cumsum([len(k) for k in keys])
-        data = [zlib.compress(pack(total[of[e - len(k) : e]].astype(U), 1), 1) for k, e in zip(keys, ends, strict=True)]
+        data = [squeezed(pack(total[of[e - len(k) : e]].astype(U), 1)) for k, e in zip(keys, ends, strict=True)]
         return pd.DataFrame({"block": frame["block"], "part": frame["part"], "data": data})
 
     piece = fields("block int, part int, data binary")
@@ -115,7 +124,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
     def score(frame: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         found, place, first = grams(frame["text"], order, bits)
         keys, _ = distinct(found)
-        totals = np.concatenate([unpack(zlib.decompress(x), 1)[0] for x in counted.sort_values("part")["data"]]).astype(float)
+        totals = np.concatenate([unpack(opened(x), 1)[0] for x in counted.sort_values("part")["data"]]).astype(float)
         if len(totals) != len(keys):
             raise ValueError("a block's text changed between counting and scoring")
         counts = [np.where(f > 0, totals[np.searchsorted(keys, f)] if len(keys) else 0.0, 0.0) for f in found]
