@@ -14,7 +14,7 @@ from ..operators import statistics as S
 from ..sources import sequences as sequence_files
 from ..sources import writers
 from . import hypothesis as H
-from .queries import query, read, samples
+from .queries import ADJACENT, MMD_SQL, Z95, query, read, samples
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 P_SQL = "p AS MATERIALIZED (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS i, p_name, string_split(p_name, '') AS c FROM part)"
@@ -347,6 +347,14 @@ def tied_positions(spark, sf_dir):
     return constraints.tied_homomer(line.groupBy(F.col("l_orderkey").alias("name"), F.col("l_returnflag").alias("chain")).agg(F.count(F.lit(1)).alias("length")))
 
 
+@query("WITH l AS (SELECT l_orderkey AS name, l_returnflag AS chain, count(*) AS length FROM lineitem GROUP BY 1, 2), t AS (SELECT name, min(length) AS a, max(length) AS b, list_sort(list(chain)) AS chains FROM l GROUP BY 1), p AS (SELECT name, unnest(range(1, a + 1))::INTEGER AS pos, chains FROM t WHERE a = b) SELECT name, pos, chain, CASE WHEN chain = chains[1] THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END AS beta FROM (SELECT name, pos, chains, unnest(chains) AS chain FROM p)")
+def tied_betas(spark, sf_dir):
+    """Tied positions with a weight per chain: the first chain positive, the others negative."""
+    line = read(spark, sf_dir, "lineitem")
+    t = constraints.tied_homomer(line.groupBy(F.col("l_orderkey").alias("name"), F.col("l_returnflag").alias("chain")).agg(F.count(F.lit(1)).alias("length")))
+    return t.select("name", "pos", "chains", F.explode("chains").alias("chain")).select("name", "pos", "chain", F.when(F.col("chain") == F.get("chains", 0), 1.0).otherwise(-0.5).alias("beta"))
+
+
 @query("SELECT l_orderkey AS name, l_linenumber AS pos, l_returnflag AS aa, coalesce(l_linenumber IN (1, 3) AND l_returnflag IN ('A', 'N'), false) AS omitted FROM lineitem")
 def omit_mask(spark, sf_dir):
     r = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.lit("A").alias("chain"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("aa"))
@@ -389,6 +397,21 @@ def acmmd_composite(spark, sf_dir):
     return both.agg(F.round(F.sum(w * kx * C.acmmd_pair(F.col("p1"), F.col("p2"), F.lit(0.3), 1.0)) / F.sum(w), 9).alias("acmmd"))
 
 
+# A linear-time test over a large table.
+
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) - 1 AS i, [l_quantity::DOUBLE / 10, l_extendedprice::DOUBLE / 20000] AS x, [l_discount::DOUBLE * 50, l_tax::DOUBLE * 50] AS y FROM lineitem),
+h AS (SELECT {MMD_SQL} AS h {ADJACENT}) SELECT count(*) AS m, round(avg(h), 6) + 0.0 AS val, round({Z95} * sqrt(avg(h * h)) / sqrt(count(*)), 6) AS quantile, avg(h) > {Z95} * sqrt(avg(h * h)) / sqrt(count(*)) AS reject FROM h""")
+def mmd_r1_lines(spark, sf_dir):
+    """The two-sample test over every line, numbered without gathering the table."""
+    line = read(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+    rows = pairs.dense_index(line, *LINE_ORDER).select("i", F.array(F.col("l_quantity").cast("double") / 10, F.col("l_extendedprice").cast("double") / 20000).alias("x"), F.array(F.col("l_discount").cast("double") * 50, F.col("l_tax").cast("double") * 50).alias("y"))
+    out = H.mmd_test(rows, H.TestConfig(diagonals=1))
+    return out.select("m", rounded("val").alias("val"), rounded("quantile").alias("quantile"), "reject")
+
+
 # Files and alignment.
 
 
