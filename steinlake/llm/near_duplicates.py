@@ -4,16 +4,16 @@ A document's set holds its distinct runs of five words (a shorter text is one ru
 the work below is on one representative per class.
 
 Candidates. A signature has TREES orders of DEPTH MinHash values. In each order, representatives are sorted by their values,
-and those with a common prefix of at least the first depth in DEPTHS form a region. A region of more than REGION members is cut
+and those with a common prefix of the first depth (layout) form a region. A region of more than REGION members is cut
 by longer prefixes, so the depth adapts to how crowded a part of the order is; a region still crowded at the full depth is
-dealt into parts of that size, differently in each order. Members whose signatures agree in at least AGREE places are
+dealt into parts of that size, differently in each order. Members whose signatures agree in enough places (layout) are
 candidates. Two rounds: first a spanning forest of each region's candidates, best agreement first, is confirmed; then, with
 the components so found, every candidate pair of a region whose ends are still in different components is tested where the
 region is, and only links leave the task. In the second round a member of a crowded full-depth region that is not in the
 region's main component meets all parts of that region.
 
-Sets of similarity 0.85 share four given values with probability 0.52, so all 16 orders miss such a pair with probability
-8e-6, and agree in under 90 of 128 places with probability 3e-6.
+At 0.85 the first depth is 4: all 16 orders miss such a pair with probability 7e-6, and it agrees in under 90 of 128 places
+with probability 7e-6. At 0.80 the depth is 3 (1e-5) and the agreement 82 (9e-6).
 
 Components. Every node takes the least id among itself and its neighbours, and edges are rewritten to those ids until none is
 left; no task holds more than the pre-aggregated minimum of a node.
@@ -26,6 +26,7 @@ otherwise identify a text. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,28 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fields, prepared, stored
 from .textkernel import LOWER, VISIBLE, U, chunks, mix, shingle_hashes, unique_in_groups, word_bounds, word_hashes
 
-SHINGLE, TREES, DEPTH, DEPTHS, REGION, AGREE = 5, 16, 8, (4, 6, 8), 512, 90
+SHINGLE, TREES, DEPTH, REGION = 5, 16, 8, 512
+#: The chance of a pair at the threshold to share the first depth in no order, or to agree in too few places, is at most this.
+LOSS = 1.1e-5
 #: Ids up to this many (8 bytes each) are broadcast to filter the texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, (2, TREES * DEPTH), dtype=np.uint64)
 _TIMES, _PLUS = _RANDOM[0] * U(2) + U(1), _RANDOM[1]
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """The first depth of the orders, and the places in which signatures of candidates agree at least, for a threshold in percent."""
+    p, places = percent / 100, TREES * DEPTH
+    depth = max(d for d in range(1, DEPTH + 1) if d == 1 or (1 - p**d) ** TREES <= LOSS)
+    below, agree = 0.0, 0
+    while agree < places:
+        below += comb(places, agree) * p**agree * (1 - p) ** (places - agree)
+        if below > LOSS:
+            break
+        agree += 1
+    return depth, agree
+
+
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, and their bounds."""
     low = LOWER[raw]
@@ -85,13 +101,14 @@ def _prefix(depth: int) -> F.Column:
     return F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * depth})"))
 
 
-def regions(classes: DataFrame) -> DataFrame:
+def regions(classes: DataFrame, percent: int) -> DataFrame:
     """(id, tree, region, crowd, parts): the members of each region of at least two. parts > 1: one of the parts of region crowd."""
-    rows = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "tree", _prefix(DEPTHS[0]).alias("key"))
+    first = layout(percent)[0]
+    rows = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "tree", _prefix(first).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = stored(rows.join(sizes, "key").join(classes.select("id", "sig"), "id"), "live")
     found = []
-    for depth in (*DEPTHS[1:], None):
+    for depth in (*(d for d in (6, 8) if d > first), None):
         found.append(live.filter(F.col("n") <= REGION).select("id", "tree", F.col("key").alias("region"), F.col("key").alias("crowd"), F.lit(1).cast("long").alias("parts")))
         crowded = live.filter(F.col("n") > REGION)
         if depth is None:
@@ -108,8 +125,8 @@ def regions(classes: DataFrame) -> DataFrame:
     return stored(out, "regions")
 
 
-def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that agree in at least AGREE places, best first."""
+def _forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that agree in at least `least` places, best first."""
     n = len(sig)
     best, link, left, edges = np.full(n, -1), np.zeros(n, int), np.ones(n, bool), []
     at = 0
@@ -120,7 +137,7 @@ def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
         best[better], link[better] = agree[better], at
         best[~left] = -1
         at = int(np.argmax(best))
-        if best[at] >= AGREE:
+        if best[at] >= least:
             edges.append((int(link[at]), at))
         elif not left[at]:
             at = int(np.argmax(left))
@@ -130,11 +147,11 @@ def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
 def _linked_across(sig: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between components, confirmed on full sets; a pair that an earlier link has joined is not tested again."""
     component, edges = component.copy(), []
-    size = np.array([len(x) for x in sets])
+    size, least = np.array([len(x) for x in sets]), layout(percent)[1]
     for i in range(len(sig) - 1):
         other = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
         other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-        for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE] if len(other) else ():
+        for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= least] if len(other) else ():
             if component[j] != component[i] and similar(sets[i], sets[j], percent):
                 component[component == component[j]] = component[i]
                 edges.append((i, int(j)))
@@ -190,9 +207,10 @@ def _by_region(members: DataFrame, find) -> DataFrame:
     return dealt.mapInArrow(run, schema).distinct()
 
 
-def candidates(members: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, percent: int) -> DataFrame:
     """The pairs of a spanning forest of each region of members(region, id, sig)."""
-    return _by_region(members.select("region", "id", "sig"), _forest)
+    least = layout(percent)[1]
+    return _by_region(members.select("region", "id", "sig"), lambda sig: _forest(sig, least))
 
 
 def linked_across(members: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +277,7 @@ def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: linked at 100 * intersection >= percent * union.
 
-    percent must be at least 80, for which the forest's orders and depths are laid out.
+    percent must be at least 80: the first depth and the least agreement follow from it (layout).
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
@@ -267,9 +285,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     signed = stored(sign(docs), "signed")
     part = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(part.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    placed = regions(classes)
+    placed = regions(classes, percent)
     sigs = classes.select("id", "sig")
-    first = stored(candidates(placed.join(sigs, "id")), "pairs")
+    first = stored(candidates(placed.join(sigs, "id"), percent), "pairs")
     involved = stored(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     narrow = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     # Only the texts of candidates are shuffled; repeated rows of one id give one text.
