@@ -4,13 +4,18 @@ A document's set holds its distinct runs of five words (a shorter text is one ru
 the work below is on one representative per class.
 
 Candidates. A signature has TREES orders of DEPTH MinHash values. In each order, representatives are sorted by their values,
-and those with a common prefix of the first depth (layout) form a region. A region of more than REGION members is cut
-by longer prefixes, so the depth adapts to how crowded a part of the order is; a region still crowded at the full depth is
-dealt into parts of that size, differently in each order. Members whose signatures agree in enough places (layout) are
-candidates. Two rounds: first a spanning forest of each region's candidates, best agreement first, is confirmed; then, with
-the components so found, every candidate pair of a region whose ends are still in different components is tested where the
-region is, and only links leave the task. In the second round a member of a crowded full-depth region that is not in the
-region's main component meets all parts of that region.
+and those with a common prefix of the first depth (layout) form a region. The members of a region of more than REGION are
+placed anew, by exact keys: with a set's shingles in the order of how many crowded members have them, rarest first, two sets
+at the threshold share one of their first n - ceil(percent * n / 100) + 1. What many share, as a template, comes last there
+and puts nobody together. Keys of more than REGION members are dealt into parts of that size, differently for each key.
+Members whose signatures agree in enough places (layout) are candidates.
+
+Two rounds: first a spanning forest of each region's candidates, best agreement first, is confirmed; then, with the components
+so found, every candidate pair of a region whose ends are still in different components is tested where the region is, and
+only links leave the task. In the second round a crowded key's main component and the rest of its members are cut into blocks,
+and each block of the rest meets each block of both, two blocks to a region (meetings); texts are sent only for members that
+have a candidate there. A task holds one region of about REGION members; the regions of a crowd grow with the product of its
+size and its rest.
 
 At 0.85 the first depth is 4: all 16 orders miss such a pair with probability 7e-6, and it agrees in under 90 of 128 places
 with probability 7e-6. At 0.80 the depth is 3 (1e-5) and the agreement 82 (9e-6).
@@ -26,11 +31,12 @@ otherwise identify a text. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fields, prepared, stored
@@ -45,6 +51,7 @@ _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, (2, TREES * DEPTH
 _TIMES, _PLUS = _RANDOM[0] * U(2) + U(1), _RANDOM[1]
 
 
+@cache
 def layout(percent: int) -> tuple[int, int]:
     """The first depth of the orders, and the places in which signatures of candidates agree at least, for a threshold in percent."""
     p, places = percent / 100, TREES * DEPTH
@@ -101,28 +108,60 @@ def _prefix(depth: int) -> F.Column:
     return F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * depth})"))
 
 
-def regions(classes: DataFrame, percent: int) -> DataFrame:
-    """(id, tree, region, crowd, parts): the members of each region of at least two. parts > 1: one of the parts of region crowd."""
-    first = layout(percent)[0]
-    rows = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "tree", _prefix(first).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = stored(rows.join(sizes, "key").join(classes.select("id", "sig"), "id"), "live")
-    found = []
-    for depth in (*(d for d in (6, 8) if d > first), None):
-        found.append(live.filter(F.col("n") <= REGION).select("id", "tree", F.col("key").alias("region"), F.col("key").alias("crowd"), F.lit(1).cast("long").alias("parts")))
-        crowded = live.filter(F.col("n") > REGION)
-        if depth is None:
-            parts = F.ceil(F.col("n") / REGION)
-            found.append(crowded.select("id", "tree", F.xxhash64("key", F.pmod(F.xxhash64("id", "tree"), parts)).alias("region"), F.col("key").alias("crowd"), parts.alias("parts")))
-            break
-        if crowded.isEmpty():
-            break
-        deeper = crowded.select("id", "sig", "tree", _prefix(depth).alias("key"))
-        live = stored(deeper.join(deeper.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "deeper")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return stored(out, "regions")
+def _placed(rows: DataFrame, name: str) -> DataFrame:
+    """(id, key, n): rows(id, key) whose key n > 1 members share."""
+    return stored(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key").select("id", "key", "n"), name)
+
+
+def rare_keys(texts: DataFrame, percent: int) -> DataFrame:
+    """(id, key) of texts(id, text): the shingles of which two sets at the threshold share one, rarest first; those of one text only are left out."""
+    schema = fields("id long, size long, shingle long")
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for a, b, raw, offs in chunks(batch.column(1)):
+                sets, at = shingle_sets(raw, offs)
+                size = np.diff(at)
+                ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(sets.view(np.int64))], schema.names)
+
+        return each
+
+    rows = stored(arrow_map(texts.select("id", "text"), make, schema), "shingles")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle"))
+    first = rows.join(held, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1)
+    return first.filter("held > 1").select("id", F.xxhash64(F.lit("rare"), "shingle").alias("key"))
+
+
+def regions(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(id, region, crowd, parts): the members of each region of at least two. parts > 1: one of the parts of region crowd."""
+    trees = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    live = _placed(trees.select("id", _prefix(layout(percent)[0]).alias("key")), "live")
+    out = live.filter(F.col("n") <= REGION)
+    crowded = stored(live.filter(F.col("n") > REGION).select("id").distinct(), "crowded")
+    if not crowded.isEmpty():
+        out = out.unionByName(_placed(rare_keys(_texts(docs, crowded, "crowded_texts"), percent), "rare"))
+    parts = F.ceil(F.col("n") / REGION)
+    region = F.when(parts > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), parts))).otherwise(F.col("key"))
+    return stored(out.select("id", region.alias("region"), F.col("key").alias("crowd"), parts.alias("parts")), "regions")
+
+
+def meetings(crowded: DataFrame) -> DataFrame:
+    """(id, component, region, side): regions of two blocks in which all pairs of crowded(id, crowd, component) meet but those within a crowd's main component.
+
+    Members of sides 1 and 2 are tested against each other, those of side 0 among themselves; a pair meets once in a crowd.
+    """
+    half = max(1, REGION // 2)
+    counts = crowded.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    rows = crowded.join(top, "crowd").withColumn("p", F.ceil(F.col("most") / half)).withColumn("q", F.ceil((F.col("all") - F.col("most")) / half)).filter("q > 0")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "crowd"), F.when(F.col("component") == F.col("main"), F.col("p")).otherwise(F.col("q"))))
+    main = F.expr("transform(sequence(0L, q - 1), j -> struct(xxhash64('main', crowd, block, j) AS region, 1 AS side))")
+    rest = F.expr("""concat(transform(sequence(0L, p - 1), i -> struct(xxhash64('main', crowd, i, block) AS region, 2 AS side)),
+      transform(sequence(0L, q - 1), j -> struct(xxhash64('rest', crowd, least(block, j), greatest(block, j)) AS region, CASE WHEN j = block THEN 0 WHEN block < j THEN 1 ELSE 2 END AS side)))""")
+    met = rows.select("id", "component", F.explode(F.when(F.col("component") == F.col("main"), main).otherwise(rest)).alias("to"))
+    return met.select("id", "component", "to.region", "to.side")
 
 
 def _forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -144,14 +183,21 @@ def _forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _linked_across(sig: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _across(sig: np.ndarray, component: np.ndarray, side: np.ndarray, size: np.ndarray, percent: int, i: int) -> np.ndarray:
+    """The places after i of i's candidates in other components."""
+    rest = slice(i + 1, None)
+    other = (component[rest] != component[i]) & ((side[rest] != side[i]) | (side[i] == 0))
+    other &= 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
+    other = np.flatnonzero(other) + i + 1
+    return other[np.count_nonzero(sig[other] == sig[i], axis=1) >= layout(percent)[1]] if len(other) else other
+
+
+def _linked_across(sig: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between components, confirmed on full sets; a pair that an earlier link has joined is not tested again."""
     component, edges = component.copy(), []
-    size, least = np.array([len(x) for x in sets]), layout(percent)[1]
+    size = np.array([len(x) for x in sets])
     for i in range(len(sig) - 1):
-        other = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-        for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= least] if len(other) else ():
+        for j in _across(sig, component, side, size, percent, i):
             if component[j] != component[i] and similar(sets[i], sets[j], percent):
                 component[component == component[j]] = component[i]
                 edges.append((i, int(j)))
@@ -168,7 +214,7 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def _by_region(members: DataFrame, find) -> DataFrame:
-    """(a, b) with a < b, found in each region of members(region, id, sig, ...): find gets the region's columns and returns pairs of places.
+    """Distinct (a, b) found in each region of members(region, id, sig, ...): find gets the region, the ids, the signatures and the other columns.
 
     Regions are dealt out by their key and read one after another, sorted by signature; one region is in memory at a time.
     """
@@ -188,7 +234,7 @@ def _by_region(members: DataFrame, find) -> DataFrame:
                     part = table.slice(a, b - a)
                     ids = part.column(1).to_pylist()
                     sig = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(b - a, -1)
-                    out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in find(sig, *part.columns[3:]) if ids[i] != ids[j])
+                    out.update(find(int(region[a]), ids, sig, *part.columns[3:]))
             x = np.array(sorted(out), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], schema.names)
 
@@ -207,24 +253,43 @@ def _by_region(members: DataFrame, find) -> DataFrame:
     return dealt.mapInArrow(run, schema).distinct()
 
 
+def _ordered(ids: list[int], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in places if ids[i] != ids[j]]
+
+
 def candidates(members: DataFrame, percent: int) -> DataFrame:
     """The pairs of a spanning forest of each region of members(region, id, sig)."""
     least = layout(percent)[1]
-    return _by_region(members.select("region", "id", "sig"), lambda sig: _forest(sig, least))
+    return _by_region(members.select("region", "id", "sig"), lambda region, ids, sig: _ordered(ids, _forest(sig, least)))
+
+
+def with_candidates(members: DataFrame, percent: int) -> DataFrame:
+    """(region, id) of those members(region, id, sig, component, side, n_shingles) that have a candidate in another component of their region."""
+
+    def find(region: int, ids: list[int], sig: np.ndarray, *columns: pa.ChunkedArray) -> list[tuple[int, int]]:
+        component, side, size = (c.to_numpy() for c in columns)
+        some = np.zeros(len(ids), bool)
+        for i in range(len(ids) - 1):
+            found = _across(sig, component, side, size, percent, i)
+            some[found] = True
+            some[i] |= len(found) > 0
+        return [(region, ids[i]) for i in np.flatnonzero(some)]
+
+    return _by_region(members.select("region", "id", "sig", "component", "side", "n_shingles"), find).toDF("region", "id")
 
 
 def linked_across(members: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between the components of each region of members(region, id, sig, component, text).
+    """Confirmed links between the components of each region of members(region, id, sig, component, side, text).
 
     All candidate pairs of a region are tested where they are; only links leave the task, fewer than the region has members.
     """
 
-    def find(sig: np.ndarray, component: pa.ChunkedArray, text: pa.ChunkedArray) -> list[tuple[int, int]]:
+    def find(region: int, ids: list[int], sig: np.ndarray, component: pa.ChunkedArray, side: pa.ChunkedArray, text: pa.ChunkedArray) -> list[tuple[int, int]]:
         got = [shingle_sets(raw, offs) for _, _, raw, offs in chunks(text)]
         sets = [x[a:b] for x, at in got for a, b in zip(at[:-1], at[1:], strict=True)]
-        return _linked_across(sig, component.to_numpy(), sets, percent)
+        return _ordered(ids, _linked_across(sig, component.to_numpy(), side.to_numpy(), sets, percent))
 
-    return _by_region(members.select("region", "id", "sig", "component", "text"), find)
+    return _by_region(members.select("region", "id", "sig", "component", "side", "text"), find)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -274,6 +339,12 @@ def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(id, text) of ids(id), which are stored; only these texts are shuffled, and repeated rows of one id give one text."""
+    narrow = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(narrow, "id", "left_semi").dropDuplicates(["id"]), name)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: linked at 100 * intersection >= percent * union.
 
@@ -285,27 +356,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     signed = stored(sign(docs), "signed")
     part = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(part.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    placed = regions(classes, percent)
-    sigs = classes.select("id", "sig")
+    placed = regions(classes, docs, percent)
+    sigs = classes.select("id", "sig", "n_shingles")
     first = stored(candidates(placed.join(sigs, "id"), percent), "pairs")
     involved = stored(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
-    narrow = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    # Only the texts of candidates are shuffled; repeated rows of one id give one text.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(narrow, "id", "left_semi").dropDuplicates(["id"])
-    texts = stored(texts, "texts")
-    edges = stored(confirmed(first, texts, percent), "links")
+    edges = stored(confirmed(first, _texts(docs, involved, "texts"), percent), "links")
     found = components(edges)
 
     known = _known(placed, found)
     mixed = known.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("crowd")
     known = stored(known.join(mixed, "crowd"), "mixed")
-    crowded = known.filter("parts > 1")
-    if not crowded.isEmpty():
-        main = crowded.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("crowd").agg(F.max_by("component", "n").alias("main"))
-        rest = crowded.join(main, "crowd").filter("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rest = rest.withColumn("region", F.xxhash64("crowd", F.col("part")))
-        known = known.unionByName(rest.select(*known.columns)).dropDuplicates(["region", "tree", "id"])
-    more = stored(linked_across(known.join(sigs, "id").join(texts, "id"), percent), "more")
+    met = known.filter("parts = 1").select("id", "component", "region", F.lit(0).alias("side"))
+    met = stored(met.unionByName(meetings(known.filter("parts > 1"))), "met")
+    some = stored(with_candidates(met.join(sigs, "id"), percent), "some")
+    texts = _texts(docs, stored(some.select("id").distinct(), "involved"), "texts")
+    more = stored(linked_across(met.join(some, ["region", "id"]).join(sigs, "id").join(texts, "id"), percent), "more")
     if not more.isEmpty():
         found = components(edges.union(more))
     by_class = _known(classes.select("id", "n_shingles", "key1", "key2"), found).select("component", "n_shingles", "key1", "key2")

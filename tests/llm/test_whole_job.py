@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from test_operators import documents, near_copies, prose, shingle_set
+from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
 from steinlake.llm import near_duplicates
@@ -64,3 +64,36 @@ def test_layout_of_the_forest():
         assert (1 - (percent / 100) ** depth) ** 16 <= 1.1e-5
         draws = np.random.default_rng(percent).binomial(128, percent / 100, 100_000)
         assert np.mean(draws < agree) <= 1e-4
+
+
+# Near duplicates: crowded regions.
+
+
+def template_group(n, pairs, rng):
+    """n texts that share most shingles but are not linked, and linked pairs among them."""
+    template = [rng.choice(VOCAB) for _ in range(170)]
+    own = [template + [rng.choice(VOCAB) for _ in range(50)] for _ in range(n)]
+    texts = [" ".join(w) for w in own]
+    return texts + [near_copies(1, t, 2, rng)[0] for t in texts[:pairs]]
+
+
+def test_pairs_in_a_crowded_region(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "REGION", 2)
+    rng = random.Random(7)
+    rows = list(enumerate(template_group(80, 40, rng), 1))
+    expected = linked_groups(rows, 85)
+    assert 30 < len(rows) - len(set(expected.values())) <= 40
+    got = near_duplicates.near_duplicates(documents(spark, rows))
+    assert {r.doc_id: r.component_id for r in got.collect()} == expected
+
+
+def test_meetings_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "REGION", 16)
+    members = {i: 0 if i < 60 else i for i in range(100)} | {i: i for i in range(200, 240)}
+    crowded = spark.createDataFrame([(i, 5 if i < 200 else 6, c) for i, c in members.items()], "id long, crowd long, component long")
+    met = {}
+    for r in near_duplicates.meetings(crowded).collect():
+        met.setdefault(r.region, []).append((r.id, r.side))
+    assert max(len(x) for x in met.values()) <= 3 * 16
+    tested = sorted((min(a, b), max(a, b)) for x in met.values() for k, (a, s) in enumerate(x) for b, t in x[k + 1 :] if (s != t or s == 0) and members[a] != members[b])
+    assert tested == [(a, b) for a in sorted(members) for b in sorted(members) if a < b and (a < 200) == (b < 200) and members[a] != members[b]]
