@@ -10,9 +10,9 @@ Counting and scoring is one relational plan over blocks of documents (a block is
 2. the count tables are partitioned by ranges of the hash; a partition adds up what all blocks send to it;
 3. the counts are joined back to the blocks, where every word of every document finds its n-grams', and are summed per document.
 
-What crosses the network is about four bytes per distinct n-gram of a block and one byte back. A frequent n-gram is one entry
+What crosses the network is about six bytes per distinct n-gram of a block and one byte back. A frequent n-gram is one entry
 per block however often it occurs, so no key is hot. Hashes have BITS bits; two n-grams with equal hashes would be counted
-together, at BITS = 48 one in a million at a hundred million distinct n-grams; more bits cost more bytes.
+together. At 64 bits an n-gram meets one of 6.6e9 others (30 GB, upper bound) with probability 4e-10.
 
 Cases: words are runs without blanks, lower-cased in A-Z; a null or wordless text has no words and score 0; repeated rows are
 counted and scored each; an empty table gives no rows. Only doc_id and text are read.
@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 from .common import fields, prepared, stored
 from .textkernel import LOWER, VISIBLE, U, flat, mix, word_bounds, word_hashes
 
-ORDER, ALPHA, LEAST, BLOCK, BITS = 3, 0.4, 2, 8 << 20, 48
+ORDER, ALPHA, LEAST, BLOCK, BITS = 3, 0.4, 2, 8 << 20, 64
+#: Bytes of the gap between a block's hashes, of which some millions spread over 64 bits.
+GAP = 6
 #: Distinct n-grams of all blocks that one partition of the count tables adds up, about.
 SHARE = 2_000_000
 
@@ -40,7 +42,7 @@ def pack(values: np.ndarray, wide: int) -> bytes:
     """Small numbers as `wide` planes of bytes, highest first (the high ones are alike and compress); larger numbers are listed behind."""
     top = (1 << (8 * wide)) - 1
     large = np.flatnonzero(values >= top)
-    planes = np.minimum(values, top).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - wide :].T
+    planes = np.minimum(values, top).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :].T
     return np.array([len(values), len(large)], "<u8").tobytes() + planes.tobytes() + large.astype("<u4").tobytes() + values[large].astype("<u8").tobytes()
 
 
@@ -67,7 +69,7 @@ def opened(raw: bytes) -> bytes:
 
 
 def grams(texts: pd.Series, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each n, the hash of the n words that end at each word (0 where the text has fewer); each word's place; first words."""
+    """For each n, the hash of the n words that end at each word (no key where place < n - 1: the text has fewer); each word's place; first words."""
     raw, offs = flat(pa.array(texts, pa.large_string(), from_pandas=True))
     low = LOWER[raw]
     starts, ends, first = word_bounds(low, offs, VISIBLE)
@@ -78,15 +80,12 @@ def grams(texts: pd.Series, order: int, bits: int) -> tuple[list[np.ndarray], np
         back = np.zeros(len(words), U)
         back[n:] = words[: len(words) - n]
         h = mix(h * U(3) + back + U(n + 1))
-        out = (h >> U(64 - bits)) | U(1)
-        found.append(np.where(place >= n, out, U(0)))
+        found.append(h >> U(64 - bits))
     return found, place, first
 
 
-def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(np.concatenate(found), return_counts=True)
-    some = keys > 0
-    return keys[some], counts[some]
+def distinct(found: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([f[place >= n] for n, f in enumerate(found)]), return_counts=True)
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> DataFrame:
@@ -98,17 +97,17 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
     texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        found, _, _ = grams(frame["text"], order, bits)
-        keys, counts = distinct(found)
+        found, place, _ = grams(frame["text"], order, bits)
+        keys, counts = distinct(found, place)
         part = (keys.astype(float) * (parts / 2.0**bits)).astype(int) if bits <= 52 else (keys >> U(bits - 52)).astype(float) * (parts / 2.0**52) // 1
         cut = np.searchsorted(part, np.arange(parts + 1))
-        data = [squeezed(pack(np.diff(keys[a:b], prepend=U(0)), 4) + pack(counts[a:b].astype(U), 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        data = [squeezed(pack(np.diff(keys[a:b], prepend=U(0)), GAP) + pack(counts[a:b].astype(U), 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pd.DataFrame({"block": frame["block"].iloc[0], "part": np.arange(parts, dtype=np.int32), "data": data})
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = [], []
         for raw in map(opened, frame["data"]):
-            deltas, at = unpack(raw, 4)
+            deltas, at = unpack(raw, GAP)
             keys.append(np.cumsum(deltas, dtype=np.uint64))
             counts.append(unpack(raw, 1, at)[0].astype(np.int64))
         _, of = np.unique(np.concatenate(keys), return_inverse=True)
@@ -123,11 +122,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
 
     def score(frame: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         found, place, first = grams(frame["text"], order, bits)
-        keys, _ = distinct(found)
+        keys, _ = distinct(found, place)
         totals = np.concatenate([unpack(opened(x), 1)[0] for x in counted.sort_values("part")["data"]]).astype(float)
         if len(totals) != len(keys):
             raise ValueError("a block's text changed between counting and scoring")
-        counts = [np.where(f > 0, totals[np.searchsorted(keys, f)] if len(keys) else 0.0, 0.0) for f in found]
+        counts = [np.zeros(len(place)) for _ in found]
+        for n, f in enumerate(found):
+            counts[n][place >= n] = totals[np.searchsorted(keys, f[place >= n])]
         logs = np.log(np.maximum(counts[0], 1))
         alone = np.ones(len(place), bool)
         for n in range(1, order):

@@ -3,11 +3,11 @@
 import random
 
 import numpy as np
-import pytest
+import pandas as pd
 from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
-from steinlake.llm import near_duplicates
+from steinlake.llm import language_model, near_duplicates
 
 
 def linked_groups(rows, percent):
@@ -97,3 +97,15 @@ def test_meetings_are_bounded(spark, monkeypatch):
     assert max(len(x) for x in met.values()) <= 3 * 16
     tested = sorted((min(a, b), max(a, b)) for x in met.values() for k, (a, s) in enumerate(x) for b, t in x[k + 1 :] if (s != t or s == 0) and members[a] != members[b])
     assert tested == [(a, b) for a in sorted(members) for b in sorted(members) if a < b and (a < 200) == (b < 200) and members[a] != members[b]]
+
+
+# Backoff scores: n-grams are told apart by all 64 bits.
+
+
+def test_ngrams_that_differ_in_low_bits(monkeypatch):
+    monkeypatch.setattr(language_model, "mix", lambda x: x)
+    monkeypatch.setattr(language_model, "word_hashes", lambda low, starts, ends: np.arange(1, len(starts) + 1, dtype=np.uint64))
+    found, _, first = language_model.grams(pd.Series(["a b c d"]), 1, language_model.BITS)
+    assert first[-1] == 4 and len(np.unique(found[0])) == 4
+    values = np.array([0, 1, 2**48 - 2, 2**48 - 1, 2**63], np.uint64)
+    assert language_model.unpack(language_model.pack(values, 6), 6)[0].tolist() == values.tolist()
