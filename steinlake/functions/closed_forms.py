@@ -26,12 +26,12 @@ def two_conditions(p: Column, q: Column, delta: Column, w: Column) -> Column:
     return 2 * delta * delta * (1 - w) * tail(p, q, w)
 
 
-def acmmd(p: Column, delta: Column, lam: float) -> Column:
+def discrepancy(p: Column, delta: Column, lam: float) -> Column:
     """One condition, in the published form: 2 d^2 (1-w) (1-2p)^2 / (1 - 2p^2(1+w)) * (4 p w / (1 - 2 p w) + 1)."""
     w = F.exp(F.lit(-lam))
     return 2 * delta * delta * (1 - w) * F.pow(1 - 2 * p, 2) / (1 - 2 * p * p * (1 + w)) * (4 * p * w / (1 - 2 * p * w) + 1)
 
 
-def acmmd_pair(p: Column, q: Column, delta: Column, lam: float) -> Column:
+def discrepancy_pair(p: Column, q: Column, delta: Column, lam: float) -> Column:
     """Two conditions with parameters p and q."""
     return two_conditions(p, q, delta, F.exp(F.lit(-lam)))

@@ -380,21 +380,21 @@ def pssm_mix_filter(spark, sf_dir):
 # Closed forms over parameters taken from the tables.
 
 
-@query("SELECT s_suppkey, round(2 * d * d * (1 - w) * power(1 - 2 * p, 2) / (1 - 2 * p * p * (1 + w)) * (4 * p * w / (1 - 2 * p * w) + 1), 9) AS acmmd FROM (SELECT s_suppkey, 0.3 + (s_suppkey % 5) * 0.0375 AS p, 0.05 + (s_nationkey % 4) * 0.05 AS d, exp(-1.0) AS w FROM supplier)")
-def acmmd_closed_form(spark, sf_dir):
+@query("SELECT s_suppkey, round(2 * d * d * (1 - w) * power(1 - 2 * p, 2) / (1 - 2 * p * p * (1 + w)) * (4 * p * w / (1 - 2 * p * w) + 1), 9) AS discrepancy FROM (SELECT s_suppkey, 0.3 + (s_suppkey % 5) * 0.0375 AS p, 0.05 + (s_nationkey % 4) * 0.05 AS d, exp(-1.0) AS w FROM supplier)")
+def conditional_discrepancy_closed_form(spark, sf_dir):
     p, d = 0.3 + (F.col("s_suppkey") % 5) * 0.0375, 0.05 + (F.col("s_nationkey") % 4) * 0.05
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(C.acmmd(p, d, 1.0), 9).alias("acmmd"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(C.discrepancy(p, d, 1.0), 9).alias("discrepancy"))
 
 
 @query("""WITH g AS (SELECT s_nationkey AS k, 0.25 + s_nationkey * 0.008 AS p, count(*) AS n FROM supplier GROUP BY 1, 2), w AS (SELECT exp(-1.0) AS w)
-SELECT round(sum(a.n * b.n * exp(-power(a.p - b.p, 2) / 2) * 0.18 * (1 - w) * ((1 - 2 * a.p) * (1 - 2 * b.p) + w * (2 * a.p * (1 - 2 * a.p) / (1 - 2 * a.p * w) * (1 - 2 * b.p) + 2 * b.p * (1 - 2 * b.p) / (1 - 2 * b.p * w) * (1 - 2 * a.p))) / (1 - 2 * a.p * b.p * (1 + w))) / sum(a.n * b.n), 9) AS acmmd FROM g a, g b, w""")
-def acmmd_composite(spark, sf_dir):
+SELECT round(sum(a.n * b.n * exp(-power(a.p - b.p, 2) / 2) * 0.18 * (1 - w) * ((1 - 2 * a.p) * (1 - 2 * b.p) + w * (2 * a.p * (1 - 2 * a.p) / (1 - 2 * a.p * w) * (1 - 2 * b.p) + 2 * b.p * (1 - 2 * b.p) / (1 - 2 * b.p * w) * (1 - 2 * a.p))) / (1 - 2 * a.p * b.p * (1 + w))) / sum(a.n * b.n), 9) AS discrepancy FROM g a, g b, w""")
+def conditional_discrepancy_composite(spark, sf_dir):
     """Over all pairs of conditions, summed over the few distinct ones with their counts."""
     g = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", 0.25 + F.col("k") * 0.008)
     both = g.select(F.col("n").alias("n1"), F.col("p").alias("p1")).crossJoin(g.select(F.col("n").alias("n2"), F.col("p").alias("p2")))
     w = F.col("n1") * F.col("n2")
     kx = F.exp(-F.pow(F.col("p1") - F.col("p2"), 2) / 2)
-    return both.agg(F.round(F.sum(w * kx * C.acmmd_pair(F.col("p1"), F.col("p2"), F.lit(0.3), 1.0)) / F.sum(w), 9).alias("acmmd"))
+    return both.agg(F.round(F.sum(w * kx * C.discrepancy_pair(F.col("p1"), F.col("p2"), F.lit(0.3), 1.0)) / F.sum(w), 9).alias("discrepancy"))
 
 
 # A linear-time test over a large table.

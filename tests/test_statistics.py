@@ -141,7 +141,7 @@ def test_closed_form_of_the_sequence_model(spark):
         top = lambda d: sorted(d.items(), key=lambda x: -abs(x[1]))[:400]
         return sum(u * v * k(s, z) for s, u in top(a) for z, v in top(b))
 
-    row = spark.range(1).select(closed_forms.acmmd(F.lit(p), F.lit(delta), lam), closed_forms.acmmd_pair(F.lit(p), F.lit(q), F.lit(delta), lam), closed_forms.acmmd_pair(F.lit(p), F.lit(p), F.lit(delta), lam)).first()
+    row = spark.range(1).select(closed_forms.discrepancy(F.lit(p), F.lit(delta), lam), closed_forms.discrepancy_pair(F.lit(p), F.lit(q), F.lit(delta), lam), closed_forms.discrepancy_pair(F.lit(p), F.lit(p), F.lit(delta), lam)).first()
     assert row[0] == pytest.approx(row[2])
     assert row[0] == pytest.approx(exact(p, p), rel=0.02)
     assert row[1] == pytest.approx(exact(p, q), rel=0.02)

@@ -33,11 +33,11 @@ def test_pdb_reader(spark, tmp_path):
 
 def test_fasta(spark, tmp_path):
     path = tmp_path / "a.fa"
-    path.write_text(">5X, score=1.5874, designed_chains=['A', 'B'], seed=37\nACD\nEF-\n>T=0.1, sample=1, seq_recovery=0.5094\nGH\n")
+    path.write_text(">toy, score=2.25, designed_chains=['A', 'B'], seed=4\nACD\nEF-\n>T=0.3, sample=1, seq_recovery=0.75\nGH\n")
     rows = files.read_fasta(spark, str(path), omit="-").orderBy("number")
     assert [(r.number, r.sequence) for r in rows.collect()] == [(0, "ACDEF"), (1, "GH")]
     f = rows.select(files.header_field(F.col("header"), "score"), files.header_field(F.col("header"), "designed_chains"), files.header_field(F.col("header"), "seq_recovery")).collect()
-    assert [tuple(r) for r in f] == [("1.5874", "['A', 'B']", None), (None, None, "0.5094")]
+    assert [tuple(r) for r in f] == [("2.25", "['A', 'B']", None), (None, None, "0.75")]
     assert files.read_fasta(spark, str(path), limit=1).count() == 1
     out = str(tmp_path / "out")
     writers.write_fasta(rows, out)
@@ -52,8 +52,8 @@ def test_tables_from_text(spark, tmp_path):
     assert {r.name: r.value for r in d.collect()} == {"x": {"A": [1, 2]}, "y": {"B": []}}
     (tmp_path / "p.txt").write_text("head\nhead\n  1 0.5 1.5\n  2 2.5 3.5\n")
     assert [(r.pos, r["values"]) for r in files.read_profile(spark, str(tmp_path / "p.txt"), letters=2).collect()] == [(1, [0.5, 1.5]), (2, [2.5, 3.5])]
-    (tmp_path / "log.txt").write_text("Epoch\tTrain\nepoch: 1, step: 74, time: 45.7, train: 23.565, valid: 17.468, train_acc: 0.072, valid_acc: 0.113\n")
-    assert tuple(files.read_training_log(spark, str(tmp_path / "log.txt")).first()) == (1, 74, 45.7, 23.565, 17.468, 0.072, 0.113)
+    (tmp_path / "log.txt").write_text("Epoch\tTrain\nepoch: 3, step: 12, time: 8.5, train: 4.25, valid: 5.5, train_acc: 0.5, valid_acc: 0.25\n")
+    assert tuple(files.read_training_log(spark, str(tmp_path / "log.txt")).first()) == (3, 12, 8.5, 4.25, 5.5, 0.5, 0.25)
     (tmp_path / "s.jsonl").write_text('{"name": "a", "seq": "ACX-", "num_of_chains": 1}\n{"name": "b", "seq": "ABZ", "num_of_chains": 1}\n')
     assert [r.name for r in structures.read_structure_lines(spark, str(tmp_path / "s.jsonl")).collect()] == ["a"]
 
