@@ -4,15 +4,22 @@ The score of a word is c(history word) / c(history) for the longest history of a
 count tables, times ALPHA for every word of history given up; a single word scores c(word) / N. Tables of two and more words
 hold n-grams seen at least LEAST times. A document's score is the sum of the logarithms over its words.
 
-Counting and scoring is one relational plan over blocks of documents (a block is a hash of the row, about BLOCK bytes of text):
+Counting and scoring is one relational plan. A block is BLOCK bytes of consecutive rows of one scan task, so equal rows, however
+many, are spread over blocks like any others.
 
-1. each block is exploded to its n-grams and pre-aggregated: the distinct ones with their counts, as sorted hashes;
-2. the count tables are partitioned by ranges of the hash; a partition adds up what all blocks send to it;
-3. the counts are joined back to the blocks, where every word of every document finds its n-grams', and are summed per document.
+1. Each block is exploded to its n-grams, which are pre-aggregated. An exchanged row is one hash range of one block: the hashes
+   of its distinct n-grams, sorted, with their counts.
+2. The count tables are partitioned by hash range. A range adds up what all blocks send to it.
+3. The counts are joined back on (block, range) to the n-grams of the block's words, and summed per document.
 
-What crosses the network is about six bytes per distinct n-gram of a block and one byte back. A frequent n-gram is one entry
-per block however often it occurs, so no key is hot. Hashes have BITS bits; two n-grams with equal hashes would be counted
-together. At 64 bits an n-gram meets one of 6.6e9 others (30 GB, upper bound) with probability 4e-10.
+A block makes at most RANGES rows, so rows grow with the text and not with its square. From SHARE n-grams to a range on, ranges are cut
+finer; a row holds one n-gram at least, so rows never exceed the blocks' distinct n-grams. About six bytes cross the network
+for a distinct n-gram of a block, and one byte back; a frequent n-gram is one entry per block however often it occurs there.
+Hashes have BITS bits; two n-grams with equal hashes would be counted together. At 64 bits an n-gram meets one of 6.6e9 others
+(30 GB, upper bound) with probability 4e-10.
+
+Both scans must give a task the same rows, as two scans of the same files do; scoring checks that, and a frame that is not a plain
+scan should be stored first.
 
 Cases: words are runs without blanks, lower-cased in A-Z; a null or wordless text has no words and score 0; repeated rows are
 counted and scored each; an empty table gives no rows. Only doc_id and text are read.
@@ -20,22 +27,25 @@ counted and scored each; an empty table gives no rows. Only doc_id and text are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fields, prepared, stored
-from .textkernel import LOWER, VISIBLE, U, flat, mix, word_bounds, word_hashes
+from .textkernel import LOWER, VISIBLE, U, chunks, mix, word_bounds, word_hashes
 
-ORDER, ALPHA, LEAST, BLOCK, BITS = 3, 0.4, 2, 8 << 20, 64
+ORDER, ALPHA, LEAST, BLOCK, BITS = 3, 0.4, 2, 12 << 20, 64
 #: Bytes of the gap between a block's hashes, of which some millions spread over 64 bits.
 GAP = 6
-#: Distinct n-grams of all blocks that one partition of the count tables adds up, about.
-SHARE = 2_000_000
+#: Hash ranges of a block, and n-grams of all blocks that one range adds up at most, about; more make finer ranges.
+RANGES, SHARE = 4096, 4_000_000
 
 
 def pack(values: np.ndarray, wide: int) -> bytes:
@@ -68,9 +78,31 @@ def opened(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def grams(texts: pd.Series, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """(number, ids, bytes, bounds) of runs of about that many bytes of a task's rows (doc_id, text)."""
+    task, number = TaskContext.get().partitionId() << 32, 0
+    ids, raws, lengths, held = [], [], [], 0
+
+    def block() -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
+        offs = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        return task + number, pa.concat_arrays(ids), np.concatenate(raws), offs
+
+    for batch in batches:
+        for a, b, raw, offs in chunks(batch.column(1), size):
+            if held and held + len(raw) > size:
+                yield block()
+                number += 1
+                ids, raws, lengths, held = [], [], [], 0
+            ids.append(batch.column(0).slice(a, b - a))
+            raws.append(raw)
+            lengths.append(np.diff(offs))
+            held += len(raw)
+    if ids:
+        yield block()
+
+
+def grams(raw: np.ndarray, offs: np.ndarray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each n, the hash of the n words that end at each word (no key where place < n - 1: the text has fewer); each word's place; first words."""
-    raw, offs = flat(pa.array(texts, pa.large_string(), from_pandas=True))
     low = LOWER[raw]
     starts, ends, first = word_bounds(low, offs, VISIBLE)
     words = word_hashes(low, starts, ends)
@@ -88,44 +120,74 @@ def distinct(found: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np
     return np.unique(np.concatenate([f[place >= n] for n, f in enumerate(found)]), return_counts=True)
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> DataFrame:
-    """(doc_id, n_words, n_seen, log_score): words, words whose n-gram of full order was in the tables, and the sum of logarithms."""
-    prepared(docs.sparkSession)
-    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block))
-    parts = max(1, int(size / 6 * 0.6 * order) // SHARE)
-    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        found, place, _ = grams(frame["text"], order, bits)
-        keys, counts = distinct(found, place)
-        part = (keys.astype(float) * (parts / 2.0**bits)).astype(int) if bits <= 52 else (keys >> U(bits - 52)).astype(float) * (parts / 2.0**52) // 1
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        data = [squeezed(pack(np.diff(keys[a:b], prepend=U(0)), GAP) + pack(counts[a:b].astype(U), 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pd.DataFrame({"block": frame["block"].iloc[0], "part": np.arange(parts, dtype=np.int32), "data": data})
+def _range_bits(entries: int) -> int:
+    """Bits of a hash that name its range, for that many n-grams in all blocks."""
+    return max(RANGES.bit_length() - 1, (max(1, entries // SHARE) - 1).bit_length())
+
+
+def gram_rows(docs: DataFrame, order: int, block: int, bits: int, ranges: int) -> DataFrame:
+    """(block, range, data): the distinct n-grams of each block with their counts, a row for each hash range (of 1 << ranges) that has any."""
+    schema = fields("block long, range int, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, raw, offs in blocks(batches, block):
+            found, place, _ = grams(raw, offs, order, bits)
+            keys, counts = distinct(found, place)
+            of = keys >> U(bits - ranges)
+            names, cut = np.unique(of, return_index=True)
+            cut = [*cut.tolist(), len(keys)]
+            data = [squeezed(pack(np.diff(keys[a:b], prepend=U(0)), GAP) + pack(counts[a:b].astype(U), 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), number)), pa.array(names.astype(np.int32)), pa.array(data, pa.binary())], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def count_tables(rows: DataFrame) -> DataFrame:
+    """(block, range, data) of gram_rows with the counts of the whole corpus in the place of the block's own, in the same order."""
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = [], []
         for raw in map(opened, frame["data"]):
-            deltas, at = unpack(raw, GAP)
-            keys.append(np.cumsum(deltas, dtype=np.uint64))
+            gaps, at = unpack(raw, GAP)
+            keys.append(np.cumsum(gaps, dtype=np.uint64))
             counts.append(unpack(raw, 1, at)[0].astype(np.int64))
         _, of = np.unique(np.concatenate(keys), return_inverse=True)
         # Counts are exact in doubles up to 2**53.
         total = np.bincount(of, np.concatenate(counts).astype(float), minlength=1)
         ends = np.cumsum([len(k) for k in keys])
         data = [squeezed(pack(total[of[e - len(k) : e]].astype(U), 1)) for k, e in zip(keys, ends, strict=True)]
-        return pd.DataFrame({"block": frame["block"], "part": frame["part"], "data": data})
+        return pd.DataFrame({"block": frame["block"], "range": frame["range"], "data": data})
+
+    return rows.groupBy("range").applyInPandas(add_up, rows.schema)
+
+
+def _texts(docs: DataFrame, block: int) -> DataFrame:
+    """(block, ids, sizes, data): the texts of each block as compressed bytes, one row a block."""
+    schema = T.StructType([*fields("block long"), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType())), *fields("data binary")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, raw, offs in blocks(batches, block):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, pa.array(np.diff(offs), pa.int32()))]
+            packed = zstandard.ZstdCompressor(level=3).compress(raw.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([packed], pa.binary())], schema.names)
 
-    piece = fields("block int, part int, data binary")
-    tables = texts.groupBy("block").applyInPandas(count, piece).groupBy("part").applyInPandas(add_up, piece)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> DataFrame:
+    """(doc_id, n_words, n_seen, log_score): words, words whose n-gram of full order was in the tables, and the sum of logarithms."""
+    prepared(docs.sparkSession)
+    size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+    tables = count_tables(gram_rows(docs, order, block, bits, min(bits, _range_bits(int(size) * order // 10))))
 
     def score(frame: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        found, place, first = grams(frame["text"], order, bits)
+        text = frame.iloc[0]
+        raw = np.frombuffer(opened(text["data"]), np.uint8)
+        found, place, first = grams(raw, np.concatenate([[0], np.cumsum(text["sizes"], dtype=np.int64)]), order, bits)
         keys, _ = distinct(found, place)
-        totals = np.concatenate([unpack(opened(x), 1)[0] for x in counted.sort_values("part")["data"]]).astype(float)
+        totals = np.concatenate([np.zeros(0, U), *(unpack(opened(x), 1)[0] for x in counted.sort_values("range")["data"])]).astype(float)
         if len(totals) != len(keys):
-            raise ValueError("a block's text changed between counting and scoring")
+            raise ValueError("the rows of a block changed between counting and scoring; store the documents first")
         counts = [np.zeros(len(place)) for _ in found]
         for n, f in enumerate(found):
             counts[n][place >= n] = totals[np.searchsorted(keys, f[place >= n])]
@@ -138,11 +200,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
             logs = np.where(seen, np.log(np.maximum(counts[n], 1)) - np.log(np.maximum(history, 1)), logs + penalty)
             alone &= ~seen
         full = (place >= order - 1) & (counts[order - 1] >= least)
-        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (logs, alone, full)]
-        log, single, seen = (s[first[1:]] - s[first[:-1]] for s in sums)
-        return pd.DataFrame({"doc_id": frame["doc_id"], "n_words": np.diff(first), "n_seen": seen.astype(np.int64), "n_alone": single.astype(np.int64), "log_score": log})
+        some = np.diff(first) > 0
+        log, single, seen = (np.add.reduceat(np.append(x, 0.0), first[:-1]) * some for x in (logs, alone, full))
+        return pd.DataFrame({"doc_id": pd.Series(list(text["ids"]), dtype=object), "n_words": np.diff(first), "n_seen": seen.astype(np.int64), "n_alone": single.astype(np.int64), "log_score": log})
 
     schema = T.StructType([docs.schema["doc_id"], *fields("n_words long, n_seen long, n_alone long, log_score double")])
-    scored = stored(texts.groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema), "scores")
+    scored = stored(_texts(docs, block).groupBy("block").cogroup(tables.groupBy("block")).applyInPandas(score, schema), "scores")
     words = scored.agg(F.sum("n_words")).first()[0] or 1
     return scored.select("doc_id", "n_words", "n_seen", (F.col("log_score") - F.col("n_alone") * F.lit(float(np.log(max(words, 1))))).alias("log_score"))

@@ -56,7 +56,8 @@ def op8_stupid_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import backoff_scores
 
     scored = backoff_scores(table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", "n_seen", F.round("log_score", 3).alias("log_score"))
+    share = F.when(F.col("n_words") > 0, F.col("n_seen") / F.col("n_words")).otherwise(0.0)
+    return scored.select("doc_id", "n_words", "n_seen", F.round("log_score", 3).alias("log_score"), share.alias("seen_share"))
 
 
 def op9_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,8 @@ s AS (SELECT doc_id, CASE WHEN c3.n >= 2 THEN 1 ELSE 0 END AS seen, CASE WHEN c3
   ELSE ln(c1.n) - ln((SELECT count(*) FROM t)) + CASE WHEN g2 IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN g3 IS NULL THEN 0 ELSE ln(0.4) END END AS v
   FROM t JOIN c1 ON c1.g = g1 LEFT JOIN c2 ON c2.g = g2 LEFT JOIN c3 ON c3.g = g3 LEFT JOIN c1 k1 ON k1.g = h1 LEFT JOIN c2 k2 ON k2.g = h2),
 r AS (SELECT doc_id, count(*) AS n_words, sum(seen) AS n_seen, sum(v) AS v FROM s GROUP BY 1)
-SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, round(coalesce(v, 0.0), 3) AS log_score FROM d LEFT JOIN r USING (doc_id)""",
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, round(coalesce(v, 0.0), 3) AS log_score,
+  coalesce(CAST(n_seen AS DOUBLE) / n_words, 0.0) AS seen_share FROM d LEFT JOIN r USING (doc_id)""",
     "op9_voronoi_knn_join": """
 WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -409,9 +409,10 @@ def brute_backoff(rows):
     return out
 
 
-@pytest.mark.parametrize("block, share", [(8 << 20, 4_000_000), (500, 200)])
-def test_backoff_scores(spark, monkeypatch, block, share):
+@pytest.mark.parametrize("block, share, ranges", [(8 << 20, 4_000_000, 4096), (500, 200, 4)])
+def test_backoff_scores(spark, monkeypatch, block, share, ranges):
     monkeypatch.setattr(language_model, "SHARE", share)
+    monkeypatch.setattr(language_model, "RANGES", ranges)
     rng = random.Random(9)
     small = VOCAB[:12]
     rows = [(k, " ".join(rng.choice(small) for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(70, None), (71, ""), (72, " \n"), (73, "the " * 700), (None, "a B"), (5, "a b")]

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
@@ -105,7 +104,20 @@ def test_meetings_are_bounded(spark, monkeypatch):
 def test_ngrams_that_differ_in_low_bits(monkeypatch):
     monkeypatch.setattr(language_model, "mix", lambda x: x)
     monkeypatch.setattr(language_model, "word_hashes", lambda low, starts, ends: np.arange(1, len(starts) + 1, dtype=np.uint64))
-    found, _, first = language_model.grams(pd.Series(["a b c d"]), 1, language_model.BITS)
+    found, _, first = language_model.grams(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]), 1, language_model.BITS)
     assert first[-1] == 4 and len(np.unique(found[0])) == 4
     values = np.array([0, 1, 2**48 - 2, 2**48 - 1, 2**63], np.uint64)
     assert language_model.unpack(language_model.pack(values, 6), 6)[0].tolist() == values.tolist()
+
+
+def test_exchanged_rows_grow_with_the_text(spark):
+    """Five times the rows make at most about five times the exchanged rows; equal rows are spread over blocks."""
+    rng = random.Random(12)
+    rows = [(k, prose(60, rng)) for k in range(2000)]
+    made = [language_model.gram_rows(documents(spark, rows[:n]).coalesce(1), 3, 20_000, 64, 8).count() for n in (400, 2000)]
+    assert made[1] <= 5.2 * made[0]
+    equal = documents(spark, [(7, "one and the same text")] * 2000).coalesce(1)
+    sizes = [r.n for r in language_model._texts(equal, 5_000).selectExpr("size(ids) n").collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 5_000 // 21 and len(sizes) > 8
+    got = language_model.backoff_scores(equal, block=5_000).distinct().collect()
+    assert len(got) == 1 and (got[0].n_words, got[0].n_seen) == (5, 3)
