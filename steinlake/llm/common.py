@@ -56,6 +56,21 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def join_spread(rows: DataFrame, few: DataFrame, keys: list[str], value: str, n: str, by: F.Column, hot: int = 10_000) -> DataFrame:
+    """rows, and few's value for their keys, or null. few has one row for each key and in column n how many rows have it.
+
+    Keys of more than `hot` rows, and of more than a hundred-thousandth of all, are answered by broadcast: at most 100,000 keys.
+    Their rows are then dealt out by `by`, so that no key gathers more rows than those.
+    """
+    limit = max(hot, int(few.agg(F.sum(n)).first()[0] or 0) // 100_000)
+    often = few.filter(F.col(n) > limit).select(*keys, F.struct(F.col(value).alias("v")).alias("_often"))
+    rest = few.filter(F.col(n) <= limit).select(*keys, F.col(value).alias("_rest"), F.lit(0).alias("_salt"))
+    known = rows.join(F.broadcast(often), keys, "left")
+    known = known.withColumn("_salt", F.when(F.col("_often").isNotNull(), F.pmod(by, F.lit(9973)) + 1).otherwise(0).cast("int"))
+    joined = known.join(rest, [*keys, "_salt"], "left").withColumn(value, F.when(F.col("_often").isNotNull(), F.col("_often.v")).otherwise(F.col("_rest")))
+    return joined.drop("_often", "_rest", "_salt")
+
+
 _KINDS = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 

@@ -117,7 +117,10 @@ def grams(raw: np.ndarray, offs: np.ndarray, order: int, bits: int) -> tuple[lis
 
 
 def distinct(found: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([f[place >= n] for n, f in enumerate(found)]), return_counts=True)
+    """The distinct hashes of all orders, sorted, with their counts; one order at a time, which needs less memory."""
+    parts = [np.unique(f[place >= n], return_counts=True) for n, f in enumerate(found)]
+    keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(of, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
 def _range_bits(entries: int) -> int:

@@ -6,8 +6,11 @@ the work below is on one representative per class.
 Candidates. A signature has TREES orders of DEPTH MinHash values. In each order, representatives are sorted by their values,
 and those with a common prefix of the first depth (layout) form a region. The members of a region of more than REGION are
 placed anew, by exact keys: with a set's shingles in the order of how many crowded members have them, rarest first, two sets
-at the threshold share one of their first n - ceil(percent * n / 100) + 1. What many share, as a template, comes last there
-and puts nobody together. Keys of more than REGION members are dealt into parts of that size, differently for each key.
+of sizes m and n at the threshold have some number t of shingles in common, and so one of their first m - t + 1 and n - t + 1.
+Sets are put into classes of nearly equal sizes, and a key is such a shingle together with the two classes that meet by it.
+What many share, as a template, comes last there and puts nobody together: in a family whose members share a template and are
+not linked, the shingles of one member alone fill those first places. Keys of more than REGION members are dealt into parts
+of that size, differently for each key.
 Members whose signatures agree in enough places (layout) are candidates.
 
 Two rounds: first a spanning forest of each region's candidates, best agreement first, is confirmed; then, with the components
@@ -20,12 +23,17 @@ size and its rest.
 At 0.85 the first depth is 4: all 16 orders miss such a pair with probability 7e-6, and it agrees in under 90 of 128 places
 with probability 7e-6. At 0.80 the depth is 3 (1e-5) and the agreement 82 (9e-6).
 
-Components. Every node takes the least id among itself and its neighbours, and edges are rewritten to those ids until none is
-left; no task holds more than the pre-aggregated minimum of a node.
+Components. Every node points to the least of itself and its neighbours, pointers are doubled until they end at roots, and
+edges are rewritten to the roots until none is left. From the fourth round on, every second round compares nodes by a hash that
+changes with the round, so that at least half of them, on average, are no roots. No task holds more than the pre-aggregated minimum of a node.
+
+Classes of equal sets are told by the set's size and two independent 64-bit sums of hashes over the whole set: sets that
+differ agree in all three with probability about 2**-128, so such a class is a link on full sets.
 
 Cases: texts that are null or have no word have an empty set and are linked with nothing; a row without a doc_id is linked
-with nothing and kept; rows with one doc_id and one text are one document each and are kept or dropped together; doc_id must
-otherwise identify a text. Only doc_id and text are read.
+with nothing and kept; rows with one doc_id and one text are one document each and are kept or dropped together; where one
+doc_id has several texts, its links are confirmed on the first of them in their order, and its rows share one component for each
+set of equal texts. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -39,10 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fields, prepared, stored
+from .common import arrow_map, fields, join_spread, prepared, stored
 from .textkernel import LOWER, VISIBLE, U, chunks, mix, shingle_hashes, unique_in_groups, word_bounds, word_hashes
 
 SHINGLE, TREES, DEPTH, REGION = 5, 16, 8, 512
+#: Size classes from one size to the largest that it can be linked with.
+CLASSES = 4
 #: The chance of a pair at the threshold to share the first depth in no order, or to agree in too few places, is at most this.
 LOSS = 1.1e-5
 #: Ids up to this many (8 bytes each) are broadcast to filter the texts; more are joined by a shuffle.
@@ -109,12 +119,39 @@ def _prefix(depth: int) -> F.Column:
 
 
 def _placed(rows: DataFrame, name: str) -> DataFrame:
-    """(id, key, n): rows(id, key) whose key n > 1 members share."""
-    return stored(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key").select("id", "key", "n"), name)
+    """(id, key, half, n): rows(id, key, half) whose key n > 1 members share, of both halves where it has halves."""
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("half").alias("_low"), F.max("half").alias("_high")).filter("n > 1 and (_low = 0 or _low < _high)")
+    return stored(rows.join(shared, "key").select("id", "key", "half", "n"), name)
+
+
+@cache
+def size_classes(percent: int) -> np.ndarray:
+    """The least size of each class."""
+    out, ratio = [1], (100 / percent) ** (1 / CLASSES)
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+    return np.array(out, np.int64)
+
+
+def meeting_classes(size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lesser class, larger class, half): with which classes a set of that size meets by its shingle of that place (from 1).
+
+    half tells which of two classes is the set's own, the lesser (1) or the larger (2); 0 where both are one.
+    """
+    least = size_classes(percent)
+    own = np.searchsorted(least, size, "right") - 1
+    low, high = (np.searchsorted(least, x, "right") - 1 for x in (-(-percent * size // 100), size * 100 // percent))
+    found = []
+    for other in range(int((low - own).min(initial=0)), int((high - own).max(initial=0)) + 1):
+        to = own + other
+        common = -(-percent * (size + least[np.clip(to, 0, len(least) - 1)]) // (100 + percent))
+        row = np.flatnonzero((to >= low) & (to <= high) & (place <= size - common + 1))
+        found.append((row, np.minimum(own, to)[row], np.maximum(own, to)[row], np.full(len(row), 0 if not other else 1 if other > 0 else 2, np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def rare_keys(texts: DataFrame, percent: int) -> DataFrame:
-    """(id, key) of texts(id, text): the shingles of which two sets at the threshold share one, rarest first; those of one text only are left out."""
+    """(id, key, half) of texts(id, text): the shingles of which two sets at the threshold share one, rarest first; those of one text only are left out."""
     schema = fields("id long, size long, shingle long")
 
     def make():
@@ -127,41 +164,54 @@ def rare_keys(texts: DataFrame, percent: int) -> DataFrame:
 
         return each
 
+    def meet():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids, size, shingle, place = (c.to_numpy() for c in batch.columns)
+            row, low, high, half = meeting_classes(size, place.astype(np.int64), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(shingle[row]), pa.array(low), pa.array(high), pa.array(half)], ["id", "shingle", "low", "high", "half"])
+
+        return each
+
     rows = stored(arrow_map(texts.select("id", "text"), make, schema), "shingles")
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle"))
     first = rows.join(held, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1)
-    return first.filter("held > 1").select("id", F.xxhash64(F.lit("rare"), "shingle").alias("key"))
+    met = arrow_map(first.filter("held > 1").select("id", "size", "shingle", "place"), meet, fields("id long, shingle long, low long, high long, half int"))
+    return met.select("id", F.xxhash64("shingle", "low", "high").alias("key"), "half")
 
 
 def regions(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(id, region, crowd, parts): the members of each region of at least two. parts > 1: one of the parts of region crowd."""
+    """(id, region, crowd, parts, half): the members of each region of at least two. parts > 1: one of the parts of region crowd."""
     trees = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    live = _placed(trees.select("id", _prefix(layout(percent)[0]).alias("key")), "live")
+    live = _placed(trees.select("id", _prefix(layout(percent)[0]).alias("key"), F.lit(0).alias("half")), "live")
     out = live.filter(F.col("n") <= REGION)
     crowded = stored(live.filter(F.col("n") > REGION).select("id").distinct(), "crowded")
     if not crowded.isEmpty():
         out = out.unionByName(_placed(rare_keys(_texts(docs, crowded, "crowded_texts"), percent), "rare"))
     parts = F.ceil(F.col("n") / REGION)
     region = F.when(parts > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), parts))).otherwise(F.col("key"))
-    return stored(out.select("id", region.alias("region"), F.col("key").alias("crowd"), parts.alias("parts")), "regions")
+    return stored(out.select("id", region.alias("region"), F.col("key").alias("crowd"), parts.alias("parts"), "half"), "regions")
 
 
 def meetings(crowded: DataFrame) -> DataFrame:
-    """(id, component, region, side): regions of two blocks in which all pairs of crowded(id, crowd, component) meet but those within a crowd's main component.
+    """(id, component, region, side): regions of two blocks in which all pairs of crowded(id, crowd, component[, half]) meet but those within a crowd's main component or one of its halves.
 
     Members of sides 1 and 2 are tested against each other, those of side 0 among themselves; a pair meets once in a crowd.
     """
-    half = max(1, REGION // 2)
-    counts = crowded.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    rows = crowded.join(top, "crowd").withColumn("p", F.ceil(F.col("most") / half)).withColumn("q", F.ceil((F.col("all") - F.col("most")) / half)).filter("q > 0")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "crowd"), F.when(F.col("component") == F.col("main"), F.col("p")).otherwise(F.col("q"))))
-    main = F.expr("transform(sequence(0L, q - 1), j -> struct(xxhash64('main', crowd, block, j) AS region, 1 AS side))")
-    rest = F.expr("""concat(transform(sequence(0L, p - 1), i -> struct(xxhash64('main', crowd, i, block) AS region, 2 AS side)),
-      transform(sequence(0L, q - 1), j -> struct(xxhash64('rest', crowd, least(block, j), greatest(block, j)) AS region, CASE WHEN j = block THEN 0 WHEN block < j THEN 1 ELSE 2 END AS side)))""")
-    met = rows.select("id", "component", F.explode(F.when(F.col("component") == F.col("main"), main).otherwise(rest)).alias("to"))
-    return met.select("id", "component", "to.region", "to.side")
+    rows = crowded if "half" in crowded.columns else crowded.withColumn("half", F.lit(0))
+    counts = rows.groupBy("crowd", "component", "half").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("crowd", "component").agg(F.sum("n").alias("n"))
+    main = sizes.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    blocks = [F.ceil(F.sum(F.when((F.col("half") == h) & ((F.col("component") == F.col("main")) == bool(m)), F.col("n")).otherwise(0)) / max(1, REGION // 2)) for m in (0, 1) for h in (0, 1, 2)]
+    top = counts.join(main, "crowd").groupBy("crowd", "main").agg(F.array(*blocks).alias("blocks"))
+    # A unit is a kind (of the rest or of the main component, by half) and a block of it.
+    rows = rows.join(top, "crowd").withColumn("kind", F.when(F.col("component") == F.col("main"), 3).otherwise(0) + F.col("half"))
+    rows = rows.withColumn("unit", F.expr("shiftleft(CAST(kind AS BIGINT), 40) + pmod(xxhash64(id, crowd), blocks[kind])"))
+    other = F.expr("""flatten(transform(filter(array(0, 3), m -> m = 0 OR kind < 3), m -> transform(
+      filter(sequence(-1L, blocks[m + CASE half WHEN 0 THEN 0 ELSE 3 - half END] - 1), b -> b >= 0), b -> shiftleft(CAST(m + CASE half WHEN 0 THEN 0 ELSE 3 - half END AS BIGINT), 40) + b)))""")
+    met = rows.withColumn("other", F.explode(other))
+    side = F.when(F.col("unit") == F.col("other"), 0).when(F.col("unit") < F.col("other"), 1).otherwise(2)
+    return met.select("id", "component", F.xxhash64("crowd", F.least("unit", "other"), F.greatest("unit", "other")).alias("region"), side.alias("side"))
 
 
 def _forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -316,22 +366,30 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "text_a", "text_b"), make, schema)
 
 
+def _roots(edges: DataFrame, by: F.Column) -> DataFrame:
+    """(id, to): the root that each node of edges(a, b) reaches by pointers to the least neighbour, in the order of by (a column of other)."""
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b"))
+    to = stored(both.groupBy("id").agg(F.min_by("other", F.struct(by, "other")).alias("to")), "to")
+    while True:
+        twice = to.join(to.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+        twice = stored(twice, "to")
+        to = twice.select("id", "to")
+        if twice.filter("moved").isEmpty():
+            return to
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges(a, b): the least id that it can reach."""
-    now, maps = edges, []
+    now, found, turn = edges, None, 0
     while not now.isEmpty():
-        both = now.select(F.col("a").alias("id"), F.col("b").alias("other")).union(now.select("b", "a"))
-        to = stored(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("to")), "to")
-        maps.append(to)
-        left, right = to.toDF("a", "to_a"), to.toDF("b", "to_b")
-        moved = now.join(left, "a").join(right, "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        now = stored(moved.filter("a <> b").distinct(), "edges")
-    if not maps:
+        to = _roots(now, F.xxhash64("other", F.lit(turn)) if turn > 2 and turn % 2 else F.col("other"))
+        found = to if found is None else stored(found.join(to.toDF("to", "_root"), "to", "left").select("id", F.coalesce("_root", "to").alias("to")), "found")
+        moved = now.join(to.toDF("a", "_a"), "a").join(to.toDF("b", "_b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        now, turn = stored(moved.filter("a <> b").distinct(), "edges"), turn + 1
+    if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
-    found = maps[0].toDF("id", "component")
-    for to in maps[1:]:
-        found = found.join(to.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    return stored(found, "components")
+    least = found.groupBy("to").agg(F.min("id").alias("component"))
+    return stored(found.join(least, "to").select("id", "component"), "components")
 
 
 def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -342,7 +400,7 @@ def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """(id, text) of ids(id), which are stored; only these texts are shuffled, and repeated rows of one id give one text."""
     narrow = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(narrow, "id", "left_semi").dropDuplicates(["id"]), name)
+    return stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(narrow, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -355,7 +413,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = prepared(docs.sparkSession)
     signed = stored(sign(docs), "signed")
     part = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(part.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = stored(part.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "classes")
     placed = regions(classes, docs, percent)
     sigs = classes.select("id", "sig", "n_shingles")
     first = stored(candidates(placed.join(sigs, "id"), percent), "pairs")
@@ -366,15 +424,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = _known(placed, found)
     mixed = known.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("crowd")
     known = stored(known.join(mixed, "crowd"), "mixed")
-    met = known.filter("parts = 1").select("id", "component", "region", F.lit(0).alias("side"))
+    met = known.filter("parts = 1").select("id", "component", "region", F.col("half").alias("side"))
     met = stored(met.unionByName(meetings(known.filter("parts > 1"))), "met")
     some = stored(with_candidates(met.join(sigs, "id"), percent), "some")
     texts = _texts(docs, stored(some.select("id").distinct(), "involved"), "texts")
     more = stored(linked_across(met.join(some, ["region", "id"]).join(sigs, "id").join(texts, "id"), percent), "more")
+    by_class = _known(classes.select("id", "n_shingles", "key1", "key2", "rows"), found).select("component", "n_shingles", "key1", "key2", "rows")
     if not more.isEmpty():
-        found = components(edges.union(more))
-    by_class = _known(classes.select("id", "n_shingles", "key1", "key2"), found).select("component", "n_shingles", "key1", "key2")
-    joined = signed.drop("sig").join(by_class, ["n_shingles", "key1", "key2"], "left")
+        ends = [_known(more.select("a", "b", F.col(x).alias("id")), found).select("a", "b", F.col("component").alias(f"c_{x}")) for x in "ab"]
+        joint = components(stored(ends[0].join(ends[1], ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), "joint"))
+        by_class = by_class.join(joint.toDF("component", "_joint"), "component", "left").withColumn("component", F.coalesce("_joint", "component")).drop("_joint")
+    joined = join_spread(signed.drop("sig"), by_class, ["n_shingles", "key1", "key2"], "component", "rows", F.xxhash64("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 

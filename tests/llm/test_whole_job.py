@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
@@ -121,3 +122,72 @@ def test_exchanged_rows_grow_with_the_text(spark):
     assert sum(sizes) == 2000 and max(sizes) <= 5_000 // 21 and len(sizes) > 8
     got = language_model.backoff_scores(equal, block=5_000).distinct().collect()
     assert len(got) == 1 and (got[0].n_words, got[0].n_seen) == (5, 3)
+
+
+# Near duplicates: families of documents that share a template, and long chains.
+
+
+
+
+@pytest.mark.parametrize("percent", [80, 85, 93])
+def test_linked_sets_meet_by_a_first_shingle(percent):
+    """Of two sets at the threshold some shingle among the first is a key of both, with the same classes."""
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        m = int(rng.integers(1, 300))
+        n = int(rng.integers(m, 100 * m // percent + 1))
+        t = int(np.ceil(percent * (m + n) / (100 + percent)))
+        order = rng.permutation(m + n - t)
+        x, y = np.sort(order[:m]), np.sort(order[m - t :])
+        keys = []
+        for z in (x, y):
+            row, low, high, half = near_duplicates.meeting_classes(np.full(len(z), len(z)), np.arange(1, len(z) + 1), percent)
+            keys.append(dict(zip(zip(z[row].tolist(), low.tolist(), high.tolist(), strict=True), half.tolist(), strict=True)))
+        both = [(keys[0][k], keys[1][k]) for k in keys[0] if k in keys[1]]
+        assert any(sorted(x) in ([0, 0], [1, 2]) for x in both)
+
+
+def test_an_unlinked_family_exchanges_few_texts(spark, monkeypatch):
+    """Members of similarity about 0.80 agree in enough places but link with nothing: they share no key, and what is exchanged grows with them."""
+    monkeypatch.setattr(near_duplicates, "REGION", 16)
+    made, largest, stored = {}, {}, near_duplicates.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("some", "met", "regions"):
+            made[n, name] = out.count()
+            largest[n, name] = max([r["count"] for r in out.groupBy("region").count().collect()], default=0)
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    for n in (150, 300):
+        rng = random.Random(n)
+        template = [rng.choice(VOCAB) for _ in range(230)]
+        rows = [(k, " ".join(template + [rng.choice(VOCAB) for _ in range(28)])) for k in range(n)]
+        assert 0.76 < similarity(rows[0][1], rows[1][1]) < 0.85
+        got = near_duplicates.near_duplicates(documents(spark, rows))
+        assert all(r.kept for r in got.collect())
+    assert made[300, "some"] <= 2.2 * max(made[150, "some"], 150)
+    assert made[300, "met"] <= 2.2 * max(made[150, "met"], 150)
+    assert max(largest.values()) <= 2 * 16
+
+
+def test_rounds_on_a_long_path(spark, monkeypatch):
+    """A path of 1000 ids in order takes at most 2 log2(n) rounds, whatever is contracted or doubled counted."""
+    rounds, stored = [], near_duplicates.stored
+
+    def counted(df, name):
+        rounds.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    edges = spark.range(999).selectExpr("id a", "id + 1 b")
+    got = near_duplicates.components(edges)
+    assert got.count() == 1000 and got.filter("component <> 0").count() == 0
+    assert rounds.count("to") + rounds.count("edges") <= 20
+    zigzag = [k // 2 if k % 2 else 999 - k // 2 for k in range(1000)]
+    rounds.clear()
+    star = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(zigzag, zigzag[1:], strict=False)] + [(2000 + k, 5000) for k in range(300)], "a long, b long")
+    got = {r.id: r.component for r in near_duplicates.components(star).collect()}
+    assert got == {**dict.fromkeys(range(1000), 0), **dict.fromkeys([*range(2000, 2300), 5000], 2000)}
+    assert rounds.count("to") + rounds.count("edges") <= 60
