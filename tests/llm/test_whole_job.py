@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
-from steinlake.llm import language_model, near_duplicates
+from steinlake.llm import language_model, near_duplicates, topk
 
 
 def linked_groups(rows, percent):
@@ -191,3 +192,43 @@ def test_rounds_on_a_long_path(spark, monkeypatch):
     got = {r.id: r.component for r in near_duplicates.components(star).collect()}
     assert got == {**dict.fromkeys(range(1000), 0), **dict.fromkeys([*range(2000, 2300), 5000], 2000)}
     assert rounds.count("to") + rounds.count("edges") <= 60
+
+
+# Top-k: a vector goes only to the sets of queries that need it.
+
+
+def test_knn_replicates_what_is_needed(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(30, 8)) * 4
+    rows = [(k, (centres[k % 30] + rng.normal(size=8) * 0.05).tolist()) for k in range(3000)]
+    copies, kept = [], topk.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "needed":
+            copies.append((out.count(), out.select("q_set").distinct().count(), max(r["count"] for r in out.groupBy("q_set").count().collect())))
+        return out
+
+    monkeypatch.setattr(topk, "stored", counted)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.knn_join(df, F.col("vec_id") % 10 == 0, k=5, block=20).collect()
+    x = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows}
+    everything = np.stack([x[i] for i in range(3000)])
+    expected = set()
+    for q in range(0, 3000, 10):
+        s = everything @ x[q]
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
+        expected |= {(q, n, int(i), int(s[i])) for n, i in enumerate(order, 1)}
+    assert {tuple(r) for r in got} == expected
+    (made, sets, _), = copies
+    assert sets >= 3 and made < 0.5 * 3000 * sets
+
+
+def test_knn_with_one_vector_repeated(spark):
+    """A third of all rows are one vector: its queries and its rows are cut like any others."""
+    rows = [(k, [1.0, 0.5]) for k in range(300)] + [(300 + k, [float(k % 7), 1.0]) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.knn_join(df, F.col("vec_id") % 20 == 0, block=10).collect()
+    x = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows}
+    expected = {(q, n, i, -s) for q in x if q % 20 == 0 for n, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:20], 1)}
+    assert {tuple(r) for r in got} == expected
