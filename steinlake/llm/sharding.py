@@ -1,10 +1,10 @@
 """Sharding of indivisible groups by Karmarkar-Karp differencing.
 
 Documents with equal texts are one group and stay together. Differencing combines the two partial partitions with the largest
-spread, the fullest part of one with the emptiest of the other, until one partial partition is left. It runs twice: over
-the heavy groups, those that reach a quarter of a bucket's fair share of a shard (at most 64 rows per bucket, so at most 64 *
-BUCKETS); and over the others in hash buckets of about BUCKET groups, a task each, where every shard's heavy load takes part
-with the bucket's share of it, so that light groups fill what heavy ones leave.
+spread, the fullest part of one with the emptiest of the other, until one partial partition is left. Light groups are differenced in
+hash buckets of about BUCKET groups, a task each and as many as it takes, where every shard's heavy load takes part with the
+bucket's share of it, so that light groups fill what heavy ones leave. Heavy groups, those that reach a quarter of a bucket's fair
+share of a shard, are at most 64 for each bucket; they are sharded in the same way first, down to a level that is one bucket.
 
 Cases: the law is `bytes`; a null text counts as no bytes (size 1) and groups with the empty text; repeated rows are rows of
 their own; null ids are kept; an empty table gives no rows. Only doc_id and text are read.
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fields, prepared, stored
+from .common import arrow_map, fields, join_spread, prepared, stored
 
-SHARDS, BUCKET, BUCKETS = 16, 20_000, 2048
+SHARDS, BUCKET = 16, 20_000
 
 
 def difference(vectors: list[list[tuple[int, object]]], shards: int) -> list[tuple[int, object]]:
@@ -64,37 +64,37 @@ def members(tree) -> Iterator[int]:
 
 
 def shard_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET) -> DataFrame:
-    """(key, shard) of groups(key, size): one row per key, sizes at least 0."""
-    spark = groups.sparkSession
+    """(key, shard) of groups(key, size): one row per key, sizes at least 0. groups is read several times, so it should be stored."""
     n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(1, min(BUCKETS, -(-n // bucket)))
-    limit = max(1, -(-int(total) // (4 * shards * buckets)))
-    # At most 4 * shards * buckets groups can be this large.
-    large = groups.filter(F.col("size") >= limit).select("key", "size").orderBy(F.desc("size"), "key").collect()
-    parts = difference([[(r["size"], k)] for k, r in enumerate(large)], shards)
-    load = [s for s, _ in parts] + [0] * (shards - len(parts))
-    key = groups.schema["key"].dataType
-    placed_schema = T.StructType([T.StructField("key", key), *fields("shard int")])
-    fixed = spark.createDataFrame([(large[k]["key"], s) for s, (_, tree) in enumerate(parts) for k in members(tree)], placed_schema)
-    light = groups.filter(F.col("size") < limit)
-    dealt = light.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    sizes = dealt.groupBy("bucket").agg(F.sum("size").alias("n")).collect()  # a row per bucket
-    whole = sum(r["n"] for r in sizes) or 1
-    share = {r["bucket"]: r["n"] for r in sizes}
+    buckets = max(1, -(-n // bucket))
+    schema = T.StructType([groups.schema["key"], *fields("shard int")])
+    load, light, heavy = [0] * shards, groups, None
+    if buckets > 1:
+        # At most 4 * shards * buckets groups can be this large, and at most a quarter of all.
+        limit = max(1, -(-int(total) // (4 * shards * buckets)), -(-4 * int(total) // n))
+        large, light = groups.filter(F.col("size") >= limit), groups.filter(F.col("size") < limit)
+        if not large.isEmpty():
+            large = stored(large, "heavy")
+            heavy = stored(shard_groups(large, shards, bucket), "placed")
+            for r in heavy.join(large, "key").groupBy("shard").agg(F.sum("size").alias("n")).collect():  # a row per shard
+                load[r["shard"]] = int(r["n"])
+    whole = int(total) - sum(load) or 1
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
-        b = int(frame["bucket"].iloc[0])
+        share = int(frame["size"].sum())
         start = [[(n, k)] for k, n in enumerate(frame["size"].tolist())]
         # Each shard is a part of one partial partition, marked by a negative leaf; parts of one partition never meet.
-        start.append([(x * share[b] // whole, -1 - s) for s, x in enumerate(load)])
+        start.append([(x * share // whole, -1 - s) for s, x in enumerate(load)])
         shard = np.zeros(len(frame), np.int32)
         for _, tree in difference(start, shards):
             at = list(members(tree))
             shard[[x for x in at if x >= 0]] = next(-1 - x for x in at if x < 0)
         return pd.DataFrame({"key": frame["key"], "shard": shard})
 
-    return dealt.groupBy("bucket").applyInPandas(one, placed_schema).unionByName(fixed)
+    dealt = light.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    placed = dealt.groupBy("bucket").applyInPandas(one, schema)
+    return placed if heavy is None else placed.unionByName(heavy)
 
 
 def with_slots(rows: DataFrame, group: str) -> DataFrame:
@@ -136,6 +136,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket: int = BUCKET)
     raw = F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(docs["doc_id"].alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("key"))
     rows = stored(rows, "sizes")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
-    placed = rows.join(stored(shard_groups(stored(groups, "groups"), shards, bucket), "placed"), "key").select("doc_id", "size", "text_crc32", "shard")
+    groups = stored(rows.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "groups")
+    where = stored(shard_groups(groups.select("key", "size"), shards, bucket).join(groups.select("key", "rows"), "key"), "placed")
+    placed = join_spread(rows, where, ["key"], "shard", "rows", F.xxhash64("doc_id")).select("doc_id", "size", "text_crc32", "shard")
     return with_slots(placed, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

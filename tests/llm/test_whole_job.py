@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
-from steinlake.llm import language_model, near_duplicates, topk
+from steinlake.llm import language_model, near_duplicates, sharding, topk
 
 
 def linked_groups(rows, percent):
@@ -232,3 +232,20 @@ def test_knn_with_one_vector_repeated(spark):
     x = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows}
     expected = {(q, n, i, -s) for q in x if q % 20 == 0 for n, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:20], 1)}
     assert {tuple(r) for r in got} == expected
+
+
+# Sharding: any number of buckets.
+
+
+def test_sharding_in_many_buckets(spark):
+    """Heavy groups are themselves sharded in buckets; no task sees many more groups than a bucket holds."""
+    rng = random.Random(31)
+    sizes = [rng.randint(1, 400) for _ in range(6000)] + [rng.randint(2000, 40_000) for _ in range(400)] + [900_000]
+    groups = spark.createDataFrame([(f"k{k}", n) for k, n in enumerate(sizes)], "key string, size long").persist()
+    got = {r.key: r.shard for r in sharding.shard_groups(groups, 16, 1000).collect()}
+    assert len(got) == len(sizes)
+    total = [0] * 16
+    for k, n in enumerate(sizes):
+        total[got[f"k{k}"]] += n
+    rest = sorted(total)[:-1]
+    assert max(total) == 900_000 and max(rest) - min(rest) <= 0.01 * sum(rest) / 15
