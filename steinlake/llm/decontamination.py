@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from .common import arrow_map, fields, prepared, stored
 
 WINDOW = 13
-#: Bytes of patterns that one pass broadcasts. A larger benchmark is searched in that many passes, each over its own share.
-PASS_BYTES = 48 << 20
+#: Bytes of the tables of one pass in a Python worker. A larger benchmark is searched in that many passes, each over its own share.
+PASS_BYTES = 128 << 20
+#: Bytes of one pattern's tables beside its words (tuples, shift entries, bucket entries); 1,240 in all were measured at 13 words.
+PATTERN_BYTES = 1200
 #: Bytes of the rule's words, A-Z lower-cased; every other byte becomes a blank.
 _KEEP = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
@@ -132,12 +134,12 @@ RESULT = fields("n_words long, n_hit long, n_items long, items_sha256 string, co
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per document: the columns of keep, then n_words, n_hit, n_items, items_sha256, contaminated.
 
-    The patterns are counted first. Those of one pass are broadcast, at most pass_bytes of them on average (they are dealt
+    The patterns are counted first. Those of one pass are broadcast, with tables of at most about pass_bytes (patterns are dealt
     out by hash); a benchmark beyond that takes more passes, with the hits so far written to the shared folder between them.
     """
     prepared(docs.sparkSession)
     found = stored(windows(benchmark, window), "windows")
-    size = found.agg(F.sum(F.length("pattern") + 60 + 24 * F.size("item_ids"))).first()[0] or 0
+    size = found.agg(F.sum(F.length("pattern") + PATTERN_BYTES + 80 * F.size("item_ids"))).first()[0] or 0
     passes = max(1, -(-int(size) // pass_bytes))
     state = docs.select(*(docs[f"`{c}`"].alias(f"kept{i}") for i, c in enumerate(keep)), docs["text"].alias("text"), F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(passes):

@@ -74,7 +74,7 @@ def brute_contamination(docs, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 900])
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 9_000])
 def test_decontamination(spark, pass_bytes):
     items = [(1, prose(20)), (2, prose(14)), (3, "Short ITEM here"), (4, "one"), (5, None), (6, "..."), (7, "a b a b a b a b a b a b a b a b"), (10, prose(13)), (None, "É tu bê")]
     items.append((8, items[0][1]))
