@@ -12,7 +12,7 @@ writing pass must see the same rows in the same tasks, as two scans of the same
 a frame that is not a plain scan should be stored first.
 
 Cases: a null or empty text is the end id alone; repeated rows are sequences of their own; null ids are kept; an empty table
-writes no shard. Only doc_id and text are read.
+writes no shard; a vocabulary whose ids do not fit 16 bits is an error. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .tokens import vocabulary_path, word_bpe
 STRIDE, PAD, END_ID, KEY, ROUNDS = 512, 0xFFFF, 0, 20240501, 4
 #: Numbers of one shard, about; a half to a third of them are sequences.
 SHARD = 1 << 17
+#: Shards whose sequences are summed up in one task.
+RUN = 4096
 
 
 def feistel(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -79,6 +81,8 @@ def write_training_order(docs: DataFrame, folder: str, stride: int = STRIDE, key
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_bpe(path), int(END_ID).to_bytes(2, "little")
+        if encoder.slow.get_vocab_size() > PAD:
+            raise ValueError(f"ids of {PAD} and more do not fit the shards' unsigned 16-bit records")
         start, expected = told.value.get(TaskContext.get().partitionId(), (0, 0))
         done = 0
         for batch in batches:
@@ -129,15 +133,17 @@ def write_training_order(docs: DataFrame, folder: str, stride: int = STRIDE, key
 
 
 def shard_table(sequences: DataFrame) -> DataFrame:
-    """(shard, file, n, first_slot): one row per shard, in order."""
-    counts = sequences.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("first_slot", F.coalesce(before, F.lit(0)))
+    """(shard, file, n, first_slot): one row per shard. Sums within runs of RUN shards, then over the runs, so no task numbers all shards."""
+    counts = sequences.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("shard") / RUN))
+    runs = counts.groupBy("run").agg(F.sum("n").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    before = F.sum("n").over(Window.partitionBy("run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    within = counts.withColumn("before", F.coalesce(before, F.lit(0)))
+    return within.join(runs, "run").select("shard", "file", "n", (F.coalesce("base", F.lit(0)) + F.col("before")).alias("first_slot"))
 
 
 def with_slot(sequences: DataFrame) -> DataFrame:
-    """Every sequence with its slot, from 0 without gaps."""
-    return sequences.join(F.broadcast(shard_table(sequences)), ["shard", "file"]).select("doc_id", "piece", "length", "ids_crc32", "shard", "file", "at", (F.col("first_slot") + F.col("at")).alias("slot"))
+    """Every sequence with its slot, from 0 without gaps. The shard table is broadcast only where Spark finds it small enough."""
+    return sequences.join(shard_table(sequences), ["shard", "file"]).select("doc_id", "piece", "length", "ids_crc32", "shard", "file", "at", (F.col("first_slot") + F.col("at")).alias("slot"))
 
 
 def read_from(table: list, folder: str, slot: int, count: int, stride: int = STRIDE) -> Iterator[np.ndarray]:
