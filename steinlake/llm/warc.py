@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fields, new_path, prepared, stored
+from .common import arrow_map, fields, join_spread, new_path, prepared, stored
 from .files import open_folder, write_new
 
 MIN_REVISIT, FRAME, BUNDLE, RECORDS = 1000, 1 << 20, 64 << 20, 4_000
@@ -105,15 +105,18 @@ def seek_table(file) -> list[tuple[int, int, int]]:
 def with_kinds(pages: DataFrame) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest and refers_to (null for responses).
 
-    Only ids, sizes and digests are grouped, pre-aggregated before the shuffle; the join back brings each repeated payload's
-    response to its copies, and Spark broadcasts that side or splits a hot digest as the sizes ask.
+    Payloads are equal if their SHA-256 are (SHA-1 collisions are public). Only ids and digests are grouped, pre-aggregated
+    before the shuffle; the join back brings each repeated payload's response to its copies, and a hot payload's by broadcast.
     """
     payload = F.coalesce(pages["html"].cast("binary"), F.lit("").cast("binary"))
     all_rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
-    large = all_rows.filter(F.col("payload_bytes") >= MIN_REVISIT)
-    repeated = large.groupBy(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    large = F.col("payload_bytes") >= MIN_REVISIT
+    repeated = all_rows.filter(large).groupBy(F.sha2(F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")), 256).alias("same")).agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = stored(repeated, "repeated")
-    joined = all_rows.join(repeated, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("bytes")), "left")
+    # Small payloads equal none; a key of their own spreads them.
+    own = F.hex(F.xxhash64("page_id", "url"))
+    keyed = all_rows.withColumn("same", F.when(large, F.sha2(F.col("html").cast("binary"), 256)).otherwise(own))
+    joined = join_spread(keyed, repeated, ["same"], "response_id", "n", F.xxhash64("page_id", "url"))
     other = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(other, F.col("response_id")).alias("refers_to"))
 
