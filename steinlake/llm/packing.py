@@ -2,8 +2,10 @@
 
 Bounded-space online best-fit: a task keeps at most OPEN bins open. Their free space is the key of a bitset, so the bin with
 the least room that still holds a piece is one shift and one lowest-bit away; a piece that fits nowhere opens a bin, and when
-OPEN bins are open already the fullest one closes first. Pieces are dealt out by a hash of document and piece, about SHARE to
-a task, and reach the task longest first, which leaves one or two bins per task that are not full.
+OPEN bins are open already the fullest one closes first. That happens where over OPEN of a task's pieces leave a gap that no
+later piece has filled yet, as with many pieces of more than half the capacity. Pieces are dealt out by a hash of document, piece and
+place in the table, about SHARE to a task, so that neither null ids nor repeated rows meet in one; they reach the task
+longest first, which leaves one or two bins per task that are not full.
 
 Cases: a null text is an empty one; an empty text is the end id alone; repeated rows are packed as rows of their own; a null
 doc_id is kept. Only doc_id and text are read. An empty table gives no rows.
@@ -93,7 +95,7 @@ class OpenBins:
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN, share: int = SHARE) -> DataFrame:
-    """The pieces with sequence_id and offset. pieces: doc_id, piece, length (1 to capacity) and any other columns."""
+    """The pieces with sequence_id and offset. pieces: a stored table of doc_id, piece, length (1 to capacity) and any other columns."""
     tasks = max(1, -(-pieces.count() // share))
     schema = T.StructType([*pieces.schema.fields, *fields("sequence_id long, offset long")])
     at = pieces.columns.index("length")
@@ -108,7 +110,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN,
 
         return each
 
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
     return arrow_map(dealt, make, schema)
 
 

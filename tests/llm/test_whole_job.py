@@ -1,5 +1,6 @@
 """What the review of round one found missing. test_pairs_in_a_crowded_region also passes on the code before; the others were not run on it."""
 
+import json
 import random
 
 import numpy as np
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from test_operators import VOCAB, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
-from steinlake.llm import language_model, near_duplicates, sharding, topk
+from steinlake.llm import language_model, near_duplicates, packing, sharding, tokens, topk, training_order
+from steinlake.llm.common import new_path
 
 
 def linked_groups(rows, percent):
@@ -249,3 +251,66 @@ def test_sharding_in_many_buckets(spark):
         total[got[f"k{k}"]] += n
     rest = sorted(total)[:-1]
     assert max(total) == 900_000 and max(rest) - min(rest) <= 0.01 * sum(rest) / 15
+
+
+# Training order: a slot is the rank of the permuted number.
+
+
+def test_slot_is_the_rank_of_the_permuted_number(spark, monkeypatch):
+    monkeypatch.setattr(training_order, "RUN", 2)
+    rng = random.Random(41)
+    rows = [(k, prose(rng.randint(0, 60), rng)) for k in range(50)] + [(60, None)]
+    stride = 16
+    written = training_order.write_training_order(documents(spark, rows).coalesce(1), new_path(spark, "shards"), stride=stride, shard=60)
+    got = {(r.doc_id, r.piece): r.slot for r in training_order.with_slot(written).collect()}
+    slow = tokens.word_bpe(tokens.vocabulary_path()).slow
+    number, at = {}, 0
+    for i, t in rows:
+        for piece in range(-(-(len(slow.encode(t or "", add_special_tokens=False).ids) + 1) // stride)):
+            number[i, piece] = at + piece
+        at += (len((t or "").encode()) + stride) // stride
+    place = dict(zip(number, training_order.feistel(np.array(list(number.values())), at).tolist(), strict=True))
+    assert got == {k: n for n, k in enumerate(sorted(place, key=place.get))} and written.select("shard").distinct().count() > 4
+
+
+def test_large_vocabularies_are_refused(spark, tmp_path):
+    """The vocabulary is a parameter; one with an id that needs more than 16 bits stops the job."""
+    with open(tokens.vocabulary_path(), encoding="utf-8") as f:
+        model = json.load(f)
+    model["model"]["vocab"] |= {f"filler{k}": 50_000 + k for k in range(20_000)}
+    (tmp_path / "large.json").write_text(json.dumps(model))
+    with pytest.raises(Exception, match="16-bit"):
+        training_order.write_training_order(documents(spark, [(1, "a")]), new_path(spark, "shards"), vocabulary=str(tmp_path / "large.json"))
+
+
+# Packing: the bitset places as a search of all open bins does.
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_bins_against_a_naive_search(most):
+    rng = random.Random(most)
+    bins, naive, turn, opened = packing.OpenBins(50, most), [], 0, 0
+    for _ in range(2000):
+        size = rng.randint(1, 50)
+        fits = [b for b in naive if b[0] >= size]
+        if fits:
+            best = max(fits, key=lambda b: (-b[0], b[2]))
+        else:
+            if len(naive) >= most:
+                naive.remove(max(naive, key=lambda b: (-b[0], b[2])))
+            best = [50, opened, turn]
+            opened += 1
+            naive.append(best)
+        assert bins.place(size) == (best[1], 50 - best[0])
+        turn += 1
+        best[0], best[2] = best[0] - size, turn
+        if not best[0]:
+            naive.remove(best)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    got = packing.best_fit(documents(spark, [(None, "x")] * 4000).selectExpr("doc_id", "0 piece", "1L length").coalesce(1), share=1000)
+    tasks = {}
+    for r in got.selectExpr("sequence_id >> 40 t").groupBy("t").count().collect():
+        tasks[r.t] = r["count"]
+    assert len(tasks) == 4 and max(tasks.values()) < 1300
