@@ -5,7 +5,9 @@ Everything here is a helper for code inside tasks; Spark deals out the batches.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +75,49 @@ def chunks(col: pa.Array, size: int = 6 << 20) -> Iterator[tuple[int, int, np.nd
 
 def word_bounds(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the number of its first word (one more entry than texts)."""
-    n = len(raw)
-    inside = kind[raw]
+    return runs(kind[raw], offs)
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For code points below 0x32400 (letters of later planes are not assigned): 2 for a letter, 1 for a mark, else 0; and the lower-case one where it has as many bytes."""
+    kind, lower = np.zeros(0x32400, np.uint8), np.arange(0x32400)
+    for c in range(128, 0x32400):
+        category = unicodedata.category(chr(c))
+        kind[c] = {"L": 2, "M": 1}.get(category[0], 0)
+        if category[0] == "L" and len(low := chr(c).lower()) == 1 and len(low.encode()) == len(chr(c).encode()):
+            lower[c] = ord(low)
+    return kind, lower
+
+
+def letter_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, first words, whether each text has a letter): words are runs of letters and the marks on them, in any script."""
+    low = LOWER[raw]
+    letter = LETTER[raw] & (raw < 128)
+    inside = letter.copy()
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        kind, lower = _characters()
+        padded = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int64)
+        size = np.where(padded[lead] < 0xE0, 2, np.where(padded[lead] < 0xF0, 3, 4))
+        code = padded[lead] & (0xFF >> (size + 1))
+        for k in range(1, 4):
+            code = np.where(k < size, code << 6 | padded[lead + k] & 0x3F, code)
+        code = np.minimum(code, len(kind) - 1)
+        letter[lead] = kind[code] == 2
+        to = lower[code]
+        for k in range(4):
+            some = size > k
+            inside[lead[some] + k] = kind[code[some]] > 0
+            fold = some & (to != code)
+            low[lead[fold] + k] = to[fold] >> 6 * (size[fold] - 1 - k) & 0x3F | 0x80 if k else (0xF00 >> size[fold]) & 0xFF | to[fold] >> 6 * (size[fold] - 1)
+    sums = np.concatenate([[0], np.cumsum(letter)])
+    return low, *runs(inside, offs), sums[offs[1:]] > sums[offs[:-1]]
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_bounds() of a mask of the bytes that lie in words."""
+    n = len(inside)
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     edge = offs[(offs > 0) & (offs < n)]
