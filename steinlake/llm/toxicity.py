@@ -5,8 +5,9 @@ with a mark before and after). Each discounts its own counts and backs off, from
 counts of both classes together, so an expression that is rare in both says little. A text's evidence is the difference of its two log-likelihoods
 divided by its length, over the whole text and over the part by which single words exceed CLEAR nats; a logistic curve, fitted on labelled documents that the counts have not seen, turns it into a score.
 
-Fitting uses at most about FIT documents of each label, chosen by a hash of the id among labelled ids outside the held-out
-fifth (that bound is the parameter `fit`); their lang, source and id are no inputs. Scoring reads whole texts.
+Fitting uses at most about FIT documents and FIT_BYTES of text of each label, chosen by a hash of the id among labelled ids outside
+the held-out fifth with texts of at most LONGEST bytes (those bounds are parameters), so the counts that reach the driver are
+bounded too; their lang, source and id are no inputs. Scoring reads whole texts.
 
 Cases: a null, empty or letterless text gets the share of toxic rows as its score (at most 0.49); without labels of both
 kinds every score is 0; repeated rows are scored alike; labels that are null or not 0/1 are not learnt from; a doc_id with
@@ -28,6 +29,7 @@ from .common import arrow_map, fields, held_out, prepared, stored
 from .textkernel import LETTER, LOWER, U, chunks, word_bounds, word_hashes
 
 ORDER, SHARED, DISCOUNT, CLEAR, FIT = 6, 4, 0.75, 3.0, 8_000
+FIT_BYTES, LONGEST = 64 << 20, 1 << 20
 _MARK = 1
 
 
@@ -191,8 +193,8 @@ def _model(table) -> KneserNeyPair | None:
     return KneserNeyPair(keys, np.bincount(at, n * toxic, len(keys)), np.bincount(at, n * ~toxic, len(keys)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT):
-    """(model, weights, share of toxic rows) from at most about `most` documents of each label."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT, most_bytes: int = FIT_BYTES):
+    """(model, weights, share of toxic rows) from at most about `most` documents, and most_bytes of text, of each label."""
     spark = prepared(docs.sparkSession)
     marked = labels.select(labels["doc_id"].alias("_id"), labels["toxic"].cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(~held_out(F.col("_id"))).distinct()
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -203,7 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT):
     chosen = marked.filter(F.when(F.col("toxic") == 1, hashed < rate[1] * (1 << 20)).otherwise(hashed < rate[0] * (1 << 20)))
     chosen = chosen.withColumn("check", F.pmod(F.crc32(F.concat(F.lit("check"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary")), F.lit(4)) == 0)
     # The chosen ids are at most about 2 * most rows.
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("toxic", "check", "text"), "labelled")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = stored(docs.select("doc_id", "text").filter(size <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "toxic", "check", "text"), "labelled")
+    # Two rows at most.
+    excess = {r["toxic"]: min(1.0, most_bytes / max(1, r["n"])) for r in rows.groupBy("toxic").agg(F.sum(size).alias("n")).collect()}
+    if min(excess.values(), default=1.0) < 1:
+        again = F.pmod(F.xxhash64("_id", F.lit("bytes")), F.lit(1 << 20))
+        rows = rows.filter(again < F.when(F.col("toxic") == 1, excess.get(1, 1.0)).otherwise(excess.get(0, 1.0)) * (1 << 20))
     table = _count(rows.select("toxic", "check", "text")).toPandas()
     if not len(table):
         return None, np.zeros(5), 0.0
