@@ -153,4 +153,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns kept: one pass over the documents, no join."""
     kept = tuple(c for c in docs.columns)
-    return decontaminate(docs, benchmark, kept).filter("not contaminated").select(*(F.col(f"`{c}`") for c in kept))
+    told = decontaminate(docs, benchmark, kept).toDF(*(f"kept{k}" for k in range(len(kept))), *RESULT.names)
+    return told.filter("not contaminated").drop(*RESULT.names).toDF(*kept)

@@ -255,4 +255,5 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, all columns kept: one pass, no join."""
     kept = tuple(docs.columns)
-    return score(docs, labels, kept).filter("predicted = 0").select(*(F.col(f"`{c}`") for c in kept))
+    told = score(docs, labels, kept).toDF(*(f"kept{k}" for k in range(len(kept))), "score", "predicted")
+    return told.filter("predicted = 0").drop("score", "predicted").toDF(*kept)

@@ -1,15 +1,18 @@
 """What the review of round one found missing. test_pairs_in_a_crowded_region also passes on the code before; the others were not run on it."""
 
+import itertools
 import json
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import VOCAB, documents, near_copies, prose, shingle_set
+from test_operators import VOCAB, brute_backoff, brute_components, brute_contamination, documents, near_copies, prose, shingle_set
 
 import corpus_pipeline
-from steinlake.llm import language_model, near_duplicates, packing, sharding, tokens, topk, training_order
+from steinlake.llm import decontamination, language, language_model, near_duplicates, packing, sharding, tokens, topk, toxicity, training_order
 from steinlake.llm.common import new_path
 
 
@@ -314,3 +317,121 @@ def test_rows_without_an_id_are_spread(spark):
     for r in got.selectExpr("sequence_id >> 40 t").groupBy("t").count().collect():
         tasks[r.t] = r["count"]
     assert len(tasks) == 4 and max(tasks.values()) < 1300
+
+
+# Language: Viterbi against all paths, words in all scripts.
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(51)
+    model = language.LanguageModel(["a", "b", "c"], np.ones((1 << language.BITS, 3)), np.ones((len(language.SCRIPTS), 3)))
+    first = np.array([0, 4, 4, 9, 10])
+    score = rng.normal(size=(10, 3)).astype(np.float32) * 8
+    got = model.paths(score, first)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        value = lambda path, a=a: sum(score[a + t, x] for t, x in enumerate(path)) - language.SWITCH * sum(x != y for x, y in itertools.pairwise(path))
+        best = max(map(value, itertools.product(range(3), repeat=b - a)), default=0)
+        assert math.isclose(value(got[a:b].tolist()), best, rel_tol=1e-4)
+
+
+def test_letters_of_all_scripts():
+    texts = ["Éa—b “quoted” ДОМ 日本語、हिन्दी", "", "—…“", "\u0301", "ΑΒ 12 ÅX"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    low, starts, ends, first, some = language.letter_words(raw, offs)
+    assert [low[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == ["éa", "b", "quoted", "дом", "日本語", "हिन्दी", "\u0301", "αβ", "åx"]
+    assert first.tolist() == [0, 6, 6, 6, 7, 9] and some.tolist() == [True, False, False, False, True]
+
+
+def test_a_rare_language_is_learnt_beside_a_hot_one(spark):
+    rows = [(k, "the house and the garden are large", "en") for k in range(3000)] + [(5000 + k, "das haus und der garten sind schön", "de") for k in range(12)] + [(None, "das haus", "de"), (1, "the house", "en"), (1, "the house", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, ("doc_id", "lang"), most=40).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
+# Toxicity: the models against their definition.
+
+
+def test_kneser_ney_against_its_definition():
+    rng = np.random.default_rng(61)
+    low = rng.integers(97, 100, (400, 6)).astype(np.uint64)
+    grams, n = np.unique(sum(low[:, k] << np.uint64(8 * k) for k in range(6)), return_counts=True)
+    toxic = rng.binomial(n, 0.4).astype(float)
+    counts = {6: {int(g): (t, c - t) for g, t, c in zip(grams, toxic, n, strict=True)}}
+    for m in range(5, 0, -1):
+        types = {}
+        for g, (t, o) in counts[m + 1].items():
+            a, b = types.get(g & (1 << 8 * m) - 1, (0, 0))
+            types[g & (1 << 8 * m) - 1] = (a + (t > 0), b + (o > 0))
+        counts[m] = types
+    contexts = {m: {} for m in counts}
+    for m, table in counts.items():
+        for g, c in table.items():
+            contexts[m].setdefault(g >> 8, []).append(c)
+
+    def p(g, m, side):
+        if m == 0:
+            return 1 / 256
+        pick = (lambda c: c[0] + c[1]) if m <= toxicity.SHARED else (lambda c: c[side])
+        seen = [pick(c) for c in contexts[m].get(g >> 8, []) if pick(c) > 0]
+        lower = p(g & (1 << 8 * (m - 1)) - 1, m - 1, side)
+        if not seen:
+            return lower
+        return max(pick(counts[m].get(g, (0, 0))) - toxicity.DISCOUNT, 0) / sum(seen) + toxicity.DISCOUNT * len(seen) / sum(seen) * lower
+
+    model = toxicity.KneserNeyPair(grams, toxic, n - toxic)
+    some = [int(g) for g in grams[::7]] + [int(x) for x in rng.integers(0, 1 << 48, 40)] + [int(g) ^ 3 for g in grams[::11]]
+    got = model.ratios(np.array(some, np.uint64))
+    assert np.allclose(got, [math.log(p(g, 6, 0)) - math.log(p(g, 6, 1)) for g in some])
+    for g in some[:6]:
+        for side in (0, 1):
+            assert math.isclose(sum(p(g >> 8 << 8 | b, 6, side) for b in range(256)), 1.0, rel_tol=1e-9)
+
+
+# Very long texts: over the stretches, chunks and batches in which bytes are read.
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "RANGES", 64)
+    rng = random.Random(71)
+    words = [rng.choice(VOCAB) for _ in range(60_000)]
+    long = " ".join(words)
+    other = " ".join([*words[:30_000], "changed", *words[30_001:]])
+    rows = [(1, long), (2, other), (3, prose(30, rng)), (4, "x" * 300_000 + " tail of it here now"), (5, None)]
+    docs = documents(spark, rows)
+    items = [(1, " ".join(words[40_000:40_020])), (2, "tail of it here now")]
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute_contamination(rows, items)))
+    assert {tuple(r) for r in near_duplicates.near_duplicates(docs).collect()} == brute_components(rows)
+    scored = {r.doc_id: r for r in language_model.backoff_scores(docs, block=100_000).collect()}
+    for i, n, seen, score in brute_backoff(rows):
+        assert (scored[i].n_words, scored[i].n_seen) == (n, seen) and math.isclose(scored[i].log_score, score, rel_tol=1e-9, abs_tol=1e-5)
+    packed = packing.pack_documents(docs).collect()
+    slow = tokens.word_bpe(tokens.vocabulary_path()).slow
+    for i, t in rows:
+        assert sum(r.length for r in packed if r.doc_id == i) == 1 + len(slow.encode(t or "", add_special_tokens=False).ids)
+    labelled = spark.createDataFrame([(10 + k, f"vile thing {prose(20, rng)}" if k % 2 else prose(20, rng), "en") for k in range(60)], "doc_id long, text string, lang string")
+    labels = labelled.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) toxic")
+    both = labelled.select("doc_id", "text", "lang").unionByName(docs.selectExpr("doc_id", "text", "'en' lang"))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(both, labels).collect())
+    assert {r.doc_id: r.lang_pred for r in language.identify(both).collect()}[1] == "en"
+
+
+# The pipeline's stages: empty tables, repeated rows, columns with clashing names.
+
+
+def test_stages_on_awkward_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    clashing = [c for c in ("id", "component", "component_id", "kept", "score", "predicted", "lang_pred", "shard", "slot", "text_a", "n") if c not in docs.columns]
+    wide = docs.unionByName(docs.filter("doc_id < 5")).selectExpr("*", *(f"1 AS {c}" for c in clashing)).persist()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        out = stage(spark, wide, sf)
+        if name != "packing":
+            assert out.schema.simpleString() == wide.schema.simpleString(), name
+        got, had = Counter(r.doc_id for r in out.select("doc_id").distinct().collect()), {r.doc_id for r in wide.collect()}
+        assert set(got) <= had and len(got) > 20, name
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, sf).count() >= 50
