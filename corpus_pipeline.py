@@ -19,7 +19,7 @@ from steinlake.llm.toxicity import without_toxic
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents in which no language can be told: null texts and texts without a letter."""
+    """Rejects the documents without a main language: null texts, texts without a letter, and those of which no language holds two fifths."""
     return with_language(docs)
 
 

@@ -32,8 +32,8 @@ FIT, BITS, SIZES, SMOOTH, SWITCH, TEMPER = 20_000, 18, (2, 3, 4), 0.1, 8.0, 0.5
 FIT_BYTES, LONGEST = 128 << 20, 1 << 20
 #: A candidate's score is above that of every other language by this at least.
 BARRED = 60.0
-#: The pipeline's stage keeps texts whose main language holds at least this share of the words.
-MAIN = 0.5
+#: The pipeline's stage keeps texts whose main language holds at least this share of the words' bytes.
+MAIN = 0.4
 UNKNOWN = "und"
 #: First and last code points of Unicode's ranges for scripts; the first row is the rest.
 SCRIPTS = [
