@@ -56,8 +56,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
-def join_spread(rows: DataFrame, few: DataFrame, keys: list[str], value: str, n: str, by: F.Column, hot: int = 10_000) -> DataFrame:
-    """rows, and few's value for their keys, or null. few has one row for each key and in column n how many rows have it.
+def join_spread(rows: DataFrame, few: DataFrame, keys: list[str], value: str, n: str, by: F.Column, hot: int = 1_000) -> DataFrame:
+    """rows, and few's value for their keys, or null. few, a stored table, has one row for each key and in column n how many rows have it.
 
     Keys of more than `hot` rows, and of more than a hundred-thousandth of all, are answered by broadcast: at most 100,000 keys.
     Their rows are then dealt out by `by`, so that no key gathers more rows than those.

@@ -121,7 +121,8 @@ def _prefix(depth: int) -> F.Column:
 def _placed(rows: DataFrame, name: str) -> DataFrame:
     """(id, key, half, n): rows(id, key, half) whose key n > 1 members share, of both halves where it has halves."""
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("half").alias("_low"), F.max("half").alias("_high")).filter("n > 1 and (_low = 0 or _low < _high)")
-    return stored(rows.join(shared, "key").select("id", "key", "half", "n"), name)
+    shared = stored(shared.select("key", "n", F.col("n").alias("rows")), "shared")
+    return stored(join_spread(rows, shared, ["key"], "n", "rows", F.xxhash64("id")).filter("n is not null").select("id", "key", "half", "n"), name)
 
 
 @cache
@@ -203,9 +204,11 @@ def meetings(crowded: DataFrame) -> DataFrame:
     sizes = counts.groupBy("crowd", "component").agg(F.sum("n").alias("n"))
     main = sizes.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     blocks = [F.ceil(F.sum(F.when((F.col("half") == h) & ((F.col("component") == F.col("main")) == bool(m)), F.col("n")).otherwise(0)) / max(1, REGION // 2)) for m in (0, 1) for h in (0, 1, 2)]
-    top = counts.join(main, "crowd").groupBy("crowd", "main").agg(F.array(*blocks).alias("blocks"))
+    top = counts.join(main, "crowd").groupBy("crowd", "main").agg(F.array(*blocks).alias("blocks"), F.sum("n").alias("rows"))
+    top = stored(top.select("crowd", F.struct("main", "blocks").alias("top"), "rows"), "tops")
     # A unit is a kind (of the rest or of the main component, by half) and a block of it.
-    rows = rows.join(top, "crowd").withColumn("kind", F.when(F.col("component") == F.col("main"), 3).otherwise(0) + F.col("half"))
+    rows = join_spread(rows, top, ["crowd"], "top", "rows", F.xxhash64("id")).withColumns({"main": F.col("top.main"), "blocks": F.col("top.blocks")})
+    rows = rows.withColumn("kind", F.when(F.col("component") == F.col("main"), 3).otherwise(0) + F.col("half"))
     rows = rows.withColumn("unit", F.expr("shiftleft(CAST(kind AS BIGINT), 40) + pmod(xxhash64(id, crowd), blocks[kind])"))
     other = F.expr("""flatten(transform(filter(array(0, 3), m -> m = 0 OR kind < 3), m -> transform(
       filter(sequence(-1L, blocks[m + CASE half WHEN 0 THEN 0 ELSE 3 - half END] - 1), b -> b >= 0), b -> shiftleft(CAST(m + CASE half WHEN 0 THEN 0 ELSE 3 - half END AS BIGINT), 40) + b)))""")
@@ -422,8 +425,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = components(edges)
 
     known = _known(placed, found)
-    mixed = known.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("crowd")
-    known = stored(known.join(mixed, "crowd"), "mixed")
+    mixed = known.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
+    mixed = stored(mixed.select("crowd", F.lit(True).alias("mixed"), "rows"), "crowds")
+    known = stored(join_spread(known, mixed, ["crowd"], "mixed", "rows", F.xxhash64("id")).filter("mixed").drop("mixed"), "mixed")
     met = known.filter("parts = 1").select("id", "component", "region", F.col("half").alias("side"))
     met = stored(met.unionByName(meetings(known.filter("parts > 1"))), "met")
     some = stored(with_candidates(met.join(sigs, "id"), percent), "some")
