@@ -63,3 +63,17 @@ def has_nan(c) -> Column:
 def rounded(c, digits: int = 6) -> Column:
     """Rounded, with -0.0 made 0.0."""
     return F.round(col(c), digits) + F.lit(0.0)
+
+
+def mean_pool(tokens, skip_first: int = 0, skip_last: int = 0) -> Column:
+    """The mean of an array of vectors, without some at the ends (start and stop marks); null where none is left."""
+    kept = F.slice(col(tokens), skip_first + 1, F.greatest(F.size(col(tokens)) - skip_first - skip_last, F.lit(0)))
+    n = F.size(kept)
+    sums = F.aggregate(F.slice(kept, 2, F.greatest(n - 1, F.lit(0))), F.get(kept, 0), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.when(n > 0, F.transform(sums, lambda x: x / n))
+
+
+def pad_infinite(c, to: int) -> Column:
+    """An array filled up with infinities."""
+    c = col(c).cast("array<double>")
+    return F.when(F.size(c) < to, F.concat(c, F.array_repeat(F.lit(float("inf")), to - F.size(c)))).otherwise(c)

@@ -1,4 +1,8 @@
-"""Bandwidths: exact medians and quantiles of distances over pairs."""
+"""Bandwidths: exact medians and quantiles of distances over pairs.
+
+Quantiles are selected by counting: a histogram of the distances' range narrows it to the bin that holds the wanted rank, again
+and again, and what is sorted at last has at most SORTED distances (or is one value), however many pairs there are.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,42 @@ from pyspark.sql import functions as F
 from ..functions.arrays import sqdist
 
 
+#: Distances that may be sorted in one task, and bins of a histogram.
+SORTED, BINS = 100_000, 4096
+
+
+def _ranked(values: DataFrame, rank: int) -> float:
+    """The value of a rank (from 0) of values(d), none of them null."""
+    while True:
+        low, high, n = values.agg(F.min("d"), F.max("d"), F.count("d")).first()
+        if low == high:
+            return low
+        if n <= SORTED:
+            return values.agg(F.get(F.array_sort(F.collect_list("d")), rank).alias("v")).first()[0]
+        bin_of = F.least(F.floor((F.col("d") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for r in values.groupBy(bin_of.alias("bin")).count().orderBy("bin").collect():  # BINS rows at most
+            if rank < r["count"]:
+                values = values.filter(bin_of == r["bin"])
+                break
+            rank -= r["count"]
+
+
+def exact_quantile(values: DataFrame, q: float = 0.5) -> DataFrame:
+    """(sigma): the quantile of values(d), with linear interpolation between ranks; null without values."""
+    values = values.select(F.col("d").cast("double").alias("d")).filter("d is not null")
+    n = values.count()
+    if not n:
+        return values.sparkSession.createDataFrame([(None,)], "sigma double")
+    place = (n - 1) * q
+    low = int(place)
+    a = _ranked(values, low)
+    b = _ranked(values, low + 1) if place > low else a
+    return values.sparkSession.createDataFrame([(a + (b - a) * (place - low),)], "sigma double")
+
+
 def distance_quantile(pairs: DataFrame, distance: Column, q: float = 0.5) -> DataFrame:
     """(sigma): the exact quantile, with linear interpolation, of a distance over pairs."""
-    return pairs.agg(F.percentile(distance, F.lit(q)).alias("sigma"))
+    return exact_quantile(pairs.select(distance.alias("d")), q)
 
 
 def gaussian_bandwidth(pairs: DataFrame, column: str = "x", q: float = 0.5) -> DataFrame:
@@ -33,4 +70,5 @@ def median_of_medians(pairs: DataFrame, inner: float = 0.5, outer: float = 0.5)
     place = (n - 1) * inner
     low = F.floor(place).cast("int")
     at = lambda k: F.get(F.col("d"), F.least(k, n - 1))
-    return pairs.select(d.alias("d")).select((at(low) + (at(low + 1) - at(low)) * (place - low)).alias("d")).agg(F.percentile("d", F.lit(outer)).alias("sigma"))
+    inner_quantiles = pairs.select(d.alias("d")).select((at(low) + (at(low + 1) - at(low)) * (place - low)).alias("d"))
+    return exact_quantile(inner_quantiles, outer)

@@ -71,3 +71,29 @@ def one_row_json(df: DataFrame, name: str, chain: str, value: str) -> DataFrame:
     """(name, json): {name: {chain: value}} as one JSON object per structure; a structure has few chains."""
     inner = df.groupBy(name).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(chain), F.col(value))))).alias("m"))
     return inner.select(name, F.to_json(F.create_map(F.col(name), F.col("m"))).alias("json"))
+
+
+def profile_softmax(values: Column, letters: int = 20) -> Column:
+    """Probabilities of a profile's values, and 0 for the unknown letter behind them."""
+    top = F.array_max(F.slice(values, 1, letters))
+    e = F.transform(F.slice(values, 1, letters), lambda x: F.exp(x - top))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return F.concat(F.transform(e, lambda x: x / total), F.array(F.lit(0.0)))
+
+
+def bias_vector(bias: dict[str, float], alphabet: str = ALPHABET) -> Column:
+    """A letter's bias at its place of the alphabet, 0 for letters that have none."""
+    return F.array(*(F.lit(float(bias.get(a, 0.0))) for a in alphabet))
+
+
+def with_residue_bias(residues: DataFrame, rules: DataFrame, alphabet: str = ALPHABET) -> DataFrame:
+    """residues(name, chain, pos, ...) with bias: an array over the alphabet from rules(name, chain, pos, aa, bias); biases of one letter add up."""
+    keys = ["name", "chain", "pos"]
+    one = rules.groupBy(*keys, "aa").agg(F.sum("bias").alias("b")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("aa", "b"))).alias("_m"))
+    values = F.array(*(F.coalesce(F.try_element_at(F.col("_m"), F.lit(a)), F.lit(0.0)) for a in alphabet))
+    return residues.join(one, keys, "left").withColumn("bias", values).drop("_m")
+
+
+def tied_logits(df: DataFrame, group: list[str], letter: str, logit: str, beta: str) -> DataFrame:
+    """(group, letter, logit): for positions tied to one another, the mean of their logits weighted by beta."""
+    return df.groupBy(*group, letter).agg((F.sum(F.col(logit) * F.col(beta)) / F.count(F.lit(1))).alias(logit))

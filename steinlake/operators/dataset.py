@@ -80,3 +80,63 @@ def length_batches(df: DataFrame, key: str, length: str, most: int, within: list
     """
     w = Window.partitionBy(*within).orderBy(length, key)
     return df.withColumn("batch", F.floor((F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1) / most))
+
+
+def where_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose column is among values(column); a list of any size, so it is a semi-join."""
+    return df.join(values.select(column).distinct(), column, "left_semi")
+
+
+def cross_section(df: DataFrame, levels: dict) -> DataFrame:
+    """Rows at fixed values of some index levels, without those levels."""
+    return where_equal(df, levels).drop(*levels)
+
+
+def with_presence(ids: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """ids with present: whether found has their key."""
+    return ids.join(found.select(key).distinct().withColumn("present", F.lit(True)), key, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def beside(key: str, *frames: DataFrame) -> DataFrame:
+    """Columns of several frames side by side: rows of equal keys, whichever frames have them."""
+    return reduce(lambda a, b: a.join(b, key, "full"), frames)
+
+
+def looked_up(df: DataFrame, dictionary: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with the value of its keys in a dictionary(keys, value); a key that is missing there stops the job."""
+    out = df.join(dictionary.select(*keys, F.struct(F.col(value).alias("v")).alias("_found")), keys, "left")
+    missing = F.raise_error(F.concat(F.lit("no entry for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))))
+    return out.withColumn(value, F.when(F.col("_found").isNotNull(), F.col("_found.v")).otherwise(missing)).drop("_found")
+
+
+def zipped(values: DataFrame, mask: DataFrame, group: str, pos: str, value: str) -> DataFrame:
+    """mask(group, pos, mask) with the values that fill its true places in order; a mask beyond the values gets nulls.
+
+    Groups are bounded (one structure's places).
+    """
+    w = Window.partitionBy(group).orderBy(pos)
+    given = values.select(group, F.row_number().over(w).alias("_n"), value)
+    places = mask.withColumn("_n", F.when(F.col("mask"), F.sum(F.col("mask").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return places.join(given, [group, "_n"], "left").drop("_n")
+
+
+def shuffled(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
+    """df with place: a random order of each (bounded) group, by hashes of the key."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(digest(seed, F.col(key)), key)))
+
+
+def padded_batches(df: DataFrame, key: str, length: str, most: int, within: list[str]) -> DataFrame:
+    """df with batch: rows of each (bounded) group in order of length, closed where the padded size, longest times rows, would pass `most`.
+
+    A row that is longer than `most` by itself is a batch of its own.
+    """
+    one = df.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct(F.col(length).cast("long").alias("l"), F.col(key).alias("k")))).alias("_rows"))
+    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("count"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(a, x):
+        full = (a["count"] > 0) & (x["l"] * (a["count"] + 1) > most)
+        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
+        return F.struct(batch.alias("batch"), F.when(full, F.lit(1).cast("long")).otherwise(a["count"] + 1).alias("count"), F.concat(a["out"], F.array(batch)).alias("out"))
+
+    packed = one.withColumn("_batch", F.aggregate("_rows", start, step)["out"])
+    return packed.select(*within, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_batch").alias("b"))).alias("x")).select(*within, F.col("x.r.k").alias(key), F.col("x.r.l").alias(length), F.col("x.b").alias("batch"))

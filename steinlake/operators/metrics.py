@@ -53,3 +53,19 @@ def label_rollup(df: DataFrame, levels: list[str], value: str) -> DataFrame:
 def label(*levels: str) -> Column:
     """A dotted label of hierarchy levels."""
     return F.concat_ws(".", *(F.col(c).cast("string") for c in levels))
+
+
+def score_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, mean, std, n): mean and population standard deviation, as of scores over decoding orders."""
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+
+
+def two_losses(loss: Column, designed: Column, mask: Column) -> tuple[Column, Column]:
+    """The mean loss over designed places, and over all places that count."""
+    return masked_mean(loss, designed & mask), masked_mean(loss, mask)
+
+
+def max_normalised(df: DataFrame, value: str) -> DataFrame:
+    """df with the value divided by its largest; one scalar is pre-aggregated and broadcast."""
+    top = df.agg(F.max(value).alias("_top"))
+    return df.crossJoin(F.broadcast(top)).withColumn(value, F.col(value) / F.col("_top")).drop("_top")

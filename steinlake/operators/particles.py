@@ -86,9 +86,10 @@ def autoregressive_particles(df: DataFrame, columns: list[str], next_law: Callab
 def external(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """An external model (encoder, scorer, sampler): load() runs once per task and returns a function over Arrow batches.
 
-    A batch on which the model fails is scored row by row, and rows that fail again are left out; join the result to the ids
-    by a left join to keep them as nulls.
+    A batch on which the model fails is scored row by row. A row that fails again comes back with its columns of the same name
+    and nulls in the others; where the schema has a string column `error`, it holds the failure's text.
     """
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -99,8 +100,9 @@ def external(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataF
                 for k in range(len(f)):
                     try:
                         yield model(f.iloc[k : k + 1])
-                    except Exception:
-                        continue
+                    except Exception as e:
+                        row = {c: f[c].iloc[k] if c in f else None for c in columns}
+                        yield pd.DataFrame([row | ({"error": repr(e)} if "error" in columns else {})], columns=columns)
 
     return df.mapInPandas(run, schema)
 

@@ -172,3 +172,58 @@ def sequential_edges(nodes: DataFrame, reach: int = 2, name: str = "name", node:
     a = nodes.select(F.col(name).alias("name"), F.col(node).alias("src"))
     wide = a.withColumn("dst", F.explode(F.sequence(F.col("src") - reach, F.col("src") + reach))).filter("src <> dst")
     return wide.join(nodes.select(F.col(name).alias("name"), F.col(node).alias("dst")), ["name", "dst"], "left_semi").select("name", "src", "dst")
+
+
+def decoding_order(df: DataFrame, name: str, pos: str, mask: Column, noise: Column) -> DataFrame:
+    """df with rank from 0: places in the order of (mask + 1e-4) * |noise|, so that masked-out (fixed) places come first."""
+    w = Window.partitionBy(name).orderBy((mask.cast("double") + 1e-4) * F.abs(noise), pos)
+    return df.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def alignment_index(df: DataFrame, name: str, pos: str, observed: Column) -> DataFrame:
+    """df with index: for each place, how many observed ones come before it; null where it is not observed."""
+    w = Window.partitionBy(name).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("index", F.when(observed, F.sum(observed.cast("int")).over(w) - 1))
+
+
+def radius_edges(nodes: DataFrame, radius: float, name: str = "name", node: str = "node", xyz: str = "xyz", apart: int = 0) -> DataFrame:
+    """(name, src, dst, dist): ordered pairs within a radius, at least `apart` places apart. Nodes of a structure are bounded."""
+    a = nodes.select(F.col(name).alias("name"), F.col(node).alias("src"), F.col(xyz).alias("p"))
+    b = nodes.select(F.col(name).alias("name"), F.col(node).alias("dst"), F.col(xyz).alias("q"))
+    both = a.join(b, "name").filter((F.col("src") != F.col("dst")) & (F.abs(F.col("src") - F.col("dst")) >= apart))
+    return both.select("name", "src", "dst", F.sqrt(sqdist("p", "q")).alias("dist")).filter(F.col("dist") < radius)
+
+
+def atom_pair_distances(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The distance of every atom of one residue to every atom of another (25 for a backbone with the virtual C-beta)."""
+    return {f"{x}_{y}": F.sqrt(sqdist(a[x], b[y]) + 1e-6) for x in a for y in b}
+
+
+def local_frame(ca0: Column, ca1: Column, ca2: Column) -> list[Column]:
+    """Rows of the rotation of a C-alpha trace at its middle: the bisector, the normal, and their cross product."""
+    u, v = _unit(_minus(ca1, ca0)), _unit(_minus(ca2, ca1))
+    b, n = _unit(_minus(u, v)), _unit(_cross(u, v))
+    return [b, n, _cross(b, n)]
+
+
+def quaternion(r: list[Column]) -> Column:
+    """(x, y, z, w), of length 1, of a rotation given by its rows."""
+    g = lambda i, j: F.get(r[i], j)
+    xx, yy, zz = g(0, 0), g(1, 1), g(2, 2)
+    sizes = [0.5 * F.sqrt(F.abs(1 + s)) for s in (xx - yy - zz, -xx + yy - zz, -xx - yy + zz)]
+    signs = [F.signum(g(2, 1) - g(1, 2)), F.signum(g(0, 2) - g(2, 0)), F.signum(g(1, 0) - g(0, 1))]
+    w = F.sqrt(F.greatest(1 + xx + yy + zz, F.lit(0.0))) / 2
+    return _unit(F.array(*(s * z for s, z in zip(signs, sizes, strict=True)), w))
+
+
+def tied_features(residues: DataFrame, designed: DataFrame) -> DataFrame:
+    """One row per residue of residues(name, chain, pos, ...) in the model's order: designed chains first, then visible ones, each sorted.
+
+    Adds chain_no (from 1), place (from 0, over the structure), residue_index (100 more for each chain before) and mask (1 where designed).
+    designed: (name, chain). Structures are bounded groups.
+    """
+    marked = residues.join(designed.select("name", "chain").distinct().withColumn("mask", F.lit(1)), ["name", "chain"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    w = Window.partitionBy("name")
+    number = F.dense_rank().over(w.orderBy(F.desc("mask"), "chain"))
+    place = F.row_number().over(w.orderBy(F.desc("mask"), "chain", "pos")) - 1
+    return marked.withColumns({"chain_no": number, "place": place, "residue_index": 100 * (number - 1) + place})

@@ -324,7 +324,7 @@ def quantile_heuristic(spark, sf_dir):
 @query(f"WITH {E_SQL} SELECT round(quantile_cont(d, 0.5), 6) AS sigma FROM (SELECT unnest([sqrt({sq('a.x', 'b.x')}), sqrt({sq('a.y', 'b.y')}), sqrt({sq('a.x', 'b.y')}), sqrt({sq('b.x', 'a.y')})]) AS d {BAND5})")
 def mmd_median_union(spark, sf_dir):
     d = bandwidth.union_distances(pairs.superdiagonals(samples(spark, sf_dir).select("i", "x", "y"), 5))
-    return d.agg(F.percentile("d", F.lit(0.5)).alias("sigma")).select(rounded("sigma").alias("sigma"))
+    return bandwidth.exact_quantile(d).select(rounded("sigma").alias("sigma"))
 
 
 @query(f"WITH {E_SQL}, d AS (SELECT a.i, unnest(a.points) AS p, b.points AS r {ADJACENT}), d2 AS (SELECT i, p, unnest(r) AS r FROM d) SELECT round(quantile_cont(m, 0.5), 6) AS sigma FROM (SELECT i, quantile_cont(sqrt({sq('p', 'r')}), 0.5) AS m FROM d2 GROUP BY i)")

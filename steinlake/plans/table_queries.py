@@ -9,7 +9,7 @@ from ..functions import kernels as K
 from ..functions import sequences as Q
 from ..functions.arrays import hamming, rounded, sqdist
 from ..functions.chi_square import gaussian_median
-from ..operators import alignment, constraints, dataset, metrics, pairs, particles, structure
+from ..operators import alignment, bandwidth, constraints, dataset, metrics, pairs, particles, structure
 from ..operators import statistics as S
 from ..sources import sequences as sequence_files
 from ..sources import writers
@@ -78,10 +78,10 @@ def omit_and_gaps(spark, sf_dir):
 # Metadata, alignment and sampling.
 
 
-@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size = 10")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
 def cath_like_filter(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    return dataset.where_equal(p, {"p_brand": p.agg(F.min("p_brand")).first()[0], "p_size": 10}).select("p_partkey", "p_name", "p_retailprice")
+    o = read(spark, sf_dir, "orders")
+    return dataset.where_equal(o, {"o_orderstatus": "F", "o_orderpriority": o.agg(F.min("o_orderpriority")).first()[0]}).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_custkey, CAST(sum(CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS size FROM orders GROUP BY 1 HAVING sum(CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END) > 5")
@@ -435,7 +435,7 @@ def gauss_bandwidth(spark, sf_dir):
     """The bandwidth of Gaussian models: the median over neighbours of the median distance under their mixture (a root of a series)."""
     p = pairs.adjacent(samples(spark, sf_dir).select("i", "mu", "s"))
     d = gaussian_median(F.size("a_mu"), F.col("a_s"), F.col("b_s"), sqdist("a_mu", "b_mu"))
-    return p.select(d.alias("d")).agg(F.percentile("d", F.lit(0.5)).alias("sigma"))
+    return bandwidth.exact_quantile(p.select(d.alias("d")))
 
 
 @query()

@@ -5,9 +5,12 @@ A file is small and parsed whole in one Arrow row; .gz files are opened by the t
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,13 +112,20 @@ def operation_numbers(expression: str) -> list[str]:
     return out
 
 
+def operation_products(expression: str) -> list[tuple[str, ...]]:
+    """The factors of every operation of an expression: (1-2)(3) is 1 after 3, and 2 after 3."""
+    factors = re.findall(r"\([^)]*\)", expression)
+    return list(itertools.product(*map(operation_numbers, factors if len(factors) > 1 else [expression])))
+
+
 def _transforms(name: str, c: dict) -> list[tuple]:
-    by_id = {r["id"]: r for r in c.get("_pdbx_struct_oper_list", [])}
+    by_id = {r["id"]: np.array([[float(r[f"matrix[{i}][{j}]"]) for j in (1, 2, 3)] + [float(r[f"vector[{i}]"])] for i in (1, 2, 3)] + [[0.0, 0.0, 0.0, 1.0]]) for r in c.get("_pdbx_struct_oper_list", [])}
     out = []
     for g in c.get("_pdbx_struct_assembly_gen", []):
-        for n in operation_numbers(g["oper_expression"]):
-            if r := by_id.get(n):
-                out.append((name, g["assembly_id"], g["asym_id_list"], n, [[float(r[f"matrix[{i}][{j}]"]) for j in (1, 2, 3)] for i in (1, 2, 3)], [float(r[f"vector[{i}]"]) for i in (1, 2, 3)]))
+        for factors in operation_products(g["oper_expression"]):
+            if all(n in by_id for n in factors):
+                whole = functools.reduce(np.matmul, (by_id[n] for n in factors))
+                out.append((name, g["assembly_id"], g["asym_id_list"], "x".join(factors), whole[:3, :3].tolist(), whole[:3, 3].tolist()))
     return out
 
 

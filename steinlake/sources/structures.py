@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.dataset import alphabet_report
+
 #: Three-letter and one-letter names of the residues.
 RESIDUES = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
@@ -82,3 +84,15 @@ def read_structure_lines(spark: SparkSession, path: str, alphabet: str = "ACDEFG
     rows = spark.read.text(path).select(F.from_json("value", schema).alias("r"), F.col("value").alias("json"))
     kept = rows.select("r.*", "json").filter(F.col("seq").rlike(f"^[{alphabet}]*$") & (F.length("seq") <= longest))
     return kept
+
+
+def structure_discards(spark: SparkSession, path: str, alphabet: str = "ACDEFGHIKLMNPQRSTVWYX-", longest: int = 100) -> DataFrame:
+    """(reason, n) of JSON-lines structures: kept, or discarded for their letters or their length."""
+    rows = spark.read.text(path).select(F.get_json_object("value", "$.seq").alias("seq"))
+    return alphabet_report(rows, "seq", alphabet, longest)
+
+
+def listed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(name) of the files under a path that match, without their suffix; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return found.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("name"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,32 @@ def write_fasta(records: DataFrame, path: str, header: str = "header", sequence:
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
+
+
+def joined_lines(rows: DataFrame, name: str, order: list[str], line: Column) -> DataFrame:
+    """(name, text): one file's lines in an explicit order. A file is one structure, a bounded group."""
+    one = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).alias("_lines"))
+    return one.select(name, F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n").alias("text"))
+
+
+def write_named(files: DataFrame, folder: str, suffix: str) -> str:
+    """Writes each row of files(name, text) as the file name + suffix of the folder, and returns the folder.
+
+    A repeated task writes the same bytes under the same name again.
+    """
+    spark = files.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for f in frames:
+            for name, text in zip(f["name"], f["text"], strict=True):
+                with store.open_output_stream(f"{root}/{name}{suffix}") as out:
+                    out.write((text + "\n").encode())
+            yield pd.DataFrame({"n": [len(f)]})
+
+    files.select("name", "text").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    return folder

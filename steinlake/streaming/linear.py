@@ -1,4 +1,8 @@
-"""A linear-time statistic kept up to date over a stream: sums of h and h^2 and a count are all its state."""
+"""A linear-time statistic kept up to date over a stream: sums of h and h^2, a count, and rows whose neighbour has not come yet.
+
+Neighbours are rows 2k and 2k + 1. A row whose neighbour is not in its micro-batch is carried to the next one, so results do not
+depend on where batches are cut; at most the rows that still wait are kept.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,13 @@ from ..operators import null, pairs
 from ..operators.statistics import Statistic
 
 
+def unpaired(rows: DataFrame) -> DataFrame:
+    """The rows whose neighbour is not among them."""
+    pair = F.floor(F.col("i") / 2)
+    alone = rows.groupBy(pair.alias("_pair")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("_pair")
+    return rows.withColumn("_pair", pair).join(alone, "_pair", "left_semi").drop("_pair")
+
+
 def batch_sums(rows: DataFrame, statistic: Statistic) -> DataFrame:
     """One row of sums of a micro-batch: its disjoint neighbours by the index i."""
     h = pairs.adjacent(rows).select(statistic.expr().alias("h"))
@@ -16,10 +27,14 @@ def batch_sums(rows: DataFrame, statistic: Statistic) -> DataFrame:
 
 
 def start(stream: DataFrame, statistic: Statistic, path: str, checkpoint: str):
-    """Writes each micro-batch's sums under its number, so that a repeated batch replaces itself."""
+    """Writes each micro-batch's sums and waiting rows under its number, so that a repeated batch replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch_sums(batch, statistic).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch
+        if number > 0:
+            rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}-waiting/batch={number - 1}"))
+        batch_sums(rows, statistic).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        unpaired(rows).write.mode("overwrite").parquet(f"{path}-waiting/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from steinlake.plans import queries, table_queries  # noqa: F401
+from steinlake.plans import feature_queries, file_queries, queries, table_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
-#: Over a hundred draws for each of 125,000 pairs in SQL: compared once, in the test of the bootstrap below.
+#: A hundred draws for each of 125,000 pairs in SQL, as in wild_bootstrap_complete: held against that query's draws below.
 SLOW = {"mmd_test_full"}
 
 
@@ -48,3 +48,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["m", "val", "quantile", "reject"]
+
+
+def test_full_test_from_its_draws(spark):
+    """The complete test is its statistic against the quantile of the draws that wild_bootstrap_complete returns."""
+    import numpy as np
+
+    out = queries.QUERIES["mmd_test_full"](spark, SF).first()
+    val = queries.QUERIES["mmd_complete"](spark, SF).first()["val"]
+    h0 = np.array([r.v for r in queries.QUERIES["wild_bootstrap_complete"](spark, SF).collect()])
+    assert out.val == pytest.approx(val, abs=2e-6) and out.quantile == pytest.approx(np.quantile(h0, 0.95), abs=2e-6)
+    assert out.p_value == pytest.approx(np.mean(h0 > val), abs=0.011) and out.reject == (out.val > out.quantile)
