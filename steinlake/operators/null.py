@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.randomness import sign
 
 
-def wild_bootstrap(pairs: DataFrame, draws: int, seed: str) -> DataFrame:
-    """(b, v): for each draw, the mean of e_i e_j h over pairs(a_i, b_i, h). Signs are hashes, so nothing is joined to get them."""
-    wide = pairs.select("a_i", "b_i", "h", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    signed = F.col("h") * sign(seed, F.col("b"), F.col("a_i")) * sign(seed, F.col("b"), F.col("b_i"))
-    return wide.groupBy("b").agg(F.avg(signed).alias("v"))
+def with_signs(rows: DataFrame, draws: int, seed: str) -> DataFrame:
+    """rows(i, ...) with e: the signs of all draws, hashed once per row and not once per pair."""
+    return rows.withColumn("e", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: sign(seed, b, F.col("i")).cast("byte")))
+
+
+def wild_bootstrap(pairs: DataFrame) -> DataFrame:
+    """(b, v, val, m): for each draw, the mean of e_i e_j h over pairs(h, a_e, b_e), and the mean and number of h. A partition keeps one sum for each draw."""
+    signed = F.zip_with("a_e", "b_e", lambda x, y: x * y)
+    wide = pairs.select("h", F.posexplode(signed).alias("b", "e"))
+    return wide.groupBy("b").agg(F.avg(F.col("h") * F.col("e")).alias("v"), F.avg("h").alias("val"), F.count("h").alias("m"))
+
+
+def bootstrap_row(pairs: DataFrame) -> DataFrame:
+    """One row (m, val, h0) of the draws in order."""
+    draws = F.transform(F.array_sort(F.collect_list(F.struct("b", "v"))), lambda x: x["v"])
+    return wild_bootstrap(pairs).agg(F.max("m").alias("m"), F.max("val").alias("val"), draws.alias("h0"))
 
 
 def analytic_quantile(alpha: float, mean_h2: Column, m: Column) -> Column:

@@ -1,25 +1,26 @@
 """Complete statistics in tiles: blocks of rows meet, and each pair of blocks returns a few sums.
 
-The statistic is defined over all pairs, so the work is quadratic; what moves is not. Rows are packed into blocks of BLOCK,
-a block is sent to the blocks it meets, a tile is one matrix product or two in a task, and a tile's result is one short row:
-no row per pair ever exists, and neither a block nor a tile grows with the input.
+The statistic is defined over all pairs, so the work is quadratic; what moves is far less. Rows are packed into blocks of BLOCK,
+and up to GROUP blocks are a side of a tile: a task gets the blocks of two sides once, and does all their matrix products, so a block is
+sent only to as many tiles as there are sides. A tile's result is one short row: no row per pair ever exists, and neither a block nor a
+tile grows with the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .statistics import Statistic
 
 BLOCK = 512
+#: Blocks of a tile's side at most, and sides that there should be at least, so that small inputs are spread too.
+GROUP, SIDES = 16, 8
 
 
 @lru_cache(maxsize=64)
@@ -30,7 +31,7 @@ def _signs(seed: str, draws: int, ids: tuple) -> np.ndarray:
 
 
 def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:
-    """(n_pairs, sum_h, sum_h2, boot) per tile. rows: i and the statistic's columns; boot[b] is the sum of e_i e_j h over i < j."""
+    """(n_pairs, sum_h, sum_h2, boot) per tile of two sides. rows: i and the statistic's columns; boot[b] is the sum of e_i e_j h over i < j."""
     wide = {c: kind for c, kind in rows.dtypes if c in statistic.needs}
     parts = [F.col(c).cast("array<double>") if "array" in wide[c] else F.array(F.col(c).cast("double")) for c in statistic.needs]
     sizes = F.array(*(F.size(p) for p in parts))
@@ -42,33 +43,39 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
 
     blocks = packed.groupBy("block").applyInPandas(pack, "block long, ids array<long>, sizes array<int>, data binary").checkpoint()
     count = int(blocks.agg(F.max("block")).first()[0] or 0) + 1
-    left = blocks.select(*(F.col(c).alias(f"a_{c}") for c in blocks.columns), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("b_block"))
-    right = blocks.select(*(F.col(c).alias(f"b_{c}") for c in blocks.columns))
-    both = left.join(right, "b_block").select("a_block", "a_ids", "a_sizes", "a_data", "b_block", "b_ids", "b_sizes", "b_data")
-    schema = pa.schema([("n_pairs", pa.int64()), ("sum_h", pa.float64()), ("sum_h2", pa.float64()), ("boot", pa.list_(pa.float64()))])
-
-    def unpack(row: dict, side: str) -> dict[str, np.ndarray]:
-        m = np.frombuffer(row[f"{side}_data"], "<f8").reshape(len(row[f"{side}_ids"]), -1)
-        cut = np.cumsum(row[f"{side}_sizes"])[:-1]
+    group = max(1, min(GROUP, count // SIDES))
+    sides = -(-count // group)
+    side = F.floor(F.col("block") / group).cast("long")
+    # Each block goes once to every tile that its side is part of.
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda k: F.struct(F.least(side, k.cast("long")).alias("low"), F.greatest(side, k.cast("long")).alias("high")))
+    dealt = blocks.select("*", F.explode(tiles).alias("t")).select("block", "ids", "sizes", "data", "t.low", "t.high")
+
+    def unpack(row) -> dict[str, np.ndarray]:
+        m = np.frombuffer(row.data, "<f8").reshape(len(row.ids), -1)
+        cut = np.cumsum(row.sizes)[:-1]
         return {c: x if "array" in wide[c] else x[:, 0] for c, x in zip(statistic.needs, np.split(m, cut, axis=1), strict=True)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h = statistic.block(unpack(row, "a"), unpack(row, "b"))
-                n = h.size
-                if row["a_block"] == row["b_block"]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r, unpack(r), _signs(seed, draws, tuple(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]
+        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
+        n, total, squares, boot = 0, 0.0, 0.0, np.zeros(draws)
+        for a, x, ea in rows:
+            for b, y, eb in rows:
+                if a.block > b.block or a.block // group != low or b.block // group != high:
+                    continue
+                h = statistic.block(x, y)
+                n += h.size if a.block < b.block else len(h) * (len(h) - 1) // 2
+                if a.block == b.block:
                     h = np.triu(h, 1)
-                    n = len(h) * (len(h) - 1) // 2
-                boot = []
+                total += float(h.sum())
+                squares += float((h * h).sum())
                 if draws:
-                    ea, eb = (_signs(seed, draws, tuple(row[f"{s}_ids"])) for s in "ab")
-                    boot = ((ea @ h) * eb).sum(1).tolist()
-                yield pa.RecordBatch.from_pylist([{"n_pairs": n, "sum_h": float(h.sum()), "sum_h2": float((h * h).sum()), "boot": boot}], schema=schema)
+                    boot += ((ea @ h) * eb).sum(1)
+        return pd.DataFrame({"n_pairs": [n], "sum_h": [total], "sum_h2": [squares], "boot": [boot]})
 
     # A tile is much work for few bytes: the number of tasks follows the tiles.
-    dealt = both.repartition(max(1, min(100_000, count * (count + 1) // 2)), "a_block", "b_block")
-    return dealt.mapInArrow(run, "n_pairs long, sum_h double, sum_h2 double, boot array<double>")
+    spread = dealt.repartition(max(1, min(100_000, sides * (sides + 1) // 2)), "low", "high")
+    return spread.groupBy("low", "high").applyInPandas(run, "n_pairs long, sum_h double, sum_h2 double, boot array<double>")
 
 
 def complete(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:

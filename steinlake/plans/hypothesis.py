@@ -29,9 +29,9 @@ class TestConfig:
 
 
 def pair_values(rows: DataFrame, statistic: S.Statistic, diagonals: int) -> DataFrame:
-    """(a_i, b_i, h) over neighbours or super-diagonals: linear in the rows."""
+    """(a_i, b_i, h) over neighbours or super-diagonals: linear in the rows. Signs e of the rows are kept as a_e and b_e."""
     chosen = pairs.adjacent(rows) if diagonals == 1 else pairs.superdiagonals(rows, diagonals)
-    return chosen.select("a_i", "b_i", statistic.expr().alias("h"))
+    return chosen.select("a_i", "b_i", statistic.expr().alias("h"), *(c for c in ("a_e", "b_e") if c in chosen.columns))
 
 
 def unbiased_estimate(rows: DataFrame, statistic: S.Statistic, config: TestConfig = TestConfig()) -> DataFrame:
@@ -51,12 +51,8 @@ def run_test(rows: DataFrame, statistic: S.Statistic, config: TestConfig = TestC
         return x.select("m", "val", q.alias("quantile"), null.upper_tail(z).alias("p_value"), (F.col("val") > q).alias("reject"))
     if config.diagonals is None:
         return null.decide(tiles.complete(rows, statistic, config.num_permutations, config.seed), config.alpha)
-    h = pair_values(rows, statistic, config.diagonals)
-    wide = h.select("h", F.explode(F.sequence(F.lit(0), F.lit(config.num_permutations - 1))).alias("b"), "a_i", "b_i")
-    sign = null.sign(config.seed, F.col("b"), F.col("a_i")) * null.sign(config.seed, F.col("b"), F.col("b_i"))
-    draws = wide.groupBy("b").agg(F.avg(F.col("h") * sign).alias("v"), F.avg("h").alias("val"), F.count("h").alias("m"))
-    one = draws.agg(F.max("m").alias("m"), F.max("val").alias("val"), F.transform(F.array_sort(F.collect_list(F.struct("b", "v"))), lambda x: x["v"]).alias("h0"))
-    return null.decide(one, config.alpha)
+    h = pair_values(null.with_signs(rows, config.num_permutations, config.seed), statistic, config.diagonals)
+    return null.decide(null.bootstrap_row(h), config.alpha)
 
 
 def median_bandwidth(rows: DataFrame, n: int, column: str, config: TestConfig = TestConfig()) -> float:

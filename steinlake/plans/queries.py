@@ -292,8 +292,8 @@ v AS MATERIALIZED (SELECT b, avg(h * ({SIGN.format(seed='0', i='ai')}) * ({SIGN.
 
 @query(BOOT_BAND_SQL + " SELECT b::INTEGER AS b, round(v, 6) + 0.0 AS v FROM v")
 def wild_bootstrap_incomplete(spark, sf_dir):
-    h = H.pair_values(samples(spark, sf_dir).select("i", "x", "y"), S.mmd(), 5)
-    return null.wild_bootstrap(h, 100, "0").select("b", rounded("v").alias("v"))
+    h = H.pair_values(null.with_signs(samples(spark, sf_dir).select("i", "x", "y"), 100, "0"), S.mmd(), 5)
+    return null.wild_bootstrap(h).select("b", rounded("v").alias("v"))
 
 
 @query(BOOT_COMPLETE_SQL + ", o AS (SELECT avg(h) AS val, count(*) AS m FROM h) SELECT (SELECT m FROM o) AS m, (SELECT round(val, 6) + 0.0 FROM o) AS val, round(quantile_cont(v, 0.95), 6) + 0.0 AS quantile, round(avg(CASE WHEN v > (SELECT val FROM o) THEN 1.0 ELSE 0.0 END), 6) AS p_value, (SELECT val FROM o) > quantile_cont(v, 0.95) AS reject FROM v")

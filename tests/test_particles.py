@@ -59,7 +59,7 @@ def test_autoregressive_particles(spark):
     assert np.mean(lengths) == pytest.approx(0.6 / 0.4, abs=0.1) and {t for r in got for s in r.sequences for t in s} == {0, 1}
 
 
-def test_external_model_leaves_failing_rows_out(spark):
+def test_external_model_gives_failing_rows_as_nulls(spark):
     def load():
         def model(f: pd.DataFrame) -> pd.DataFrame:
             if (f["i"] == 3).any():
@@ -69,4 +69,4 @@ def test_external_model_leaves_failing_rows_out(spark):
         return model
 
     got = particles.external(spark.range(6).withColumnRenamed("id", "i"), load, "i long, nll double").collect()
-    assert {r.i: r.nll for r in got} == {i: i * 0.5 for i in range(6) if i != 3}
+    assert {r.i: r.nll for r in got} == {i: None if i == 3 else i * 0.5 for i in range(6)}

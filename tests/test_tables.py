@@ -150,3 +150,51 @@ def test_stream_equals_batch(spark, tmp_path):
 
     a, b = linear.current(spark, str(tmp_path / "out")).first(), H.run_test(rows, S.mmd(), H.TestConfig(diagonals=1)).first()
     assert a.m == b.m == 10 and a.val == pytest.approx(b.val) and a.quantile == pytest.approx(b.quantile)
+
+
+def test_stream_carries_rows_over_batch_borders(spark, tmp_path):
+    """A pair whose rows come in different micro-batches counts as in one table, however far apart they come."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, rng.normal(size=2).tolist(), rng.normal(size=2).tolist()) for i in range(21)], "i long, x array<double>, y array<double>")
+    for k, part in enumerate(("i < 7", "i >= 7 and i < 10 or i = 13", "i >= 10 and i <> 13 and i < 20", "i = 20")):
+        rows.filter(part).coalesce(1).write.mode("append" if k else "error").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = linear.start(stream, S.mmd(), str(tmp_path / "out"), str(tmp_path / "check"))
+    q.processAllAvailable()
+    q.stop()
+    from steinlake.plans import hypothesis as H
+
+    a, b = linear.current(spark, str(tmp_path / "out")).first(), H.run_test(rows, S.mmd(), H.TestConfig(diagonals=1)).first()
+    assert a.m == b.m == 10 and a.val == pytest.approx(b.val) and a.quantile == pytest.approx(b.quantile)
+
+
+def test_quantile_by_counting(spark, monkeypatch):
+    from steinlake.operators import bandwidth
+
+    monkeypatch.setattr(bandwidth, "SORTED", 20)
+    monkeypatch.setattr(bandwidth, "BINS", 7)
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.exponential(size=500), np.full(200, 0.7), [1e6]])
+    rows = spark.createDataFrame([(float(v),) for v in values], "d double").persist()
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert bandwidth.exact_quantile(rows, q).first()[0] == pytest.approx(np.quantile(values, q))
+    assert bandwidth.exact_quantile(rows.limit(0)).first()[0] is None
+
+
+def test_missing_lookup_stops(spark):
+    rows = spark.createDataFrame([("x", 1), ("y", 2)], "name string, n int")
+    d = spark.createDataFrame([("x", 5.0)], "name string, v double")
+    with pytest.raises(Exception, match="no entry for y"):
+        dataset.looked_up(rows, d, ["name"], "v").collect()
+
+
+def test_quaternions_of_frames(spark):
+    t = 0.6
+    r = [[np.cos(t), -np.sin(t), 0.0], [np.sin(t), np.cos(t), 0.0], [0.0, 0.0, 1.0]]
+    q = spark.range(1).select(structure.quaternion([F.array(*map(F.lit, map(float, x))) for x in r])).first()[0]
+    assert q == pytest.approx([0, 0, np.sin(t / 2), np.cos(t / 2)], abs=1e-7)
+    rng = np.random.default_rng(9)
+    p = rng.normal(size=(3, 3))
+    frame = spark.range(1).select(*(c.alias(f"r{k}") for k, c in enumerate(structure.local_frame(*(F.array(*map(F.lit, map(float, x))) for x in p))))).first()
+    m = np.array([list(x) for x in frame])
+    assert m @ m.T == pytest.approx(np.eye(3), abs=1e-9) and np.linalg.det(m) == pytest.approx(1)
