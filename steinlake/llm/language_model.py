@@ -119,8 +119,13 @@ def grams(raw: np.ndarray, offs: np.ndarray, order: int, bits: int) -> tuple[lis
 def distinct(found: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of all orders, sorted, with their counts; one order at a time, which needs less memory."""
     parts = [np.unique(f[place >= n], return_counts=True) for n, f in enumerate(found)]
-    keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(of, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")  # merges the orders' sorted runs
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def _range_bits(entries: int) -> int:
