@@ -27,7 +27,7 @@ def read_fasta(spark: SparkSession, path: str, limit: int | None = None, omit: s
 
 
 def header_field(header: Column, name: str) -> Column:
-    """A field of a design header, such as score=1.5874."""
+    """A field of a design header, such as score=2.25."""
     return F.nullif(F.regexp_extract(header, rf"(?:^|, ){name}=(\[[^\]]*\]|[^,]*)", 1), F.lit(""))
 
 
