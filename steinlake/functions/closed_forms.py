@@ -6,7 +6,9 @@ p - delta. Sequences are compared by exp(-lam * Hamming), the shorter padded wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +37,22 @@ def discrepancy(p: Column, delta: Column, lam: float) -> Column:
 def discrepancy_pair(p: Column, q: Column, delta: Column, lam: float) -> Column:
     """Two conditions with parameters p and q."""
     return two_conditions(p, q, delta, F.exp(F.lit(-lam)))
+
+
+def sequence_models_mmd2(p: Column, q: Column, delta: Column, lam: float) -> Column:
+    """Squared discrepancy of two perturbed sequence models, under the kernel of sequences.
+
+    With both first tokens perturbed, equal letters gain 2 delta^2 and different ones lose as much: the tail times 1 + 2 delta^2 (1 - w).
+    """
+    w = F.exp(F.lit(-lam))
+    return (1 + 2 * delta * delta * (1 - w)) * (tail(p, p, w) + tail(q, q, w) - 2 * tail(p, q, w))
+
+
+def composite(grid: DataFrame, delta: Column, lam: float, kernel: Callable[[Column, Column], Column]) -> DataFrame:
+    """(discrepancy): the discrepancy over all pairs of conditions, of grid(p, n): a condition's parameter and its count.
+
+    kernel(p, q) is a kernel on conditions, or on the models themselves (calibration). The grid is a bounded list of parameters.
+    """
+    cells = grid.agg(F.collect_list(F.struct("p", "n")).alias("g")).select("g", F.explode("g").alias("a")).select("a", F.explode("g").alias("b"))
+    p, q, w = F.col("a.p"), F.col("b.p"), F.col("a.n") * F.col("b.n")
+    return cells.agg((F.sum(w * kernel(p, q) * discrepancy_pair(p, q, delta, lam)) / F.sum(w)).alias("discrepancy"))

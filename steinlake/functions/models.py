@@ -30,6 +30,11 @@ def mmd2(m1, s1, m2, s2, sk: float) -> Column:
     return expect_both(m1, s1, m1, s1, sk) + expect_both(m2, s2, m2, s2, sk) - 2 * expect_both(m1, s1, m2, s2, sk)
 
 
+def mmd(m1, s1, m2, s2, sk: float) -> Column:
+    """Its root; a square below zero by rounding counts as zero."""
+    return F.sqrt(F.greatest(mmd2(m1, s1, m2, s2, sk), F.lit(0.0)))
+
+
 def wasserstein2(m1, s1, m2, s2) -> Column:
     """Squared 2-Wasserstein distance of two isotropic Gaussians."""
     return sqdist(m1, m2) + _size(m1) * (s1 - s2) * (s1 - s2)
@@ -72,3 +77,19 @@ def particles_one(points, y, kernel) -> Column:
 def particles_both(p, q, kernel) -> Column:
     """E k(X, Y) over two sets of points."""
     return mean_over(p, lambda v: mean_over(q, lambda w: kernel.expr(v, w)))
+
+
+def gaussian_score(mu, s):
+    """The score function of a Gaussian model: x -> (mu - x) / s^2."""
+    return lambda x: F.zip_with(mu, x, lambda m, v: (m - v) / (s * s))
+
+
+def fisher_over(base, score_p, score_q) -> Column:
+    """The Fisher divergence of two score functions under a base measure of equally weighted samples (an array of points)."""
+    return mean_over(base, lambda x: sqdist(score_p(x), score_q(x)))
+
+
+def kernel_fisher_over(base, score_p, score_q, kernel) -> Column:
+    """Its kernelised form, over all pairs of the base samples; their number is bounded by whoever draws them."""
+    both = F.transform(base, lambda x: F.struct(x.alias("x"), F.zip_with(score_p(x), score_q(x), lambda u, v: u - v).alias("d")))
+    return mean_over(both, lambda u: mean_over(both, lambda v: kernel.expr(u["x"], v["x"]) * dot(u["d"], v["d"])))

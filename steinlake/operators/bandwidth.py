@@ -6,11 +6,14 @@ and again, and what is sorted at last has at most SORTED distances (or is one va
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sqdist
-
+from ..functions.kernels import Gaussian
+from .statistics import ModelKernel, exp_mmd_particles
 
 #: Distances that may be sorted in one task, and bins of a histogram.
 SORTED, BINS = 100_000, 4096
@@ -72,3 +75,15 @@ def median_of_medians(pairs: DataFrame, inner: float = 0.5, outer: float = 0.5)
     at = lambda k: F.get(F.col("d"), F.least(k, n - 1))
     inner_quantiles = pairs.select(d.alias("d")).select((at(low) + (at(low + 1) - at(low)) * (place - low)).alias("d"))
     return exact_quantile(inner_quantiles, outer)
+
+
+def tuned(kernel: ModelKernel, pairs: DataFrame, q: float = 0.5) -> ModelKernel:
+    """The kernel with the quantile of its distances over pairs as sigma; that scalar crosses the driver."""
+    distance = F.sqrt(F.greatest(kernel.squared(), F.lit(0.0)))
+    return replace(kernel, sigma=distance_quantile(pairs, distance, q).first()[0])
+
+
+def tuned_on_particles(pairs: DataFrame, q: float = 0.5) -> tuple[Gaussian, ModelKernel]:
+    """Both bandwidths of the exponential discrepancy of particle models: the kernel on points first, then that on models."""
+    ground = Gaussian(median_of_medians(pairs, q, q).first()[0])
+    return ground, tuned(exp_mmd_particles(ground), pairs, q)

@@ -34,6 +34,11 @@ def gaussian_particles(df: DataFrame, m: int, seed: str) -> DataFrame:
     return _rows(df, ["mu", "s"], lambda rng, v: np.asarray(v[0]) + v[1] * rng.normal(size=(m, len(v[0]))), seed)
 
 
+def base_samples(n: int, dimension: int, seed: str) -> list[list[float]]:
+    """n standard normal points for all rows to share, as a base measure. n is a parameter, so they travel in the plan."""
+    return generator(seed, 0).normal(size=(n, dimension)).tolist()
+
+
 def langevin_particles(df: DataFrame, columns: list[str], log_density: Callable[[np.ndarray, tuple], float], gradient: Callable[[np.ndarray, tuple], np.ndarray], dimension: int, m: int, seed: str, step: float = 0.1, warm_up: int = 10, adjusted: bool = True) -> DataFrame:
     """(i, points): m Langevin chains per row, run for warm_up steps from standard normal starts; MALA, or ULA if not adjusted.
 

@@ -32,6 +32,16 @@ class Statistic:
     expr: Callable[[], Column]
     block: Callable[[Rows, Rows], np.ndarray] | None = None
 
+    @property
+    def tiled(self) -> bool:
+        """Whether the complete form, in tiles, exists."""
+        return self.block is not None
+
+    @property
+    def on_particles(self) -> bool:
+        """Whether models enter as particles, so that any model that can be sampled will do."""
+        return "points" in self.needs
+
 
 def mmd(kernel=Gaussian(1.0)) -> Statistic:
     """k(x, x') + k(y, y') - k(x, y') - k(x', y)."""
@@ -89,14 +99,66 @@ def _own(m, s, sk) -> np.ndarray:
     return np.exp(-m.shape[1] * np.log1p(2 * s * s / sk**2) / 2)
 
 
+@dataclass(frozen=True)
+class ModelKernel:
+    """exp(-d / (2 sigma^2)) of the models of two rows, from a squared distance d; block: the matrix of d for two blocks."""
+
+    needs: tuple[str, ...]
+    squared: Callable[[], Column]
+    sigma: float = 1.0
+    block_squared: Callable[[Rows, Rows], np.ndarray] | None = None
+
+    def expr(self) -> Column:
+        return F.exp(-self.squared() / (2 * self.sigma**2))
+
+    def block(self, a: Rows, b: Rows) -> np.ndarray:
+        return np.exp(-self.block_squared(a, b) / (2 * self.sigma**2))
+
+
+def _models() -> list[Column]:
+    return [c(side, name) for side in "ab" for name in ("mu", "s")]
+
+
+def exp_mmd(sk: float = 1.0, sigma: float = 1.0) -> ModelKernel:
+    """By the discrepancy of Gaussian models under a Gaussian kernel, in closed form."""
+
+    def block(a: Rows, b: Rows) -> np.ndarray:
+        return _own(a["mu"], a["s"], sk)[:, None] + _own(b["mu"], b["s"], sk) - 2 * _both(a["mu"], a["s"], b["mu"], b["s"], sk)
+
+    return ModelKernel(("mu", "s"), lambda: M.mmd2(*_models(), sk), sigma, block)
+
+
+def exp_mmd_particles(k=Gaussian(1.0), sigma: float = 1.0) -> ModelKernel:
+    """By the discrepancy of particle models under any kernel on points."""
+    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma)
+
+
+def exp_wasserstein(sigma: float = 1.0) -> ModelKernel:
+    """By the 2-Wasserstein distance of Gaussian models."""
+    return ModelKernel(("mu", "s"), lambda: M.wasserstein2(*_models()), sigma, lambda a, b: squares(a["mu"], b["mu"]) + a["mu"].shape[1] * (a["s"][:, None] - b["s"]) ** 2)
+
+
+def exp_fisher(base: list[list[float]], sigma: float = 1.0, k=None, score=M.gaussian_score, needs: tuple[str, ...] = ("mu", "s")) -> ModelKernel:
+    """By the Fisher divergence under base samples that all pairs of rows share; kernelised, where a kernel k on points is given.
+
+    score(*model) gives the score function of a row's model, whose columns are named by needs.
+    """
+
+    def squared() -> Column:
+        p, q = (score(*(c(side, n) for n in needs)) for side in "ab")
+        points = F.lit(base)
+        return M.fisher_over(points, p, q) if k is None else M.kernel_fisher_over(points, p, q, k)
+
+    return ModelKernel(needs, squared, sigma)
+
+
 def model_kernel(sk: float, sigma: float) -> Column:
     """exp(-MMD^2 / (2 sigma^2)) of the Gaussian models of two rows."""
-    return F.exp(-M.mmd2(c("a", "mu"), c("a", "s"), c("b", "mu"), c("b", "s"), sk) / (2 * sigma**2))
+    return exp_mmd(sk, sigma).expr()
 
 
 def model_kernel_block(a: Rows, b: Rows, sk: float, sigma: float) -> np.ndarray:
-    d = _own(a["mu"], a["s"], sk)[:, None] + _own(b["mu"], b["s"], sk) - 2 * _both(a["mu"], a["s"], b["mu"], b["s"], sk)
-    return np.exp(-d / (2 * sigma**2))
+    return exp_mmd(sk, sigma).block(a, b)
 
 
 def _residual(sk: float) -> Column:
@@ -109,13 +171,21 @@ def _residual_block(a: Rows, b: Rows, sk: float) -> np.ndarray:
     return Gaussian(sk).block(a["y"], b["y"]) - _one(a["mu"], a["s"], b["y"], sk) - _one(b["mu"], b["s"], a["y"], sk).T + _both(a["mu"], a["s"], b["mu"], b["s"], sk)
 
 
-def skce(sk: float = 1.0, sigma: float = 1.0) -> Statistic:
-    """Calibration error with Gaussian models: k_p(p, p') times the kernel of the residuals of y under the models."""
-    return Statistic("skce", ("mu", "s", "y"), lambda: model_kernel(sk, sigma) * _residual(sk), lambda a, b: model_kernel_block(a, b, sk, sigma) * _residual_block(a, b, sk))
+def skce(sk: float = 1.0, sigma: float = 1.0, kernel: ModelKernel | None = None) -> Statistic:
+    """Calibration error with Gaussian models: k_p(p, p') times the kernel of the residuals of y under the models.
+
+    k_p is any kernel on models, and the exponential of their discrepancy where none is given.
+    """
+    kp = kernel or exp_mmd(sk, sigma)
+    block = (lambda a, b: kp.block(a, b) * _residual_block(a, b, sk)) if kp.block_squared else None
+    return Statistic("skce", tuple(dict.fromkeys((*kp.needs, "mu", "s", "y"))), lambda: kp.expr() * _residual(sk), block)
+
 
+def cgof(kx=Gaussian(1.0), sk: float = 1.0) -> Statistic:
+    """Conditional goodness of fit with Gaussian models: k_x(x, x') times the same residual term.
 
-def cgof(kx: Gaussian = Gaussian(1.0), sk: float = 1.0) -> Statistic:
-    """Conditional goodness of fit with Gaussian models: k_x(x, x') times the same residual term."""
+    k_x is any kernel on x, of sequences too. Tiles take x of one length, of numbers.
+    """
     return Statistic("cgof", ("x", "mu", "s", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _residual(sk), lambda a, b: kx.block(a["x"], b["x"]) * _residual_block(a, b, sk))
 
 
@@ -143,11 +213,12 @@ def particle_mmd2(k: Gaussian) -> Column:
     return M.particles_both(pa, pa, k) + M.particles_both(pb, pb, k) - 2 * M.particles_both(pa, pb, k)
 
 
-def skce_particles(k: Gaussian = Gaussian(1.0), sigma: float = 1.0) -> Statistic:
-    """Calibration error with particle models of a bounded number of points."""
-    return Statistic("skce_particles", ("points", "y"), lambda: F.exp(-particle_mmd2(k) / (2 * sigma**2)) * _particle_residual(k))
+def skce_particles(k: Gaussian = Gaussian(1.0), sigma: float = 1.0, kernel: ModelKernel | None = None) -> Statistic:
+    """Calibration error with particle models of a bounded number of points; the kernel on models as in skce."""
+    kp = kernel or exp_mmd_particles(k, sigma)
+    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k))
 
 
-def cgof_particles(kx: Gaussian = Gaussian(1.0), k: Gaussian = Gaussian(1.0)) -> Statistic:
+def cgof_particles(kx=Gaussian(1.0), k: Gaussian = Gaussian(1.0)) -> Statistic:
     """Conditional goodness of fit with particle models."""
     return Statistic("cgof_particles", ("x", "points", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _particle_residual(k))

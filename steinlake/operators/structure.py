@@ -158,6 +158,15 @@ def promote_identical(chains: DataFrame, keys: list[str], seq: str = "seq", mask
     return out.withColumn(masked, F.col(masked) | F.coalesce("_h", F.lit(False))).drop("_h")
 
 
+def assemblies_with(assemblies: DataFrame, wanted: DataFrame, chain: str = "chain", chains: str = "chains") -> DataFrame:
+    """Rows of assemblies(name, chains, ...), chains being a comma list, that hold a wanted (name, chain), once for each such chain.
+
+    The lists are opened and joined by equality, so a list is read once whatever is wanted.
+    """
+    opened = assemblies.withColumn(chain, F.explode(F.array_distinct(F.transform(F.split(chains, ","), lambda c: F.trim(c)))))
+    return opened.join(wanted.select("name", chain).distinct(), ["name", chain])
+
+
 def edge_union(*edges: DataFrame) -> DataFrame:
     """One edge table of several (spatial, nearest, sequential), each (name, src, dst) once with its kinds."""
     out = None

@@ -32,6 +32,8 @@ def _signs(seed: str, draws: int, ids: tuple) -> np.ndarray:
 
 def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:
     """(n_pairs, sum_h, sum_h2, boot) per tile of two sides. rows: i and the statistic's columns; boot[b] is the sum of e_i e_j h over i < j."""
+    if not statistic.tiled:
+        raise ValueError(f"{statistic.name} has no form over blocks; use diagonals")
     wide = {c: kind for c, kind in rows.dtypes if c in statistic.needs}
     parts = [F.col(c).cast("array<double>") if "array" in wide[c] else F.array(F.col(c).cast("double")) for c in statistic.needs]
     sizes = F.array(*(F.size(p) for p in parts))

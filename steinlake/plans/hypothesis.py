@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Gaussian
-from ..operators import bandwidth, null, pairs, tiles
+from ..operators import bandwidth, null, pairs, particles, tiles
 from ..operators import statistics as S
 
 
@@ -27,6 +27,11 @@ class TestConfig:
 
     __test__ = False
 
+    @property
+    def has_analytic_null(self) -> bool:
+        """Whether the null quantile has a closed form: only over disjoint neighbours, whose terms are independent."""
+        return self.diagonals == 1 and self.analytic
+
 
 def pair_values(rows: DataFrame, statistic: S.Statistic, diagonals: int) -> DataFrame:
     """(a_i, b_i, h) over neighbours or super-diagonals: linear in the rows. Signs e of the rows are kept as a_e and b_e."""
@@ -44,7 +49,7 @@ def unbiased_estimate(rows: DataFrame, statistic: S.Statistic, config: TestConfi
 
 def run_test(rows: DataFrame, statistic: S.Statistic, config: TestConfig = TestConfig()) -> DataFrame:
     """One row: m, val, quantile, p_value, reject (and for bootstrap tests p_value_plus1, num_permutations, h0)."""
-    if config.diagonals == 1 and config.analytic:
+    if config.has_analytic_null:
         x = unbiased_estimate(rows, statistic, config)
         q = null.analytic_quantile(config.alpha, F.col("mean_h2"), F.col("m"))
         z = F.col("val") / (F.sqrt("mean_h2") / F.sqrt("m"))
@@ -77,9 +82,20 @@ def kccsd_test(rows: DataFrame, config: TestConfig = TestConfig()) -> DataFrame:
     return run_test(rows, S.kccsd(), config)
 
 
-def skce_test(rows: DataFrame, config: TestConfig = TestConfig()) -> DataFrame:
-    return run_test(rows, S.skce(), config)
+def sampled(rows: DataFrame, m: int, seed: str) -> DataFrame:
+    """rows with points: m particles of each row's Gaussian model, drawn once, before any pair is formed."""
+    return rows.join(particles.gaussian_particles(rows, m, seed), "i")
+
+
+def skce_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel: S.ModelKernel | None = None, m: int | None = None) -> DataFrame:
+    """Calibration test, with a kernel on models; with m, on m particles of each row's model in place of closed forms."""
+    if m is None:
+        return run_test(rows, S.skce(kernel=kernel), config)
+    return run_test(sampled(rows, m, config.seed), S.skce_particles(kernel=kernel), config)
 
 
-def cgof_test(rows: DataFrame, config: TestConfig = TestConfig()) -> DataFrame:
-    return run_test(rows, S.cgof(), config)
+def cgof_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel=Gaussian(1.0), m: int | None = None) -> DataFrame:
+    """Conditional goodness of fit, with a kernel on x; m as in skce_test."""
+    if m is None:
+        return run_test(rows, S.cgof(kernel), config)
+    return run_test(sampled(rows, m, config.seed), S.cgof_particles(kernel), config)

@@ -392,11 +392,12 @@ SCORE_SQL = "list_transform(list_zip({m}, p), lambda q: (q[1] - q[2]) / ({s} * {
 
 
 def _base(spark, sf_dir) -> DataFrame:
-    """Pairs of Gaussian models on dimensions 1-4 with the particles of the first row as base samples, one row per sample."""
-    e = samples(spark, sf_dir).select("i", F.slice("mu", 1, 4).alias("m"), "s", "points")
-    p = pairs.adjacent(e).select("a_i", "a_m", "a_s", "b_m", "b_s", F.posexplode("a_points").alias("n", "p"))
-    d = F.zip_with(F.zip_with("a_m", "p", lambda m, x: (m - x)), F.zip_with("b_m", "p", lambda m, x: (m - x)), lambda u, w: u / (F.col("a_s") * F.col("a_s")) - w / (F.col("b_s") * F.col("b_s")))
-    return p.withColumn("d", d)
+    """Pairs of Gaussian models on dimensions 1-4; the particles of the first row are the base samples."""
+    return pairs.adjacent(samples(spark, sf_dir).select("i", F.slice("mu", 1, 4).alias("m"), "s", "points"))
+
+
+def _scores() -> list:
+    return [M.gaussian_score(F.col(f"{t}_m"), F.col(f"{t}_s")) for t in "ab"]
 
 
 BASE_SQL = f"""WITH {E_SQL}, b AS (SELECT a.i AS i, unnest(range(8)) AS n, unnest(a.points) AS p, a.mu[1:4] AS am, a.s AS s1, b.mu[1:4] AS bm, b.s AS s2 {ADJACENT}),
@@ -406,16 +407,13 @@ d AS MATERIALIZED (SELECT i, n, p, list_transform(list_zip(am, bm, p), lambda q:
 @query(BASE_SQL + f" SELECT i AS a_i, round(avg({dt('d', 'd')}), 6) AS f FROM d GROUP BY i")
 def fisher_discrete(spark, sf_dir):
     """The Fisher divergence with a base measure of samples."""
-    return _base(spark, sf_dir).groupBy("a_i").agg(rounded(F.avg(sqnorm("d"))).alias("f"))
+    return _base(spark, sf_dir).select("a_i", rounded(M.fisher_over(F.col("a_points"), *_scores())).alias("f"))
 
 
 @query(BASE_SQL + f" SELECT c.i AS a_i, round(sum({k_sql('c.p', 'g.p')} * {dt('c.d', 'g.d')}) / 64, 6) + 0.0 AS f FROM d c JOIN d g ON c.i = g.i GROUP BY c.i")
 def kfisher_discrete(spark, sf_dir):
-    """Its kernelised form: a self-join of the samples of each pair, a bounded number."""
-    b = _base(spark, sf_dir)
-    other = b.select("a_i", F.col("p").alias("p2"), F.col("d").alias("d2"))
-    h = K.Gaussian(1.0).expr(F.col("p"), F.col("p2")) * dot("d", "d2")
-    return b.join(other, "a_i").groupBy("a_i").agg(rounded(F.sum(h) / 64).alias("f"))
+    """Its kernelised form, over all pairs of the samples."""
+    return _base(spark, sf_dir).select("a_i", rounded(M.kernel_fisher_over(F.col("a_points"), *_scores(), K.Gaussian(1.0))).alias("f"))
 
 
 @query(f"""WITH {E_SQL}, k AS (SELECT a.i AS a_i, b.i AS b_i, round({k_sql('a.x', 'b.x')} * {k_sql('a.y', 'b.y')}, 6) AS k {BAND5}) SELECT * FROM k""")

@@ -145,3 +145,81 @@ def test_closed_form_of_the_sequence_model(spark):
     assert row[0] == pytest.approx(row[2])
     assert row[0] == pytest.approx(exact(p, p), rel=0.02)
     assert row[1] == pytest.approx(exact(p, q), rel=0.02)
+
+
+def lettered(spark, n=29, length=6):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(0, 3, length).tolist(), rng.normal(size=3).tolist(), rng.normal(size=3).tolist(), float(0.5 + rng.random())) for i in range(n)]
+    return spark.createDataFrame(rows, "i long, x array<long>, y array<double>, mu array<double>, s double")
+
+
+@pytest.mark.parametrize("kernel", [kernels.HammingIMQ(), kernels.HammingIMQ(0.5, 0.7, 3), kernels.HammingIMQ(lag=3, mode="kmer"), kernels.HammingExp(0.3)])
+def test_sequence_kernels_in_tiles(spark, kernel):
+    """Kernels of sequences over blocks are their columns over all pairs; windows at the end are cut short in both."""
+    rows, statistic = lettered(spark).persist(), S.cgof(kernel)
+    tiled = tiles.complete(rows, statistic, block=8).first()
+    band = H.unbiased_estimate(rows, statistic, H.TestConfig(diagonals=28)).first()
+    assert tiled["m"] == band["m"] and tiled["val"] == pytest.approx(band["val"], rel=1e-9) and tiled["mean_h2"] == pytest.approx(band["mean_h2"], rel=1e-9)
+
+
+def test_wasserstein_kernel_in_tiles(spark):
+    rows, statistic = frame(spark, 23).persist(), S.skce(kernel=S.exp_wasserstein(1.5))
+    tiled = tiles.complete(rows, statistic, block=8).first()
+    band = H.unbiased_estimate(rows, statistic, H.TestConfig(diagonals=22)).first()
+    assert tiled["val"] == pytest.approx(band["val"], rel=1e-9)
+
+
+def test_statistics_say_what_they_can(spark):
+    fisher = S.skce(kernel=S.exp_fisher([[0.0, 0.0, 0.0]]))
+    assert not fisher.tiled and not fisher.on_particles and S.skce().tiled and S.cgof_particles().on_particles
+    with pytest.raises(ValueError, match="diagonals"):
+        H.unbiased_estimate(frame(spark, 5), fisher)
+    assert H.TestConfig(diagonals=1).has_analytic_null and not H.TestConfig(diagonals=5).has_analytic_null
+
+
+def test_fisher_kernels_against_numpy(spark):
+    base = np.random.default_rng(3).normal(size=(6, 3))
+    rows = frame(spark, 8).persist()
+    p = {r.i: (np.array(r.mu), r.s) for r in rows.collect()}
+    plain, kernelised = S.exp_fisher(base.tolist(), 5.0), S.exp_fisher(base.tolist(), 5.0, kernels.Gaussian(1.5))
+    for r in pairs.adjacent(rows).select("a_i", "b_i", plain.expr().alias("f"), kernelised.expr().alias("kf")).collect():
+        d = np.subtract(*(((m - base) / s**2) for m, s in (p[r.a_i], p[r.b_i])))
+        k = np.exp(-((base[:, None] - base) ** 2).sum(-1) / 4.5)
+        assert r.f == pytest.approx(math.exp(-(d**2).sum(1).mean() / 50)) and r.kf == pytest.approx(math.exp(-(k * (d @ d.T)).mean() / 50))
+
+
+def test_sampled_calibration_against_numpy(spark):
+    """The calibration test on drawn particles, recomputed from the same draws."""
+    from steinlake.operators import bandwidth, particles
+
+    rows = frame(spark, 13).persist()
+    out = H.skce_test(rows, H.TestConfig(diagonals=1, seed="4"), m=3).first()
+    points = {r.i: np.array(r.points) for r in particles.gaussian_particles(rows, 3, "4").collect()}
+    y = {r.i: np.array(r.y) for r in rows.collect()}
+    k = lambda a, b: np.exp(-((np.atleast_2d(a)[:, None] - np.atleast_2d(b)) ** 2).sum(-1) / 2).mean()
+    h, d2 = [], []
+    for a, b in ((2 * j, 2 * j + 1) for j in range(6)):
+        d2.append(k(points[a], points[a]) + k(points[b], points[b]) - 2 * k(points[a], points[b]))
+        h.append(math.exp(-d2[-1] / 2) * (k(y[a], y[b]) - k(points[a], y[b]) - k(points[b], y[a]) + k(points[a], points[b])))
+    assert out.m == 6 and out.val == pytest.approx(np.mean(h))
+    tuned = bandwidth.tuned(S.exp_mmd_particles(), pairs.adjacent(H.sampled(rows, 3, "4")))
+    assert tuned.sigma == pytest.approx(np.median(np.sqrt(np.maximum(d2, 0))))
+
+
+def test_sequence_models_by_enumeration(spark):
+    """The squared discrepancy of sequence models, against all sequences up to a length that holds nearly all weight."""
+    from itertools import product
+
+    lam, delta, longest = 1.0, 0.1, 9
+    words = ["".join(t) for n in range(longest + 1) for t in product("AB", repeat=n)]
+
+    def law(p):
+        first = {"A": p + delta, "B": p - delta}
+        return np.array([(1 - 2 * p) * (first[t[0]] * p ** (len(t) - 1) if t else 1.0) for t in words])
+
+    encoded = np.array([[ord(c) for c in t.ljust(longest, "-")] for t in words])
+    k = np.exp(-lam * np.array([(e != encoded).sum(1) for e in encoded]))
+    d = law(0.1) - law(0.15)
+    p, q = F.lit(0.1), F.lit(0.15)
+    got = spark.range(1).select(closed_forms.sequence_models_mmd2(p, q, F.lit(delta), lam)).first()[0]
+    assert got == pytest.approx(d @ k @ d, rel=1e-4)

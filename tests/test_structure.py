@@ -58,3 +58,10 @@ def test_features_without_sql(spark):
     assert tuple(r) == (0, 35, 65)
     p = spark.range(1).select(structure.affine(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), [[0, -1, 0], [1, 0, 0], [0, 0, 1]], [5, 0, 0])).first()[0]
     assert p == [3.0, 1.0, 3.0]
+
+
+def test_assembly_search(spark):
+    """Chain names are matched whole, blanks do not matter, a chain named twice counts once, and nulls match nothing."""
+    a = spark.createDataFrame([("p", 1, "A, B"), ("p", 2, "AB,C,C"), ("q", 1, "A"), ("q", 2, None)], "name string, id int, chains string")
+    w = spark.createDataFrame([("p", "A"), ("p", "C"), ("p", "C"), ("q", "B"), (None, None)], "name string, chain string")
+    assert sorted((r.name, r.chain, r.id) for r in structure.assemblies_with(a, w).collect()) == [("p", "A", 1), ("p", "C", 2)]
