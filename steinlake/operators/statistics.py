@@ -57,6 +57,23 @@ def mmd(kernel=Gaussian(1.0)) -> Statistic:
     return Statistic("mmd", ("x", "y"), expr, block)
 
 
+def joint_mmd(kx=Gaussian(1.0), ky=Gaussian(1.0), second: str = "y2") -> Statistic:
+    """Two-sample statistic of (x, y) against (x, y2), for two models' outputs under the same x and a product of kernels.
+
+    Both samples share x, so its kernel is a factor of all four terms.
+    """
+
+    def expr() -> Column:
+        k, y, z = ky.expr, [c(t, "y") for t in "ab"], [c(t, second) for t in "ab"]
+        return kx.expr(c("a", "x"), c("b", "x")) * (k(y[0], y[1]) + k(z[0], z[1]) - k(y[0], z[1]) - k(y[1], z[0]))
+
+    def block(a: Rows, b: Rows) -> np.ndarray:
+        k = ky.block
+        return kx.block(a["x"], b["x"]) * (k(a["y"], b["y"]) + k(a[second], b[second]) - k(a["y"], b[second]) - k(a[second], b["y"]))
+
+    return Statistic("joint_mmd", ("x", "y", second), expr, block)
+
+
 def stein(k: Gaussian, x, y, sx, sy) -> Column:
     """The Stein kernel of a Gaussian kernel, from points and scores."""
     u, v = minus(x, y), k.sigma**2

@@ -60,6 +60,28 @@ def run_test(rows: DataFrame, statistic: S.Statistic, config: TestConfig = TestC
     return null.decide(null.bootstrap_row(h), config.alpha)
 
 
+def sweep(rows: DataFrame, statistics: dict[str, S.Statistic], alpha: float = 0.05) -> DataFrame:
+    """(name, m, val, quantile, p_value, reject): a linear-time test for each named statistic, in one pass over the pairs.
+
+    For experiments over a grid of parameters: the rows are read and paired once, whatever the number of statistics.
+    """
+    each = F.array(*(F.struct(F.lit(name).alias("name"), s.expr().alias("h")) for name, s in statistics.items()))
+    h = pairs.adjacent(rows).select(F.explode(each).alias("t")).select("t.name", "t.h")
+    x = h.groupBy("name").agg(F.count("h").alias("m"), F.avg("h").alias("val"), F.avg(F.col("h") * F.col("h")).alias("mean_h2"))
+    q = null.analytic_quantile(alpha, F.col("mean_h2"), F.col("m"))
+    z = F.col("val") / (F.sqrt("mean_h2") / F.sqrt("m"))
+    return x.select("name", "m", "val", q.alias("quantile"), null.upper_tail(z).alias("p_value"), (F.col("val") > q).alias("reject"))
+
+
+def joint_mmd_test(rows: DataFrame, config: TestConfig = TestConfig(), band: int = 5, second: str = "y2") -> DataFrame:
+    """Outputs y against `second` of two models under the same x, Gaussian kernels by medians over a band of pairs."""
+    near = pairs.superdiagonals(rows, band)
+    sx = bandwidth.gaussian_bandwidth(near, "x").first()[0]
+    both = near.select(*(F.col(f"{t}_{n}").alias(f"{t}_{m}") for t in "ab" for n, m in (("y", "x"), (second, "y"))))
+    sy = bandwidth.exact_quantile(bandwidth.union_distances(both)).first()[0]
+    return run_test(rows, S.joint_mmd(Gaussian(sx), Gaussian(sy), second), config)
+
+
 def median_bandwidth(rows: DataFrame, n: int, column: str, config: TestConfig = TestConfig()) -> float:
     """The one scalar that crosses the driver before a tuned test: a median over at most bandwidth_cap drawn pairs."""
     return bandwidth.gaussian_bandwidth(pairs.drawn(rows, n, config.bandwidth_cap, int(config.seed)), column).first()[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import closed_forms as C
 from ..functions import kernels as K
 from ..functions import models as M
-from ..functions.arrays import rounded
+from ..functions.arrays import rounded, scaled
 from ..operators import bandwidth, pairs, particles, structure
 from ..operators import statistics as S
 from . import hypothesis as H
@@ -138,6 +138,44 @@ def conditional_discrepancy_calibration(spark, sf_dir):
     return out.select(F.round("discrepancy", 9).alias("discrepancy"))
 
 
+# Experiments: two models under the same conditions, and a grid of them.
+
+
+def _joint_rows(spark, sf_dir, *scales: float):
+    """x and two outputs of eight dimensions; with scales, the second output at each temperature."""
+    y2 = {"y2": F.slice("x", 9, 8)} | {f"y{t}": scaled("z", t) for t in scales}
+    return samples(spark, sf_dir).select("i", F.col("mu").alias("x"), F.col("z").alias("y"), *(v.alias(k) for k, v in y2.items()))
+
+
+def _sq_sql(x: str, y: str) -> str:
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda q: (q[1] - q[2]) * (q[1] - q[2])))"
+
+
+BAND = "FROM e a JOIN e b ON b.i > a.i AND b.i <= a.i + 5"
+
+
+@query(f"""WITH {E_SQL.replace("e AS MATERIALIZED", "e0 AS MATERIALIZED")}, e AS MATERIALIZED (SELECT i, mu AS x, z AS y, x[9:16] AS y2 FROM e0),
+s AS MATERIALIZED (SELECT (SELECT quantile_cont(sqrt({_sq_sql('a.x', 'b.x')}), 0.5) {BAND}) AS sx, (SELECT quantile_cont(d, 0.5) FROM (SELECT unnest([{', '.join(f"sqrt({_sq_sql(*p)})" for p in (('a.y', 'b.y'), ('a.y2', 'b.y2'), ('a.y', 'b.y2'), ('b.y', 'a.y2')))}]) AS d {BAND})) AS sy),
+h AS (SELECT exp(-{_sq_sql('a.x', 'b.x')} / (2 * sx * sx)) * ({' '.join(f"{g} exp(-{_sq_sql(p, r)} / (2 * sy * sy))" for g, p, r in (('', 'a.y', 'b.y'), ('+', 'a.y2', 'b.y2'), ('-', 'a.y', 'b.y2'), ('-', 'b.y', 'a.y2')))}) AS h FROM e a JOIN e b ON b.i = a.i + 1 CROSS JOIN s WHERE a.i % 2 = 0)
+SELECT count(*) AS m, round(avg(h), 6) + 0.0 AS val, round({Z95} * sqrt(avg(h * h)) / sqrt(count(*)), 6) AS quantile, avg(h) > {Z95} * sqrt(avg(h * h)) / sqrt(count(*)) AS reject FROM h""")
+def mmd_joint_tuned(spark, sf_dir):
+    """Two models' outputs under the same conditions, a product of kernels, both bandwidths by medians."""
+    out = H.joint_mmd_test(_joint_rows(spark, sf_dir), H.TestConfig(diagonals=1))
+    return out.select("m", rounded("val").alias("val"), rounded("quantile").alias("quantile"), "reject")
+
+
+TEMPERATURES = (0.5, 1.0, 2.0)
+
+
+@query(f"""WITH {E_SQL}, h AS (SELECT t, {k_sql('a.mu', 'b.mu')} * ({' '.join(f"{g} exp(-{_sq_sql(p, r)} / 2)" for g, p, r in (('', 'a.z', 'b.z'), ('+', 'list_transform(a.z, lambda v: v * t)', 'list_transform(b.z, lambda v: v * t)'), ('-', 'a.z', 'list_transform(b.z, lambda v: v * t)'), ('-', 'b.z', 'list_transform(a.z, lambda v: v * t)')))}) AS h
+  FROM e a JOIN e b ON b.i = a.i + 1 CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS t) WHERE a.i % 2 = 0)
+SELECT t AS temperature, count(*) AS m, round(avg(h), 6) + 0.0 AS val, round({Z95} * sqrt(avg(h * h)) / sqrt(count(*)), 6) AS quantile FROM h GROUP BY t""")
+def mmd_temperature_sweep(spark, sf_dir):
+    """A model against itself at several temperatures, in one pass; at temperature 1 both are the same and all terms vanish."""
+    out = H.sweep(_joint_rows(spark, sf_dir, *TEMPERATURES).withColumnsRenamed({f"y{t}": f"t{k}" for k, t in enumerate(TEMPERATURES)}), {str(t): S.joint_mmd(second=f"t{k}") for k, t in enumerate(TEMPERATURES)})
+    return out.select(F.col("name").cast("double").alias("temperature"), "m", rounded("val").alias("val"), rounded("quantile").alias("quantile"))
+
+
 # Relations of chains: orders are structures, return flags chains.
 
 CHAINS_SQL = """c AS (SELECT l_orderkey AS name, l_returnflag AS chain, count(*) AS n, sum(l_quantity::DOUBLE) AS q FROM lineitem GROUP BY 1, 2),

@@ -223,3 +223,15 @@ def test_sequence_models_by_enumeration(spark):
     p, q = F.lit(0.1), F.lit(0.15)
     got = spark.range(1).select(closed_forms.sequence_models_mmd2(p, q, F.lit(delta), lam)).first()[0]
     assert got == pytest.approx(d @ k @ d, rel=1e-4)
+
+
+def test_joint_mmd_forms_agree(spark):
+    """Tiles against all pairs; a sweep's test is the single test of the same statistic."""
+    rows = frame(spark, 21).withColumnRenamed("mu", "y2").persist()
+    tiled = tiles.complete(rows, S.joint_mmd(), block=8).first()
+    band = H.unbiased_estimate(rows, S.joint_mmd(), H.TestConfig(diagonals=20)).first()
+    assert tiled["val"] == pytest.approx(band["val"], rel=1e-9)
+    grid = {r.name: r for r in H.sweep(rows, {"a": S.joint_mmd(), "b": S.joint_mmd(kernels.Gaussian(2.0))}).collect()}
+    for name, kx in (("a", kernels.Gaussian(1.0)), ("b", kernels.Gaussian(2.0))):
+        one = H.run_test(rows, S.joint_mmd(kx), H.TestConfig(diagonals=1)).first()
+        assert (grid[name].m, grid[name].reject) == (one.m, one.reject) and grid[name].val == pytest.approx(one.val) and grid[name].p_value == pytest.approx(one.p_value)
