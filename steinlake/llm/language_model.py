@@ -106,6 +106,7 @@ def grams(raw: np.ndarray, offs: np.ndarray, order: int, bits: int) -> tuple[lis
     low = LOWER[raw]
     starts, ends, first = word_bounds(low, offs, VISIBLE)
     words = word_hashes(low, starts, ends)
+    del low, starts, ends
     place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
     found, h = [], np.zeros(len(words), U)
     for n in range(order):
@@ -117,15 +118,19 @@ def grams(raw: np.ndarray, offs: np.ndarray, order: int, bits: int) -> tuple[lis
 
 
 def distinct(found: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of all orders, sorted, with their counts; one order at a time, which needs less memory."""
-    parts = [np.unique(f[place >= n], return_counts=True) for n, f in enumerate(found)]
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")  # merges the orders' sorted runs
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    """The distinct hashes of all orders, sorted, with their counts. `found` is emptied; sorting in place needs the least memory."""
+    keys = np.empty(sum(int((place >= n).sum()) for n in range(len(found))), U)
+    at = 0
+    for n in range(len(found)):
+        some = found[n][place >= n]
+        found[n] = None
+        keys[at : at + len(some)] = some
+        at += len(some)
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _range_bits(entries: int) -> int:
@@ -141,6 +146,7 @@ def gram_rows(docs: DataFrame, order: int, block: int, bits: int, ranges: int) -
         for number, _, raw, offs in blocks(batches, block):
             found, place, _ = grams(raw, offs, order, bits)
             keys, counts = distinct(found, place)
+            del found, place
             of = keys >> U(bits - ranges)
             names, cut = np.unique(of, return_index=True)
             cut = [*cut.tolist(), len(keys)]
@@ -192,7 +198,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
         text = frame.iloc[0]
         raw = np.frombuffer(opened(text["data"]), np.uint8)
         found, place, first = grams(raw, np.concatenate([[0], np.cumsum(text["sizes"], dtype=np.int64)]), order, bits)
-        keys, _ = distinct(found, place)
+        keys, _ = distinct(list(found), place)
         totals = np.concatenate([np.zeros(0, U), *(unpack(opened(x), 1)[0] for x in counted.sort_values("range")["data"])]).astype(float)
         if len(totals) != len(keys):
             raise ValueError("the rows of a block changed between counting and scoring; store the documents first")
