@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sqdist
+from ..functions.chi_square import gaussian_median
 from ..functions.kernels import Gaussian
-from .statistics import ModelKernel, exp_mmd_particles
+from .statistics import ModelKernel, exp_mmd, exp_mmd_particles
 
 #: Distances that may be sorted in one task, and bins of a histogram.
 SORTED, BINS = 100_000, 4096
@@ -87,3 +88,15 @@ def tuned_on_particles(pairs: DataFrame, q: float = 0.5) -> tuple[Gaussian, Mode
     """Both bandwidths of the exponential discrepancy of particle models: the kernel on points first, then that on models."""
     ground = Gaussian(median_of_medians(pairs, q, q).first()[0])
     return ground, tuned(exp_mmd_particles(ground), pairs, q)
+
+
+def gaussian_models_bandwidth(pairs: DataFrame, q: float = 0.5) -> DataFrame:
+    """(sigma): for Gaussian models, the quantile over pairs of rows of the median distance under the equal mixture of both."""
+    d = gaussian_median(F.size("a_mu"), F.col("a_s"), F.col("b_s"), sqdist("a_mu", "b_mu"))
+    return exact_quantile(pairs.select(d.alias("d")).checkpoint(), q)  # counted in several passes, drawn from Python once
+
+
+def tuned_on_gaussians(pairs: DataFrame, q: float = 0.5) -> tuple[Gaussian, ModelKernel]:
+    """Both bandwidths of the exponential discrepancy of Gaussian models: the kernel on points first, then that on models."""
+    ground = Gaussian(gaussian_models_bandwidth(pairs, q).first()[0])
+    return ground, tuned(exp_mmd(ground.sigma), pairs, q)

@@ -147,7 +147,12 @@ def exp_mmd(sk: float = 1.0, sigma: float = 1.0) -> ModelKernel:
 
 def exp_mmd_particles(k=Gaussian(1.0), sigma: float = 1.0) -> ModelKernel:
     """By the discrepancy of particle models under any kernel on points."""
-    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma)
+
+    def block(a: Rows, b: Rows) -> np.ndarray:
+        own = [np.array([k.block(p, p).mean() for p in r["points"]]) for r in (a, b)]
+        return own[0][:, None] + own[1] - 2 * _particles_both(a["points"], b["points"], k)
+
+    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma, block)
 
 
 def exp_wasserstein(sigma: float = 1.0) -> ModelKernel:
@@ -201,7 +206,7 @@ def skce(sk: float = 1.0, sigma: float = 1.0, kernel: ModelKernel | None = None)
 def cgof(kx=Gaussian(1.0), sk: float = 1.0) -> Statistic:
     """Conditional goodness of fit with Gaussian models: k_x(x, x') times the same residual term.
 
-    k_x is any kernel on x, of sequences too. Tiles take x of one length, of numbers.
+    k_x is any kernel on x, of sequences too. Tiles take x of one length, of numbers or of points.
     """
     return Statistic("cgof", ("x", "mu", "s", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _residual(sk), lambda a, b: kx.block(a["x"], b["x"]) * _residual_block(a, b, sk))
 
@@ -225,6 +230,20 @@ def _particle_residual(k: Gaussian) -> Column:
     return k.expr(ya, yb) - M.particles_one(pa, yb, k) - M.particles_one(pb, ya, k) + M.particles_both(pa, pb, k)
 
 
+def _particles_one(p: np.ndarray, y: np.ndarray, k) -> np.ndarray:
+    """E k(X, y) of stacks of particle models (rows, particles, dimensions) and of points, one matrix of blocks at a time."""
+    return sum(k.block(p[:, u], y) for u in range(p.shape[1])) / p.shape[1]
+
+
+def _particles_both(p: np.ndarray, q: np.ndarray, k) -> np.ndarray:
+    return sum(_particles_one(p, q[:, v], k) for v in range(q.shape[1])) / q.shape[1]
+
+
+def _particle_residual_block(a: Rows, b: Rows, k) -> np.ndarray:
+    pa, ya, pb, yb = a["points"], a["y"], b["points"], b["y"]
+    return k.block(ya, yb) - _particles_one(pa, yb, k) - _particles_one(pb, ya, k).T + _particles_both(pa, pb, k)
+
+
 def particle_mmd2(k: Gaussian) -> Column:
     pa, pb = c("a", "points"), c("b", "points")
     return M.particles_both(pa, pa, k) + M.particles_both(pb, pb, k) - 2 * M.particles_both(pa, pb, k)
@@ -233,9 +252,10 @@ def particle_mmd2(k: Gaussian) -> Column:
 def skce_particles(k: Gaussian = Gaussian(1.0), sigma: float = 1.0, kernel: ModelKernel | None = None) -> Statistic:
     """Calibration error with particle models of a bounded number of points; the kernel on models as in skce."""
     kp = kernel or exp_mmd_particles(k, sigma)
-    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k))
+    block = (lambda a, b: kp.block(a, b) * _particle_residual_block(a, b, k)) if kp.block_squared else None
+    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k), block)
 
 
 def cgof_particles(kx=Gaussian(1.0), k: Gaussian = Gaussian(1.0)) -> Statistic:
-    """Conditional goodness of fit with particle models."""
-    return Statistic("cgof_particles", ("x", "points", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _particle_residual(k))
+    """Conditional goodness of fit with particle models; tiles take one number of particles for all rows."""
+    return Statistic("cgof_particles", ("x", "points", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _particle_residual(k), lambda a, b: kx.block(a["x"], b["x"]) * _particle_residual_block(a, b, k))

@@ -35,8 +35,10 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
     if not statistic.tiled:
         raise ValueError(f"{statistic.name} has no form over blocks; use diagonals")
     wide = {c: kind for c, kind in rows.dtypes if c in statistic.needs}
-    parts = [F.col(c).cast("array<double>") if "array" in wide[c] else F.array(F.col(c).cast("double")) for c in statistic.needs]
-    sizes = F.array(*(F.size(p) for p in parts))
+    nested = {c for c, kind in wide.items() if kind.startswith("array<array")}
+    parts = [F.flatten(c).cast("array<double>") if c in nested else F.col(c).cast("array<double>") if "array" in wide[c] else F.array(F.col(c).cast("double")) for c in statistic.needs]
+    # Sizes of the flat parts, then of one point of those that are arrays of points.
+    sizes = F.array(*(F.size(p) for p in parts), *(F.size(F.get(c, F.lit(0))) if c in nested else F.lit(1) for c in statistic.needs))
     packed = rows.select(F.col("i").cast("long").alias("i"), sizes.alias("sizes"), F.concat(*parts).alias("v"), F.floor(F.col("i") / block).cast("long").alias("block"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -54,8 +56,9 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
 
     def unpack(row) -> dict[str, np.ndarray]:
         m = np.frombuffer(row.data, "<f8").reshape(len(row.ids), -1)
-        cut = np.cumsum(row.sizes)[:-1]
-        return {c: x if "array" in wide[c] else x[:, 0] for c, x in zip(statistic.needs, np.split(m, cut, axis=1), strict=True)}
+        flat, point = np.split(np.asarray(row.sizes), 2)
+        found = zip(statistic.needs, np.split(m, np.cumsum(flat)[:-1], axis=1), point, strict=True)
+        return {c: x.reshape(len(x), -1, size) if c in nested else x if "array" in wide[c] else x[:, 0] for c, x, size in found}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(r, unpack(r), _signs(seed, draws, tuple(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]

@@ -8,7 +8,7 @@ from ..functions import closed_forms as C
 from ..functions import kernels as K
 from ..functions import models as M
 from ..functions.arrays import rounded, scaled
-from ..operators import bandwidth, pairs, particles, structure
+from ..operators import alignment, bandwidth, pairs, particles, structure
 from ..operators import statistics as S
 from . import hypothesis as H
 from .queries import ADJACENT, ALL_PAIRS, E_SQL, KFISHER_SQL, MMD2_SQL, PMMD2_SQL, PRES_SQL, RESIDUAL_SQL, Z95, _ab, _linear, _mean, _model_rows, _models, _particle_rows, dt, k_sql, linear_sql, mean_sql, query, read, samples
@@ -117,6 +117,33 @@ def skce_exp_mmd_tuned(spark, sf_dir):
     return out.select(F.round(F.lit(ground.sigma), 6).alias("ground"), F.round(F.lit(kernel.sigma), 6).alias("sigma"), *out.columns)
 
 
+@query(mean_sql(f"exp(-{PMMD2_SQL} / 2) * {PRES_SQL}", ALL_PAIRS))
+def skce_particles_complete(spark, sf_dir):
+    """The complete calibration statistic of particle models, in tiles."""
+    return _mean(H.unbiased_estimate(_particle_rows(spark, sf_dir), S.skce_particles()))
+
+
+@query(mean_sql(f"{k_sql('a.x', 'b.x')} * {PRES_SQL}", ALL_PAIRS))
+def cgof_particles_complete(spark, sf_dir):
+    return _mean(H.unbiased_estimate(_particle_rows(spark, sf_dir), S.cgof_particles()))
+
+
+@query()
+def cgof_alignment_r1(spark, sf_dir):
+    """Conditional goodness of fit where conditions are sequences of points under the alignment kernel (dynamic programming, not SQL)."""
+    rows = samples(spark, sf_dir).select("i", F.col("points").alias("x"), "mu", "s", F.col("z").alias("y"))
+    return _linear(rows, S.cgof(alignment.SoftAlignment(log_scale=8.0)))
+
+
+@query()
+def skce_gauss_tuned(spark, sf_dir):
+    """The calibration test of Gaussian models, both bandwidths by medians (the first is the root of a series, not SQL)."""
+    rows = _model_rows(spark, sf_dir)
+    ground, kernel = bandwidth.tuned_on_gaussians(pairs.adjacent(rows.select("i", "mu", "s")))
+    out = _linear(rows, S.skce(ground.sigma, kernel=kernel))
+    return out.select(F.round(F.lit(ground.sigma), 6).alias("ground"), F.round(F.lit(kernel.sigma), 6).alias("sigma"), *out.columns)
+
+
 @query()
 def skce_sampled_particles(spark, sf_dir):
     """The calibration test with three seeded particles of each row's model in place of the closed forms."""

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import closed_forms as C
 from ..functions import kernels as K
 from ..functions import sequences as Q
-from ..functions.arrays import hamming, rounded, sqdist
-from ..functions.chi_square import gaussian_median
+from ..functions.arrays import hamming, rounded
 from ..operators import alignment, bandwidth, constraints, dataset, metrics, pairs, particles, structure
 from ..operators import statistics as S
 from ..sources import sequences as sequence_files
@@ -433,9 +432,7 @@ def dtw_gram(spark, sf_dir):
 @query()
 def gauss_bandwidth(spark, sf_dir):
     """The bandwidth of Gaussian models: the median over neighbours of the median distance under their mixture (a root of a series)."""
-    p = pairs.adjacent(samples(spark, sf_dir).select("i", "mu", "s"))
-    d = gaussian_median(F.size("a_mu"), F.col("a_s"), F.col("b_s"), sqdist("a_mu", "b_mu"))
-    return bandwidth.exact_quantile(p.select(d.alias("d")))
+    return bandwidth.gaussian_models_bandwidth(pairs.adjacent(samples(spark, sf_dir).select("i", "mu", "s")))
 
 
 @query()

@@ -70,3 +70,16 @@ def test_external_model_gives_failing_rows_as_nulls(spark):
 
     got = particles.external(spark.range(6).withColumnRenamed("id", "i"), load, "i long, nll double").collect()
     assert {r.i: r.nll for r in got} == {i: None if i == 3 else i * 0.5 for i in range(6)}
+
+
+def test_median_distance_of_many_rows(spark):
+    """Each row as alone, whatever rows share its batch; models far apart; null parts give null."""
+    rows = [(8, 0.5, 0.7, 4.0), (8, 1.4, 0.5, 0.0), (3, 0.2, 0.3, 9.0), (3, 0.1, 0.1, 36.0), (3, None, 0.3, 9.0)]
+    out = spark.createDataFrame(rows, "d int, p double, q double, g double").coalesce(1).select(X.gaussian_median(*(F.col(c) for c in "dpqg"))).collect()
+    for row, r in zip(rows[:4], out):
+        assert r[0] == pytest.approx(float(X.median_distance(row[0], *(np.array([v]) for v in row[1:]))[0]), rel=1e-9)
+    assert out[4][0] is None or np.isnan(out[4][0])
+    rng = np.random.default_rng(3)
+    side = lambda: rng.normal(size=(200_000, 3)) * 0.1 + np.where(rng.random((200_000, 1)) < 0.5, 0.0, 6 / np.sqrt(3))
+    far = np.sqrt(((side() - side()) ** 2).sum(1))
+    assert (far <= out[3][0]).mean() == pytest.approx(0.5, abs=0.005)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steinlake.functions import closed_forms, kernels, models
-from steinlake.operators import null, pairs, tiles
+from steinlake.operators import alignment, bandwidth, null, pairs, tiles
 from steinlake.operators import statistics as S
 from steinlake.plans import hypothesis as H
 
@@ -235,3 +235,59 @@ def test_joint_mmd_forms_agree(spark):
     for name, kx in (("a", kernels.Gaussian(1.0)), ("b", kernels.Gaussian(2.0))):
         one = H.run_test(rows, S.joint_mmd(kx), H.TestConfig(diagonals=1)).first()
         assert (grid[name].m, grid[name].reject) == (one.m, one.reject) and grid[name].val == pytest.approx(one.val) and grid[name].p_value == pytest.approx(one.p_value)
+
+
+def particle_frame(spark, n):
+    """Rows with x (a sequence of three points), y, and a particle model of four points."""
+    rng = np.random.default_rng(17)
+    data = [(i, rng.normal(size=(3, 2)).tolist(), rng.normal(size=2).tolist(), rng.normal(size=(4, 2)).tolist()) for i in range(n)]
+    return spark.createDataFrame(data, "i long, x array<array<double>>, y array<double>, points array<array<double>>")
+
+
+@pytest.mark.parametrize("statistic", [S.skce_particles(), S.skce_particles(kernels.Gaussian(2.0), sigma=0.5), S.cgof_particles(alignment.SoftAlignment(0.8, 1.5, 0.5))])
+def test_particle_models_in_tiles(spark, statistic):
+    """Tiles of particle models, and of sequences of points under the alignment kernel, against all pairs in columns."""
+    rows = particle_frame(spark, 21).persist()
+    tiled = tiles.complete(rows, statistic, block=8).first()
+    band = H.unbiased_estimate(rows, statistic, H.TestConfig(diagonals=20)).first()
+    assert tiled["m"] == band["m"] == 210 and tiled["val"] == pytest.approx(band["val"], rel=1e-9) and tiled["mean_h2"] == pytest.approx(band["mean_h2"], rel=1e-9)
+
+
+def test_alignment_kernel_against_loops(spark, monkeypatch):
+    """Columns and blocks against the recurrence in plain loops, over lengths from 1; empty and null sequences."""
+
+    def brute(a, b, sigma, gamma):
+        m = np.full((len(a) + 1, len(b) + 1), -np.inf)
+        m[0, 0] = 0.0
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                m[i + 1, j + 1] = -sum((u - v) ** 2 for u, v in zip(p, q)) / (2 * sigma**2) + gamma * np.logaddexp.reduce(np.array([m[i, j], m[i, j + 1], m[i + 1, j]]) / gamma)
+        return m[-1, -1]
+
+    rng = np.random.default_rng(5)
+    shapes = [(1, 1), (1, 2), (2, 1), (3, 5), (6, 4)]
+    data = [(rng.normal(size=(h, 2)).tolist(), rng.normal(size=(w, 2)).tolist()) for h, w in shapes]
+    kernel = alignment.SoftAlignment(0.7, 1.3, 2.0)
+    got = spark.createDataFrame([*data, ([], data[0][1]), (None, data[0][1])], "a array<array<double>>, b array<array<double>>").select(kernel.log_expr("a", "b"), kernel.expr("a", "b")).collect()
+    for (a, b), r in zip(data, got):
+        want = brute(a, b, 0.7, 1.3)
+        assert r[0] == pytest.approx(want) and r[1] == pytest.approx(math.exp(want - 2.0))
+    assert got[-2][1] == 0.0 and got[-1][1] is None
+    monkeypatch.setattr(alignment, "STEP_BYTES", 8 * 7 * 3 * 4 * 2)
+    a, b = rng.normal(size=(5, 3, 2)), rng.normal(size=(7, 4, 2))
+    want = [[math.exp(brute(p, q, 0.7, 1.3) - 2.0) for q in b] for p in a]
+    assert np.allclose(kernel.block(a, b), want)
+
+
+def test_tuned_on_gaussians(spark):
+    """The bandwidth on points against sampled distances of the mixture; that on models against the definition."""
+    rows = frame(spark, 9).persist()
+    both = pairs.adjacent(rows)
+    ground, kernel = bandwidth.tuned_on_gaussians(both)
+    rng, medians = np.random.default_rng(2), []
+    for r in both.collect():
+        draw = lambda: np.where(rng.random((40_000, 1)) < 0.5, np.array(r.a_mu) + r.a_s * rng.normal(size=(40_000, len(r.a_mu))), np.array(r.b_mu) + r.b_s * rng.normal(size=(40_000, len(r.a_mu))))  # noqa: B023, E731
+        medians.append(np.median(np.sqrt(((draw() - draw()) ** 2).sum(1))))
+    assert ground.sigma == pytest.approx(np.median(medians), rel=0.02)
+    d2 = [r[0] for r in both.select(models.mmd2(F.col("a_mu"), F.col("a_s"), F.col("b_mu"), F.col("b_s"), ground.sigma)).collect()]
+    assert kernel.sigma == pytest.approx(np.median(np.sqrt(np.maximum(d2, 0))))
