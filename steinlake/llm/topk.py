@@ -8,8 +8,8 @@ no other. Small groups of queries that lie near each other are gathered to sets
 repeated many times, are cut; a set's vectors are dealt out in parts of at most about BLOCK, which the set's queries all
 meet. Every part returns its best k scores that reach a query's least, and the final ranking of a query sees only those.
 
-Components are floor(64 * x), scores are integers: sums are exact in doubles up to 2**53, and computed in 64-bit integers
-beyond (components are kept within 2**62; a score outside 64 bits wraps).
+Components are floor(64 * x), scores are integers: sums are exact in doubles up to 2**53, computed in 64-bit integers
+beyond, and in Python's integers where a sum may pass those. A component or a score of the result that no 64-bit integer holds stops the job.
 
 Cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; a shorter vector
 is filled up with zeros; repeated rows of one query id are one query (the least of its vectors by bytes); a query meets every row but those with its own id;
@@ -27,31 +27,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fields, prepared, stored
+from .vectors import integers, sound
 
 K, PIVOTS, BLOCK, SUMMARY = 20, 4096, 20_000, 24 << 20
 
 
 def quantised(rows: DataFrame, query: F.Column) -> DataFrame:
     """(vec_id, query, v): v holds the integer components, all of the largest dimension."""
-    x = F.col("x")
-    sound = rows.select(rows["vec_id"].cast("long").alias("vec_id"), F.coalesce(query, F.lit(False)).alias("query"), rows["embedding"].cast("array<double>").alias("x"))
-    sound = sound.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    dims = sound.agg(F.max(F.size("x"))).first()[0] or 0
+    whole = sound(rows, {"vec_id": rows["vec_id"].cast("long"), "query": F.coalesce(query, F.lit(False))}).filter(F.col("vec_id").isNotNull())
+    dims = whole.agg(F.max(F.size("x"))).first()[0] or 0
     schema = fields("vec_id long, query boolean, v binary")
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            col = batch.column(2)
-            flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
-            size = col.value_lengths().to_numpy(zero_copy_only=False)
-            whole = np.zeros((batch.num_rows, dims), np.int64)
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            whole[np.repeat(np.arange(len(size)), size), at] = np.clip(np.floor(64.0 * flat), -(2.0**62), 2.0**62).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.tobytes() for x in whole], pa.binary())], schema.names)
+            flat, ends = integers(batch.column(2), 64.0)
+            full = np.zeros((batch.num_rows, dims), np.int64)
+            size = np.diff(ends)
+            full[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(ends[:-1], size)] = flat
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.tobytes() for x in full], pa.binary())], schema.names)
 
         return each
 
-    return arrow_map(sound, make, schema)
+    return arrow_map(whole, make, schema)
 
 
 def matrix(col, kind=np.int64) -> np.ndarray:
@@ -60,9 +57,11 @@ def matrix(col, kind=np.int64) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if top < 2**53 else a @ b.T
+    """Exact inner products of integer rows; Python's integers where 64 bits may not do."""
+    top = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, a.shape[1])
+    if top < 2**53:
+        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    return a @ b.T if top < 2**62 else a.astype(object) @ b.T.astype(object)
 
 
 def gathered(points: np.ndarray, homes: np.ndarray, counts: np.ndarray, block: int) -> dict[int, tuple[int, int]]:
@@ -102,8 +101,10 @@ def placed_queries(queries: DataFrame, shared, tops: np.ndarray, k: int) -> Data
             least = np.full(len(x), np.iinfo(np.int64).min)
             if len(t) > k:  # the query itself may be one of them
                 for a in range(0, len(x), 64):
-                    scores = x[a : a + 64] @ as_float.T if exact else matrix(v[a : a + 64]) @ t.T
-                    least[a : a + 64] = np.partition(scores, len(t) - k - 1, axis=1)[:, len(t) - k - 1]
+                    scores = x[a : a + 64] @ as_float.T if exact else products(matrix(v[a : a + 64]), t)
+                    kth = np.sort(scores, axis=1)[:, len(t) - k - 1] if scores.dtype == object else np.partition(scores, len(t) - k - 1, axis=1)[:, len(t) - k - 1]
+                    # A bound may be lower than it could be, so one beyond 64 bits is cut down to them.
+                    least[a : a + 64] = [min(int(s), 2**63 - 1) if s > -(2**63) else -(2**63) for s in kth]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(far), pa.array(least)], ["query_id", "v", "home", "far", "least"])
 
         return each
@@ -199,9 +200,9 @@ def knn_join(rows: DataFrame, query: F.Column, k: int = K, pivots: int = PIVOTS,
                 for query_id, least, s in zip(part["query_id"], part["least"], scores, strict=True):
                     at = np.flatnonzero((s >= least) & (ids != query_id))
                     if len(at) > k:  # all that reach the k-th score; then the first k by score and id
-                        at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+                        at = at[s[at] >= (sorted(s[at])[len(at) - k] if s.dtype == object else np.partition(s[at], len(at) - k)[len(at) - k])]
                     at = at[np.argsort(-s[at], kind="stable")[:k]]
-                    out.append(np.stack([np.full(len(at), query_id), ids[at], s[at]], axis=1))
+                    out.append(np.stack([np.full(len(at), query_id), ids[at], np.array([int(x) for x in s[at]], np.int64)], axis=1))
         found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 

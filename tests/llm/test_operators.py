@@ -380,6 +380,17 @@ def test_knn_join_rest(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [3.0e5]), (2, [-1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.knn_join(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 64 * 64 * 300_000), (0, 2, 2, -4096)]
     assert topk.products(np.array([[1 << 31, 3]]), np.array([[1 << 31, 5]]))[0, 0] == (1 << 62) + 15
+    assert topk.products(np.array([[1 << 40, 3]]), np.array([[1 << 40, 5]]))[0, 0] == (1 << 80) + 15
+
+
+def test_knn_join_neither_cuts_nor_wraps(spark):
+    large = spark.createDataFrame([(0, [2.0**50, 1.0]), (1, [-(2.0**-6), 2.0**50]), (2, [2.0**-6, 0.0]), (3, [2.0**50, -(2.0**50)])], "vec_id long, embedding array<double>")
+    got = topk.knn_join(large.filter("vec_id <> 3"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 2**56 - 2**56), (0, 2, 2, 2**56)]
+    with pytest.raises(Exception, match="Overflow|too large|too big"):
+        topk.knn_join(large, F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.knn_join(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
 
 
 # Language model.
