@@ -1,7 +1,8 @@
 """Bandwidths: exact medians and quantiles of distances over pairs.
 
-Quantiles are selected by counting: a histogram of the distances' range narrows it to the bin that holds the wanted rank, again
-and again, and what is sorted at last has at most SORTED distances (or is one value), however many pairs there are.
+Distances are computed once and stored. Wanted ranks are bracketed by a mergeable quantile sketch (percentile_approx) and then found by
+counting: what lies strictly between the two ends of a bracket is a few ten-thousandths of all, so one more round, at most, leaves
+SORTED distances to sort. The sketch decides only how much is counted, never the result. Order: -inf, finite numbers, inf, NaN.
 """
 
 from __future__ import annotations
@@ -14,39 +15,77 @@ from pyspark.sql import functions as F
 from ..functions.arrays import sqdist
 from ..functions.chi_square import gaussian_median
 from ..functions.kernels import Gaussian
+from ..session import shared_folder
 from .statistics import ModelKernel, exp_mmd, exp_mmd_particles
 
-#: Distances that may be sorted in one task, and bins of a histogram.
-SORTED, BINS = 100_000, 4096
-
-
-def _ranked(values: DataFrame, rank: int) -> float:
-    """The value of a rank (from 0) of values(d), none of them null."""
-    while True:
-        low, high, n = values.agg(F.min("d"), F.max("d"), F.count("d")).first()
-        if low == high:
-            return low
-        if n <= SORTED:
-            return values.agg(F.get(F.array_sort(F.collect_list("d")), rank).alias("v")).first()[0]
-        bin_of = F.least(F.floor((F.col("d") - low) / (high - low) * BINS), F.lit(BINS - 1))
-        for r in values.groupBy(bin_of.alias("bin")).count().orderBy("bin").collect():  # BINS rows at most
-            if rank < r["count"]:
-                values = values.filter(bin_of == r["bin"])
-                break
-            rank -= r["count"]
+#: Distances that may be sorted in one task, and the sketch's accuracy (its error in ranks is one of so many).
+SORTED, ACCURACY = 100_000, 10_000
+
+
+def _runs(ranks: list[int]) -> list[list[int]]:
+    """Neighbouring ranks together: they share a bracket."""
+    out: list[list[int]] = []
+    for r in ranks:
+        if out and r - out[-1][-1] <= 1:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
+
+
+def _ranked(values: DataFrame, n: int, ranks: list[int]) -> dict[int, float]:
+    """rank (from 0, ascending) -> value, of n finite values(d)."""
+    if not ranks:
+        return {}
+    if n <= SORTED:
+        d = F.array_sort(F.collect_list("d"))
+        return dict(zip(ranks, values.agg(d.alias("d")).select(*(F.get("d", r) for r in ranks)).first(), strict=True))
+    room = 2 * -(-n // ACCURACY) + 1
+    runs = _runs(ranks)
+    marks = values.agg(F.percentile_approx("d", [min(max(x / n, 0.0), 1.0) for run in runs for x in (run[0] - room, run[-1] + 1 + room)], ACCURACY)).first()[0]
+    ends = list(zip(marks[::2], marks[1::2], strict=True))
+    counts = values.agg(*(F.count_if(c) for low, high in ends for c in (F.col("d") < low, F.col("d") == low, (F.col("d") > low) & (F.col("d") < high), (F.col("d") == high) & F.lit(low != high)))).first()
+    found: dict[int, float] = {}
+    for k, (run, (low, high)) in enumerate(zip(runs, ends, strict=True)):
+        below, at_low, between, at_high = counts[4 * k : 4 * k + 4]
+        first, last, end = below + at_low, below + at_low + between, below + at_low + between + at_high
+        found |= {r: low for r in run if below <= r < first} | {r: high for r in run if last <= r < end}
+        # Each of these holds fewer values than all, as low and high are values too.
+        for part, size, begin, mine in (
+            (F.col("d") < low, below, 0, [r for r in run if r < below]),
+            ((F.col("d") > low) & (F.col("d") < high), between, first, [r for r in run if first <= r < last]),
+            (F.col("d") > high, n - end, end, [r for r in run if r >= end]),
+        ):
+            found |= {r + begin: v for r, v in _ranked(values.filter(part), size, [r - begin for r in mine]).items()}
+    return found
+
+
+def exact_quantiles(values: DataFrame, quantiles: list[float]) -> list[float | None]:
+    """The quantiles of values(d), with linear interpolation between ranks, in one evaluation of the distances; None without values.
+
+    Nulls are left out; infinities and NaN take the ranks that they have in Spark's order. This runs at once, and scalars cross the driver.
+    """
+    shared_folder(values.sparkSession)
+    d = values.select(F.col("d").cast("double").alias("d")).filter("d is not null").checkpoint()
+    inf = float("inf")
+    finite = ~F.isnan("d") & (F.abs("d") < inf)
+    n, below, inside, above = d.agg(F.count("d"), F.count_if(F.col("d") == -inf), F.count_if(finite), F.count_if(F.col("d") == inf)).first()
+    if not n:
+        return [None] * len(quantiles)
+    places = [(n - 1) * q for q in quantiles]
+    ranks = sorted({r for p in places for r in (int(p), int(p) + (p > int(p)))})
+    found = {r: -inf if r < below else inf if r < below + inside + above else float("nan") for r in ranks}
+    found |= {r + below: v for r, v in _ranked(d.filter(finite), inside, [r - below for r in ranks if below <= r < below + inside]).items()}
+    out = []
+    for p in places:
+        a, b = found[int(p)], found[int(p) + (p > int(p))]
+        out.append(a if a == b or p == int(p) else a + (b - a) * (p - int(p)))
+    return out
 
 
 def exact_quantile(values: DataFrame, q: float = 0.5) -> DataFrame:
-    """(sigma): the quantile of values(d), with linear interpolation between ranks; null without values."""
-    values = values.select(F.col("d").cast("double").alias("d")).filter("d is not null")
-    n = values.count()
-    if not n:
-        return values.sparkSession.createDataFrame([(None,)], "sigma double")
-    place = (n - 1) * q
-    low = int(place)
-    a = _ranked(values, low)
-    b = _ranked(values, low + 1) if place > low else a
-    return values.sparkSession.createDataFrame([(a + (b - a) * (place - low),)], "sigma double")
+    """(sigma): one quantile of values(d) as in exact_quantiles; null without values."""
+    return values.sparkSession.createDataFrame([(exact_quantiles(values, [q])[0],)], "sigma double")
 
 
 def distance_quantile(pairs: DataFrame, distance: Column, q: float = 0.5) -> DataFrame:
@@ -93,7 +132,7 @@ def tuned_on_particles(pairs: DataFrame, q: float = 0.5) -> tuple[Gaussian, Mode
 def gaussian_models_bandwidth(pairs: DataFrame, q: float = 0.5) -> DataFrame:
     """(sigma): for Gaussian models, the quantile over pairs of rows of the median distance under the equal mixture of both."""
     d = gaussian_median(F.size("a_mu"), F.col("a_s"), F.col("b_s"), sqdist("a_mu", "b_mu"))
-    return exact_quantile(pairs.select(d.alias("d")).checkpoint(), q)  # counted in several passes, drawn from Python once
+    return exact_quantile(pairs.select(d.alias("d")), q)
 
 
 def tuned_on_gaussians(pairs: DataFrame, q: float = 0.5) -> tuple[Gaussian, ModelKernel]:

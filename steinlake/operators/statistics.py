@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as M
 from ..functions.arrays import dot, minus, scaled
+from ..functions.jets import Smooth
 from ..functions.kernels import Gaussian, squares
 
 Rows = dict[str, np.ndarray]
@@ -225,6 +226,33 @@ def kccsd(sk: float = 1.0, sigma: float = 1.0, ky: Gaussian = Gaussian(1.0)) ->
     return Statistic("kccsd", ("mu", "s", "y"), expr, block)
 
 
+def ksd_scored(k: Smooth, point: str = "x", score: str = "score") -> Statistic:
+    """Stein discrepancy of a column of points from the law whose score, at those points, is a column of the row; any smooth kernel."""
+
+    def expr() -> Column:
+        return k.stein(c("a", point), c("b", point), c("a", score), c("b", score))
+
+    return Statistic("ksd_scored", (point, score), expr, lambda a, b: k.stein_block(a[point], b[point], a[score], b[score]))
+
+
+def kcsd_scored(kx, ky: Smooth, condition: str = "x", point: str = "y", score: str = "score") -> Statistic:
+    """Its conditional form: any kernel on conditions times the Stein kernel of the points; score is that of the point given its condition."""
+
+    def expr() -> Column:
+        return kx.expr(c("a", condition), c("b", condition)) * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score))
+
+    def block(a: Rows, b: Rows) -> np.ndarray:
+        return kx.block(a[condition], b[condition]) * ky.stein_block(a[point], b[point], a[score], b[score])
+
+    return Statistic("kcsd_scored", (condition, point, score), expr, block)
+
+
+def kccsd_scored(kp: ModelKernel, ky: Smooth, point: str = "y", score: str = "score") -> Statistic:
+    """Its form with a kernel on models (closed forms, particles, divergences) in place of one on conditions."""
+    block = (lambda a, b: kp.block(a, b) * ky.stein_block(a[point], b[point], a[score], b[score])) if kp.block_squared else None
+    return Statistic("kccsd_scored", tuple(dict.fromkeys((*kp.needs, point, score))), lambda: kp.expr() * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score)), block)
+
+
 def _particle_residual(k: Gaussian) -> Column:
     pa, ya, pb, yb = c("a", "points"), c("a", "y"), c("b", "points"), c("b", "y")
     return k.expr(ya, yb) - M.particles_one(pa, yb, k) - M.particles_one(pb, ya, k) + M.particles_both(pa, pb, k)

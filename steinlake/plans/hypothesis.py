@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jets import Smooth
 from ..functions.kernels import Gaussian
 from ..operators import bandwidth, null, pairs, particles, tiles
 from ..operators import statistics as S
+from ..operators.chains import ChainConfig, ChainTable, Density
 
 
 @dataclass(frozen=True)
@@ -100,8 +102,16 @@ def kcsd_test(rows: DataFrame, config: TestConfig = TestConfig()) -> DataFrame:
     return run_test(rows, S.kcsd(), config)
 
 
-def kccsd_test(rows: DataFrame, config: TestConfig = TestConfig()) -> DataFrame:
-    return run_test(rows, S.kccsd(), config)
+def kccsd_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel: S.ModelKernel | None = None, ky: Smooth | None = None) -> DataFrame:
+    """Stein discrepancy with a kernel on models: of Gaussian models in closed form, or, with a kernel and ky, of any models whose
+    scores at y are a column of the rows.
+    """
+    return run_test(rows, S.kccsd() if kernel is None else S.kccsd_scored(kernel, ky), config)
+
+
+def kccsd_estimate(rows: DataFrame, kernel: S.ModelKernel, ky: Smooth, config: TestConfig = TestConfig()) -> DataFrame:
+    """(m, val, mean_h2) of the Stein discrepancy with a kernel on models; rows have y and score, the models' scores at y."""
+    return unbiased_estimate(rows, S.kccsd_scored(kernel, ky), config)
 
 
 def sampled(rows: DataFrame, m: int, seed: str) -> DataFrame:
@@ -109,15 +119,28 @@ def sampled(rows: DataFrame, m: int, seed: str) -> DataFrame:
     return rows.join(particles.gaussian_particles(rows, m, seed), "i")
 
 
-def skce_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel: S.ModelKernel | None = None, m: int | None = None) -> DataFrame:
-    """Calibration test, with a kernel on models; with m, on m particles of each row's model in place of closed forms."""
-    if m is None:
-        return run_test(rows, S.skce(kernel=kernel), config)
-    return run_test(sampled(rows, m, config.seed), S.skce_particles(kernel=kernel), config)
+def approximated(rows: DataFrame, density: Density, config: ChainConfig = ChainConfig(), folder: str | None = None) -> DataFrame:
+    """rows with points: particles of each row's model from chains, moved once, before any pair is formed. With a folder, chains
+    that an earlier run left there go on from where they stopped.
+    """
+    return rows.join(ChainTable(rows, density, config, folder).particles(), "i")
+
+
+def _with_points(rows: DataFrame, config: TestConfig, m: int | None, density: Density | None, chains: ChainConfig, folder: str | None) -> DataFrame | None:
+    if density is not None:
+        return approximated(rows, density, chains, folder)
+    return None if m is None else sampled(rows, m, config.seed)
+
+
+def skce_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel: S.ModelKernel | None = None, m: int | None = None, density: Density | None = None, chains: ChainConfig = ChainConfig(), folder: str | None = None) -> DataFrame:
+    """Calibration test, with a kernel on models. In place of closed forms: with m, m particles of each row's Gaussian model; with a
+    density, particles of any model from chains (kept in folder, if one is named).
+    """
+    drawn = _with_points(rows, config, m, density, chains, folder)
+    return run_test(rows, S.skce(kernel=kernel), config) if drawn is None else run_test(drawn, S.skce_particles(kernel=kernel), config)
 
 
-def cgof_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel=Gaussian(1.0), m: int | None = None) -> DataFrame:
-    """Conditional goodness of fit, with a kernel on x; m as in skce_test."""
-    if m is None:
-        return run_test(rows, S.cgof(kernel), config)
-    return run_test(sampled(rows, m, config.seed), S.cgof_particles(kernel), config)
+def cgof_test(rows: DataFrame, config: TestConfig = TestConfig(), kernel=Gaussian(1.0), m: int | None = None, density: Density | None = None, chains: ChainConfig = ChainConfig(), folder: str | None = None) -> DataFrame:
+    """Conditional goodness of fit, with a kernel on x; m, density, chains and folder as in skce_test."""
+    drawn = _with_points(rows, config, m, density, chains, folder)
+    return run_test(rows, S.cgof(kernel), config) if drawn is None else run_test(drawn, S.cgof_particles(kernel), config)

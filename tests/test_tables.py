@@ -172,15 +172,48 @@ def test_quantile_by_counting(spark, monkeypatch):
     from steinlake.operators import bandwidth
 
     monkeypatch.setattr(bandwidth, "SORTED", 20)
-    monkeypatch.setattr(bandwidth, "BINS", 7)
+    monkeypatch.setattr(bandwidth, "ACCURACY", 10)
     rng = np.random.default_rng(8)
     values = np.concatenate([rng.exponential(size=500), np.full(200, 0.7), [1e6]])
     rows = spark.createDataFrame([(float(v),) for v in values], "d double").persist()
     for q in (0.0, 0.25, 0.5, 0.9, 1.0):
         assert bandwidth.exact_quantile(rows, q).first()[0] == pytest.approx(np.quantile(values, q))
+    assert bandwidth.exact_quantiles(rows, [0.5, 0.1, 0.95]) == pytest.approx([np.quantile(values, q) for q in (0.5, 0.1, 0.95)])
     assert bandwidth.exact_quantile(rows.limit(0)).first()[0] is None
 
 
+def test_quantiles_of_values_that_are_not_finite(spark, monkeypatch):
+    from steinlake.operators import bandwidth
+
+    monkeypatch.setattr(bandwidth, "SORTED", 10)
+    inf, nan = float("inf"), float("nan")
+    values = [-inf] * 100 + [float(k % 50) for k in range(300)] + [inf] * 50 + [nan] * 50
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "d double")
+    found = bandwidth.exact_quantiles(rows, [0.0, 0.1, 0.5, 0.85, 0.95, 1.0])
+    assert found[:2] == [-inf, -inf] and found[2] == np.quantile([v for v in values[:400]], 249.5 / 399) and found[3] == inf and all(np.isnan(found[4:]))
+    assert bandwidth.exact_quantiles(spark.createDataFrame([(inf,)] * 30, "d double"), [0.5]) == [inf]
+    assert np.isnan(bandwidth.exact_quantile(spark.createDataFrame([(nan,)] * 30, "d double")).first()[0])
+    two = spark.createDataFrame([(float(k % 2),) for k in range(60)], "d double")  # ties only
+    assert bandwidth.exact_quantiles(two, [0.25, 0.5, 0.75]) == [0.0, 0.5, 1.0]
+
+
+def test_distances_are_evaluated_once(spark, monkeypatch):
+    """Two ranks of an even median, bracketed and counted, read one evaluation."""
+    from steinlake.operators import bandwidth
+
+    monkeypatch.setattr(bandwidth, "SORTED", 10)
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("d")).mapInPandas(note, "d double")
+    assert bandwidth.exact_quantiles(rows, [0.5, 0.9]) == [499.5, pytest.approx(899.1)]
+    assert seen.value == 1000
+
+
 def test_missing_lookup_stops(spark):
     rows = spark.createDataFrame([("x", 1), ("y", 2)], "name string, n int")
     d = spark.createDataFrame([("x", 5.0)], "name string, v double")
