@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import rounded
 from ..operators import constraints, dataset
 from ..session import new_folder
-from ..sources import mmcif, structures, writers
+from ..sources import mmcif, records, structures, writers
 from ..sources import sequences as files
 from .queries import query, read
 
@@ -53,10 +54,24 @@ def pdb_chains(spark, sf_dir):
 
 def _json_lines(spark, sf_dir) -> str:
     path = new_folder(spark, "structures")
-    writers.write_json_lines(structures.structures(structures.read_pdb(spark, _pdb_folder(spark, sf_dir))), path)
+    records.write_records(records.records(structures.read_pdb(spark, _pdb_folder(spark, sf_dir))), path)
     return path
 
 
+@query(f"WITH {LINES_SQL} SELECT name, chain, CAST(pos AS INTEGER) AS pos, aa, x, y FROM s")
+def structure_records(spark, sf_dir):
+    """PDB files composed to JSON lines with their coordinates under keys by chain, and opened to residues again."""
+    got = records.record_residues(records.read_records(spark, _json_lines(spark, sf_dir)))
+    return got.select("name", "chain", "pos", "aa", F.get("ca", 0).alias("x"), F.get("ca", 1).alias("y"))
+
+
+@query(f"WITH {LINES_SQL} SELECT name, chain, count(*) AS n, count(x) AS points FROM s GROUP BY 1, 2")
+def record_points(spark, sf_dir):
+    """How many places and points each chain of a record has, atom by atom; these files have one atom a residue."""
+    got = records.record_atoms(records.read_records(spark, _json_lines(spark, sf_dir)))
+    return got.filter("atom = 'CA'").groupBy("name", "chain").agg(F.count(F.lit(1)).alias("n"), F.count("xyz").alias("points"))
+
+
 @query(f"WITH {CHAINS_SQL} SELECT name, seq, num_of_chains FROM t WHERE length(seq) < 150 AND contains(seq, 'X')")
 def folder_to_json_lines(spark, sf_dir):
     """A folder of structures composed to JSON lines, and read with the filters of the scan."""
@@ -122,17 +137,65 @@ def mmcif_best_atoms(spark, sf_dir):
   UNION ALL SELECT name, '2', chain, resnum, '2x3', 1 - v.y, v.x + 5 + 2 FROM b WHERE chain = 'R')""")
 def mmcif_assemblies(spark, sf_dir):
     """Atoms of the assemblies, one of them by a product of operations: the right factor is applied first."""
-    path = _cif_folder(spark, sf_dir)
-    got = mmcif.assembled(mmcif.mmcif_atoms(spark, path), mmcif.mmcif_transforms(spark, path))
+    got = mmcif.assembled_files(mmcif.mmcif_files(spark, _cif_folder(spark, sf_dir)))
     return got.select("name", "assembly", "chain", F.col("seq_id").cast("long").alias("seq_id"), "operation", rounded("x", 3).alias("x"), rounded("y", 3).alias("y"))
 
 
 @query(f"WITH {LINES_SQL}, b AS (SELECT DISTINCT name, resnum FROM l), c AS (SELECT name, string_agg(chain, ',' ORDER BY chain) AS chains FROM (SELECT DISTINCT name, chain FROM l) GROUP BY 1) SELECT name, 'X-RAY DIFFRACTION' AS method, chains FROM c")
 def mmcif_metadata(spark, sf_dir):
     """Method and chains of each file."""
-    path = _cif_folder(spark, sf_dir)
-    chains = mmcif.mmcif_atoms(spark, path).groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("chain")), ",").alias("chains"))
-    return mmcif.mmcif_meta(spark, path).join(chains, "name").select("name", "method", "chains")
+    chains = F.array_join(F.array_sort(F.array_distinct(F.transform("residues", lambda r: r["chain"]))), ",")
+    return mmcif.mmcif_files(spark, _cif_folder(spark, sf_dir)).select("name", "method", chains.alias("chains"))
+
+
+#: An entity of fifty residues, every seventh of which the sequence has no letter for; the three chains are its strands.
+ENTITY = "".join("X" if k % 7 == 0 else "ACDEFGHIKLMNPQRSTVWY"[k % 20] for k in range(1, 51))
+CIF_ENTITY = f"""#
+_entry.id 9XYZ
+_pdbx_database_status.recvd_initial_deposition_date 2020-01-02
+_refine.ls_d_res_high 1.75
+_pdbx_struct_mod_residue.label_comp_id MSE
+_pdbx_struct_mod_residue.parent_comp_id MET
+_entity_poly.entity_id 1
+_entity_poly.type 'polypeptide(L)'
+_entity_poly.pdbx_strand_id a,n,r
+_entity_poly.pdbx_seq_one_letter_code_can
+;{ENTITY[:30]}
+{ENTITY[30:]}
+;
+loop_
+_pdbx_poly_seq_scheme.asym_id
+_pdbx_poly_seq_scheme.pdb_strand_id
+A a
+N n
+R r
+"""
+CIF_CHAINS_SQL = CIF_SQL + f""", p AS (SELECT name, chain, CAST(k AS INTEGER) AS pos, '{ENTITY}'[k:k] AS letter FROM (SELECT DISTINCT name FROM l), (SELECT unnest(['A', 'N', 'R']) AS chain), (SELECT unnest(range(1, 51)) AS k)),
+m AS (SELECT name, chain, resnum AS pos, arg_max({NAMES!r}[(l_partkey + l_linenumber) % 22 + 1], (l_linenumber % 4) * 1000000 - k) AS resname, arg_max(l_quantity::DOUBLE, (l_linenumber % 4) * 1000000 - k) AS x FROM l GROUP BY 1, 2, 3),
+j AS (SELECT name, chain, pos, CASE WHEN letter = 'X' AND resname = 'MSE' THEN 'M' ELSE letter END AS aa, resname, x, x IS NOT NULL AS observed FROM p LEFT JOIN m USING (name, chain, pos))"""
+
+
+def _cif_entities(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    text = F.format_string("%s %d %s CA %.3f %.3f %.3f %.2f 1", "chain", "resnum", "resname", F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 100, F.col("l_tax").cast("double") * 100, (F.col("l_linenumber") % 4 / 4).cast("double"))
+    one = writers.joined_lines(rows, "name", ORDER, text)
+    folder = writers.write_named(one.select("name", F.concat(F.lit(CIF_HEAD), "text", F.lit("\n" + CIF_ENTITY + CIF_TAIL)).alias("text")), new_folder(spark, "cif"), ".cif")
+    return mmcif.mmcif_files(spark, folder)
+
+
+@query(CIF_CHAINS_SQL + " SELECT name, chain, pos, aa, resname, observed, x FROM j")
+def mmcif_chains(spark, sf_dir):
+    """The full sequence of each chain's entity, merged with what was observed; modified residues count as their parents."""
+    got = mmcif.chain_residues(_cif_entities(spark, sf_dir), ("CA",), ("CA",))
+    return got.select("name", "chain", "pos", "aa", "resname", "observed", F.get("ca", 0).alias("x"))
+
+
+@query(CIF_CHAINS_SQL + """ SELECT name, chain, '>9XYZ_' || chain || ' 2020-01-02 X-RAY_DIFFRACTION 1.75 50 ' || count(*) FILTER (WHERE observed) AS header, string_agg(aa, '' ORDER BY pos) AS seq,
+  string_agg(CASE WHEN observed THEN aa ELSE '-' END, '' ORDER BY pos) AS seen FROM j GROUP BY 1, 2""")
+def mmcif_headers(spark, sf_dir):
+    """The line that describes each chain of a file, and its sequence."""
+    parsed = _cif_entities(spark, sf_dir).checkpoint()  # read twice below, parsed once
+    return mmcif.chain_headers(parsed, mmcif.chain_residues(parsed, ("CA",), ("CA",)))
 
 
 @query("""WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS number FROM d)
@@ -233,6 +296,35 @@ def profile_probabilities(spark, sf_dir):
     return got.select(F.regexp_replace("file", r"\.txt$", "").alias("name"), "pos", rounded(F.get(p, 0)).alias("first"), rounded(F.array_max(p)).alias("top"), F.get(p, 20).alias("unknown"))
 
 
+@query(PROFILE_SQL + """, o AS (SELECT name, pos, v, list_transform(v, lambda x: exp(x)) AS e FROM v)
+SELECT name, CAST(pos AS INTEGER) AS pos, round(v[5], 2) AS c_odds, round(v[2], 2) AS r_odds, round(e[4] / list_sum(e), 6) AS d_share, round(v[20], 2) AS v_odds, 0.0::DOUBLE AS x_odds FROM o""")
+def profile_letters(spark, sf_dir):
+    """Profiles as text, their letters put in the order of the models' alphabet."""
+    line = read(spark, sf_dir, "lineitem").withColumn("name", F.concat(F.lit("S"), "l_suppkey"))
+    numbers = [F.format_string("%.2f", F.when(F.lit(k) == F.col("l_linenumber"), F.col("l_quantity").cast("double") / 10).otherwise(k / 10)) for k in range(20)]
+    one = writers.joined_lines(line, "name", ORDER, F.concat(F.lit("xxxx "), F.concat_ws(" ", *numbers)))
+    folder = writers.write_named(one.select("name", F.concat(F.lit("head\nhead\n"), "text").alias("text")), new_folder(spark, "profiles"), ".txt")
+    got = files.read_profile(spark, folder)
+    odds, share = files.permuted(F.col("values"), constraints.ALPHABET), files.permuted(constraints.profile_softmax(F.col("values")), constraints.ALPHABET)
+    at = {a: constraints.ALPHABET.index(a) for a in "CRDVX"}
+    return got.select(F.regexp_replace("file", r"\.txt$", "").alias("name"), "pos", F.get(odds, at["C"]).alias("c_odds"), F.get(odds, at["R"]).alias("r_odds"), rounded(F.get(share, at["D"])).alias("d_share"), F.get(odds, at["V"]).alias("v_odds"), F.get(odds, at["X"]).alias("x_odds"))
+
+
+@query(PROFILE_SQL.replace("SELECT 'S' || l_suppkey AS name", "SELECT 'S' || l_suppkey AS name, l_returnflag AS chain, l_discount").replace("PARTITION BY l_suppkey", "PARTITION BY l_suppkey, l_returnflag").replace("SELECT name, pos, list_transform", "SELECT name, chain, pos, l_discount, list_transform") + """
+SELECT name, chain, CAST(pos AS INTEGER) AS pos, CASE WHEN chain = 'R' THEN 0.5 ELSE l_discount END::DOUBLE AS coef, round(list_sum(v), 6) AS odds, round(list_sum(v) / 2, 6) AS bias FROM v""")
+def profile_dictionary(spark, sf_dir):
+    """Profile dictionaries by structure and chain: a first line for all chains, then one that overrides it, folded in order."""
+    line = read(spark, sf_dir, "lineitem").withColumn("name", F.concat(F.lit("S"), "l_suppkey"))
+    v = F.array(*(F.when(F.lit(k) == F.col("l_linenumber"), F.col("l_quantity").cast("double") / 10).otherwise(k / 10) for k in range(20)))
+    pos = F.row_number().over(Window.partitionBy("name", "l_returnflag").orderBy(*ORDER))
+    rows = line.select("name", F.col("l_returnflag").alias("chain"), pos.alias("pos"), F.col("l_discount").cast("double").alias("coef"), F.transform(v, lambda x: x / 2).alias("bias"), v.alias("log_odds"))
+    old = files.profile_lines(rows.withColumn("coef", F.lit(-1.0))).select("name", F.col("text").alias("old"))
+    new = files.profile_lines(rows.withColumn("coef", F.when(F.col("chain") == "R", 0.5).otherwise(F.col("coef"))))
+    folder = writers.write_named(old.join(new, "name").select("name", F.concat("old", F.lit("\n\n"), "text").alias("text")), new_folder(spark, "profile-dictionaries"), ".jsonl")
+    sums = lambda c: rounded(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
+    return files.read_profiles(spark, folder).select("name", "chain", "pos", "coef", sums("log_odds").alias("odds"), sums("bias").alias("bias"))
+
+
 @query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def results_log(spark, sf_dir):
     """Results appended to a CSV log in two goes; the draws of the null distribution are left out of it."""

@@ -54,6 +54,55 @@ def read_dictionary(spark: SparkSession, path: str, value: T.DataType) -> DataFr
     return last.select(F.explode("m").alias("name", "value"))
 
 
+def folded_dictionary(spark: SparkSession, path: str, value: T.DataType) -> DataFrame:
+    """(name, value) of dictionaries whose lines add up: each line is a JSON object, and of a name that several lines have the last one counts.
+
+    The fold runs over the lines of one file; a name that several files have comes once for each.
+    """
+    kind = T.MapType(T.StringType(), value)
+    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    maps = F.filter(F.transform("lines", lambda x: F.from_json(x, kind)), lambda m: m.isNotNull())
+    later = lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+    return whole.select(F.aggregate(maps, F.create_map().cast(kind), later).alias("m")).select(F.explode("m").alias("name", "value"))
+
+
+#: A structure's profiles by chain: how far to trust each position, probabilities and log-odds over the letters.
+PROFILE = T.MapType(T.StringType(), T.StructType([T.StructField("pssm_coef", T.ArrayType(T.DoubleType())), *(T.StructField(n, T.ArrayType(T.ArrayType(T.DoubleType()))) for n in ("pssm_bias", "pssm_log_odds"))]))
+
+
+def profile_lines(profiles: DataFrame) -> DataFrame:
+    """(name, text): the profile dictionary of each structure as one line, from (name, chain, pos, coef, bias, log_odds)."""
+    at = F.array_sort(F.collect_list(F.struct("pos", "coef", "bias", "log_odds")))
+    chains = profiles.groupBy("name", "chain").agg(at.alias("r"))
+    parts = F.struct(*(F.transform("r", _field(c)).alias(n) for c, n in (("coef", "pssm_coef"), ("bias", "pssm_bias"), ("log_odds", "pssm_log_odds"))))
+    one = chains.select("name", "chain", parts.alias("p")).groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chain", "p")), _by_first)).alias("m"))
+    return one.select("name", F.to_json(F.create_map(F.col("name"), F.col("m"))).alias("text"))
+
+
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def _by_first(a: Column, b: Column) -> Column:
+    return F.when(a["chain"] < b["chain"], -1).when(a["chain"] > b["chain"], 1).otherwise(0)
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(name, chain, pos, coef, bias, log_odds) of profile dictionaries."""
+    each = folded_dictionary(spark, path, PROFILE).select("name", F.explode("value").alias("chain", "p"))
+    rows = each.select("name", "chain", F.posexplode(F.arrays_zip("p.pssm_coef", "p.pssm_bias", "p.pssm_log_odds")).alias("k", "z"))
+    return rows.select("name", "chain", (F.col("k") + 1).alias("pos"), F.col("z.pssm_coef").alias("coef"), F.col("z.pssm_bias").alias("bias"), F.col("z.pssm_log_odds").alias("log_odds"))
+
+
+#: Fixed value: the order of the letters in the columns of text profiles.
+PROFILE_LETTERS = "ARNDCQEGHILKMFPSTWYV"
+
+
+def permuted(values: Column, alphabet: str, given: str = PROFILE_LETTERS) -> Column:
+    """Values that come in the order of `given`, in the order of an alphabet; 0 for a letter that has none."""
+    return F.array(*(F.get(values, F.lit(given.index(a))) if a in given else F.lit(0.0) for a in alphabet))
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").cast("long").alias("id")).filter("id is not null")
 
