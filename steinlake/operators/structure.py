@@ -11,20 +11,91 @@ from pyspark.sql import functions as F
 from ..functions.arrays import sqdist
 
 
+#: Nodes up to which a structure's nodes meet all in one row; larger structures are searched by cells.
+WHOLE = 512
+
+
 def knn_edges(nodes: DataFrame, k: int, name: str = "name", node: str = "node", xyz: str = "xyz", mask: str | None = None) -> DataFrame:
-    """(name, src, dst, rank, dist): the k nearest nodes of each node, itself among them.
+    """(name, src, dst, rank, dist): the k nearest nodes of each node, itself among them; ties to the smaller dst.
 
-    Distances are sqrt(sum of squares + 1e-6), 0 where an end is masked; masked pairs then count as far as the farthest pair
-    of their row. Nodes per structure are bounded, so each structure's nodes meet as arrays in its own row.
+    Distances are sqrt(sum of squares + 1e-6), 0 where an end is masked. Masked nodes come after all others, in order of dst, and count as far as the
+    farthest of those; a masked node's own row is in order of dst. Small structures meet as arrays, one row each, with one exchange; structures of
+    more than WHOLE nodes are searched by cells (whether there are any is asked when this is called).
+    """
+    n = nodes.select(F.col(name).alias("name"), F.col(node).alias("node"), F.col(xyz).alias("xyz"), F.coalesce(F.col(mask), F.lit(False)).alias("ok") if mask else F.lit(True).alias("ok"))
+    sizes = n.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("name")
+    if sizes.isEmpty():
+        found = _knn_whole(n, k)
+    else:
+        large = n.join(sizes, "name", "left_semi").checkpoint()
+        found = _knn_whole(n.join(sizes, "name", "left_anti"), k).unionByName(_knn_large(large, k))
+    return found.select(F.col("name").alias(name), "src", "dst", "rank", "dist")
+
+
+def _knn_whole(n: DataFrame, k: int) -> DataFrame:
+    every = n.groupBy("name").agg(F.collect_list(F.struct("node", "xyz", "ok")).alias("nodes"))
+    each = every.select("name", "nodes", F.explode("nodes").alias("q"))
+    both = lambda o: o["ok"] & F.col("q.ok")
+    d = F.transform("nodes", lambda o: F.struct((~both(o)).alias("last"), F.when(both(o), F.sqrt(sqdist(F.col("q.xyz"), o["xyz"]) + 1e-6)).otherwise(0.0).alias("d"), o["node"].alias("dst")))
+    wide = each.select("name", F.col("q.node").alias("src"), F.array_sort(d).alias("d")).withColumn("far", F.array_max(F.transform("d", lambda x: x["d"])))
+    out = wide.select("name", "src", "far", F.posexplode(F.slice("d", 1, k)).alias("rank", "e"))
+    return out.select("name", "src", F.col("e.dst").alias("dst"), (F.col("rank") + 1).alias("rank"), F.when(F.col("e.last"), F.col("far")).otherwise(F.col("e.d")).alias("dist"))
+
+
+def _knn_large(n: DataFrame, k: int) -> DataFrame:
+    """Large structures: the nearest by cells, then masked nodes where there are not k others."""
+    found = nearest_by_cells(n.filter("ok"), k)
+    w = Window.partitionBy("name").orderBy("node")
+    masked = n.filter(~F.col("ok"))
+    if masked.isEmpty():
+        return found
+    head = lambda rows: rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("name", F.col("node").alias("dst"), "r")  # noqa: E731  at most k of a structure
+    have = found.groupBy("name", "src").agg(F.count(F.lit(1)).alias("have"), F.max("dist").alias("far")).filter(F.col("have") < k)
+    more = have.join(head(masked), "name").withColumn("rank", (F.col("have") + F.col("r")).cast("int")).filter(F.col("rank") <= k).select("name", "src", "dst", "rank", F.col("far").alias("dist"))
+    own = masked.select("name", F.col("node").alias("src")).join(head(n), "name").select("name", "src", "dst", F.col("r").cast("int").alias("rank"), F.lit(0.0).alias("dist"))
+    return found.unionByName(more).unionByName(own)
+
+
+def _cell(xyz, h: Column) -> list[Column]:
+    return [F.floor(F.get(xyz, i) / h).cast("long") for i in range(3)]
+
+
+def _near_cells(rows: DataFrame, xyz: str, h: Column) -> DataFrame:
+    """rows, once for each of the 27 cells around their own."""
+    offsets = F.array(*(F.array(*(F.lit(x) for x in (i, j, l))) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)))
+    wide = rows.withColumn("_o", F.explode(offsets))
+    return wide.withColumns({f"_c{i}": c + F.get("_o", i) for i, c in enumerate(_cell(xyz, h))}).drop("_o")
+
+
+def nearest_by_cells(n: DataFrame, k: int) -> DataFrame:
+    """(name, src, dst, rank, dist) of n(name, node, xyz): the k nearest, by cells that grow for the nodes that need it.
+
+    A round joins each open node to the 27 cells around it: all nodes within a cell's width are there. A node is done when its k-th neighbour lies within that
+    width, or all nodes of the structure were met; the others go on with cells of twice the width. The first width has about k nodes to a cell,
+    so the joined rows grow with the nodes, and a round costs a job.
     """
-    m = F.col(mask) if mask else F.lit(True)
-    other = nodes.groupBy(name).agg(F.collect_list(F.struct(F.col(node).alias("dst"), F.col(xyz).alias("p"), m.alias("m"))).alias("others"))
-    wide = nodes.select(name, F.col(node).alias("src"), F.col(xyz).alias("q"), m.alias("mq")).join(other, name)
-    d = F.transform("others", lambda o: F.struct(F.when(o["m"] & F.col("mq"), F.sqrt(sqdist(F.col("q"), o["p"]) + 1e-6)).otherwise(0.0).alias("d"), o["dst"].alias("dst"), (o["m"] & F.col("mq")).alias("ok")))
-    wide = wide.select(name, "src", d.alias("d")).withColumn("far", F.array_max(F.transform("d", lambda x: x["d"])))
-    ranked = F.slice(F.array_sort(F.transform("d", lambda x: F.struct(F.when(x["ok"], x["d"]).otherwise(F.col("far")).alias("dist"), x["dst"].alias("dst")))), 1, k)
-    out = wide.select(name, "src", F.posexplode(ranked).alias("rank", "e"))
-    return out.select(name, "src", F.col("e.dst").alias("dst"), (F.col("rank") + 1).alias("rank"), F.col("e.dist").alias("dist"))
+    n = n.filter(F.col("xyz").isNotNull() & F.forall("xyz", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    sides = [F.max(F.get("xyz", i)) - F.min(F.get("xyz", i)) for i in range(3)]
+    shape = n.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.greatest(*sides).alias("side"))
+    width = F.greatest(F.col("side") / F.greatest(F.floor(F.cbrt(F.col("n") / k)), F.lit(1)), F.lit(1e-6))
+    placed = n.join(shape.select("name", "n", width.alias("h")), "name").checkpoint()
+    rest, done = placed.select("name", F.col("node").alias("src"), F.col("xyz").alias("q"), "n", "h"), None
+    order = Window.partitionBy("name", "src").orderBy("dist", "dst")
+    whole = Window.partitionBy("name", "src")
+    scale = 1.0
+    while not rest.isEmpty():
+        h = F.col("h") * scale
+        others = placed.select("name", F.col("node").alias("dst"), F.col("xyz").alias("p"), *(c.alias(f"_c{i}") for i, c in enumerate(_cell("xyz", h))))
+        met = _near_cells(rest, "q", h).join(others, ["name", "_c0", "_c1", "_c2"]).select("name", "src", "q", "n", "h", "dst", sqdist("q", "p").alias("d2"))
+        ranked = met.withColumn("dist", F.sqrt(F.col("d2") + 1e-6)).withColumn("rank", F.row_number().over(order)).withColumn("met", F.count(F.lit(1)).over(whole)).filter(F.col("rank") <= k)
+        # Complete: the k-th lies within the width, or nothing is left to meet.
+        sure = F.max(F.when(F.col("rank") == k, F.sqrt("d2") <= F.col("h") * scale)).over(whole)
+        ranked = ranked.withColumn("sure", F.coalesce(sure, F.lit(False)) | (F.col("met") == F.col("n"))).checkpoint()
+        sure_rows = ranked.filter("sure").select("name", "src", "dst", "rank", "dist")
+        done = sure_rows if done is None else done.unionByName(sure_rows)
+        rest = ranked.filter("not sure and rank = 1").select("name", "src", "q", "n", "h")
+        scale *= 2
+    return done if done is not None else n.select("name", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("rank"), F.lit(0.0).alias("dist"))
 
 
 def rbf(dist: Column, low: float = 2.0, high: float = 22.0, count: int = 16, width: float = 1.25) -> Column:
@@ -196,10 +267,16 @@ def alignment_index(df: DataFrame, name: str, pos: str, observed: Column) -> Dat
 
 
 def radius_edges(nodes: DataFrame, radius: float, name: str = "name", node: str = "node", xyz: str = "xyz", apart: int = 0) -> DataFrame:
-    """(name, src, dst, dist): ordered pairs within a radius, at least `apart` places apart. Nodes of a structure are bounded."""
-    a = nodes.select(F.col(name).alias("name"), F.col(node).alias("src"), F.col(xyz).alias("p"))
-    b = nodes.select(F.col(name).alias("name"), F.col(node).alias("dst"), F.col(xyz).alias("q"))
-    both = a.join(b, "name").filter((F.col("src") != F.col("dst")) & (F.abs(F.col("src") - F.col("dst")) >= apart))
+    """(name, src, dst, dist): ordered pairs within a radius, at least `apart` places apart.
+
+    Nodes are hashed to cells as wide as the radius; a node meets those of the 27 cells around it, so joined rows grow with the nodes and not
+    with the square of a structure. A node without three finite coordinates has no edges.
+    """
+    finite = F.forall("p", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    a = nodes.select(F.col(name).alias("name"), F.col(node).alias("src"), F.col(xyz).alias("p")).filter(F.col("p").isNotNull() & finite)
+    h = F.lit(float(radius))
+    b = a.select("name", F.col("src").alias("dst"), F.col("p").alias("q"), *(c.alias(f"_c{i}") for i, c in enumerate(_cell("p", h))))
+    both = _near_cells(a, "p", h).join(b, ["name", "_c0", "_c1", "_c2"]).filter((F.col("src") != F.col("dst")) & (F.abs(F.col("src") - F.col("dst")) >= apart))
     return both.select("name", "src", "dst", F.sqrt(sqdist("p", "q")).alias("dist")).filter(F.col("dist") < radius)
 
 
@@ -225,6 +302,75 @@ def quaternion(r: list[Column]) -> Column:
     return _unit(F.array(*(s * z for s, z in zip(signs, sizes, strict=True)), w))
 
 
+#: Pairs of atoms whose distances an edge of a backbone graph holds, in the models' order: every atom of one end with every atom of the other.
+BACKBONE_PAIRS = (
+    ("ca", "ca"), ("n", "n"), ("c", "c"), ("o", "o"), ("cb", "cb"), ("ca", "n"), ("ca", "c"), ("ca", "o"), ("ca", "cb"), ("n", "c"), ("n", "o"), ("n", "cb"), ("cb", "c"),
+    ("cb", "o"), ("o", "c"), ("n", "ca"), ("c", "ca"), ("o", "ca"), ("cb", "ca"), ("c", "n"), ("o", "n"), ("cb", "n"), ("c", "cb"), ("o", "cb"), ("c", "o"),
+)
+#: The same for traces: a C-alpha, the one before it and the one after it.
+TRACE_PAIRS = (("at", "at"), ("before", "before"), ("after", "after"), ("before", "at"), ("before", "after"), ("at", "before"), ("at", "after"), ("after", "before"), ("after", "at"))
+
+
+def trace_frames(nodes: DataFrame, name: str = "name", node: str = "node", xyz: str = "xyz", low: float = 3.6, high: float = 4.0) -> DataFrame:
+    """nodes with before and after (the neighbours' points, zeros at the ends), frame (three rows) and angles (three numbers) of the trace.
+
+    A step whose length is outside the bounds counts as none. Frame: the bisector of the steps into and out of a node, their normal, and the cross product of
+    both. Angles: the cosine of the bond angle of the next two steps, and its sine times the cosine and sine of the dihedral. Frame and angles are
+    zeros at the first node and the last two.
+    """
+    w = Window.partitionBy(name).orderBy(node)
+    zero = F.array(*(F.lit(0.0) for _ in range(3)))
+    step = _minus(F.lead(xyz).over(w), F.col(xyz))
+    out = nodes.withColumn("_s", step).withColumn("_m", F.sqrt(_dot(F.col("_s"), F.col("_s"))))
+    out = out.withColumn("_u", F.when((F.col("_m") > low) & (F.col("_m") < high), F.transform("_s", lambda v: v / F.col("_m"))).otherwise(zero))
+    out = out.withColumns({"_u2": F.lag("_u").over(w), "_u0": F.lead("_u").over(w), "_inside": F.lag(node).over(w).isNotNull() & F.lead(node, 2).over(w).isNotNull()})
+    out = out.withColumns({"before": F.coalesce(F.lag(xyz).over(w), zero), "after": F.coalesce(F.lead(xyz).over(w), zero)})
+    out = out.withColumns({"_n2": _unit(_cross(F.col("_u2"), F.col("_u"))), "_n1": _unit(_cross(F.col("_u"), F.col("_u0"))), "_o": _unit(_minus(F.col("_u2"), F.col("_u")))})
+    clip = lambda c: F.least(F.greatest(c, F.lit(-1 + 1e-6)), F.lit(1 - 1e-6))
+    bond, twist = clip(-_dot(F.col("_u"), F.col("_u0"))), clip(_dot(F.col("_n2"), F.col("_n1")))
+    sine, side = F.sqrt(1 - bond * bond), F.signum(_dot(F.col("_u2"), F.col("_n1")))
+    # sign(s) * acos(c): the cosine is c, or 1 where the sign is 0.
+    angles = F.array(bond, sine * F.when(side == 0, 1.0).otherwise(twist), sine * side * F.sqrt(1 - twist * twist))
+    frame = F.array("_o", "_n2", _cross(F.col("_o"), F.col("_n2")))
+    inside = F.col("_inside")
+    out = out.withColumns({"frame": F.when(inside, frame).otherwise(F.array(zero, zero, zero)), "angles": F.when(inside, angles).otherwise(zero)})
+    return out.drop("_s", "_m", "_u", "_u2", "_u0", "_n2", "_n1", "_o", "_inside")
+
+
+def along_edges(edges: DataFrame, nodes: DataFrame, columns: list[str], name: str = "name", node: str = "node") -> DataFrame:
+    """edges(name, src, dst, ...) with structs a and b of the nodes' columns at both ends: two equi-joins, whatever number of features is made of them."""
+    one = nodes.select(F.col(name).alias("name"), F.col(node).alias("_node"), F.struct(*columns).alias("_f"))
+    out = edges.join(one.select("name", F.col("_node").alias("src"), F.col("_f").alias("a")), ["name", "src"])
+    return out.join(one.select("name", F.col("_node").alias("dst"), F.col("_f").alias("b")), ["name", "dst"])
+
+
+def edge_rbf(a: Column, b: Column, pairs: tuple = BACKBONE_PAIRS) -> Column:
+    """The radial basis values of all pairs of atoms of an edge's ends, one array in the order of pairs. a, b: structs with a point for each atom."""
+    return F.flatten(F.array(*(rbf(F.sqrt(sqdist(a[x], b[y]) + 1e-6)) for x, y in pairs)))
+
+
+def edge_orientation(a: Column, b: Column, xyz: str = "xyz", frame: str = "frame") -> tuple[Column, Column]:
+    """(direction, rotation) along an edge: the unit vector to the other end in the frame of this one, and the rotation between both frames as a quaternion."""
+    rows = lambda f: [F.get(f[frame], i) for i in range(3)]
+    p, q = rows(a), rows(b)
+    apart = _minus(b[xyz], a[xyz])
+    direction = _unit(F.array(*(_dot(r, apart) for r in p)))
+    at = lambda m, i, j: F.get(m[i], j)
+    between = [F.array(*(sum((at(p, l, i) * at(q, l, j) for l in range(3)), F.lit(0.0)) for j in range(3))) for i in range(3)]
+    return direction, quaternion(between)
+
+
+def backbone(rows: DataFrame) -> DataFrame:
+    """rows(n, ca, c, o) with cb, the idealised C-beta."""
+    return rows.withColumn("cb", F.array(*virtual_beta(F.col("n"), F.col("ca"), F.col("c"))))
+
+
+def edge_places(a: Column, b: Column, index: str = "residue_index", chain: str = "chain", most: int = 32) -> tuple[Column, Column]:
+    """(same_chain, class) of an edge: whether its ends are of one chain, and the class of their relative position."""
+    same = a[chain] == b[chain]
+    return same, relative_class(a[index] - b[index], same, most)
+
+
 def tied_features(residues: DataFrame, designed: DataFrame) -> DataFrame:
     """One row per residue of residues(name, chain, pos, ...) in the model's order: designed chains first, then visible ones, each sorted.
 

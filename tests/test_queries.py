@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from steinlake.plans import feature_queries, file_queries, kernel_queries, queries, sampling_queries, table_queries  # noqa: F401
+from steinlake.plans import feature_queries, file_queries, graph_queries, kernel_queries, queries, sampling_queries, table_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"

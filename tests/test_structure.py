@@ -65,3 +65,90 @@ def test_assembly_search(spark):
     a = spark.createDataFrame([("p", 1, "A, B"), ("p", 2, "AB,C,C"), ("q", 1, "A"), ("q", 2, None)], "name string, id int, chains string")
     w = spark.createDataFrame([("p", "A"), ("p", "C"), ("p", "C"), ("q", "B"), (None, None)], "name string, chain string")
     assert sorted((r.name, r.chain, r.id) for r in structure.assemblies_with(a, w).collect()) == [("p", "A", 1), ("p", "C", 2)]
+
+
+def brute_knn(rows, k):
+    """Plain search: valid nodes by distance, then masked ones in order at the farthest distance."""
+    out = set()
+    for name, i, p, ok in rows:
+        mine = [(j, q, m) for n, j, q, m in rows if n == name]
+        if ok:
+            near = sorted((math.sqrt(((np.array(p) - np.array(q)) ** 2).sum() + 1e-6), j) for j, q, m in mine if m)
+            far = near[-1][0]
+            near += [(far, j) for j in sorted(j for j, _, m in mine if not m)]
+        else:
+            near = [(0.0, j) for j in sorted(j for j, _, _ in mine)]
+        out |= {(name, i, j, r, round(d, 9)) for r, (d, j) in enumerate(near[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("valid", [1.0, 0.9, 0.01])
+def test_knn_by_cells_is_exact(spark, monkeypatch, valid):
+    monkeypatch.setattr(structure, "WHOLE", 20)
+    rng = np.random.default_rng(2)
+    rows = []
+    for name, n, make in (("ball", 150, lambda: rng.normal(size=3)), ("line", 90, lambda: np.array([rng.random() * 100, 0, 0])), ("clumps", 120, lambda: rng.integers(0, 3, 3) * 50.0 + rng.normal(size=3) * 0.01), ("point", 40, lambda: np.ones(3)), ("few", 12, lambda: rng.normal(size=3))):
+        rows += [(name, k, make().tolist(), bool(rng.random() < valid) or k == 0) for k in range(n)]
+    df = spark.createDataFrame(rows, "name string, node int, xyz array<double>, ok boolean")
+    got = structure.knn_edges(df, 7, mask="ok").collect()
+    assert {(r.name, r.src, r.dst, r.rank, round(r.dist, 9)) for r in got} == brute_knn(rows, 7)
+    assert len(got) == 7 * len(rows)
+
+
+def test_cells_join_in_proportion_to_nodes(spark, monkeypatch):
+    """Rows that meet in the joins by cells, for one structure of n and of 4 n nodes of the same density."""
+    import re
+
+    def met(n):
+        side = (n / 0.05) ** (1 / 3)
+        rng = np.random.default_rng(n)
+        df = spark.createDataFrame([("s", k, (rng.random(3) * side).tolist()) for k in range(n)], "name string, node int, xyz array<double>").repartition(2)
+        edges = structure.radius_edges(df, 4.0)
+        count = edges.count()
+        seen = structure._near_cells(df.select("name", F.col("node").alias("src"), F.col("xyz").alias("p")), "p", F.lit(4.0)).join(df.select("name", F.col("node").alias("dst"), *(c.alias(f"_c{i}") for i, c in enumerate(structure._cell("xyz", F.lit(4.0))))), ["name", "_c0", "_c1", "_c2"]).count()
+        assert "SortMergeJoin" in (text := edges._jdf.queryExecution().toString()) or "HashJoin" in text
+        assert not re.search("CartesianProduct|NestedLoop", text)
+        return count, seen
+
+    small, large = met(1500), met(6000)
+    assert large[0] < 5 * small[0] and large[1] < 5 * small[1] and large[1] < 6000 * 100
+
+
+def test_radius_edges_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(80, 3)) * 6 - 3, [[-6.0, 0, 0], [0, 0, 0], [6.0, 0, 0]]])
+    df = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)] + [("s", 900, None), ("s", 901, [1.0, float("nan"), 0.0])], "name string, node int, xyz array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    for apart in (0, 3):
+        expected = {(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and d[i, j] < 6.0 and abs(i - j) >= apart}
+        assert {(r.src, r.dst) for r in structure.radius_edges(df, 6.0, apart=apart).collect()} == expected
+
+
+def test_edge_features_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    x = [np.zeros(3)]
+    for k in range(11):
+        u = rng.normal(size=3)
+        x.append(x[-1] + (3.8 if k != 6 else 5.0) * u / np.linalg.norm(u))
+    x = np.array(x)
+    n = len(x)
+    df = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)], "name string, node int, xyz array<double>")
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) > 0 else v
+    u = [unit(b - a) if 3.6 < np.linalg.norm(b - a) < 4 else np.zeros(3) for a, b in zip(x, x[1:], strict=False)]
+    frames, angles = np.zeros((n, 3, 3)), np.zeros((n, 3))
+    for p in range(1, n - 2):
+        n2, n1, o = unit(np.cross(u[p - 1], u[p])), unit(np.cross(u[p], u[p + 1])), unit(u[p - 1] - u[p])
+        frames[p] = [o, n2, np.cross(o, n2)]
+        a, d = np.arccos(np.clip(-u[p] @ u[p + 1], -1 + 1e-6, 1 - 1e-6)), np.sign(u[p - 1] @ n1) * np.arccos(np.clip(n2 @ n1, -1 + 1e-6, 1 - 1e-6))
+        angles[p] = [np.cos(a), np.sin(a) * np.cos(d), np.sin(a) * np.sin(d)]
+    told = structure.trace_frames(df).orderBy("node").collect()
+    assert np.array([r.angles for r in told]) == pytest.approx(angles, abs=1e-9) and np.array([r.frame for r in told]) == pytest.approx(frames, abs=1e-9)
+    e = structure.along_edges(structure.knn_edges(df, 5), structure.trace_frames(df), ["xyz", "frame"])
+    direction, rotation = structure.edge_orientation(F.col("a"), F.col("b"))
+    for r in e.select("src", "dst", direction.alias("d"), rotation.alias("q")).collect():
+        assert r.d == pytest.approx(unit(frames[r.src] @ (x[r.dst] - x[r.src])), abs=1e-9)
+        m = frames[r.src].T @ frames[r.dst]
+        if abs(np.linalg.det(m) - 1) < 1e-6 and np.trace(m) > -0.9:
+            i, j, k, w = r.q
+            back = np.array([[1 - 2 * (j * j + k * k), 2 * (i * j - k * w), 2 * (i * k + j * w)], [2 * (i * j + k * w), 1 - 2 * (i * i + k * k), 2 * (j * k - i * w)], [2 * (i * k - j * w), 2 * (j * k + i * w), 1 - 2 * (i * i + j * j)]])
+            assert back == pytest.approx(m, abs=1e-6)
