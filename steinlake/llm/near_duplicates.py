@@ -3,23 +3,31 @@
 A document's set holds its distinct runs of five words (a shorter text is one run). Documents with the same set are one class;
 the work below is on one representative per class.
 
-Candidates. A signature has TREES orders of DEPTH MinHash values. In each order, representatives are sorted by their values,
-and those with a common prefix of the first depth (layout) form a region. The members of a region of more than REGION are
-placed anew, by exact keys: with a set's shingles in the order of how many crowded members have them, rarest first, two sets
+Candidates. A signature has TREES orders of DEPTH MinHash values. In each order, representatives are sorted by their values. Those with
+a common prefix of the first depth (layout) form a region; where a region has more than REGION members, its depth grows, value by value, only for
+them, until the part that shares the longer prefix has at most REGION. In a region, neighbours in the sorted order are candidates: no other member has a
+longer common prefix with either of them, and together they are a spanning tree of the region by longest common prefix. A candidate's
+signatures must agree in enough of all places (layout).
+
+Deepening may part a linked pair, so members of regions that are crowded at the first depth are also placed by exact
+keys: with a set's shingles in the order of how many crowded members have them, rarest first, two sets
 of sizes m and n at the threshold have some number t of shingles in common, and so one of their first m - t + 1 and n - t + 1.
 Sets are put into classes of nearly equal sizes, and a key is such a shingle together with the two classes that meet by it.
 What many share, as a template, comes last there and puts nobody together: in a family whose members share a template and are
 not linked, the shingles of one member alone fill those first places. Keys of more than REGION members are dealt into parts
 of that size, differently for each key.
-Members whose signatures agree in enough places (layout) are candidates.
 
-Two rounds: first a spanning forest of each region's candidates, best agreement first, is confirmed; then, with the components
-so found, every candidate pair of a region whose ends are still in different components is tested where the region is, and
+Two rounds: first the forest's candidates, and a spanning forest of those of each key, are confirmed; then, with the components
+so found, every pair of a region of the first depth, or of a key, whose signatures agree in enough places and whose ends are still in different
+components is tested where the region is, and
 only links leave the task. In the second round a crowded key's main component and the rest of its members are cut into blocks,
 and each block of the rest meets each block of both, two blocks to a region (meetings); texts are sent only for members that
 have a candidate there. A task holds one region of about REGION members; the regions of a crowd grow with the product of its
 size and its rest.
 
+Texts are looked up by id. Up to BROADCAST_IDS ids are broadcast; more are sent as a Bloom filter of at most FILTER_BITS bits that drops other
+texts before the exchange (beyond about a twentieth of that number of ids it drops fewer, and loses none).
+
 At 0.85 the first depth is 4: all 16 orders miss such a pair with probability 7e-6, and it agrees in under 90 of 128 places
 with probability 7e-6. At 0.80 the depth is 3 (1e-5) and the agreement 82 (9e-6).
 
@@ -55,8 +63,8 @@ SHINGLE, TREES, DEPTH, REGION = 5, 16, 8, 512
 CLASSES = 4
 #: The chance of a pair at the threshold to share the first depth in no order, or to agree in too few places, is at most this.
 LOSS = 1.1e-5
-#: Ids up to this many (8 bytes each) are broadcast to filter the texts; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Ids up to this many (8 bytes each) are broadcast to filter the texts; more go as a Bloom filter of at most so many bits, before a join.
+BROADCAST_IDS, FILTER_BITS = 500_000, 1 << 28
 _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, (2, TREES * DEPTH), dtype=np.uint64)
 _TIMES, _PLUS = _RANDOM[0] * U(2) + U(1), _RANDOM[1]
 
@@ -119,10 +127,10 @@ def _prefix(depth: int) -> F.Column:
 
 
 def _placed(rows: DataFrame, name: str) -> DataFrame:
-    """(id, key, half, n): rows(id, key, half) whose key n > 1 members share, of both halves where it has halves."""
+    """(id, key, half, n, and rows' other columns): rows(id, key, half) whose key n > 1 members share, of both halves where it has halves."""
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("half").alias("_low"), F.max("half").alias("_high")).filter("n > 1 and (_low = 0 or _low < _high)")
     shared = stored(shared.select("key", "n", F.col("n").alias("rows")), "shared")
-    return stored(join_spread(rows, shared, ["key"], "n", "rows", F.xxhash64("id")).filter("n is not null").select("id", "key", "half", "n"), name)
+    return stored(join_spread(rows, shared, ["key"], "n", "rows", F.xxhash64("id")).filter("n is not null").select("id", "key", "half", "n", *(c for c in rows.columns if c not in ("id", "key", "half"))), name)
 
 
 @cache
@@ -174,24 +182,48 @@ def rare_keys(texts: DataFrame, percent: int) -> DataFrame:
         return each
 
     rows = stored(arrow_map(texts.select("id", "text"), make, schema), "shingles")
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    held = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).withColumn("rows", F.col("held")), "held")
     place = F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle"))
-    first = rows.join(held, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1)
+    # A template's shingle has as many rows as the family has members: such are answered by broadcast.
+    first = join_spread(rows, held, ["shingle"], "held", "rows", F.xxhash64("id")).withColumn("place", place).filter(F.col("place") <= F.col("size") - F.expr(f"({percent} * size + 99) div 100") + 1)
     met = arrow_map(first.filter("held > 1").select("id", "size", "shingle", "place"), meet, fields("id long, shingle long, low long, high long, half int"))
     return met.select("id", F.xxhash64("shingle", "low", "high").alias("key"), "half")
 
 
-def regions(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(id, region, crowd, parts, half): the members of each region of at least two. parts > 1: one of the parts of region crowd."""
+def regions(classes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(forest, placed). forest: (id, region, tree, depth) of each region of at least two members, at the depth where it has at most REGION.
+
+    placed: (id, region, crowd, parts, half, keyed), where linked pairs meet surely (see the module's text) or with the chance of layout: the regions of the first depth
+    that are not crowded, and the exact keys (keyed) of members of those that are. parts > 1: one of the parts of region crowd.
+    """
+    first = layout(percent)[0]
     trees = classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    live = _placed(trees.select("id", _prefix(layout(percent)[0]).alias("key"), F.lit(0).alias("half")), "live")
+    live = _placed(trees.select("id", _prefix(first).alias("key"), F.lit(0).alias("half"), "tree"), "live")
     out = live.filter(F.col("n") <= REGION)
-    crowded = stored(live.filter(F.col("n") > REGION).select("id").distinct(), "crowded")
+    forest = out.select("id", F.col("key").alias("region"), "tree", F.lit(first).alias("depth"))
+    crowded = live.filter(F.col("n") > REGION)
+    out = out.drop("tree").withColumn("keyed", F.lit(False))
     if not crowded.isEmpty():
-        out = out.unionByName(_placed(rare_keys(_texts(docs, crowded, "crowded_texts"), percent), "rare"))
+        forest = forest.unionByName(deepened(classes, crowded.select("id", "tree"), first))
+        ids = stored(crowded.select("id").distinct(), "crowded")
+        out = out.unionByName(_placed(rare_keys(_texts(docs, ids, "crowded_texts"), percent), "rare").withColumn("keyed", F.lit(True)))
     parts = F.ceil(F.col("n") / REGION)
     region = F.when(parts > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), parts))).otherwise(F.col("key"))
-    return stored(out.select("id", region.alias("region"), F.col("key").alias("crowd"), parts.alias("parts"), "half"), "regions")
+    return forest, stored(out.select("id", region.alias("region"), F.col("key").alias("crowd"), parts.alias("parts"), "half", "keyed"), "regions")
+
+
+def deepened(classes: DataFrame, crowded: DataFrame, first: int) -> DataFrame:
+    """(id, region, tree, depth) of crowded(id, tree): each at the least depth beyond the first where its region has at most REGION members, and at least two.
+
+    What is crowded at all depths has none: its members share an order's values whole, and meet by their keys.
+    """
+    depths = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.xxhash64("tree", F.lit(d), F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * d})")).alias("key")) for d in range(first + 1, DEPTH + 1))))
+    if first >= DEPTH:
+        return crowded.select("id", F.lit(0).cast("long").alias("region"), "tree", F.lit(first).alias("depth")).limit(0)
+    keyed = crowded.join(classes.select("id", "sig"), "id").select("id", "tree", depths.alias("d")).select("id", "tree", "d.depth", "d.key", F.lit(0).alias("half"))
+    found = _placed(keyed, "deeper").filter(F.col("n") <= REGION)
+    least = found.groupBy("id", "tree").agg(F.min_by(F.struct("key", "depth"), "depth").alias("d"))
+    return stored(least.select("id", F.col("d.key").alias("region"), "tree", F.col("d.depth").alias("depth")), "forest")
 
 
 def meetings(crowded: DataFrame) -> DataFrame:
@@ -217,6 +249,15 @@ def meetings(crowded: DataFrame) -> DataFrame:
     return met.select("id", "component", F.xxhash64("crowd", F.least("unit", "other"), F.greatest("unit", "other")).alias("region"), side.alias("side"))
 
 
+def _neighbours(sig: np.ndarray, tree: int, least: int) -> list[tuple[int, int]]:
+    """Neighbours in the sorted order of a tree (ties by the whole signature) that agree in at least `least` places."""
+    rows = sig.astype(">u2")
+    own = rows[:, tree * DEPTH : (tree + 1) * DEPTH]
+    keys = [a.tobytes() + b.tobytes() for a, b in zip(own, rows, strict=True)]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [(i, j) for i, j in zip(order[:-1], order[1:], strict=True) if np.count_nonzero(sig[i] == sig[j]) >= least]
+
+
 def _forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that agree in at least `least` places, best first."""
     n = len(sig)
@@ -316,6 +357,12 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return _by_region(members.select("region", "id", "sig"), lambda region, ids, sig: _ordered(ids, _forest(sig, least)))
 
 
+def neighbours(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs of neighbours by longest common prefix in each region of members(region, id, sig, tree)."""
+    least = layout(percent)[1]
+    return _by_region(members.select("region", "id", "sig", "tree"), lambda region, ids, sig, tree: _ordered(ids, _neighbours(sig, tree[0].as_py(), least)))
+
+
 def with_candidates(members: DataFrame, percent: int) -> DataFrame:
     """(region, id) of those members(region, id, sig, component, side, n_shingles) that have a candidate in another component of their region."""
 
@@ -400,10 +447,54 @@ def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of n ids(id) as 64-bit words: twenty to forty bits an id, at most FILTER_BITS; tasks send words, merged before they reach the driver."""
+    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (20 * n).bit_length()))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at = _bits_of(batch.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).view(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], ["word", "mask"])
+
+        return each
+
+    words = arrow_map(ids.select("id"), make, fields("word long, mask long")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    return out.view(U)
+
+
+def _bits_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The places of ids in a filter, four for each, one after another."""
+    h = mix(ids.astype(np.int64).view(U))
+    step = mix(h) | U(1)
+    return np.concatenate([(h + U(k) * step) & U(bits - 1) for k in range(4)])
+
+
+def _filtered(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows(id, text) whose id passes the filter of ids: those of ids, and few others."""
+    held = rows.sparkSession.sparkContext.broadcast(id_filter(ids, n))
+
+    def make():
+        words = held.value
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            known = batch.column(0).is_valid()
+            at = _bits_of(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), 64 * len(words))
+            passed = ((words[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).reshape(4, -1).all(axis=0)
+            yield batch.filter(pa.array(passed & known.to_numpy(zero_copy_only=False)))
+
+        return each
+
+    return arrow_map(rows, make, rows.schema)
+
+
 def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(id, text) of ids(id), which are stored; only these texts are shuffled, and repeated rows of one id give one text."""
-    narrow = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(narrow, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), name)
+    """(id, text) of ids(id), which are stored; only these texts, and what a filter lets pass beside them, are shuffled. Repeated rows of one id give one text."""
+    n = ids.count()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    found = rows.join(F.broadcast(ids), "id", "left_semi") if n <= BROADCAST_IDS else _filtered(rows, ids, n).join(ids, "id", "left_semi")
+    return stored(found.groupBy("id").agg(F.min("text").alias("text")), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -417,14 +508,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     signed = stored(sign(docs), "signed")
     part = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(part.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "classes")
-    placed = regions(classes, docs, percent)
+    forest, placed = regions(classes, docs, percent)
     sigs = classes.select("id", "sig", "n_shingles")
-    first = stored(candidates(placed.join(sigs, "id"), percent), "pairs")
+    first = neighbours(forest.join(sigs, "id"), percent).union(candidates(placed.filter("keyed").join(sigs, "id"), percent))
+    first = stored(first.distinct(), "pairs")
     involved = stored(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     edges = stored(confirmed(first, _texts(docs, involved, "texts"), percent), "links")
     found = components(edges)
 
-    known = _known(placed, found)
+    known = _known(placed.drop("keyed"), found)
     mixed = known.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
     mixed = stored(mixed.select("crowd", F.lit(True).alias("mixed"), "rows"), "crowds")
     known = stored(join_spread(known, mixed, ["crowd"], "mixed", "rows", F.xxhash64("id")).filter("mixed").drop("mixed"), "mixed")

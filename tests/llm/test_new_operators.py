@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from steinlake.llm import licenses, negatives, vectors, whitening
+from steinlake.llm import licenses, near_duplicates, negatives, vectors, whitening
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -244,3 +244,97 @@ def test_every_pair_is_scored_by_lookups():
         assert (np.concatenate(found) == a.astype(object) @ c.T.astype(object)).all()
     table = negatives.subset_sums(np.arange(16)[None, :])
     assert table.shape == (2, 256, 1) and all(table[1, m, 0] == sum(8 + j for j in range(8) if m >> j & 1) for m in range(256))
+
+
+# The forest of the near-duplicate operator.
+
+
+def spy(monkeypatch, names):
+    """What near_duplicates stores under these names."""
+    seen, stored = {}, near_duplicates.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in names:
+            seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    return seen
+
+
+def test_depth_grows_where_a_region_is_crowded(spark, monkeypatch):
+    from test_operators import documents, near_copies, prose
+    from test_whole_job import linked_groups
+
+    monkeypatch.setattr(near_duplicates, "REGION", 12)
+    rng = random.Random(21)
+    texts = [t for _ in range(3) for t in near_copies(40, prose(150, rng), 2, rng)] + [t for _ in range(20) for t in near_copies(2, prose(120, rng), 1, rng)]
+    rows = list(enumerate(texts))
+    docs = documents(spark, rows)
+    signed = near_duplicates.sign(docs)
+    classes = signed.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
+    forest, placed = near_duplicates.regions(classes, docs, 85)
+    depths = {r.depth: r.n for r in forest.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert depths[4] > 0 and max(depths) > 4 and len(depths) >= 3 and max(depths) <= near_duplicates.DEPTH
+    sizes = [r["count"] for r in forest.groupBy("region").count().collect()]
+    assert max(sizes) <= 12 and min(sizes) >= 2
+    # Members of a region share the prefix of its depth, and no lesser depth would do.
+    sig = {r.id: np.frombuffer(r.sig, "<u2") for r in classes.collect()}
+    shared = {}
+    for r in forest.collect():
+        own = sig[r.id][8 * r.tree : 8 * r.tree + 8]
+        shared.setdefault(r.region, set()).add((r.tree, r.depth, tuple(own[: r.depth])))
+        if r.depth > 4:
+            shorter = sum((v[8 * r.tree : 8 * r.tree + r.depth - 1] == own[: r.depth - 1]).all() for v in sig.values())
+            assert shorter > 12
+    assert all(len(x) == 1 for x in shared.values())
+    assert placed.filter("keyed").count() > 0
+    got = near_duplicates.near_duplicates(docs)
+    assert {r.doc_id: r.component_id for r in got.collect()} == linked_groups(rows, 85)
+
+
+def test_neighbours_have_the_longest_common_prefix():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 3, (40, near_duplicates.TREES * near_duplicates.DEPTH)).astype("<u2")
+
+    def lcp(a, b, tree):
+        x = np.concatenate([sig[a][8 * tree : 8 * tree + 8], sig[a]])
+        y = np.concatenate([sig[b][8 * tree : 8 * tree + 8], sig[b]])
+        return int(np.argmax(x != y)) if (x != y).any() else len(x)
+
+    for tree in (0, 5):
+        pairs = near_duplicates._neighbours(sig, tree, 0)
+        assert len(pairs) == 39
+        for k in range(40):
+            best = max(lcp(k, j, tree) for j in range(40) if j != k)
+            assert best == max(lcp(a, b, tree) for a, b in pairs if k in (a, b))
+
+
+@pytest.mark.parametrize(("percent", "region"), [(80, 2), (85, 2), (80, 512), (85, 40)])
+def test_planted_pairs_are_found_at_every_depth(spark, monkeypatch, percent, region):
+    from test_operators import documents
+    from test_whole_job import linked_groups, pairs_between
+
+    monkeypatch.setattr(near_duplicates, "REGION", region)
+    rng = random.Random(percent + region)
+    pairs = pairs_between(percent / 100, percent / 100 + 0.06, 40, rng)
+    rows = list(enumerate(t for pair in pairs for t in pair))
+    got = near_duplicates.near_duplicates(documents(spark, rows), percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == linked_groups(rows, percent)
+
+
+def test_few_other_texts_are_shuffled(spark, monkeypatch):
+    """Without a broadcast of ids, what passes the filter has hardly more bytes than the texts that are wanted."""
+    from test_operators import documents, prose
+
+    monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", 0)
+    rng = random.Random(2)
+    docs = documents(spark, [(k, prose(30, rng)) for k in range(4000)] + [(None, prose(30, rng))])
+    ids = spark.range(0, 4000, 40).select("id")
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    passed = near_duplicates._filtered(rows, ids, 100)
+    wanted = rows.join(ids, "id").agg(F.sum(F.length("text"))).first()[0]
+    assert passed.agg(F.sum(F.length("text"))).first()[0] <= 1.2 * wanted
+    assert passed.join(ids, "id", "left_semi").count() == 100
+    assert near_duplicates._texts(docs, ids, "texts").count() == 100
