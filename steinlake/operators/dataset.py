@@ -44,6 +44,27 @@ def align(x: DataFrame, y: DataFrame, key: str, vectors: tuple[str, ...] = ()) -
     return reduce(lambda d, c: d.filter(~has_nan(c)), vectors, both)
 
 
+def data_set(reference: DataFrame, query: dict, keys: list[str], x: DataFrame, y: DataFrame, limit: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """The entries of a reference table that equal a query, with their x and y: a row for every entry, null where one has none.
+
+    x: (keys, x); y: (keys, y). With limit, the first entries in an order (by default that of the keys).
+    """
+    chosen = where_equal(reference, query)
+    if limit is not None:
+        chosen = head(chosen, limit, *(order or keys))
+    return chosen.join(x.select(*keys, "x"), keys, "left").join(y.select(*keys, "y"), keys, "left")
+
+
+def aligned_xy(data: DataFrame, vectors: tuple[str, ...] = ("x",)) -> DataFrame:
+    """The rows of a data set that have both x and y; vectors are those of them that may also hold nulls or NaN."""
+    return reduce(lambda d, c: d.filter(~has_nan(c)), vectors, data.filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+
+
+def group_sizes(df: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """(keys, n): the distinct groups of at least so many rows, and their sizes."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
 def upsample(rows: DataFrame, n: int, to: int, seed: str) -> DataFrame:
     """`to` draws with replacement from rows with a dense index i < n: (draw, ...)."""
     draws = rows.sparkSession.range(to).select(F.col("id").alias("draw"), index(seed, F.lit(n), F.col("id")).alias("i"))

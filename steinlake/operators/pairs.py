@@ -43,9 +43,15 @@ def both_diagonals(df: DataFrame, r: int) -> DataFrame:
 
 
 def adjacent(df: DataFrame) -> DataFrame:
-    """The disjoint pairs (2k, 2k + 1); an odd last row is left out."""
-    a, b = _sides(df)
-    return a.filter(F.col("a_i") % 2 == 0).join(b, F.col("b_i") == F.col("a_i") + 1)
+    """The disjoint pairs (2k, 2k + 1); an odd last row is left out. One exchange by k, whose groups have two rows.
+
+    An index that is not dense makes fewer pairs; one that repeats stops the job.
+    """
+    half = F.shiftright("i", 1)
+    both = df.groupBy(half.alias("_k")).agg(F.first(F.when(F.col("i") % 2 == 0, F.struct(*df.columns)), ignorenulls=True).alias("_a"), F.first(F.when(F.col("i") % 2 == 1, F.struct(*df.columns)), ignorenulls=True).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    whole = both.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    whole = whole.filter(F.when(F.col("_n") > 2, F.raise_error(F.lit("an index of rows repeats"))).otherwise(True))
+    return whole.select(*(F.col(f"_{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in df.columns))
 
 
 def drawn(df: DataFrame, n: int, cap: int, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import rounded, total
-from ..operators import structure
+from ..operators import features, structure
 from .queries import query, read
 from .table_queries import KNN_SQL, _nodes
 
@@ -94,3 +94,55 @@ def edge_atom_rbf(spark, sf_dir):
     basis = e.select("name", "src", "dst", same.alias("same_chain"), place.alias("class"), structure.edge_rbf(F.col("a"), F.col("b")).alias("p"))
     part = lambda k: rounded(total(F.slice("p", 16 * k + 1, 16)), 5)
     return basis.select("name", "src", "dst", "same_chain", "class", rounded(total("p"), 5).alias("total"), part(4).alias("cb_cb"), part(24).alias("c_o"))
+
+
+# Residue tables: suppliers are structures, their lines of one flag and part are residues.
+
+RESIDUE_SQL = """r AS MATERIALIZED (SELECT l_suppkey AS name, l_returnflag AS chain, l_partkey AS pos, min('ACDEFGHIKL'[l_linenumber + 1:l_linenumber + 1]) AS aa, min(l_quantity)::DOUBLE AS q, min(l_discount)::DOUBLE * 10 AS d, min(l_linenumber) AS k, bool_or(l_tax > 0.07) AS gone FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+def _residues(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("name"), F.col("l_returnflag").alias("chain"), F.col("l_partkey").alias("pos")).agg(
+        F.min(F.substring(F.lit("ACDEFGHIKL"), F.col("l_linenumber") + 1, F.lit(1))).alias("aa"), F.min("l_quantity").cast("double").alias("q"), (F.min("l_discount").cast("double") * 10).alias("d"), F.min("l_linenumber").alias("k"), F.bool_or(F.col("l_tax") > 0.07).alias("gone"))
+    point = F.array("q", "d", F.lit(1.0))
+    return line.withColumns({"n": point, "ca": F.when(~F.col("gone"), point), "c": point, "o": point})
+
+
+@query(f"""WITH {RESIDUE_SQL}, c AS (SELECT name, chain, count(*) AS n, name % 2 = 0 OR chain <> 'A' AS designed FROM r GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER w AS chain_no, coalesce(sum(n) OVER (PARTITION BY name ORDER BY designed DESC, chain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c WINDOW w AS (PARTITION BY name ORDER BY designed DESC, chain)),
+p AS (SELECT r.*, o.n, designed, chain_no, row_number() OVER (PARTITION BY r.name, r.chain ORDER BY pos) - 1 AS i, s FROM r JOIN o USING (name, chain))
+SELECT name, chain, pos, CAST(strpos('ACDEFGHIKLMNPQRSTVWYX', aa) - 1 AS INTEGER) AS letter, NOT gone AS observed, designed, designed AND k <> 2 AS free, CAST(CASE WHEN k = 3 THEN 2 ELSE 0 END AS INTEGER) AS omitted, CASE WHEN k = 4 THEN d ELSE 0.0 END::DOUBLE AS profile_weight, CASE WHEN k = 4 THEN q ELSE 1e4 END::DOUBLE AS odds,
+  round(CASE WHEN k = 5 THEN 3 * d ELSE 0 END, 6)::DOUBLE AS bias_c, CASE WHEN k = 1 THEN CAST(pos % 3 AS VARCHAR) END AS tie, CASE WHEN k = 1 THEN -0.5 ELSE 1.0 END::DOUBLE AS beta, CAST(chain_no AS INTEGER) AS chain_no, CAST(s + i AS INTEGER) AS place, CAST(100 * (chain_no - 1) + s + i AS INTEGER) AS residue_index, i > 0 AS phi, i + 1 < n AS psi FROM p""")
+def design_table(spark, sf_dir):
+    """The whole input of designs: residues in the models' order with fixed places, omissions, profiles, biases and ties, from one exchange."""
+    r = _residues(spark, sf_dir)
+    key, seen = ["name", "chain", "pos"], r.select("name", "chain", "pos", "k", "q", "d")
+    over = lambda v: F.array(*(v for _ in features.ALPHABET))
+    out = features.design_table(
+        r, designed=r.filter("name % 2 = 0 or chain <> 'A'").select("name", "chain").distinct(), fixed=seen.filter("k = 2").select(*key),
+        omitted=seen.filter("k = 3").select(*key, F.explode(F.array(F.lit("A"), F.lit("CA"))).alias("letters")), profiles=seen.filter("k = 4").select(*key, F.col("d").alias("coef"), over(F.lit(0.5)).alias("bias"), over(F.col("q")).alias("log_odds")),
+        bias=seen.filter("k = 5").select(*key, F.explode(F.array(F.struct(F.lit("C").alias("aa"), F.col("d").alias("bias")), F.struct(F.lit("C").alias("aa"), (2 * F.col("d")).alias("bias")))).alias("b")).select(*key, "b.*"),
+        ties=seen.filter("k = 1").select(*key, (F.col("pos") % 3).alias("tie"), F.lit(-0.5).alias("beta"), F.lit(0).alias("member")),
+    )
+    return out.select(*key, "letter", "observed", "designed", "free", F.size(F.filter("omit", lambda x: x)).alias("omitted"), "profile_weight", F.get("log_odds", 7).alias("odds"), rounded(F.get("bias", 1)).alias("bias_c"), "tie", "beta", "chain_no", "place", "residue_index", "phi", "psi")
+
+
+@query(f"""WITH {RESIDUE_SQL}, c AS (SELECT name, chain, count(*) AS n, string_agg(aa, '' ORDER BY pos) AS seq, md5('41:' || name || ':' || chain) AS h FROM r GROUP BY 1, 2), k AS (SELECT name, min(chain) AS chain FROM c GROUP BY 1),
+m AS (SELECT c.*, bool_or(k.chain IS NOT NULL OR (name % 5 = 0 AND chain = 'R')) OVER (PARTITION BY name, seq) AS masked FROM c LEFT JOIN k USING (name, chain)),
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY h, chain) AS chain_no, coalesce(sum(n) OVER (PARTITION BY name ORDER BY h, chain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM m)
+SELECT name, chain, pos, CAST(strpos('ACDEFGHIKLMNPQRSTVWYX', aa) - 1 AS INTEGER) AS letter, NOT gone AS observed, masked, CAST(chain_no AS INTEGER) AS chain_no, CAST(s + row_number() OVER (PARTITION BY name, chain ORDER BY pos) - 1 AS INTEGER) AS place FROM r JOIN o USING (name, chain)""")
+def training_table(spark, sf_dir):
+    """The input of training: one chain of each structure is predicted, with those like it and those of its sequence; chains in a random order."""
+    r = _residues(spark, sf_dir)
+    picked = r.groupBy("name").agg(F.min("chain").alias("chain"))
+    like = picked.filter("name % 5 = 0").withColumn("others", F.array(F.lit("R")))
+    out = features.training_table(r, picked, like, seed="41")
+    return out.select("name", "chain", "pos", "letter", "observed", "masked", "chain_no", "place")
+
+
+@query(f"""WITH {RESIDUE_SQL}, p AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY chain, pos) AS i, aa, CASE WHEN gone THEN 0 ELSE q END AS q FROM r)
+SELECT name, CAST(count(*) AS INTEGER) AS length, string_agg(aa, '' ORDER BY i) AS seq, round(sum(q), 6)::DOUBLE AS total FROM p GROUP BY 1""")
+def structure_forms(spark, sf_dir):
+    """The same table as one row per structure, coordinates that were not observed being zeros."""
+    whole = features.form(features.design_table(_residues(spark, sf_dir)), "file")
+    return whole.select("name", "length", F.array_join("aa", "").alias("seq"), rounded(F.aggregate("ca", F.lit(0.0), lambda s, p: s + F.get(p, 0))).alias("total"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import closed_forms as C
 from ..functions import kernels as K
 from ..functions import sequences as Q
-from ..functions.arrays import hamming, rounded
+from ..functions.arrays import hamming, has_nan, rounded
 from ..operators import alignment, bandwidth, constraints, dataset, metrics, pairs, particles, structure
 from ..operators import statistics as S
 from ..sources import sequences as sequence_files
@@ -90,12 +90,12 @@ def group_having_sizes(spark, sf_dir):
 
 @query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2")
 def distinct_groups(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    return dataset.group_sizes(read(spark, sf_dir, "part"), ["p_brand", "p_type"])
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def file_semi_join(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return dataset.where_in(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id", read(spark, sf_dir, "labels"))
 
 
 @query("SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -103,6 +103,20 @@ def left_reindex(spark, sf_dir):
     return dataset.reindex(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
 
 
+@query("""WITH r AS (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100), x AS (SELECT vec_id AS doc_id, list_sum(embedding::DOUBLE[]) AS t FROM embeddings WHERE label <> 3)
+SELECT doc_id, round(t, 6) + 0.0 AS total, quality, t IS NOT NULL AND quality IS NOT NULL AS whole FROM r LEFT JOIN x USING (doc_id) LEFT JOIN labels USING (doc_id)""")
+def data_set_xy(spark, sf_dir):
+    """A data set from a query on its reference: the first hundred entries, their encodings (NaN for one label) and labels, and which are whole."""
+    v = F.col("embedding").cast("array<double>")
+    bad = F.when(F.col("label") == 3, F.transform(v, lambda e: F.lit(float("nan")))).otherwise(v)
+    x = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), bad.alias("x"))
+    y = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    data = dataset.data_set(read(spark, sf_dir, "documents").select("doc_id", "lang"), {"lang": "en"}, ["doc_id"], x, y, limit=100)
+    whole = dataset.aligned_xy(data).select("doc_id")
+    total = F.when(~has_nan("x"), rounded(F.aggregate("x", F.lit(0.0), lambda s, e: s + e)))
+    return dataset.with_presence(data, whole, "doc_id").select("doc_id", total.alias("total"), F.col("y").alias("quality"), F.col("present").alias("whole"))
+
+
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total, n_chars, quality FROM embeddings e JOIN documents d ON d.doc_id = vec_id JOIN labels l ON l.doc_id = vec_id")
 def xy_alignment(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

@@ -33,12 +33,21 @@ def start(stream: DataFrame, statistic: Statistic, path: str, checkpoint: str):
         rows = batch
         if number > 0:
             rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}-waiting/batch={number - 1}"))
+        rows = rows.persist()  # a batch is bounded by its source, and read for sums and for what waits
         batch_sums(rows, statistic).write.mode("overwrite").parquet(f"{path}/batch={number}")
         unpaired(rows).write.mode("overwrite").parquet(f"{path}-waiting/batch={number}")
+        rows.unpersist()
+        if number > 1:  # the batch before may be repeated, and needs the one before itself
+            _remove(batch.sparkSession, f"{path}-waiting/batch={number - 2}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def _remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def current(spark, path: str, alpha: float = 0.05) -> DataFrame:
     """The test's result over all batches so far."""
     s = spark.read.parquet(path).agg(F.sum("m").alias("m"), F.sum("sum_h").alias("a"), F.sum("sum_h2").alias("b"))
