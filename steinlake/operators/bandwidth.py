@@ -7,8 +7,10 @@ SORTED distances to sort. The sketch decides only how much is counted, never the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..functions.kernels import Gaussian
 from ..session import shared_folder
 from .statistics import ModelKernel, exp_mmd, exp_mmd_particles
 
-#: Distances that may be sorted in one task, and the sketch's accuracy (its error in ranks is one of so many).
+#: Distances that may be sorted in one place, and the sketch's accuracy (its error in ranks is one of so many).
 SORTED, ACCURACY = 100_000, 10_000
 
 
@@ -68,19 +70,25 @@ def exact_quantiles(values: DataFrame, quantiles: list[float]) -> list[float | N
     shared_folder(values.sparkSession)
     d = values.select(F.col("d").cast("double").alias("d")).filter("d is not null").checkpoint()
     inf = float("inf")
+    few = d.limit(SORTED + 1).toPandas()["d"].to_numpy()
+    if len(few) <= SORTED:  # all of them
+        few = np.sort(few)  # NaN last
+        n, at = len(few), lambda r: float(few[r])
+        return [None if not n else _between(at, (n - 1) * q) for q in quantiles]
     finite = ~F.isnan("d") & (F.abs("d") < inf)
     n, below, inside, above = d.agg(F.count("d"), F.count_if(F.col("d") == -inf), F.count_if(finite), F.count_if(F.col("d") == inf)).first()
-    if not n:
-        return [None] * len(quantiles)
     places = [(n - 1) * q for q in quantiles]
     ranks = sorted({r for p in places for r in (int(p), int(p) + (p > int(p)))})
     found = {r: -inf if r < below else inf if r < below + inside + above else float("nan") for r in ranks}
     found |= {r + below: v for r, v in _ranked(d.filter(finite), inside, [r - below for r in ranks if below <= r < below + inside]).items()}
-    out = []
-    for p in places:
-        a, b = found[int(p)], found[int(p) + (p > int(p))]
-        out.append(a if a == b or p == int(p) else a + (b - a) * (p - int(p)))
-    return out
+    return [_between(found.__getitem__, p) for p in places]
+
+
+def _between(at: Callable[[int], float], place: float) -> float:
+    """The value at a place between two ranks."""
+    low = int(place)
+    a, b = at(low), at(low + (place > low))
+    return a if a == b or place == low else a + (b - a) * (place - low)
 
 
 def exact_quantile(values: DataFrame, q: float = 0.5) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.arrays import sqdist
 
 
 #: Nodes up to which a structure's nodes meet all in one row; larger structures are searched by cells.
-WHOLE = 512
+WHOLE, FEW = 512, 64
 
 
 def knn_edges(nodes: DataFrame, k: int, name: str = "name", node: str = "node", xyz: str = "xyz", mask: str | None = None) -> DataFrame:
@@ -190,6 +190,33 @@ def _unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))
 
 
+# The same on points of three numbers, written out: no lambdas, so they are compiled, and equal parts are computed once.
+
+
+def _three(a: Column) -> list[Column]:
+    return [F.get(a, i) for i in range(3)]
+
+
+def _minus3(a: Column, b: Column) -> Column:
+    return F.array(*(x - y for x, y in zip(_three(a), _three(b), strict=True)))
+
+
+def _dot3(a: Column, b: Column) -> Column:
+    (x, y, z), (u, v, w) = _three(a), _three(b)
+    return x * u + y * v + z * w
+
+
+def _unit3(a: Column) -> Column:
+    n = F.sqrt(_dot3(a, a))
+    return F.array(*(F.when(n > 0, x / n).otherwise(0.0) for x in _three(a)))
+
+
+def distance3(a: Column, b: Column) -> Column:
+    """sqrt(sum of squares + 1e-6) of two points."""
+    d = [x - y for x, y in zip(_three(a), _three(b), strict=True)]
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 1e-6)
+
+
 def trace_angles(df: DataFrame, chain: list[str], pos: str, xyz: str, low: float = 3.6, high: float = 4.0) -> DataFrame:
     """df with cos_bend, cos_twist and sin_twist of the C-alpha trace: the angle of the steps into and out of a residue, and
     the dihedral of the step before, into and out of it. A step whose length is outside the bounds counts as none, and an
@@ -269,9 +296,26 @@ def alignment_index(df: DataFrame, name: str, pos: str, observed: Column) -> Dat
 def radius_edges(nodes: DataFrame, radius: float, name: str = "name", node: str = "node", xyz: str = "xyz", apart: int = 0) -> DataFrame:
     """(name, src, dst, dist): ordered pairs within a radius, at least `apart` places apart.
 
-    Nodes are hashed to cells as wide as the radius; a node meets those of the 27 cells around it, so joined rows grow with the nodes and not
-    with the square of a structure. A node without three finite coordinates has no edges.
+    Structures of up to FEW nodes meet as arrays, one row each. Nodes of larger ones are hashed to cells as wide as the radius; a node meets those of the
+    27 cells around it, so joined rows grow with the nodes and not with the square of a structure (whether there are larger ones is asked when this is called).
+    A node without three finite coordinates has no edges.
     """
+    n = nodes.select(F.col(name).alias("name"), F.col(node).alias("node"), F.col(xyz).alias("xyz"))
+    large = n.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("name")
+    if large.isEmpty():
+        return _radius_whole(n, radius, apart)
+    cells = _radius_cells(n.join(large, "name", "left_semi"), radius, "name", "node", "xyz", apart)
+    return _radius_whole(n.join(large, "name", "left_anti"), radius, apart).unionByName(cells)
+
+
+def _radius_whole(n: DataFrame, radius: float, apart: int) -> DataFrame:
+    every = n.groupBy("name").agg(F.collect_list(F.struct("node", "xyz")).alias("nodes")).select("name", "nodes", F.explode("nodes").alias("q"))
+    d = F.transform("nodes", lambda o: F.struct(o["node"].alias("dst"), F.sqrt(sqdist(F.col("q.xyz"), o["xyz"])).alias("dist")))
+    near = F.filter(d, lambda e: (e["dist"] < radius) & (e["dst"] != F.col("q.node")) & (F.abs(e["dst"] - F.col("q.node")) >= apart))
+    return every.select("name", F.col("q.node").alias("src"), F.explode(near).alias("e")).select("name", "src", "e.dst", "e.dist")
+
+
+def _radius_cells(nodes: DataFrame, radius: float, name: str, node: str, xyz: str, apart: int) -> DataFrame:
     finite = F.forall("p", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     a = nodes.select(F.col(name).alias("name"), F.col(node).alias("src"), F.col(xyz).alias("p")).filter(F.col("p").isNotNull() & finite)
     h = F.lit(float(radius))
@@ -320,21 +364,21 @@ def trace_frames(nodes: DataFrame, name: str = "name", node: str = "node", xyz:
     """
     w = Window.partitionBy(name).orderBy(node)
     zero = F.array(*(F.lit(0.0) for _ in range(3)))
-    step = _minus(F.lead(xyz).over(w), F.col(xyz))
-    out = nodes.withColumn("_s", step).withColumn("_m", F.sqrt(_dot(F.col("_s"), F.col("_s"))))
-    out = out.withColumn("_u", F.when((F.col("_m") > low) & (F.col("_m") < high), F.transform("_s", lambda v: v / F.col("_m"))).otherwise(zero))
-    out = out.withColumns({"_u2": F.lag("_u").over(w), "_u0": F.lead("_u").over(w), "_inside": F.lag(node).over(w).isNotNull() & F.lead(node, 2).over(w).isNotNull()})
-    out = out.withColumns({"before": F.coalesce(F.lag(xyz).over(w), zero), "after": F.coalesce(F.lead(xyz).over(w), zero)})
-    out = out.withColumns({"_n2": _unit(_cross(F.col("_u2"), F.col("_u"))), "_n1": _unit(_cross(F.col("_u"), F.col("_u0"))), "_o": _unit(_minus(F.col("_u2"), F.col("_u")))})
+    out = nodes.withColumns({"before": F.lag(xyz).over(w), "after": F.lead(xyz).over(w), "_inside": F.lag(node).over(w).isNotNull() & F.lead(node, 2).over(w).isNotNull()})
+    out = out.withColumn("_s", _minus3(F.col("after"), F.col(xyz))).withColumn("_m", F.sqrt(_dot3(F.col("_s"), F.col("_s"))))
+    out = out.withColumn("_u", F.when((F.col("_m") > low) & (F.col("_m") < high), F.array(*(v / F.col("_m") for v in _three(F.col("_s"))))).otherwise(zero))
+    out = out.withColumns({"_u2": F.lag("_u").over(w), "_u0": F.lead("_u").over(w), "before": F.coalesce("before", zero), "after": F.coalesce("after", zero)})
+    out = out.withColumns({"_n2": _unit3(_cross(F.col("_u2"), F.col("_u"))), "_n1": _unit3(_cross(F.col("_u"), F.col("_u0"))), "_o": _unit3(_minus3(F.col("_u2"), F.col("_u")))})
     clip = lambda c: F.least(F.greatest(c, F.lit(-1 + 1e-6)), F.lit(1 - 1e-6))
-    bond, twist = clip(-_dot(F.col("_u"), F.col("_u0"))), clip(_dot(F.col("_n2"), F.col("_n1")))
-    sine, side = F.sqrt(1 - bond * bond), F.signum(_dot(F.col("_u2"), F.col("_n1")))
+    out = out.withColumns({"_b": clip(-_dot3(F.col("_u"), F.col("_u0"))), "_t": clip(_dot3(F.col("_n2"), F.col("_n1"))), "_side": F.signum(_dot3(F.col("_u2"), F.col("_n1")))})
+    bond, twist, side = F.col("_b"), F.col("_t"), F.col("_side")
+    sine = F.sqrt(1 - bond * bond)
     # sign(s) * acos(c): the cosine is c, or 1 where the sign is 0.
     angles = F.array(bond, sine * F.when(side == 0, 1.0).otherwise(twist), sine * side * F.sqrt(1 - twist * twist))
     frame = F.array("_o", "_n2", _cross(F.col("_o"), F.col("_n2")))
     inside = F.col("_inside")
     out = out.withColumns({"frame": F.when(inside, frame).otherwise(F.array(zero, zero, zero)), "angles": F.when(inside, angles).otherwise(zero)})
-    return out.drop("_s", "_m", "_u", "_u2", "_u0", "_n2", "_n1", "_o", "_inside")
+    return out.drop("_s", "_m", "_u", "_u2", "_u0", "_n2", "_n1", "_o", "_inside", "_b", "_t", "_side")
 
 
 def along_edges(edges: DataFrame, nodes: DataFrame, columns: list[str], name: str = "name", node: str = "node") -> DataFrame:
@@ -346,18 +390,28 @@ def along_edges(edges: DataFrame, nodes: DataFrame, columns: list[str], name: st
 
 def edge_rbf(a: Column, b: Column, pairs: tuple = BACKBONE_PAIRS) -> Column:
     """The radial basis values of all pairs of atoms of an edge's ends, one array in the order of pairs. a, b: structs with a point for each atom."""
-    return F.flatten(F.array(*(rbf(F.sqrt(sqdist(a[x], b[y]) + 1e-6)) for x, y in pairs)))
-
-
-def edge_orientation(a: Column, b: Column, xyz: str = "xyz", frame: str = "frame") -> tuple[Column, Column]:
-    """(direction, rotation) along an edge: the unit vector to the other end in the frame of this one, and the rotation between both frames as a quaternion."""
-    rows = lambda f: [F.get(f[frame], i) for i in range(3)]
-    p, q = rows(a), rows(b)
-    apart = _minus(b[xyz], a[xyz])
-    direction = _unit(F.array(*(_dot(r, apart) for r in p)))
-    at = lambda m, i, j: F.get(m[i], j)
-    between = [F.array(*(sum((at(p, l, i) * at(q, l, j) for l in range(3)), F.lit(0.0)) for j in range(3))) for i in range(3)]
-    return direction, quaternion(between)
+    # The distances are bound first, so each is computed once and not once per function.
+    return F.flatten(F.transform(F.array(*(distance3(a[x], b[y]) for x, y in pairs)), lambda d: rbf(d)))
+
+
+def oriented_edges(edges: DataFrame, xyz: str = "xyz", frame: str = "frame") -> DataFrame:
+    """edges with structs a and b of points and frames (along_edges), and with direction and rotation: the unit vector to the other end in the frame of
+    this one, and the rotation between both frames as a quaternion (x, y, z, w).
+    """
+    rows = lambda f: [F.get(F.col(f)[frame], i) for i in range(3)]
+    p, q = rows("a"), rows("b")
+    apart = _minus3(F.col("b")[xyz], F.col("a")[xyz])
+    out = edges.withColumn("_d", F.array(*(_dot3(r, apart) for r in p)))
+    entry = lambda i, j: sum((F.get(p[k], i) * F.get(q[k], j) for k in range(1, 3)), F.get(p[0], i) * F.get(q[0], j))
+    out = out.withColumn("_r", F.array(*(F.array(*(entry(i, j) for j in range(3))) for i in range(3))))
+    g = lambda i, j: F.get(F.get("_r", i), j)
+    xx, yy, zz = g(0, 0), g(1, 1), g(2, 2)
+    sizes = [0.5 * F.sqrt(F.abs(1 + s)) for s in (xx - yy - zz, -xx + yy - zz, -xx - yy + zz)]
+    signs = [F.signum(g(2, 1) - g(1, 2)), F.signum(g(0, 2) - g(2, 0)), F.signum(g(1, 0) - g(0, 1))]
+    out = out.withColumn("_q", F.array(*(s * z for s, z in zip(signs, sizes, strict=True)), F.sqrt(F.greatest(1 + xx + yy + zz, F.lit(0.0))) / 2))
+    four = [F.get("_q", k) for k in range(4)]
+    out = out.withColumn("_m", F.sqrt(four[0] * four[0] + four[1] * four[1] + four[2] * four[2] + four[3] * four[3]))
+    return out.withColumns({"direction": _unit3(F.col("_d")), "rotation": F.array(*(F.when(F.col("_m") > 0, v / F.col("_m")).otherwise(0.0) for v in four))}).drop("_d", "_r", "_q", "_m")
 
 
 def backbone(rows: DataFrame) -> DataFrame:

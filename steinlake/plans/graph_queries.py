@@ -72,9 +72,8 @@ def ca_edge_features(spark, sf_dir):
     """Edges of traces: the direction in a node's frame, the rotation between the frames of both ends, and nine pairs' distances."""
     f = _traces(spark, sf_dir).withColumn("at", F.col("xyz"))
     e = structure.along_edges(structure.knn_edges(_nodes(spark, sf_dir), 3), f, ["xyz", "frame", "at", "before", "after"])
-    direction, rotation = structure.edge_orientation(F.col("a"), F.col("b"))
-    basis = total(structure.edge_rbf(F.col("a"), F.col("b"), structure.TRACE_PAIRS))
-    return e.select("name", "src", "dst", *(rounded(F.get(direction, k), 5).alias(f"d{k + 1}") for k in range(3)), *(rounded(F.get(rotation, k), 5).alias(f"q{k + 1}") for k in range(4)), rounded(basis, 5).alias("total"))
+    e = structure.oriented_edges(e.withColumn("p", structure.edge_rbf(F.col("a"), F.col("b"), structure.TRACE_PAIRS)))
+    return e.select("name", "src", "dst", *(rounded(F.get("direction", k), 5).alias(f"d{k + 1}") for k in range(3)), *(rounded(F.get("rotation", k), 5).alias(f"q{k + 1}") for k in range(4)), rounded(total("p"), 5).alias("total"))
 
 
 CB_SQL = "list_transform([1, 2, 3], lambda i: -0.58273431 * aa[i] + 0.56802827 * bb[i] - 0.54067466 * cc[i] + ca[i])"

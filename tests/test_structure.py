@@ -103,6 +103,7 @@ def test_cells_join_in_proportion_to_nodes(spark, monkeypatch):
         side = (n / 0.05) ** (1 / 3)
         rng = np.random.default_rng(n)
         df = spark.createDataFrame([("s", k, (rng.random(3) * side).tolist()) for k in range(n)], "name string, node int, xyz array<double>").repartition(2)
+        monkeypatch.setattr(structure, "FEW", 10)
         edges = structure.radius_edges(df, 4.0)
         count = edges.count()
         seen = structure._near_cells(df.select("name", F.col("node").alias("src"), F.col("xyz").alias("p")), "p", F.lit(4.0)).join(df.select("name", F.col("node").alias("dst"), *(c.alias(f"_c{i}") for i, c in enumerate(structure._cell("xyz", F.lit(4.0))))), ["name", "_c0", "_c1", "_c2"]).count()
@@ -114,7 +115,9 @@ def test_cells_join_in_proportion_to_nodes(spark, monkeypatch):
     assert large[0] < 5 * small[0] and large[1] < 5 * small[1] and large[1] < 6000 * 100
 
 
-def test_radius_edges_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [5, 500])
+def test_radius_edges_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(structure, "FEW", few)
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(80, 3)) * 6 - 3, [[-6.0, 0, 0], [0, 0, 0], [6.0, 0, 0]]])
     df = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)] + [("s", 900, None), ("s", 901, [1.0, float("nan"), 0.0])], "name string, node int, xyz array<double>")
@@ -144,8 +147,7 @@ def test_edge_features_against_numpy(spark):
     told = structure.trace_frames(df).orderBy("node").collect()
     assert np.array([r.angles for r in told]) == pytest.approx(angles, abs=1e-9) and np.array([r.frame for r in told]) == pytest.approx(frames, abs=1e-9)
     e = structure.along_edges(structure.knn_edges(df, 5), structure.trace_frames(df), ["xyz", "frame"])
-    direction, rotation = structure.edge_orientation(F.col("a"), F.col("b"))
-    for r in e.select("src", "dst", direction.alias("d"), rotation.alias("q")).collect():
+    for r in structure.oriented_edges(e).select("src", "dst", F.col("direction").alias("d"), F.col("rotation").alias("q")).collect():
         assert r.d == pytest.approx(unit(frames[r.src] @ (x[r.dst] - x[r.src])), abs=1e-9)
         m = frames[r.src].T @ frames[r.dst]
         if abs(np.linalg.det(m) - 1) < 1e-6 and np.trace(m) > -0.9:
