@@ -67,9 +67,9 @@ TRACE_RBF_SQL = " + ".join(_rbf_sql(_dist_sql(f"a.{x}", f"b.{y}")) for x, y in (
   FROM r JOIN fr a ON a.name = r.name AND a.node = src JOIN fr b ON b.name = r.name AND b.node = dst WHERE rank <= 3),
 q AS (SELECT *, {_unit_sql('du')} AS d, [sign(r32 - r23) * 0.5 * sqrt(abs(1 + r11 - r22 - r33)), sign(r13 - r31) * 0.5 * sqrt(abs(1 - r11 + r22 - r33)), sign(r21 - r12) * 0.5 * sqrt(abs(1 - r11 - r22 + r33)), sqrt(greatest(1 + r11 + r22 + r33, 0)) / 2] AS q FROM e),
 z AS (SELECT *, sqrt(list_sum(list_transform(q, lambda v: v * v))) AS m FROM q)
-SELECT name, src, dst, round(d[1], 5) + 0.0 AS d1, round(d[2], 5) + 0.0 AS d2, round(d[3], 5) + 0.0 AS d3, round(q[1] / m, 5) + 0.0 AS q1, round(q[2] / m, 5) + 0.0 AS q2, round(q[3] / m, 5) + 0.0 AS q3, round(q[4] / m, 5) + 0.0 AS q4, round(total, 5) AS total FROM z""")
+SELECT name, src, dst, round(d[1], 5) + 0.0 AS d1, round(d[2], 5) + 0.0 AS d2, round(d[3], 5) + 0.0 AS d3, CASE WHEN m > 0 THEN round(q[1] / m, 5) + 0.0 ELSE 0.0 END AS q1, CASE WHEN m > 0 THEN round(q[2] / m, 5) + 0.0 ELSE 0.0 END AS q2, CASE WHEN m > 0 THEN round(q[3] / m, 5) + 0.0 ELSE 0.0 END AS q3, CASE WHEN m > 0 THEN round(q[4] / m, 5) + 0.0 ELSE 0.0 END AS q4, round(total, 5) AS total FROM z""")
 def ca_edge_features(spark, sf_dir):
-    """Edges of traces: the direction in a node's frame, the rotation between the frames of both ends, and nine pairs' distances."""
+    """Edges of traces: the direction in a node's frame, the rotation between the frames of both ends (zeros where it has no quaternion), and nine pairs' distances."""
     f = _traces(spark, sf_dir).withColumn("at", F.col("xyz"))
     e = structure.along_edges(structure.knn_edges(_nodes(spark, sf_dir), 3), f, ["xyz", "frame", "at", "before", "after"])
     e = structure.oriented_edges(e.withColumn("p", structure.edge_rbf(F.col("a"), F.col("b"), structure.TRACE_PAIRS)))
