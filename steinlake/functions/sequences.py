@@ -27,10 +27,48 @@ def decode(tokens, alphabet: str) -> Column:
     return F.array_join(F.transform(known, lambda t: F.substring(F.lit(alphabet), t + 1, F.lit(1))), "")
 
 
-def one_hot(s, alphabet: str) -> Column:
-    """An array of 0/1 arrays, one per letter."""
-    symbols = F.array(*map(F.lit, alphabet))
-    return F.transform(letters(s), lambda c: F.transform(symbols, lambda a: F.when(a == c, 1).otherwise(0)))
+def one_hot(s, alphabet: str, to: int | None = None, stop: bool = False, fill: bool = False) -> Column:
+    """An array of 0/1 arrays, one per letter; a letter outside the alphabet has zeros only.
+
+    With `to`, as many as that, cut or with rows of zeros. With stop, one more column, for the letter STOP. fill sets that column in all rows of zeros.
+    """
+    if fill and not stop:
+        raise ValueError("places can only be filled with stops where there is a column for them")
+    whole = alphabet + STOP if stop else alphabet
+    symbols = F.array(*map(F.lit, whole))
+    row = lambda c: F.transform(symbols, lambda a: F.when(a == c, 1).otherwise(0))
+    empty = F.array(*(F.lit(int(fill and k == len(alphabet))) for k in range(len(whole))))
+    # A letter outside the alphabet is an empty place like those behind the end.
+    out = F.transform(letters(s), lambda c: F.when(F.array_contains(symbols, c), row(c)).otherwise(empty))
+    return out if to is None else padded(out, F.lit(to), empty)
+
+
+def one_hot_tokens(tokens, size: int) -> Column:
+    """An array of 0/1 arrays, one per token number from 0; null, NaN and numbers outside have zeros only."""
+    return F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(t == k, 1).otherwise(0)))
+
+
+def one_hot_lengths(hot) -> Column:
+    """The number of rows of a one-hot encoding that hold a letter; null where a row is null."""
+    return F.aggregate(F.flatten(hot), F.lit(0), lambda n, x: n + x)
+
+
+def one_hot_stops(hot) -> Column:
+    """A one-hot encoding with a column and a row more: the row behind the last letter has the stop, once. Letters are taken to stand in front; null where a row is null."""
+    n = one_hot_lengths(hot)
+    longer = F.concat(hot, F.array(F.transform(F.get(hot, F.lit(0)), lambda _: F.lit(0))))
+    return F.when(n.isNotNull() & (F.size(hot) > 0), F.transform(longer, lambda row, k: F.concat(row, F.array(F.when(k == n, 1).otherwise(0)))))
+
+
+def padded(values, to: Column, fill) -> Column:
+    """An array cut to a length, or with the value behind it up to there; null for null."""
+    return F.when(F.size(values) >= to, F.slice(values, 1, to)).otherwise(F.concat(values, F.array_repeat(fill, to - F.size(values))))
+
+
+def indices(s, alphabet: str, to: Column | None = None, stop: bool = False) -> Column:
+    """Token numbers as doubles, NaN for what is no letter and behind the end; with stop, STOP is the alphabet's last letter."""
+    found = F.transform(encode(s, alphabet + STOP if stop else alphabet), lambda t: F.coalesce(t.cast("double"), F.lit(float("nan"))))
+    return found if to is None else padded(found, to, F.lit(float("nan")))
 
 
 def bits(s, alphabet: str, to: int) -> Column:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequences as Q
 from ..functions.arrays import has_nan
 from ..functions.randomness import digest, index
+from .pairs import dense_index
 
 
 def where_equal(df: DataFrame, query: dict) -> DataFrame:
@@ -161,3 +163,25 @@ def padded_batches(df: DataFrame, key: str, length: str, most: int, within: list
 
     packed = one.withColumn("_batch", F.aggregate("_rows", start, step)["out"])
     return packed.select(*within, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_batch").alias("b"))).alias("x")).select(*within, F.col("x.r.k").alias(key), F.col("x.r.l").alias(length), F.col("x.b").alias("batch"))
+
+
+def padded_to_longest(df: DataFrame, column: str, fill: Column, keys: list[str] | None = None, extra: int = 0) -> DataFrame:
+    """df with arrays of one length in each group of equal keys (of all rows, without keys): that of the longest, and `extra` places more.
+
+    The lengths are pre-aggregated, a row per group, and joined back; rows move only where the groups are too many to be sent to all tasks. Null keys
+    are one group. A null array stays null.
+    """
+    keys = keys or []
+    sizes = df.groupBy(*keys).agg(F.coalesce(F.max(F.size(column)), F.lit(0)).alias("_n"))
+    if not keys:
+        wide = df.crossJoin(F.broadcast(sizes))
+    else:
+        sizes = sizes.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), "_n")
+        wide = df.join(sizes, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys))))
+    to = F.greatest(F.col("_n"), F.lit(0)) + extra
+    return wide.withColumn(column, F.when(F.col(column).isNotNull(), Q.padded(F.col(column), to, fill))).select(*df.columns)
+
+
+def condition_index(df: DataFrame, columns: list[str], name: str = "k") -> DataFrame:
+    """The different values of some columns, numbered from 0 in their order, nulls first; repeats are taken out before anything is sorted."""
+    return dense_index(df.select(*columns).distinct(), *columns, name=name)

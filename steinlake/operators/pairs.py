@@ -19,6 +19,21 @@ def dense_index(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
     return local.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
 
 
+def dense(df: DataFrame, name: str = "i") -> DataFrame:
+    """df, whose column is said to be a dense index; a gap, a repeated number or a null stops the job here, where pairs would be lost without a word.
+
+    One pass over that column. That its numbers are n, n + 1, ... follows from their count, least, largest and sums of first and second powers in all cases but contrived ones.
+    """
+    i = F.col(name).cast("decimal(38,0)")
+    n, known, low, high, total, squares = df.agg(F.count(F.lit(1)), F.count(name), F.min(i), F.max(i), F.sum(i), F.sum(i * i)).first()
+    if n:
+        whole = known == n and high - low + 1 == n and 2 * int(total) == n * int(low + high)
+        power = lambda m: m * (m + 1) * (2 * m + 1) // 6
+        if not whole or int(squares) != power(int(high)) - power(int(low) - 1):
+            raise ValueError(f"{name} is no dense index of the rows; make one with dense_index")
+    return df
+
+
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.select(*(F.col(c).alias(f"a_{c}") for c in df.columns)), df.select(*(F.col(c).alias(f"b_{c}") for c in df.columns))
 

@@ -3,13 +3,12 @@
 The statistic is defined over all pairs, so the work is quadratic; what moves is far less. Rows are packed into blocks of BLOCK,
 and up to GROUP blocks are a side of a tile: a task gets the blocks of two sides once, and does all their matrix products, so a block is
 sent only to as many tiles as there are sides. A tile's result is one short row: no row per pair ever exists, and neither a block nor a
-tile grows with the input.
+tile grows with the input. A row's signs are hashed once, when its block is packed, and travel in it as bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,11 +22,15 @@ BLOCK = 512
 GROUP, SIDES = 16, 8
 
 
-@lru_cache(maxsize=64)
-def _signs(seed: str, draws: int, ids: tuple) -> np.ndarray:
-    """Rademacher signs by draw and row, from the same hashes as functions.randomness.sign."""
-    first = [[hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest()[0] for i in ids] for b in range(draws)]
-    return np.where(np.array(first) < "8", 1.0, -1.0).reshape(draws, len(ids))
+def sign_bits(seed: str, draws: int, ids) -> bytes:
+    """Rademacher signs by draw and row, a bit each (1 is +1), from the same hashes as functions.randomness.sign."""
+    first = [hashlib.md5(f"{seed}:{b}:{i}".encode()).digest()[0] < 128 for b in range(draws) for i in ids]
+    return np.packbits(np.array(first, bool)).tobytes()
+
+
+def signs(bits: bytes, draws: int, rows: int) -> np.ndarray:
+    """The signs of sign_bits as numbers, by draw and row."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=draws * rows).reshape(draws, rows) * 2.0 - 1.0
 
 
 def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:
@@ -43,16 +46,16 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["i"].to_numpy()], "sizes": [frame["sizes"].iloc[0]], "data": [np.vstack(frame["v"].to_list()).astype("<f8").tobytes()]})
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["i"].to_numpy()], "sizes": [frame["sizes"].iloc[0]], "data": [np.vstack(frame["v"].to_list()).astype("<f8").tobytes()], "signs": [sign_bits(seed, draws, frame["i"])]})
 
-    blocks = packed.groupBy("block").applyInPandas(pack, "block long, ids array<long>, sizes array<int>, data binary").checkpoint()
+    blocks = packed.groupBy("block").applyInPandas(pack, "block long, ids array<long>, sizes array<int>, data binary, signs binary").checkpoint()
     count = int(blocks.agg(F.max("block")).first()[0] or 0) + 1
     group = max(1, min(GROUP, count // SIDES))
     sides = -(-count // group)
     side = F.floor(F.col("block") / group).cast("long")
     # Each block goes once to every tile that its side is part of.
     tiles = F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda k: F.struct(F.least(side, k.cast("long")).alias("low"), F.greatest(side, k.cast("long")).alias("high")))
-    dealt = blocks.select("*", F.explode(tiles).alias("t")).select("block", "ids", "sizes", "data", "t.low", "t.high")
+    dealt = blocks.select("*", F.explode(tiles).alias("t")).select("block", "ids", "sizes", "data", "signs", "t.low", "t.high")
 
     def unpack(row) -> dict[str, np.ndarray]:
         m = np.frombuffer(row.data, "<f8").reshape(len(row.ids), -1)
@@ -61,7 +64,7 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
         return {c: x.reshape(len(x), -1, size) if c in nested else x if "array" in wide[c] else x[:, 0] for c, x, size in found}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r, unpack(r), _signs(seed, draws, tuple(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]
+        rows = [(r, unpack(r), signs(r.signs, draws, len(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]
         low, high = frame["low"].iloc[0], frame["high"].iloc[0]
         n, total, squares, boot = 0, 0.0, 0.0, np.zeros(draws)
         for a, x, ea in rows:
@@ -78,9 +81,11 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
                     boot += ((ea @ h) * eb).sum(1)
         return pd.DataFrame({"n_pairs": [n], "sum_h": [total], "sum_h2": [squares], "boot": [boot]})
 
-    # A tile is much work for few bytes: the number of tasks follows the tiles.
-    spread = dealt.repartition(max(1, min(100_000, sides * (sides + 1) // 2)), "low", "high")
-    return spread.groupBy("low", "high").applyInPandas(run, "n_pairs long, sum_h double, sum_h2 double, boot array<double>")
+    # A tile is much work for few bytes: there are as many tasks as tiles, and tiles are dealt by their number, so that no task has two while another has none.
+    tasks = max(1, min(100_000, sides * (sides + 1) // 2))
+    number = F.col("low") * sides - F.floor(F.col("low") * (F.col("low") - 1) / 2) + F.col("high") - F.col("low")
+    spread = dealt.withColumn("task", F.pmod(number, F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
+    return spread.groupBy("task", "low", "high").applyInPandas(run, "n_pairs long, sum_h double, sum_h2 double, boot array<double>")
 
 
 def complete(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import rounded
-from ..operators import constraints, dataset
+from ..operators import constraints, dataset, stages
 from ..session import new_folder
 from ..sources import mmcif, records, structures, writers
 from ..sources import sequences as files
@@ -52,6 +52,20 @@ def pdb_chains(spark, sf_dir):
     return structures.structures(structures.read_pdb(spark, _pdb_folder(spark, sf_dir))).select("name", "num_of_chains", "seq")
 
 
+@query(f"WITH {CHAINS_SQL} SELECT name, string_agg(seq, '/' ORDER BY chain) AS seq, string_agg(chain, ',' ORDER BY chain) AS chains FROM c WHERE chain <> 'N' GROUP BY 1")
+def chain_segments(spark, sf_dir):
+    """The sequences of the designed chains of each structure, separated by slashes."""
+    r = structures.read_pdb(spark, _pdb_folder(spark, sf_dir))
+    designed = _lines(spark, sf_dir).filter("chain <> 'N'").select("name", "chain")
+    return structures.chain_segments(r, designed).select("name", "seq", F.array_join("chains", ",").alias("chains"))
+
+
+@query(f"WITH {LINES_SQL}, n AS (SELECT name FROM l GROUP BY 1 HAVING count(*) <= 600) SELECT name, chain, CAST(count(*) AS BIGINT) AS n FROM s WHERE name IN (SELECT name FROM n) GROUP BY 1, 2")
+def short_files(spark, sf_dir):
+    """Residues by chain of the files with at most 600 lines; longer ones are not parsed."""
+    return structures.read_pdb(spark, _pdb_folder(spark, sf_dir), most_lines=600).groupBy("name", "chain").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _json_lines(spark, sf_dir) -> str:
     path = new_folder(spark, "structures")
     records.write_records(records.records(structures.read_pdb(spark, _pdb_folder(spark, sf_dir))), path)
@@ -336,6 +350,22 @@ def results_log(spark, sf_dir):
     return got.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("val"), 2).alias("total"))
 
 
+@query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def results_once(spark, sf_dir):
+    """A log that batches are appended to, some of which come again: no result is in it twice."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("val"), "o_orderstatus")
+    path = new_folder(spark, "once")
+    for kinds in (["F"], ["F", "O"], ["O"]):
+        stages.append_new(o.filter(F.col("o_orderstatus").isin(kinds)).drop("o_orderstatus"), path, ["o_orderkey"])
+    return spark.read.parquet(path).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("val"), 2).alias("total"))
+
+
+@query(r"SELECT page_id, regexp_replace(replace(regexp_replace(url, '^[/.]+', ''), '/', '_'), '(.)\.[^.]+$', '\1') || '.csv' AS file FROM pages")
+def result_names(spark, sf_dir):
+    """The names of the files that results of each path would go to."""
+    return read(spark, sf_dir, "pages").select("page_id", writers.result_name("url").alias("file"))
+
+
 @query("SELECT CAST(o_orderkey AS INTEGER) AS epoch, CAST(o_custkey AS INTEGER) AS step, round(o_totalprice / 1000, 3)::DOUBLE AS train FROM orders WHERE o_orderstatus <> 'P'")
 def training_log(spark, sf_dir):
     """A training log as text, and its fields."""

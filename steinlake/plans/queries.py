@@ -42,7 +42,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of embeddings as test inputs (see the module's text)."""
-    e = read(spark, sf_dir, "embeddings")
+    e = pairs.dense(read(spark, sf_dir, "embeddings"), "vec_id")
     v = F.col("v")
     points = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(v, 9 + 4 * k, 4))
     return e.select(F.col("vec_id").alias("i"), "label", doubles("embedding").alias("v")).select(

@@ -23,8 +23,8 @@ HAM_SQL = f"CAST(list_sum({DIFF_SQL}) AS BIGINT)"
 
 
 def _parts(spark, sf_dir):
-    """Short sequences with an index; p_partkey is dense."""
-    p = read(spark, sf_dir, "part")
+    """Short sequences with an index; p_partkey is dense, which is checked."""
+    p = pairs.dense(read(spark, sf_dir, "part"), "p_partkey")
     low = p.agg(F.min("p_partkey")).first()[0] or 0
     return p.select((F.col("p_partkey") - low).alias("i"), Q.letters("p_name").alias("c"))
 
@@ -68,6 +68,65 @@ def encode_decode(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", d.alias("decoded"), F.length(d).alias("n"))
 
 
+A_SQL = f"'{Q.PROTEIN}'"
+
+
+@query(f"""WITH c AS (SELECT p_size, unnest(range(1, 11)) AS k, upper(p_name) AS s FROM part)
+SELECT p_size, CASE WHEN k <= length(s) AND instr({A_SQL}, s[k]) > 0 THEN s[k] ELSE ']' END AS letter, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1, 2""")
+def onehot_stops(spark, sf_dir):
+    """Column sums of one-hot encodings of ten places with a column for the end, which is set in all empty places."""
+    hot = read(spark, sf_dir, "part").select("p_size", F.explode(Q.one_hot(F.upper("p_name"), Q.PROTEIN, 10, stop=True, fill=True)).alias("h"))
+    letter = F.substring(F.lit(Q.PROTEIN + Q.STOP), F.array_position("h", 1).cast("int"), F.lit(1))
+    return hot.groupBy("p_size", letter.alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT p_partkey, CAST(length(s) AS INTEGER) AS length, 13 AS places, CAST(length(s) + 1 AS BIGINT) AS stop FROM (SELECT p_partkey, regexp_replace(upper(p_name), '[^{Q.PROTEIN}]', '', 'g') AS s FROM part)")
+def onehot_stop_rows(spark, sf_dir):
+    """Token numbers to one-hot encodings of twelve places, their lengths, and the place of the one stop that is added behind the letters."""
+    tokens = F.filter(Q.encode(F.upper("p_name"), Q.PROTEIN), lambda t: t.isNotNull())
+    p = read(spark, sf_dir, "part").select("p_partkey", Q.one_hot_tokens(Q.padded(tokens, F.lit(12), F.lit(None).cast("int")), 20).alias("h"))
+    p = p.select("p_partkey", Q.one_hot_lengths("h").alias("length"), Q.one_hot_stops("h").alias("h"))
+    return p.select("p_partkey", "length", F.size("h").alias("places"), F.array_position(F.transform("h", lambda row: F.element_at(row, -1)), 1).alias("stop"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, upper(p_name) AS s, list_filter(string_split(upper(p_name), ''), lambda c: c <> '' AND instr({A_SQL}, c) > 0) AS c FROM part), w AS (SELECT *, max(length(s)) OVER (PARTITION BY p_brand) + 2 AS width FROM t)
+SELECT p_partkey, CAST(width AS INTEGER) AS width, CAST(width - len(c) AS INTEGER) AS blanks, coalesce(list_sum(list_transform(c, lambda x: instr({A_SQL}, x) - 1)), 0)::DOUBLE AS total FROM w""")
+def padded_indices(spark, sf_dir):
+    """Token numbers with NaN for what is no letter, padded to the longest of each brand and two places more."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", Q.indices(F.upper("p_name"), Q.PROTEIN).alias("t"))
+    p = dataset.padded_to_longest(p, "t", F.lit(float("nan")), ["p_brand"], extra=2)
+    total = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.nanvl(x, F.lit(0.0)))
+    return p.select("p_partkey", F.size("t").alias("width"), F.size(F.filter("t", F.isnan)).alias("blanks"), total.alias("total"))
+
+
+CODES_SQL = "list_transform(range(1, 13), lambda k: CASE WHEN k <= length({0}.p_name) THEN instr(" + A_SQL + ", upper({0}.p_name)[k]) ELSE 0 END)"
+
+
+@query(f"WITH {P_SQL} SELECT a.i AS a_i, b.i AS b_i, CAST(len(list_filter(list_zip({CODES_SQL.format('a')}, {CODES_SQL.format('b')}), lambda q: q[1] <> q[2])) AS INTEGER) AS d {PBAND}")
+def hamming_of_bits(spark, sf_dir):
+    """Hamming distances of twelve places by numbers with one bit set; what is no letter equals what is behind the end."""
+    p = _parts(spark, sf_dir).select("i", Q.bits(F.upper(F.array_join("c", "")), Q.PROTEIN, 12).alias("b"))
+    differ = F.filter(F.zip_with("a_b", "b_b", lambda x, y: x != y), lambda d: d)
+    return pairs.superdiagonals(p, 5).select("a_i", "b_i", F.size(differ).alias("d"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size % 6 AS a, p_partkey % 5 AS b, 'M' || substr(upper(p_name), 1, p_partkey % 7) || 'M' AS core FROM part),
+t AS (SELECT p_partkey, CASE WHEN a > 3 THEN repeat('G', a) || 'HHHHHH' ELSE '' END || core || CASE WHEN b > 3 THEN 'HHHHHH' || repeat('S', b) ELSE '' END AS s FROM s) SELECT p_partkey, CASE WHEN length(s) >= 4 THEN s END AS trimmed FROM t""")
+def trimmed_tags(spark, sf_dir):
+    """Sequences with a tag 0 to 5 places from the start and 0 to 4 from the end; those within three places are trimmed."""
+    p = read(spark, sf_dir, "part")
+    core = F.concat(F.lit("M"), F.substring(F.upper("p_name"), F.lit(1), (F.col("p_partkey") % 7).cast("int")), F.lit("M"))
+    tagged = F.concat(F.repeat(F.lit("G"), (F.col("p_size") % 6).cast("int")), F.lit("HHHHHH"), core, F.lit("HHHHHH"), F.repeat(F.lit("S"), (F.col("p_partkey") % 5).cast("int")))
+    return p.select("p_partkey", Q.trim_tags(tagged).alias("trimmed"))
+
+
+@query(f"SELECT l_returnflag AS chain, CAST(strpos('{Q.CHAINS}', l_returnflag) - 1 AS INTEGER) AS number, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def chain_numbers(spark, sf_dir):
+    """Chains by number, and their letters from the numbers."""
+    n = read(spark, sf_dir, "lineitem").groupBy(Q.chain_number(F.col("l_returnflag")).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(Q.chain_letter(F.col("number")).alias("chain"), "number", "n")
+
+
 @query("SELECT doc_id, replace(translate(text, 'aeiou', ''), '-', 'X') AS s, CAST(length(text) AS INTEGER) AS n FROM documents")
 def omit_and_gaps(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
@@ -93,6 +152,18 @@ def distinct_groups(spark, sf_dir):
     return dataset.group_sizes(read(spark, sf_dir, "part"), ["p_brand", "p_type"])
 
 
+@query("SELECT p_brand, p_type, p_size, row_number() OVER (ORDER BY p_brand, p_type, p_size) - 1 AS k FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)")
+def condition_index(spark, sf_dir):
+    """The different conditions, numbered in their order."""
+    return dataset.condition_index(read(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("SELECT p_brand || '.' || p_type || '.' || p_size AS label, CAST(count(*) AS BIGINT) AS n, round(avg(p_retailprice), 4) AS mean FROM part GROUP BY 1")
+def level_labels(spark, sf_dir):
+    """Means by dotted labels of a hierarchy."""
+    return read(spark, sf_dir, "part").groupBy(metrics.label("p_brand", "p_type", "p_size").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean"))
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def file_semi_join(spark, sf_dir):
     return dataset.where_in(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id", read(spark, sf_dir, "labels"))

@@ -70,6 +70,16 @@ def structures(res: DataFrame) -> DataFrame:
     return one.select("name", F.size("chains").alias("num_of_chains"), F.array_join(F.transform("chains", lambda c: c["seq"]), "").alias("seq"), "chains")
 
 
+def chain_segments(res: DataFrame, designed: DataFrame | None = None, separator: str = "/") -> DataFrame:
+    """(name, seq, chains): each structure's chains in their order, a separator between their sequences, and their names. designed(name, chain): these chains only.
+
+    A structure without such a chain has no row.
+    """
+    chosen = res if designed is None else res.join(designed.select("name", "chain").distinct(), ["name", "chain"], "left_semi")
+    one = structures(chosen)
+    return one.select("name", F.array_join(F.transform("chains", lambda c: c["seq"]), separator).alias("seq"), F.transform("chains", lambda c: c["chain"]).alias("chains"))
+
+
 def read_pdb(spark: SparkSession, path: str, most_lines: int | None = None) -> DataFrame:
     """Residues of all *.pdb files under a path."""
     return residues(pdb_atoms(read_lines(spark, path, "*.pdb", most_lines)))

@@ -17,6 +17,12 @@ def append_results(results: DataFrame, path: str, kind: str = "parquet") -> None
         results.write.mode("append").parquet(path)
 
 
+def result_name(checkpoint: Column | str, suffix: str = ".csv") -> Column:
+    """The name of the file with a checkpoint's results: its path without dots and slashes in front, the other slashes as "_", and the suffix in place of its own."""
+    inner = F.replace(F.regexp_replace(checkpoint, r"^[/.]+", ""), F.lit("/"), F.lit("_"))
+    return F.concat(F.regexp_replace(inner, r"(?<=.)\.[^.]+$", ""), F.lit(suffix))
+
+
 def design_header(row: dict[str, Column]) -> Column:
     """name=value fields, comma-separated; numbers with four decimals."""
     parts = [F.concat(F.lit(f"{k}="), F.format_string("%.4f", v) if k in ("score", "global_score", "seq_recovery") else v.cast("string")) for k, v in row.items()]

@@ -291,3 +291,27 @@ def test_tuned_on_gaussians(spark):
     assert ground.sigma == pytest.approx(np.median(medians), rel=0.02)
     d2 = [r[0] for r in both.select(models.mmd2(F.col("a_mu"), F.col("a_s"), F.col("b_mu"), F.col("b_s"), ground.sigma)).collect()]
     assert kernel.sigma == pytest.approx(np.median(np.sqrt(np.maximum(d2, 0))))
+
+
+def test_signs_travel_as_bits():
+    bits = tiles.sign_bits("9", 5, np.array([3, 4, 70]))
+    expected = [[1 if hashlib.md5(f"9:{b}:{i}".encode()).hexdigest()[0] < "8" else -1 for i in (3, 4, 70)] for b in range(5)]
+    assert len(bits) == 2 and tiles.signs(bits, 5, 3).tolist() == expected
+    assert tiles.sign_bits("9", 0, np.arange(4)) == b"" and tiles.signs(b"", 0, 4).shape == (0, 4)
+
+
+def test_every_tile_is_dealt_once(spark):
+    """Many sides: each pair of rows is counted in one tile, and tiles have tasks of their own."""
+    rows = frame(spark, 90).persist()
+    got = tiles.tile_sums(rows, S.mmd(), 3, "9", block=2)
+    assert got.rdd.getNumPartitions() == 45
+    parts = got.select("n_pairs", F.spark_partition_id().alias("p")).collect()
+    assert sum(r.n_pairs for r in parts) == 90 * 89 // 2 and len({r.p for r in parts}) == len(parts) == 45
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 3], [0, 1, 1], [0, None, 1], [0, 1, 1, 3], [0, 2, 2, 2, 4]])
+def test_an_index_with_gaps_or_repeats_stops(spark, ids):
+    rows = lambda v: spark.createDataFrame([(i,) for i in v], "i long")
+    with pytest.raises(ValueError, match="dense index"):
+        pairs.dense(rows(ids))
+    assert pairs.dense(rows([7, 5, 6])).count() == 3 and pairs.dense(rows([])).count() == 0

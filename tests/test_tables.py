@@ -85,6 +85,50 @@ def test_sequence_helpers(spark):
     assert spark.range(1).select(Q.chain_number(F.lit("C")), Q.chain_letter(F.lit(2))).first()[:] == (2, "C")
 
 
+def test_one_hot_stops_and_fill(spark):
+    s = spark.createDataFrame([(0, "AC?D"), (1, ""), (2, None), (3, "A]")], "k int, s string").coalesce(1)
+    hot = lambda *a, **k: [r[0] for r in s.orderBy("k").select(Q.one_hot(F.col("s"), "ACD", *a, **k)).collect()]
+    assert hot() == [[[1, 0, 0], [0, 1, 0], [0, 0, 0], [0, 0, 1]], [], None, [[1, 0, 0], [0, 0, 0]]]
+    assert hot(3)[0] == [[1, 0, 0], [0, 1, 0], [0, 0, 0]] and hot(2)[1] == [[0, 0, 0]] * 2 and hot(2)[2] is None
+    assert hot(5, stop=True)[3] == [[1, 0, 0, 0], [0, 0, 0, 1], *[[0] * 4] * 3]
+    assert hot(5, stop=True, fill=True)[0] == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]]
+    with pytest.raises(ValueError, match="column for them"):
+        Q.one_hot(F.col("s"), "ACD", fill=True)
+    rows = spark.createDataFrame([([0, 2, None],), ([],), ([1],)], "t array<int>").select(Q.one_hot_tokens(F.col("t"), 3).alias("h"))
+    got = rows.select("h", Q.one_hot_lengths("h").alias("n"), Q.one_hot_stops("h").alias("w")).collect()
+    assert got[0].h == [[1, 0, 0], [0, 0, 1], [0, 0, 0]] and [r.n for r in got] == [2, 0, 1]
+    assert got[0].w == [[1, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0]] and got[1].w is None and got[2].w == [[0, 1, 0, 0], [0, 0, 0, 1]]
+
+
+def test_indices_are_padded_within_groups(spark):
+    rows = spark.createDataFrame([(0, "a", "AC"), (1, "a", "D?CA"), (2, "b", ""), (3, None, "C"), (4, None, None)], "k int, g string, s string")
+    rows = rows.withColumn("t", Q.indices(F.col("s"), "ACD")).drop("s")
+    nan = float("nan")
+    plain = lambda df: {r.k: None if r.t is None else [None if x != x else x for x in r.t] for r in df.collect()}
+    assert plain(dataset.padded_to_longest(rows, "t", F.lit(nan), ["g"])) == {0: [0.0, 1.0, None, None], 1: [2.0, None, 1.0, 0.0], 2: [], 3: [1.0], 4: None}
+    assert plain(dataset.padded_to_longest(rows, "t", F.lit(nan), extra=1))[3] == [1.0, None, None, None, None]
+    assert dataset.padded_to_longest(rows.limit(0), "t", F.lit(nan)).count() == 0
+    stops = spark.createDataFrame([("AC]",)], "s string").select(Q.indices(F.col("s"), "ACD", F.lit(2), stop=True), Q.indices(F.col("s"), "ACD", F.lit(3), stop=True))
+    assert stops.first()[:] == ([0.0, 1.0], [0.0, 1.0, 3.0])
+
+
+def test_condition_index(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 9), ("b", 2), (None, 1), ("b", 1)], "x string, y int")
+    assert {(r.x, r.y): r.k for r in dataset.condition_index(rows, ["x", "y"]).collect()} == {(None, 1): 0, ("a", 9): 1, ("b", 1): 2, ("b", 2): 3}
+
+
+def test_chain_segments(spark):
+    rows = spark.createDataFrame([("s", "B", 2, "C"), ("s", "B", 1, "A"), ("s", "A", 1, "G"), ("t", "C", 1, "K")], "name string, chain string, pos int, aa string")
+    assert {r.name: (r.seq, r.chains) for r in structures.chain_segments(rows).collect()} == {"s": ("G/AC", ["A", "B"]), "t": ("K", ["C"])}
+    only = spark.createDataFrame([("s", "B"), ("s", "B")], "name string, chain string")
+    assert [tuple(r) for r in structures.chain_segments(rows, only).collect()] == [("s", "AC", ["B"])]
+
+
+def test_result_names(spark):
+    paths = spark.createDataFrame([(0, "../models/run.1/v_48.ckpt"), (1, "plain"), (2, None)], "k int, p string").orderBy("k")
+    assert [r[0] for r in paths.select(writers.result_name("p")).collect()] == ["models_run.1_v_48.csv", "plain.csv", None]
+
+
 def test_constraints(spark):
     chains = spark.createDataFrame([("x", "A"), ("x", "B"), ("x", "C")], "name string, chain string")
     assert tuple(constraints.assign_chains(chains, ["A", "B"]).first()) == ("x", ["A", "B"], ["C"])
