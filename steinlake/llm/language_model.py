@@ -12,8 +12,10 @@ many, are spread over blocks like any others.
 2. The count tables are partitioned by hash range. A range adds up what all blocks send to it.
 3. The counts are joined back on (block, range) to the n-grams of the block's words, and summed per document.
 
-A block makes at most RANGES rows, so rows grow with the text and not with its square. From SHARE n-grams to a range on, ranges are cut
-finer; a row holds one n-gram at least, so rows never exceed the blocks' distinct n-grams. About six bytes cross the network
+A block makes at most RANGES rows, so rows grow with the text and not with its square. Where RANGES ranges would hold more than SHARE n-grams each (from
+about 55 GB of text on), a range is cut finer, but blocks do not meet the finer ranges themselves: the blocks are dealt out to PARTS parts, a part's
+rows of one range are merged and sent on by finer range, and the counts come back the same way. That is at most PARTS rows for a finer
+range, whose number grows with the text, so all rows grow with the text; the price is that the blocks' rows are stored once and exchanged twice. About six bytes cross the network
 for a distinct n-gram of a block, and one byte back; a frequent n-gram is one entry per block however often it occurs there.
 Hashes have BITS bits; two n-grams with equal hashes would be counted together. At 64 bits an n-gram meets one of 6.6e9 others
 (30 GB, upper bound) with probability 4e-10.
@@ -46,6 +48,8 @@ ORDER, ALPHA, LEAST, BLOCK, BITS = 3, 0.4, 2, 12 << 20, 64
 GAP = 6
 #: Hash ranges of a block, and n-grams of all blocks that one range adds up at most, about; more make finer ranges.
 RANGES, SHARE = 4096, 4_000_000
+#: Parts of the blocks whose n-grams are merged before they meet finer ranges.
+PARTS = 1024
 
 
 def pack(values: np.ndarray, wide: int) -> bytes:
@@ -133,9 +137,28 @@ def distinct(found: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np
     return keys[first], np.diff(first, append=len(keys))
 
 
-def _range_bits(entries: int) -> int:
-    """Bits of a hash that name its range, for that many n-grams in all blocks."""
-    return max(RANGES.bit_length() - 1, (max(1, entries // SHARE) - 1).bit_length())
+def _range_bits(entries: int) -> tuple[int, int]:
+    """Bits of a hash that name its range, and those behind them that name a finer one, for that many n-grams in all blocks."""
+    coarse = RANGES.bit_length() - 1
+    return coarse, max(0, (max(1, entries // SHARE) - 1).bit_length() - coarse)
+
+
+def gram_data(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return squeezed(pack(np.diff(keys, prepend=U(0)), GAP) + pack(counts.astype(U), 1))
+
+
+def opened_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts of gram_data."""
+    raw = opened(data)
+    gaps, at = unpack(raw, GAP)
+    return np.cumsum(gaps, dtype=np.uint64), unpack(raw, 1, at)[0].astype(np.int64)
+
+
+def cut_by(names: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The different names of sorted hashes, and the gram_data of each."""
+    found, cut = np.unique(names, return_index=True)
+    cut = [*cut.tolist(), len(keys)]
+    return found, [gram_data(keys[a:b], counts[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def gram_rows(docs: DataFrame, order: int, block: int, bits: int, ranges: int) -> DataFrame:
@@ -147,32 +170,53 @@ def gram_rows(docs: DataFrame, order: int, block: int, bits: int, ranges: int) -
             found, place, _ = grams(raw, offs, order, bits)
             keys, counts = distinct(found, place)
             del found, place
-            of = keys >> U(bits - ranges)
-            names, cut = np.unique(of, return_index=True)
-            cut = [*cut.tolist(), len(keys)]
-            data = [squeezed(pack(np.diff(keys[a:b], prepend=U(0)), GAP) + pack(counts[a:b].astype(U), 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            names, data = cut_by(keys >> U(bits - ranges), keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), number)), pa.array(names.astype(np.int32)), pa.array(data, pa.binary())], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def added_up(frame: pd.DataFrame) -> pd.DataFrame:
+    """The frame with, in place of each row's own counts, those of all its rows, in the same order."""
+    keys, counts = zip(*map(opened_grams, frame["data"]), strict=True)
+    _, of = np.unique(np.concatenate(keys), return_inverse=True)
+    # Counts are exact in doubles up to 2**53.
+    total = np.bincount(of, np.concatenate(counts).astype(float), minlength=1)
+    ends = np.cumsum([len(k) for k in keys])
+    return frame.assign(data=[squeezed(pack(total[of[e - len(k) : e]].astype(U), 1)) for k, e in zip(keys, ends, strict=True)])
+
+
 def count_tables(rows: DataFrame) -> DataFrame:
     """(block, range, data) of gram_rows with the counts of the whole corpus in the place of the block's own, in the same order."""
+    return rows.groupBy("range").applyInPandas(added_up, rows.schema)
+
+
+def merged_rows(rows: DataFrame, bits: int, ranges: int, finer: int) -> DataFrame:
+    """(range, part, fine, data): the distinct n-grams of each part of the blocks with their counts, a row for each finer range. rows: gram_rows with `part`."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = zip(*map(opened_grams, frame["data"]), strict=True)
+        keys, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, np.concatenate(counts).astype(float))
+        names, data = cut_by(keys >> U(bits - ranges - finer) & U((1 << finer) - 1), keys, total)
+        return pd.DataFrame({"range": frame["range"].iloc[0], "part": frame["part"].iloc[0], "fine": names.astype(np.int32), "data": data})
+
+    return rows.groupBy("range", "part").applyInPandas(merge, fields("range int, part int, fine int, data binary"))
+
+
+def finer_count_tables(rows: DataFrame, bits: int, ranges: int, finer: int) -> DataFrame:
+    """What count_tables gives, by way of parts and of 1 << finer finer ranges in each range. rows, gram_rows, are read twice, so they should be stored."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int"))
+    merged = merged_rows(rows, bits, ranges, finer)
+    totals = merged.groupBy("range", "fine").applyInPandas(added_up, merged.schema)
 
-    def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = [], []
-        for raw in map(opened, frame["data"]):
-            gaps, at = unpack(raw, GAP)
-            keys.append(np.cumsum(gaps, dtype=np.uint64))
-            counts.append(unpack(raw, 1, at)[0].astype(np.int64))
-        _, of = np.unique(np.concatenate(keys), return_inverse=True)
-        # Counts are exact in doubles up to 2**53.
-        total = np.bincount(of, np.concatenate(counts).astype(float), minlength=1)
-        ends = np.cumsum([len(k) for k in keys])
-        data = [squeezed(pack(total[of[e - len(k) : e]].astype(U), 1)) for k, e in zip(keys, ends, strict=True)]
-        return pd.DataFrame({"block": frame["block"], "range": frame["range"], "data": data})
+    def give_back(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        keys = [opened_grams(x)[0] for x in mine["data"]]
+        total = np.concatenate([unpack(opened(x), 1)[0] for x in told.sort_values("fine")["data"]])
+        whole = np.unique(np.concatenate(keys))
+        return pd.DataFrame({"block": mine["block"], "range": mine["range"], "data": [squeezed(pack(total[np.searchsorted(whole, k)], 1)) for k in keys]})
 
-    return rows.groupBy("range").applyInPandas(add_up, rows.schema)
+    return rows.groupBy("range", "part").cogroup(totals.groupBy("range", "part")).applyInPandas(give_back, fields("block long, range int, data binary"))
 
 
 def _texts(docs: DataFrame, block: int) -> DataFrame:
@@ -192,7 +236,10 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, le
     """(doc_id, n_words, n_seen, log_score): words, words whose n-gram of full order was in the tables, and the sum of logarithms."""
     prepared(docs.sparkSession)
     size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
-    tables = count_tables(gram_rows(docs, order, block, bits, min(bits, _range_bits(int(size) * order // 10))))
+    ranges, finer = _range_bits(int(size) * order // 10)
+    ranges, finer = min(bits, ranges), max(0, min(bits - ranges, finer))
+    rows = gram_rows(docs, order, block, bits, ranges)
+    tables = finer_count_tables(stored(rows, "grams"), bits, ranges, finer) if finer else count_tables(rows)
 
     def score(frame: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         text = frame.iloc[0]
