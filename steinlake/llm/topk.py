@@ -182,12 +182,12 @@ def knn_join(rows: DataFrame, query: F.Column, k: int = K, pivots: int = PIVOTS,
     pairs = [(k_, s) for k_, g in enumerate(groups.tolist()) for s in range(sets[g][0], sets[g][0] + sets[g][1])]
     n_sets = 1 + max((s for _, s in pairs), default=-1)
     routed = stored(needed(vectors.select("vec_id", "v"), shared, groups, summary["far"].to_numpy(), summary["least"].to_numpy(), np.array(pairs, int).reshape(-1, 2), n_sets), "needed")
-    # A row per set of queries.
+    # A row per set of queries: no more than pivots, and one for each `block` queries. Broadcast, so that a set which needs many vectors is no hot key.
     sizes = routed.groupBy("q_set").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     where = spark.createDataFrame([(g, first, n) for g, (first, n) in sets.items()], "home int, first int, n int")
     asked = queries.join(F.broadcast(where), "home").withColumn("q_set", (F.col("first") + F.pmod(F.xxhash64("query_id"), F.col("n"))).cast("int"))
-    asked = asked.join(sizes, "q_set").select("q_set", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "query_id", F.col("v").alias("q"), "least")
-    data = routed.join(sizes, "q_set").select("q_set", F.pmod(F.xxhash64("vec_id", "turn"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
+    asked = asked.join(F.broadcast(sizes), "q_set").select("q_set", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "query_id", F.col("v").alias("q"), "least")
+    data = routed.join(F.broadcast(sizes), "q_set").select("q_set", F.pmod(F.xxhash64("vec_id", "turn"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
