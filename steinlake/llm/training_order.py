@@ -38,6 +38,8 @@ STRIDE, PAD, END_ID, KEY, ROUNDS = 512, 0xFFFF, 0, 20240501, 4
 SHARD = 1 << 17
 #: Shards whose sequences are summed up in one task.
 RUN = 4096
+#: Tasks that write shards, at most: beyond as many shards, a task writes several in a row.
+WRITERS = 65_536
 
 
 def feistel(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -127,8 +129,10 @@ def write_training_order(docs: DataFrame, folder: str, stride: int = STRIDE, key
         if out is not None:
             out.close()
 
-    # One shard to a task: a hash of the shard's number would give some tasks several.
-    dealt = rows.mapInArrow(tokenise, cut).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order")
+    # As many shards to each task as to any other, and in a row: a hash of the shard's number would give some tasks several and others none.
+    writers = min(shards, WRITERS)
+    writer = F.floor(F.col("shard").cast("long") * F.lit(writers) / F.lit(shards)).cast("int")
+    dealt = rows.mapInArrow(tokenise, cut).repartitionById(writers, writer).sortWithinPartitions("shard", "order")
     return stored(dealt.mapInArrow(write, written), "order")
 
 

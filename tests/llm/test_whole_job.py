@@ -348,8 +348,10 @@ def test_languages_with_equal_scores(spark):
 # Training order: a slot is the rank of the permuted number.
 
 
-def test_slot_is_the_rank_of_the_permuted_number(spark, monkeypatch):
+@pytest.mark.parametrize("writers", [65_536, 3, 1])
+def test_slot_is_the_rank_of_the_permuted_number(spark, monkeypatch, writers):
     monkeypatch.setattr(training_order, "RUN", 2)
+    monkeypatch.setattr(training_order, "WRITERS", writers)
     rng = random.Random(41)
     rows = [(k, prose(rng.randint(0, 60), rng)) for k in range(50)] + [(60, None)]
     stride = 16
