@@ -5,12 +5,13 @@ A structure is a bounded group, so windows and self-joins are keyed by its name
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sqdist
 
-
 #: Nodes up to which a structure's nodes meet all in one row; larger structures are searched by cells.
 WHOLE, FEW = 512, 64
 
@@ -99,9 +100,10 @@ def nearest_by_cells(n: DataFrame, k: int) -> DataFrame:
 
 
 def rbf(dist: Column, low: float = 2.0, high: float = 22.0, count: int = 16, width: float = 1.25) -> Column:
-    """Radial basis values of a distance on evenly spaced centres."""
+    """Radial basis values of a distance (a column, not an expression, as each function reads it) on evenly spaced centres."""
     step = (high - low) / (count - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.exp(-F.pow((dist - (low + i * step)) / width, 2)))
+    z = [(dist - (low + i * step)) / width for i in range(count)]
+    return F.array(*(F.exp(-(v * v)) for v in z))
 
 
 def virtual_beta(n: Column, ca: Column, c: Column) -> list[Column]:
@@ -388,10 +390,28 @@ def along_edges(edges: DataFrame, nodes: DataFrame, columns: list[str], name: st
     return out.join(one.select("name", F.col("_node").alias("dst"), F.col("_f").alias("b")), ["name", "dst"])
 
 
-def edge_rbf(a: Column, b: Column, pairs: tuple = BACKBONE_PAIRS) -> Column:
-    """The radial basis values of all pairs of atoms of an edge's ends, one array in the order of pairs. a, b: structs with a point for each atom."""
-    # The distances are bound first, so each is computed once and not once per function.
-    return F.flatten(F.transform(F.array(*(distance3(a[x], b[y]) for x, y in pairs)), lambda d: rbf(d)))
+def _basis(low: float, high: float, count: int, width: float):
+    """A function of arrays of distances over Arrow batches: count values for each distance, nulls for a null one."""
+    centres = np.linspace(low, high, count)
+
+    @F.arrow_udf("array<double>")
+    def basis(far: pa.Array) -> pa.Array:
+        d = far.flatten()
+        values = np.exp(-np.square((d.to_numpy(zero_copy_only=False)[:, None] - centres) / width)).ravel()
+        ends = np.concatenate([[0], np.cumsum(far.value_lengths().to_numpy(zero_copy_only=False)) * count]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, mask=np.repeat(d.is_null().to_numpy(zero_copy_only=False), count)))
+
+    return basis
+
+
+def edge_rbf(edges: DataFrame, pairs: tuple = BACKBONE_PAIRS, name: str = "p", low: float = 2.0, high: float = 22.0, count: int = 16, width: float = 1.25) -> DataFrame:
+    """edges with structs a and b (a point for each atom), and the radial basis values of all pairs of their atoms: one array in the order of pairs.
+
+    The distances are generated code; their 400 exponentials an edge are evaluated over Arrow batches, as generated code of that many expressions
+    exceeds a method's size and is interpreted.
+    """
+    far = F.array(*(distance3(F.col("a")[x], F.col("b")[y]) for x, y in pairs))
+    return edges.withColumn(name, _basis(low, high, count, width)(far))
 
 
 def oriented_edges(edges: DataFrame, xyz: str = "xyz", frame: str = "frame") -> DataFrame:

@@ -72,7 +72,7 @@ def ca_edge_features(spark, sf_dir):
     """Edges of traces: the direction in a node's frame, the rotation between the frames of both ends (zeros where it has no quaternion), and nine pairs' distances."""
     f = _traces(spark, sf_dir).withColumn("at", F.col("xyz"))
     e = structure.along_edges(structure.knn_edges(_nodes(spark, sf_dir), 3), f, ["xyz", "frame", "at", "before", "after"])
-    e = structure.oriented_edges(e.withColumn("p", structure.edge_rbf(F.col("a"), F.col("b"), structure.TRACE_PAIRS)))
+    e = structure.oriented_edges(structure.edge_rbf(e, structure.TRACE_PAIRS))
     return e.select("name", "src", "dst", *(rounded(F.get("direction", k), 5).alias(f"d{k + 1}") for k in range(3)), *(rounded(F.get("rotation", k), 5).alias(f"q{k + 1}") for k in range(4)), rounded(total("p"), 5).alias("total"))
 
 
@@ -90,7 +90,7 @@ def edge_atom_rbf(spark, sf_dir):
     n = _nodes(spark, sf_dir).select("name", "node", F.col("xyz").alias("ca"), F.array(x - 1.0, y + 0.5, z + x / 40).alias("n"), F.array(x + 1.1, y - z / 9, z + 0.7).alias("c"), F.array(x + 1.5, y - 1.9, z - y / 7).alias("o"), (F.col("l_partkey") % 2).alias("chain"), F.col("node").alias("residue_index"))
     e = structure.along_edges(structure.knn_edges(_nodes(spark, sf_dir), 3), structure.backbone(n), ["n", "ca", "c", "o", "cb", "chain", "residue_index"])
     same, place = structure.edge_places(F.col("a"), F.col("b"))
-    basis = e.select("name", "src", "dst", same.alias("same_chain"), place.alias("class"), structure.edge_rbf(F.col("a"), F.col("b")).alias("p"))
+    basis = structure.edge_rbf(e).select("name", "src", "dst", same.alias("same_chain"), place.alias("class"), "p")
     part = lambda k: rounded(total(F.slice("p", 16 * k + 1, 16)), 5)
     return basis.select("name", "src", "dst", "same_chain", "class", rounded(total("p"), 5).alias("total"), part(4).alias("cb_cb"), part(24).alias("c_o"))
 

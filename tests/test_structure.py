@@ -154,3 +154,25 @@ def test_edge_features_against_numpy(spark):
             i, j, k, w = r.q
             back = np.array([[1 - 2 * (j * j + k * k), 2 * (i * j - k * w), 2 * (i * k + j * w)], [2 * (i * j + k * w), 1 - 2 * (i * i + k * k), 2 * (j * k - i * w)], [2 * (i * k - j * w), 2 * (j * k + i * w), 1 - 2 * (i * i + j * j)]])
             assert back == pytest.approx(m, abs=1e-6)
+
+
+def test_edge_rbf_by_hand(spark):
+    """All pairs of an edge's atoms on their centres; an atom without a coordinate has nulls, in its pairs only."""
+    rng = np.random.default_rng(3)
+    atoms = ("n", "ca", "c", "o", "cb")
+    ends = [[{x: rng.normal(size=3).tolist() for x in atoms} for _ in "ab"] for _ in range(5)]
+    ends[4][1]["o"] = [1.0, None, 2.0]
+    kind = "struct<" + ", ".join(f"{x}: array<double>" for x in atoms) + ">"
+    edges = spark.createDataFrame([(k, *e) for k, e in enumerate(ends)], f"k int, a {kind}, b {kind}")
+    got = {r.k: r.p for r in structure.edge_rbf(edges, count=3, low=0.0, high=4.0, width=0.5).collect()}
+    for k, (a, b) in enumerate(ends):
+        want = []
+        for x, y in structure.BACKBONE_PAIRS:
+            if None in a[x] + b[y]:
+                want += [None] * 3
+                continue
+            d = (sum((u - v) ** 2 for u, v in zip(a[x], b[y], strict=True)) + 1e-6) ** 0.5
+            want += [np.exp(-(((d - c) / 0.5) ** 2)) for c in (0.0, 2.0, 4.0)]
+        assert [v is None for v in got[k]] == [v is None for v in want]
+        assert np.allclose([v for v in got[k] if v is not None], [v for v in want if v is not None])
+    assert structure.edge_rbf(edges.filter("k > 9")).count() == 0
