@@ -6,8 +6,8 @@ blocks of words says how far the search may jump because no pattern holds the bl
 the bucket of the suffix block names the patterns to test, and a direct comparison of all words confirms an occurrence.
 
 Cases: a null or wordless text has no words and no hits; a wordless item has no pattern; copies of a window belong to all
-their items; rows with equal doc_id stay separate rows; a null item_id counts as an item named "null". An empty benchmark
-hits nothing. Only doc_id and text of the documents are read, so other columns may have any name.
+their items; rows with equal doc_id stay separate rows; rows of null item_id are one item, which n_items counts and
+items_sha256 leaves out, whatever other items are called. An empty benchmark hits nothing. Only doc_id and text of the documents are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ class WuManber:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(length, pattern, item_ids): each distinct window once, as blank-joined words, with the items that have it."""
+    """(length, pattern, item_ids): each distinct window once, as blank-joined words, with the items that have it ("=" and the id; "" for a null one)."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,8 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
         return each
 
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").alias("text"))
+    named = F.concat(F.lit("="), F.col("item_id").cast("string"))
+    items = benchmark.select(F.coalesce(named, F.lit("")).alias("item"), F.col("text").alias("text"))
     return arrow_map(items, make, "length int, pattern binary, item string").groupBy("length", "pattern").agg(F.collect_set("item").alias("item_ids"))
 
 
@@ -117,7 +118,7 @@ def _pass(state: DataFrame, patterns: list, last: bool, kept: int) -> DataFrame:
                     mark[a] += 1
                     mark[b] -= 1
                 n, n_hit = len(words), int(np.count_nonzero(np.cumsum(mark[:-1]))) if hit else 0
-                out.append((n, n_hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n))
+                out.append((n, n_hit, len(found), hashlib.sha256(",".join(sorted(x[1:] for x in found if x)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()) if last else (pa.binary(), pa.list_(pa.string()))
             cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*carried, *([] if last else [texts]), *cols], schema.names)

@@ -61,7 +61,7 @@ def brute_contamination(docs, items, size=13):
         w = words(text)
         k = min(size, len(w))
         for i in range(len(w) - k + 1 if k else 0):
-            patterns.setdefault(tuple(w[i : i + k]), set()).add("null" if item is None else str(item))
+            patterns.setdefault(tuple(w[i : i + k]), set()).add(None if item is None else str(item))
     out = []
     for i, t in docs:
         w, hit, found = words(t), set(), set()
@@ -70,7 +70,7 @@ def brute_contamination(docs, items, size=13):
                 if tuple(w[a : a + k]) in patterns:
                     hit |= set(range(a, a + k))
                     found |= patterns[tuple(w[a : a + k])]
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 
 
@@ -83,6 +83,14 @@ def test_decontamination(spark, pass_bytes):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute_contamination(docs, items)))
 
 
+def test_null_item_is_no_item_of_that_name(spark):
+    items = [(None, "alpha beta gamma"), ("null", "alpha beta gamma"), ("", "delta"), (None, "delta"), ("=", "delta")]
+    docs = [(1, "x alpha beta gamma"), (2, "delta"), (3, "gamma")]
+    got = decontamination.decontaminate(documents(spark, docs), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_contamination(docs, items))
+    assert {r.doc_id: r.n_items for r in got} == {1: 2, 2: 3, 3: 0}
+
+
 def test_decontamination_keeps_columns_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = documents(spark, [(1, "alpha beta gamma"), (2, "alpha beta"), (3, None)])
