@@ -16,6 +16,11 @@ def doubles(c, start: int | None = None, length: int | None = None) -> Column:
     return c if start is None else F.slice(c, start, length)
 
 
+def bound(c, f) -> Column:
+    """f(c), with c evaluated once however often f has it, also inside lambdas: a lambda evaluates what it holds for every element."""
+    return F.get(F.transform(F.array(col(c)), f), F.lit(0))
+
+
 def total(c) -> Column:
     return F.aggregate(col(c), F.lit(0.0), lambda s, t: s + t)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, total
+
 #: Fixed value: the order of amino-acid letters, X last.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWYX"
 
@@ -75,10 +77,9 @@ def one_row_json(df: DataFrame, name: str, chain: str, value: str) -> DataFrame:
 
 def profile_softmax(values: Column, letters: int = 20) -> Column:
     """Probabilities of a profile's values, and 0 for the unknown letter behind them."""
-    top = F.array_max(F.slice(values, 1, letters))
-    e = F.transform(F.slice(values, 1, letters), lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.concat(F.transform(e, lambda x: x / total), F.array(F.lit(0.0)))
+    powers = lambda v: bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    shares = lambda e: bound(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return F.concat(bound(bound(F.slice(values, 1, letters), powers), shares), F.array(F.lit(0.0)))
 
 
 def bias_vector(bias: dict[str, float], alphabet: str = ALPHABET) -> Column:

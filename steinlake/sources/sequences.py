@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import bound
+
 REFERENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("pdb", "chain")] + [T.StructField(f"{n} Number", T.IntegerType()) for n in ("Class", "Architecture", "Topology", "Superfamily")] + [T.StructField("L", T.IntegerType())])
 CHAIN_LIST = T.StructType().add("CHAINID", T.StringType()).add("DEPOSITION", T.DateType()).add("RESOLUTION", T.DoubleType()).add("HASH", T.StringType()).add("CLUSTER", T.IntegerType()).add("SEQUENCE", T.StringType())
 
@@ -100,7 +102,7 @@ PROFILE_LETTERS = "ARNDCQEGHILKMFPSTWYV"
 
 def permuted(values: Column, alphabet: str, given: str = PROFILE_LETTERS) -> Column:
     """Values that come in the order of `given`, in the order of an alphabet; 0 for a letter that has none."""
-    return F.array(*(F.get(values, F.lit(given.index(a))) if a in given else F.lit(0.0) for a in alphabet))
+    return bound(values, lambda v: F.array(*(F.get(v, F.lit(given.index(a))) if a in given else F.lit(0.0) for a in alphabet)))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

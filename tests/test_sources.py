@@ -214,3 +214,27 @@ def test_modes_agree_and_pad_less(spark):
     assert sum(lengths) <= rebatch.padded_cells(lengths, 2000)
     with pytest.raises(ValueError, match="mode"):
         rebatch.modelled(df, "id", "tokens", load, "long", "other")
+
+
+def test_softmax_of_a_profile_of_many_letters(spark):
+    """The largest value and the sum are made once a profile, not once a letter, so the work is linear in the letters."""
+    from steinlake.operators import constraints
+
+    values = [(k * 37 % 101) / 10 for k in range(1500)]
+    got = spark.createDataFrame([(0, values), (1, None)], "i int, v array<double>").select("i", constraints.profile_softmax(F.col("v"), 1500).alias("p"))
+    rows = {r["i"]: r["p"] for r in got.collect()}
+    e = np.exp(np.array(values) - max(values))
+    assert len(rows[0]) == 1501 and rows[0][-1] == 0.0 and rows[1] is None
+    assert np.allclose(rows[0][:-1], e / e.sum(), rtol=1e-12)
+
+
+def test_permuted_profile_evaluates_its_values_once(spark):
+    """Values that are an expression are put in order in one pass."""
+    from steinlake.operators import constraints
+
+    values = F.transform("v", lambda x: x * 2)
+    got = spark.createDataFrame([([float(k) for k in range(20)],), (None,)], "v array<double>").select(files.permuted(values, constraints.ALPHABET).alias("p"))
+    assert str(files.permuted(values, constraints.ALPHABET)).count("lambda") <= 3
+    rows = [r["p"] for r in got.collect()]
+    assert rows[0] == [2.0 * files.PROFILE_LETTERS.index(a) if a in files.PROFILE_LETTERS else 0.0 for a in constraints.ALPHABET]
+    assert rows[1][-1] == 0.0 and rows[1][0] is None
