@@ -306,8 +306,8 @@ def profile_probabilities(spark, sf_dir):
     one = writers.joined_lines(line, "name", ORDER, F.concat(F.lit("xxxx "), F.concat_ws(" ", *numbers)))
     folder = writers.write_named(one.select("name", F.concat(F.lit("head\nhead\n"), "text").alias("text")), new_folder(spark, "profiles"), ".txt")
     got = files.read_profile(spark, folder)
-    p = constraints.profile_softmax(F.col("values"))
-    return got.select(F.regexp_replace("file", r"\.txt$", "").alias("name"), "pos", rounded(F.get(p, 0)).alias("first"), rounded(F.array_max(p)).alias("top"), F.get(p, 20).alias("unknown"))
+    got = got.withColumn("p", constraints.profile_softmax(F.col("values")))
+    return got.select(F.regexp_replace("file", r"\.txt$", "").alias("name"), "pos", rounded(F.get("p", 0)).alias("first"), rounded(F.array_max("p")).alias("top"), F.get("p", 20).alias("unknown"))
 
 
 @query(PROFILE_SQL + """, o AS (SELECT name, pos, v, list_transform(v, lambda x: exp(x)) AS e FROM v)
@@ -319,7 +319,8 @@ def profile_letters(spark, sf_dir):
     one = writers.joined_lines(line, "name", ORDER, F.concat(F.lit("xxxx "), F.concat_ws(" ", *numbers)))
     folder = writers.write_named(one.select("name", F.concat(F.lit("head\nhead\n"), "text").alias("text")), new_folder(spark, "profiles"), ".txt")
     got = files.read_profile(spark, folder)
-    odds, share = files.permuted(F.col("values"), constraints.ALPHABET), files.permuted(constraints.profile_softmax(F.col("values")), constraints.ALPHABET)
+    got = got.withColumns({"odds": files.permuted(F.col("values"), constraints.ALPHABET), "share": files.permuted(constraints.profile_softmax(F.col("values")), constraints.ALPHABET)})
+    odds, share = F.col("odds"), F.col("share")
     at = {a: constraints.ALPHABET.index(a) for a in "CRDVX"}
     return got.select(F.regexp_replace("file", r"\.txt$", "").alias("name"), "pos", F.get(odds, at["C"]).alias("c_odds"), F.get(odds, at["R"]).alias("r_odds"), rounded(F.get(share, at["D"])).alias("d_share"), F.get(odds, at["V"]).alias("v_odds"), F.get(odds, at["X"]).alias("x_odds"))
 
