@@ -5,6 +5,8 @@ expr(a, b) takes two columns; block(a, b) takes two stacked arrays and returns t
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +18,10 @@ from .arrays import hamming, sqdist
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all pairs."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
+    out = (-2 * a) @ b.T
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)
+    return np.maximum(out, 0, out=out)
 
 
 @dataclass(frozen=True)
@@ -29,7 +34,9 @@ class Gaussian:
         return F.exp(-sqdist(a, b) / (2 * self.sigma**2))
 
     def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.exp(-squares(a, b) / (2 * self.sigma**2))
+        out = squares(a, b)
+        out *= -1 / (2 * self.sigma**2)
+        return np.exp(out, out=out)
 
     # Derivatives in the second and first argument, and the trace of the mixed one, over the kernel's value.
     def over_second(self, a, b, direction) -> Column:
@@ -79,6 +86,12 @@ def lag_hamming(s, t, lag: int = 1, mode: str = "cumulative") -> Column:
 def differences(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """The k-mer distances of all pairs of two stacks of encoded sequences of one length, place by place in bounded memory."""
     length = a.shape[1]
+    if width == 1:
+        known = [np.unique(a[:, i]) for i in range(length)]
+        if sum(map(len, known)) <= 16 * length:
+            # Few letters: the places that agree are a product of indicators, exact in single precision.
+            mark = lambda x: np.concatenate([x[:, i, None] == v for i, v in enumerate(known)], axis=1).astype("f4")
+            return float(length) - (mark(a) @ mark(b).T).astype(float)
     out = np.zeros((len(a), len(b)))
     for i in range(length):
         window = slice(i, min(i + width, length))
@@ -99,7 +112,8 @@ class HammingIMQ:
         return F.pow((1 + self.alpha) / (self.alpha + lag_hamming(a, b, self.lag, self.mode)), F.lit(self.beta))
 
     def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((1 + self.alpha) / (self.alpha + differences(a, b, lag_window(self.lag, self.mode)))) ** self.beta
+        values = ((1 + self.alpha) / (self.alpha + np.arange(a.shape[1] + 1.0))) ** self.beta
+        return values[differences(a, b, lag_window(self.lag, self.mode)).astype(np.intp)]
 
 
 @dataclass(frozen=True)
@@ -132,3 +146,58 @@ class TensorProduct:
         for k, x, y in zip(self.parts, a, b, strict=True):
             out = out * k.block(x, y)
         return out
+
+
+# Mean embeddings: <p, q>^n / n! is a sum of products of monomials, so the mean of a Gaussian kernel over two sets of points is one inner product.
+
+#: Features of an embedding at most, and the error of a kernel's value that they may leave.
+FEATURES, ERROR = 1400, 1e-11
+
+
+def _orders(dimension: int) -> list[int]:
+    """How many monomials there are up to each degree, as far as FEATURES goes."""
+    out = [1]
+    while (n := math.comb(len(out) + dimension, dimension)) <= FEATURES:
+        out.append(n)
+    return out
+
+
+@functools.lru_cache
+def _monomials(dimension: int) -> list[tuple[list[int], np.ndarray]]:
+    """By degree from 1: for each variable the first monomial of the degree before that it multiplies, and 1 / sqrt(n!) of the powers made.
+
+    A monomial comes once: its variables in falling order, so each variable meets those that begin with none before it.
+    """
+    out, begins, powers = [], [0] * dimension, np.zeros((1, dimension), int)
+    for _ in _orders(dimension)[1:]:
+        sizes = [len(powers) - b for b in begins]
+        powers = np.concatenate([powers[b:] + np.eye(dimension, dtype=int)[k] for k, b in enumerate(begins)])
+        out.append((begins, np.array([math.prod(map(math.factorial, p)) ** -0.5 for p in powers.tolist()])))
+        begins = [sum(sizes[:k]) for k in range(dimension)]
+    return out
+
+
+def embedding(points: np.ndarray, sigma: float, strip: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Stacks of points (rows, points, dimensions) as means of their features (rows, features), by rising degree, and each row's largest norm over sigma."""
+    rows, count, dimension = points.shape
+    out, reach = np.empty((rows, _orders(dimension)[-1])), np.empty(rows)
+    for at in range(0, rows, strip):
+        part = points[at : at + strip]
+        x = part.transpose(2, 1, 0).reshape(dimension, -1) / sigma
+        norm = (x * x).sum(0)
+        reach[at : at + strip] = np.sqrt(norm.reshape(count, -1).max(0))
+        level, done = np.exp(-norm / 2)[None] / count, 1
+        out[at : at + strip, :1] = level.reshape(1, count, -1).sum(1).T
+        for begins, scales in _monomials(dimension):
+            level = np.concatenate([x[k] * level[b:] for k, b in enumerate(begins)])
+            out[at : at + strip, done : done + len(level)] = (level.reshape(len(level), count, -1).sum(1) * scales[:, None]).T
+            done += len(level)
+    return out, reach
+
+
+def enough(reach: float, dimension: int) -> int | None:
+    """How many features leave at most ERROR where inner products of points go up to `reach`; None where FEATURES are too few."""
+    for degree, n in enumerate(_orders(dimension)):
+        if reach ** (degree + 1) <= ERROR * math.factorial(degree + 1):
+            return n
+    return None

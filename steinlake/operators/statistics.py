@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions.arrays import dot, minus, scaled
 from ..functions.jets import Smooth
-from ..functions.kernels import Gaussian, squares
+from ..functions.kernels import Gaussian, embedding, enough, squares
 
 Rows = dict[str, np.ndarray]
 
@@ -32,6 +32,8 @@ class Statistic:
     needs: tuple[str, ...]
     expr: Callable[[], Column]
     block: Callable[[Rows, Rows], np.ndarray] | None = None
+    #: Columns that a block needs once, however many blocks it meets, made of its own; one row each, like the others.
+    prepare: Callable[[Rows], Rows] = lambda rows: {}
 
     @property
     def tiled(self) -> bool:
@@ -105,12 +107,31 @@ def kcsd(kx: Gaussian = Gaussian(1.0), ky: Gaussian = Gaussian(1.0)) -> Statisti
 
 def _one(m, s, y, sk) -> np.ndarray:
     v = s * s
-    return np.exp(-(y.shape[1] * np.log1p(v / sk**2)[:, None] + squares(m, y) / (v + sk**2)[:, None]) / 2)
+    out = squares(m, y)
+    out *= (-0.5 / (v + sk**2))[:, None]
+    np.exp(out, out=out)
+    out *= np.exp(-y.shape[1] * np.log1p(v / sk**2) / 2)[:, None]
+    return out
 
 
 def _both(m, s, n, t, sk) -> np.ndarray:
-    v = (s * s)[:, None] + t * t
-    return np.exp(-(m.shape[1] * np.log1p(v / sk**2) + squares(m, n) / (v + sk**2)) / 2)
+    w = 1 / ((s * s)[:, None] + t * t + sk**2)
+    out = squares(m, n)
+    out *= w
+    out *= -0.5
+    np.exp(out, out=out)
+    # (1 + v / sk^2) ** (-d / 2), by products: logarithms of a whole matrix are slow.
+    w *= sk**2
+    half, odd = divmod(m.shape[1], 2)
+    if odd:
+        out *= np.sqrt(w)
+    while half:
+        if half & 1:
+            out *= w
+        half >>= 1
+        if half:
+            w *= w
+    return out
 
 
 def _own(m, s, sk) -> np.ndarray:
@@ -125,12 +146,24 @@ class ModelKernel:
     squared: Callable[[], Column]
     sigma: float = 1.0
     block_squared: Callable[[Rows, Rows], np.ndarray] | None = None
+    prepare: Callable[[Rows], Rows] = lambda rows: {}
+    #: Where block_squared can be had from the matrix of E k(X, X') of the models of two rows: from that matrix.
+    block_from: Callable[[Rows, Rows, np.ndarray], np.ndarray] | None = None
+    #: The bandwidth of that k.
+    ground: float | None = None
 
     def expr(self) -> Column:
         return F.exp(-self.squared() / (2 * self.sigma**2))
 
     def block(self, a: Rows, b: Rows) -> np.ndarray:
-        return np.exp(-self.block_squared(a, b) / (2 * self.sigma**2))
+        return self._exp(self.block_squared(a, b))
+
+    def block_with(self, a: Rows, b: Rows, both: np.ndarray) -> np.ndarray:
+        """The same, from the matrix of E k(X, X')."""
+        return self._exp(self.block_from(a, b, both))
+
+    def _exp(self, squared: np.ndarray) -> np.ndarray:
+        return np.exp(squared * (-1 / (2 * self.sigma**2)))
 
 
 def _models() -> list[Column]:
@@ -140,20 +173,37 @@ def _models() -> list[Column]:
 def exp_mmd(sk: float = 1.0, sigma: float = 1.0) -> ModelKernel:
     """By the discrepancy of Gaussian models under a Gaussian kernel, in closed form."""
 
+    def block_from(a: Rows, b: Rows, both: np.ndarray) -> np.ndarray:
+        out = both * -2
+        out += _own(a["mu"], a["s"], sk)[:, None]
+        out += _own(b["mu"], b["s"], sk)
+        return out
+
     def block(a: Rows, b: Rows) -> np.ndarray:
-        return _own(a["mu"], a["s"], sk)[:, None] + _own(b["mu"], b["s"], sk) - 2 * _both(a["mu"], a["s"], b["mu"], b["s"], sk)
+        return block_from(a, b, _both(a["mu"], a["s"], b["mu"], b["s"], sk))
 
-    return ModelKernel(("mu", "s"), lambda: M.mmd2(*_models(), sk), sigma, block)
+    return ModelKernel(("mu", "s"), lambda: M.mmd2(*_models(), sk), sigma, block, block_from=block_from, ground=sk)
 
 
 def exp_mmd_particles(k=Gaussian(1.0), sigma: float = 1.0) -> ModelKernel:
     """By the discrepancy of particle models under any kernel on points."""
 
+    def own(r: Rows) -> np.ndarray:
+        if "own" in r:
+            return r["own"]
+        if isinstance(k, Gaussian):
+            p = r["points"]
+            return np.exp(sum(-((p[:, :, None, i] - p[:, None, :, i]) ** 2) for i in range(p.shape[2])) / (2 * k.sigma**2)).mean((1, 2))
+        return np.array([k.block(p, p).mean() for p in r["points"]])
+
     def block(a: Rows, b: Rows) -> np.ndarray:
-        own = [np.array([k.block(p, p).mean() for p in r["points"]]) for r in (a, b)]
-        return own[0][:, None] + own[1] - 2 * _particles_both(a["points"], b["points"], k)
+        out = _particles_between(a, b, k)
+        out *= -2
+        out += own(a)[:, None]
+        out += own(b)
+        return out
 
-    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma, block)
+    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma, block, lambda r: {"own": own(r)} | _embedded(r, "points", k))
 
 
 def exp_wasserstein(sigma: float = 1.0) -> ModelKernel:
@@ -190,8 +240,12 @@ def _residual(sk: float) -> Column:
     return k.expr(a[2], b[2]) - M.expect_one(a[0], a[1], b[2], sk) - M.expect_one(b[0], b[1], a[2], sk) + M.expect_both(a[0], a[1], b[0], b[1], sk)
 
 
-def _residual_block(a: Rows, b: Rows, sk: float) -> np.ndarray:
-    return Gaussian(sk).block(a["y"], b["y"]) - _one(a["mu"], a["s"], b["y"], sk) - _one(b["mu"], b["s"], a["y"], sk).T + _both(a["mu"], a["s"], b["mu"], b["s"], sk)
+def _residual_block(a: Rows, b: Rows, sk: float, both: np.ndarray | None = None) -> np.ndarray:
+    out = Gaussian(sk).block(a["y"], b["y"])
+    out -= _one(a["mu"], a["s"], b["y"], sk)
+    out -= _one(b["mu"], b["s"], a["y"], sk).T
+    out += _both(a["mu"], a["s"], b["mu"], b["s"], sk) if both is None else both
+    return out
 
 
 def skce(sk: float = 1.0, sigma: float = 1.0, kernel: ModelKernel | None = None) -> Statistic:
@@ -200,8 +254,14 @@ def skce(sk: float = 1.0, sigma: float = 1.0, kernel: ModelKernel | None = None)
     k_p is any kernel on models, and the exponential of their discrepancy where none is given.
     """
     kp = kernel or exp_mmd(sk, sigma)
-    block = (lambda a, b: kp.block(a, b) * _residual_block(a, b, sk)) if kp.block_squared else None
-    return Statistic("skce", tuple(dict.fromkeys((*kp.needs, "mu", "s", "y"))), lambda: kp.expr() * _residual(sk), block)
+
+    def block(a: Rows, b: Rows) -> np.ndarray:
+        both = _both(a["mu"], a["s"], b["mu"], b["s"], sk)
+        out = kp.block_with(a, b, both) if kp.block_from and kp.ground == sk else kp.block(a, b)
+        out *= _residual_block(a, b, sk, both)
+        return out
+
+    return Statistic("skce", tuple(dict.fromkeys((*kp.needs, "mu", "s", "y"))), lambda: kp.expr() * _residual(sk), block if kp.block_squared else None, kp.prepare)
 
 
 def cgof(kx=Gaussian(1.0), sk: float = 1.0) -> Statistic:
@@ -250,7 +310,7 @@ def kcsd_scored(kx, ky: Smooth, condition: str = "x", point: str = "y", score: s
 def kccsd_scored(kp: ModelKernel, ky: Smooth, point: str = "y", score: str = "score") -> Statistic:
     """Its form with a kernel on models (closed forms, particles, divergences) in place of one on conditions."""
     block = (lambda a, b: kp.block(a, b) * ky.stein_block(a[point], b[point], a[score], b[score])) if kp.block_squared else None
-    return Statistic("kccsd_scored", tuple(dict.fromkeys((*kp.needs, point, score))), lambda: kp.expr() * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score)), block)
+    return Statistic("kccsd_scored", tuple(dict.fromkeys((*kp.needs, point, score))), lambda: kp.expr() * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score)), block, kp.prepare)
 
 
 def _particle_residual(k: Gaussian) -> Column:
@@ -267,8 +327,44 @@ def _particles_both(p: np.ndarray, q: np.ndarray, k) -> np.ndarray:
     return sum(_particles_one(p, q[:, v], k) for v in range(q.shape[1])) / q.shape[1]
 
 
+def _embedded(rows: Rows, column: str, k) -> Rows:
+    """The mean embeddings of a column of points, or of stacks of them, under a Gaussian kernel (of others: nothing), with the rows' largest norms."""
+    if not isinstance(k, Gaussian):
+        return {}
+    p = rows[column]
+    phi, reach = embedding(p[:, None] if p.ndim == 2 else p, k.sigma)
+    return {f"{column} phi": phi, f"{column} reach": reach}
+
+
+def _features(a: Rows, b: Rows, columns: tuple[str, ...], dimension: int) -> int | None:
+    """How many features the pairs of two prepared blocks need; None where they are not embedded, or points are too far out."""
+    if any(f"{x} reach" not in r for r in (a, b) for x in columns):
+        return None
+    out = [max(float(r[f"{x} reach"].max()) for x in columns) for r in (a, b)]
+    return enough(out[0] * out[1], dimension)
+
+
+def _particles_between(a: Rows, b: Rows, k) -> np.ndarray:
+    """E k(X, X') of the particle models of two blocks."""
+    n = _features(a, b, ("points",), a["points"].shape[2])
+    if n is None:
+        return _particles_both(a["points"], b["points"], k)
+    return a["points phi"][:, :n] @ b["points phi"][:, :n].T
+
+
+def _residual_embedded(rows: Rows, k) -> Rows:
+    """The embedding of y less that of the particles: the residual term of two rows is their inner product."""
+    out = {**_embedded(rows, "points", k), **_embedded(rows, "y", k)}
+    if not out:
+        return {}
+    return {"points reach": out["points reach"], "y reach": out["y reach"], "residual phi": out["y phi"] - out["points phi"]}
+
+
 def _particle_residual_block(a: Rows, b: Rows, k) -> np.ndarray:
     pa, ya, pb, yb = a["points"], a["y"], b["points"], b["y"]
+    n = _features(a, b, ("points", "y"), ya.shape[1])
+    if n is not None and "residual phi" in a and "residual phi" in b:
+        return a["residual phi"][:, :n] @ b["residual phi"][:, :n].T
     return k.block(ya, yb) - _particles_one(pa, yb, k) - _particles_one(pb, ya, k).T + _particles_both(pa, pb, k)
 
 
@@ -281,9 +377,9 @@ def skce_particles(k: Gaussian = Gaussian(1.0), sigma: float = 1.0, kernel: Mode
     """Calibration error with particle models of a bounded number of points; the kernel on models as in skce."""
     kp = kernel or exp_mmd_particles(k, sigma)
     block = (lambda a, b: kp.block(a, b) * _particle_residual_block(a, b, k)) if kp.block_squared else None
-    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k), block)
+    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k), block, lambda r: kp.prepare(r) | _residual_embedded(r, k))
 
 
 def cgof_particles(kx=Gaussian(1.0), k: Gaussian = Gaussian(1.0)) -> Statistic:
     """Conditional goodness of fit with particle models; tiles take one number of particles for all rows."""
-    return Statistic("cgof_particles", ("x", "points", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _particle_residual(k), lambda a, b: kx.block(a["x"], b["x"]) * _particle_residual_block(a, b, k))
+    return Statistic("cgof_particles", ("x", "points", "y"), lambda: kx.expr(c("a", "x"), c("b", "x")) * _particle_residual(k), lambda a, b: kx.block(a["x"], b["x"]) * _particle_residual_block(a, b, k), lambda r: _residual_embedded(r, k))

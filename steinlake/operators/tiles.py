@@ -20,6 +20,8 @@ from .statistics import Statistic
 BLOCK = 512
 #: Blocks of a tile's side at most, and sides that there should be at least, so that small inputs are spread too.
 GROUP, SIDES = 16, 8
+#: Rows of one side whose matrix of pairs is made at once, so that it stays in the processor's cache.
+STRIP = 128
 
 
 def sign_bits(seed: str, draws: int, ids) -> bytes:
@@ -64,21 +66,23 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
         return {c: x.reshape(len(x), -1, size) if c in nested else x if "array" in wide[c] else x[:, 0] for c, x, size in found}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r, unpack(r), signs(r.signs, draws, len(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]
+        rows = [(r, (x := unpack(r)) | statistic.prepare(x), signs(r.signs, draws, len(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]
         low, high = frame["low"].iloc[0], frame["high"].iloc[0]
         n, total, squares, boot = 0, 0.0, 0.0, np.zeros(draws)
         for a, x, ea in rows:
             for b, y, eb in rows:
                 if a.block > b.block or a.block // group != low or b.block // group != high:
                     continue
-                h = statistic.block(x, y)
-                n += h.size if a.block < b.block else len(h) * (len(h) - 1) // 2
-                if a.block == b.block:
-                    h = np.triu(h, 1)
-                total += float(h.sum())
-                squares += float((h * h).sum())
-                if draws:
-                    boot += ((ea @ h) * eb).sum(1)
+                size = len(a.ids)
+                n += size * len(b.ids) if a.block < b.block else size * (size - 1) // 2
+                for k in range(0, size, STRIP):
+                    h = statistic.block({c: v[k : k + STRIP] for c, v in x.items()}, y)
+                    if a.block == b.block:
+                        h = np.triu(h, 1 + k)
+                    total += float(h.sum())
+                    squares += float(np.vdot(h, h))
+                    if draws:
+                        boot += ((ea[:, k : k + STRIP] @ h) * eb).sum(1)
         return pd.DataFrame({"n_pairs": [n], "sum_h": [total], "sum_h2": [squares], "boot": [boot]})
 
     # A tile is much work for few bytes: there are as many tasks as tiles, and tiles are dealt by their number, so that no task has two while another has none.

@@ -315,3 +315,38 @@ def test_an_index_with_gaps_or_repeats_stops(spark, ids):
     with pytest.raises(ValueError, match="dense index"):
         pairs.dense(rows(ids))
     assert pairs.dense(rows([7, 5, 6])).count() == 3 and pairs.dense(rows([])).count() == 0
+
+
+def test_embedded_particles_equal_their_pairs():
+    """A block's pairs of particle models as inner products of embeddings; points too far out are met pair by pair."""
+    rng = np.random.default_rng(5)
+    for size, prepared in ((0.3, True), (4.0, False)):
+        rows = [{"x": rng.normal(size=(n, 3)), "y": size * rng.uniform(-0.5, 0.5, (n, 4)), "points": size * rng.uniform(-0.5, 0.5, (n, 8, 4))} for n in (70, 5)]
+        for k in (kernels.Gaussian(1.0), kernels.Gaussian(1.5)):
+            for statistic in (S.skce_particles(k), S.cgof_particles(k=k)):
+                plain = statistic.block(*rows)
+                made = [r | statistic.prepare(r) for r in rows]
+                assert (S._features(*made, ("points", "y"), 4) is not None) == prepared
+                assert all(len(v) == len(r["x"]) for r in made for v in r.values())
+                assert np.allclose(statistic.block(*made), plain, rtol=0, atol=1e-10)
+
+
+def test_blocks_of_pairs_make_few_matrices():
+    """Letters that agree are counted by products; the same numbers as place by place, for few letters and for many."""
+    rng = np.random.default_rng(6)
+    for letters in (3, 10_000):
+        a, b = (rng.integers(0, letters, (n, 7)).astype(float) for n in (40, 9))
+        b[:5] = a[:5]
+        expected = (a[:, None] != b[None]).sum(-1)
+        assert (kernels.differences(a, b, 1) == expected).all()
+        assert np.allclose(kernels.HammingIMQ(alpha=2.0, beta=0.3).block(a, b), (3.0 / (2.0 + expected)) ** 0.3)
+
+
+def test_gaussian_models_of_odd_and_even_dimensions():
+    """The expectation over two models, whose power of the variance is made by products."""
+    rng = np.random.default_rng(7)
+    for d in (1, 2, 7, 8):
+        m, n, s, t = rng.normal(size=(4, d)), rng.normal(size=(3, d)), rng.uniform(0.2, 2, 4), rng.uniform(0.2, 2, 3)
+        v = s[:, None] ** 2 + t**2
+        far = ((m[:, None] - n) ** 2).sum(-1)
+        assert np.allclose(S._both(m, s, n, t, 1.3), (1 + v / 1.69) ** (-d / 2) * np.exp(-far / (2 * (v + 1.69))), rtol=1e-12)
