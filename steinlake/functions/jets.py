@@ -82,6 +82,10 @@ class Jet:
         return self.chain(e, e, e)
 
     def __pow__(self, p: float) -> Jet:
+        if p < 0 and not isinstance(self.v, Column):  # by division, as numpy's powers are slow; there is no 0 / 0
+            f = 1 / np.sqrt(self.v) if p == -0.5 else self.v**p
+            f1 = f / self.v
+            return self.chain(f, p * f1, p * (p - 1) * (f1 / self.v))
         power = (lambda q: F.pow(self.v, F.lit(float(q)))) if isinstance(self.v, Column) else (lambda q: self.v**q)
         return self.chain(power(p), p * power(p - 1), p * (p - 1) * power(p - 2))
 
