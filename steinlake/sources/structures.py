@@ -50,16 +50,23 @@ def residues(atoms: DataFrame, backbone: tuple[str, ...] = BACKBONE) -> DataFram
     between the first and the last residue of a chain become unknown residues. A missing atom is null.
     """
     keys = ["name", "chain", "resnum", "icode"]
-    first = atoms.groupBy(*keys, "atom").agg(F.min_by(F.array("x", "y", "z"), "line_no").alias("xyz"))
-    wide = first.groupBy(*keys).agg(*(F.max(F.when(F.col("atom") == a, F.col("xyz"))).alias(a.lower()) for a in backbone))
-    names = atoms.groupBy(*keys).agg(F.min_by("resname", "line_no").alias("resname"))
+    # One aggregation, so files are read and parsed once; atoms of other names have a null order and do not count.
+    is_a = lambda a, v: F.when(F.col("atom") == a, v)
+    points = [F.min_by(is_a(a, F.array("x", "y", "z")), is_a(a, F.col("line_no"))).alias(a.lower()) for a in backbone]
+    got = atoms.filter("resnum is not null").groupBy(*keys).agg(*points, F.min_by("resname", "line_no").alias("resname"))
     to_letter = F.create_map(*(F.lit(x) for kv in RESIDUES.items() for x in kv))
-    got = wide.join(names, keys).withColumn("aa", F.coalesce(F.try_element_at(to_letter, F.col("resname")), F.lit("-"))).drop("resname")
-    span = got.groupBy("name", "chain").agg(F.min("resnum").alias("a"), F.max("resnum").alias("b"))
-    every = span.select("name", "chain", F.explode(F.sequence("a", "b")).alias("resnum"))
-    out = every.join(got, ["name", "chain", "resnum"], "left").withColumn("icode", F.coalesce("icode", F.lit(""))).withColumn("aa", F.replace(F.coalesce("aa", F.lit("-")), F.lit("-"), F.lit("X")))
+    letter = F.replace(F.coalesce(F.try_element_at(to_letter, F.col("resname")), F.lit("-")), F.lit("-"), F.lit("X"))
     w = Window.partitionBy("name", "chain").orderBy("resnum", "icode")  # a chain is a bounded group
-    return out.withColumn("pos", F.row_number().over(w)).select("name", "chain", "pos", "resnum", "icode", "aa", *(a.lower() for a in backbone))
+    # A residue brings the missing ones up to the next; its place is behind those that the ones before it brought.
+    missing = F.greatest(F.coalesce(F.lead("resnum").over(w), F.col("resnum") + 1) - F.col("resnum") - 1, F.lit(0))
+    wide = got.withColumn("aa", letter).withColumn("_m", missing).withColumn("_s", F.sum(F.col("_m") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m") - 1)
+    own = [a.lower() for a in backbone]
+    out = wide.select("name", "chain", "resnum", "icode", "aa", *own, "_s", F.explode(F.sequence(F.lit(0), F.col("_m"))).alias("_k"))
+    here = F.col("_k") == 0
+    return out.select(
+        "name", "chain", (F.col("_s") + F.col("_k") + 1).cast("int").alias("pos"), (F.col("resnum") + F.col("_k")).alias("resnum"), F.when(here, F.col("icode")).otherwise("").alias("icode"),
+        F.when(here, F.col("aa")).otherwise("X").alias("aa"), *(F.when(here, F.col(a)).alias(a) for a in own),
+    )
 
 
 def structures(res: DataFrame) -> DataFrame:

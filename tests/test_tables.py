@@ -275,3 +275,18 @@ def test_quaternions_of_frames(spark):
     frame = spark.range(1).select(*(c.alias(f"r{k}") for k, c in enumerate(structure.local_frame(*(F.array(*map(F.lit, map(float, x))) for x in p))))).first()
     m = np.array([list(x) for x in frame])
     assert m @ m.T == pytest.approx(np.eye(3), abs=1e-9) and np.linalg.det(m) == pytest.approx(1)
+
+
+def test_residues_of_gaps_and_insertions_read_their_lines_once(spark):
+    """Missing numbers become X, insertion codes follow their number, first lines win; the lines are scanned once."""
+    rows = [
+        ("s", 0, "CA", "GLY", "A", 3, "", 1.0), ("s", 1, "CA", "ALA", "A", 3, "", 2.0), ("s", 2, "N", "GLY", "A", 3, "", 5.0), ("s", 3, "CA", "TRP", "A", 3, "B", 3.0),
+        ("s", 4, "CB", "LYS", "A", -1, "", 4.0), ("s", 5, "CA", "ZZZ", "B", 7, "", 6.0), ("s", 6, "CA", "LYS", "B", None, "", 7.0),
+    ]
+    atoms = spark.createDataFrame(rows, "name string, line_no int, atom string, resname string, chain string, resnum int, icode string, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    got = structures.residues(atoms, ("N", "CA"))
+    found = sorted((r.chain, r.pos, r.resnum, r.icode, r.aa, r.n and r.n[0], r.ca and r.ca[0]) for r in got.collect())
+    expected = [("A", 1, -1, "", "K", None, None), *(("A", k + 2, k, "", "X", None, None) for k in range(3)), ("A", 5, 3, "", "G", 5.0, 1.0), ("A", 6, 3, "B", "W", None, 3.0), ("B", 1, 7, "", "X", None, 6.0)]
+    assert found == expected
+    assert dict(got.dtypes) | {"pos": "int", "resnum": "int", "icode": "string"} == dict(got.dtypes)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
