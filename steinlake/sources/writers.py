@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Whole files that a Python worker gets at once.
+BATCH, FILES = "spark.sql.execution.arrow.maxRecordsPerBatch", 64
+
 
 def append_results(results: DataFrame, path: str, kind: str = "parquet") -> None:
     """Appends a result log; draws of the null distribution stay in Parquet and are left out of CSV."""
@@ -56,15 +59,23 @@ def write_named(files: DataFrame, folder: str, suffix: str) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        for f in frames:
-            for name, text in zip(f["name"], f["text"], strict=True):
-                with store.open_output_stream(f"{root}/{name}{suffix}") as out:
-                    out.write((text + "\n").encode())
-            yield pd.DataFrame({"n": [len(f)]})
-
-    files.select("name", "text").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+        for b in batches:
+            # Texts are written from where they lie in the batch.
+            for name, text in zip(b.column(0), b.column(1), strict=True):
+                with store.open_output_stream(f"{root}/{name.as_py()}{suffix}") as out:
+                    out.write(text.as_buffer())
+                    out.write(b"\n")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    # By rows alone, a batch of whole files has no bound in bytes that holds as there are more of them.
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(FILES))
+    try:
+        files.select("name", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     return folder

@@ -290,3 +290,19 @@ def test_residues_of_gaps_and_insertions_read_their_lines_once(spark):
     assert found == expected
     assert dict(got.dtypes) | {"pos": "int", "resnum": "int", "icode": "string"} == dict(got.dtypes)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_files_come_to_workers_in_small_batches(spark, tmp_path):
+    """Each text is the size of its batch; the session's own setting is back afterwards."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"name": [f"f{i}" for i in b.column(0).to_pylist()], "text": [f"{b.num_rows} é"] * b.num_rows})
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    folder = writers.write_named(spark.range(0, 300, 1, 1).mapInArrow(sizes, "name string, text string"), f"file://{tmp_path}/out", ".txt")
+    texts = [p.read_bytes().decode() for p in (tmp_path / "out").iterdir() if p.suffix == ".txt" and not p.name.startswith(".")]
+    assert len(texts) == 300 and all(t.endswith(" é\n") and int(t.split()[0]) <= 64 for t in texts)
+    assert folder.endswith("/out") and spark.conf.get(setting) == before
