@@ -143,5 +143,7 @@ def training_table(spark, sf_dir):
 SELECT name, CAST(count(*) AS INTEGER) AS length, string_agg(aa, '' ORDER BY i) AS seq, round(sum(q), 6)::DOUBLE AS total FROM p GROUP BY 1""")
 def structure_forms(spark, sf_dir):
     """The same table as one row per structure, coordinates that were not observed being zeros."""
-    whole = features.form(features.design_table(_residues(spark, sf_dir)), "file")
+    # Only what is read below: a gathered struct keeps every column that is put into it.
+    table = features.design_table(_residues(spark, sf_dir)).select("name", "place", "aa", "ca", "observed")
+    whole = features.form(table, "file", atoms=("ca",))
     return whole.select("name", "length", F.array_join("aa", "").alias("seq"), rounded(F.aggregate("ca", F.lit(0.0), lambda s, p: s + F.get(p, 0))).alias("total"))

@@ -68,3 +68,9 @@ def test_max_occupancy_of_large_part_keys(spark, tmp_path):
     con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
     got = queries.QUERIES["max_occupancy"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.SQL["max_occupancy"]).fetchall())
+
+
+def test_structure_forms_gathers_only_what_it_reads(spark):
+    """Profiles and biases of residues that the result does not hold are not gathered by structure."""
+    plan = queries.QUERIES["structure_forms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "profile_weight" not in plan and "log_odds, " not in plan
