@@ -23,24 +23,42 @@ def knn_edges(nodes: DataFrame, k: int, name: str = "name", node: str = "node",
     farthest of those; a masked node's own row is in order of dst. Small structures meet as arrays, one row each, with one exchange; structures of
     more than WHOLE nodes are searched by cells (whether there are any is asked when this is called).
     """
-    n = nodes.select(F.col(name).alias("name"), F.col(node).alias("node"), F.col(xyz).alias("xyz"), F.coalesce(F.col(mask), F.lit(False)).alias("ok") if mask else F.lit(True).alias("ok"))
+    return _knn(nodes, k, [], name, node, xyz, mask).drop("a", "b")
+
+
+def knn_ends(nodes: DataFrame, k: int, columns: list[str], name: str = "name", node: str = "node", xyz: str = "xyz", mask: str | None = None) -> DataFrame:
+    """knn_edges with structs a and b of the nodes' columns at both ends. Nodes that meet as arrays bring their columns along, so no join
+    follows; only the ends of larger structures are joined to their edges. A node is one row; as in a join, one without a name or number is no end.
+    """
+    found = _knn(nodes, k, columns, name, node, xyz, mask)
+    return found.filter(F.col(name).isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
+
+
+def _knn(nodes: DataFrame, k: int, columns: list[str], name: str, node: str, xyz: str, mask: str | None) -> DataFrame:
+    brought = F.struct(*columns) if columns else F.lit(None)
+    n = nodes.select(F.col(name).alias("name"), F.col(node).alias("node"), F.col(xyz).alias("xyz"), F.coalesce(F.col(mask), F.lit(False)).alias("ok") if mask else F.lit(True).alias("ok"), brought.alias("f"))
     sizes = n.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("name")
     if sizes.isEmpty():
         found = _knn_whole(n, k)
     else:
         large = n.join(sizes, "name", "left_semi").checkpoint()
-        found = _knn_whole(n.join(sizes, "name", "left_anti"), k).unionByName(_knn_large(large, k))
-    return found.select(F.col("name").alias(name), "src", "dst", "rank", "dist")
+        far = _knn_large(large, k)
+        if columns:
+            far = along_edges(far, large, ["f"]).withColumns({"a": F.col("a.f"), "b": F.col("b.f")})
+        found = _knn_whole(n.join(sizes, "name", "left_anti"), k).unionByName(far, allowMissingColumns=True)
+    return found.select(F.col("name").alias(name), "src", "dst", "rank", "dist", "a", "b")
 
 
 def _knn_whole(n: DataFrame, k: int) -> DataFrame:
-    every = n.groupBy("name").agg(F.collect_list(F.struct("node", "xyz", "ok")).alias("nodes"))
+    every = n.groupBy("name").agg(F.collect_list(F.struct("node", "xyz", "ok", "f")).alias("nodes"))
     each = every.select("name", "nodes", F.explode("nodes").alias("q"))
     both = lambda o: o["ok"] & F.col("q.ok")
-    d = F.transform("nodes", lambda o: F.struct((~both(o)).alias("last"), F.when(both(o), F.sqrt(sqdist(F.col("q.xyz"), o["xyz"]) + 1e-6)).otherwise(0.0).alias("d"), o["node"].alias("dst")))
-    wide = each.select("name", F.col("q.node").alias("src"), F.array_sort(d).alias("d")).withColumn("far", F.array_max(F.transform("d", lambda x: x["d"])))
-    out = wide.select("name", "src", "far", F.posexplode(F.slice("d", 1, k)).alias("rank", "e"))
-    return out.select("name", "src", F.col("e.dst").alias("dst"), (F.col("rank") + 1).alias("rank"), F.when(F.col("e.last"), F.col("far")).otherwise(F.col("e.d")).alias("dist"))
+    # A node's place in the array leads back to its columns, which take no part in the order.
+    d = F.transform("nodes", lambda o, i: F.struct((~both(o)).alias("last"), F.when(both(o), F.sqrt(sqdist(F.col("q.xyz"), o["xyz"]) + 1e-6)).otherwise(0.0).alias("d"), o["node"].alias("dst"), i.alias("i")))
+    wide = each.select("name", "nodes", "q", F.array_sort(d).alias("d"))
+    near = F.transform(F.slice("d", 1, k), lambda e: F.struct(e["last"].alias("last"), e["d"].alias("d"), e["dst"].alias("dst"), F.get("nodes", e["i"])["f"].alias("f")))
+    out = wide.select("name", "q", F.array_max(F.transform("d", lambda x: x["d"])).alias("far"), F.posexplode(near).alias("rank", "e"))
+    return out.select("name", F.col("q.node").alias("src"), F.col("e.dst").alias("dst"), (F.col("rank") + 1).alias("rank"), F.when(F.col("e.last"), F.col("far")).otherwise(F.col("e.d")).alias("dist"), F.col("q.f").alias("a"), F.col("e.f").alias("b"))
 
 
 def _knn_large(n: DataFrame, k: int) -> DataFrame:
@@ -390,28 +408,33 @@ def along_edges(edges: DataFrame, nodes: DataFrame, columns: list[str], name: st
     return out.join(one.select("name", F.col("_node").alias("dst"), F.col("_f").alias("b")), ["name", "dst"])
 
 
-def _basis(low: float, high: float, count: int, width: float):
-    """A function of arrays of distances over Arrow batches: count values for each distance, nulls for a null one."""
+def _basis(low: float, high: float, count: int, width: float, sums: bool):
+    """A function of arrays of distances over Arrow batches: count values for each distance, or their sum; nulls for a null one."""
     centres = np.linspace(low, high, count)
 
     @F.arrow_udf("array<double>")
     def basis(far: pa.Array) -> pa.Array:
         d = far.flatten()
-        values = np.exp(-np.square((d.to_numpy(zero_copy_only=False)[:, None] - centres) / width)).ravel()
-        ends = np.concatenate([[0], np.cumsum(far.value_lengths().to_numpy(zero_copy_only=False)) * count]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, mask=np.repeat(d.is_null().to_numpy(zero_copy_only=False), count)))
+        at, absent = d.to_numpy(zero_copy_only=False), d.is_null().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(far.value_lengths().to_numpy(zero_copy_only=False))])
+        if sums:
+            # One centre at a time, so that a batch's values are never all there at once.
+            values = sum(np.exp(-np.square((at - c) / width)) for c in centres)
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, mask=absent))
+        values = np.exp(-np.square((at[:, None] - centres) / width)).ravel()
+        return pa.ListArray.from_arrays(pa.array((ends * count).astype(np.int32)), pa.array(values, mask=np.repeat(absent, count)))
 
     return basis
 
 
-def edge_rbf(edges: DataFrame, pairs: tuple = BACKBONE_PAIRS, name: str = "p", low: float = 2.0, high: float = 22.0, count: int = 16, width: float = 1.25) -> DataFrame:
+def edge_rbf(edges: DataFrame, pairs: tuple = BACKBONE_PAIRS, name: str = "p", low: float = 2.0, high: float = 22.0, count: int = 16, width: float = 1.25, sums: bool = False) -> DataFrame:
     """edges with structs a and b (a point for each atom), and the radial basis values of all pairs of their atoms: one array in the order of pairs.
 
     The distances are generated code; their 400 exponentials an edge are evaluated over Arrow batches, as generated code of that many expressions
-    exceeds a method's size and is interpreted.
+    exceeds a method's size and is interpreted. sums: a pair's values are added where they are made, and the array has one sum for each pair.
     """
     far = F.array(*(distance3(F.col("a")[x], F.col("b")[y]) for x, y in pairs))
-    return edges.withColumn(name, _basis(low, high, count, width)(far))
+    return edges.withColumn(name, _basis(low, high, count, width, sums)(far))
 
 
 def oriented_edges(edges: DataFrame, xyz: str = "xyz", frame: str = "frame") -> DataFrame:

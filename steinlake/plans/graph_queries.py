@@ -87,11 +87,11 @@ SELECT name, src, dst, same_chain, class, round(list_sum(p), 5) AS total, round(
 def edge_atom_rbf(spark, sf_dir):
     """All 25 pairs of atoms of an edge's ends, on sixteen radial basis functions each, and the ends' places."""
     x, y, z = (F.get("xyz", k) for k in range(3))
-    n = _nodes(spark, sf_dir).select("name", "node", F.col("xyz").alias("ca"), F.array(x - 1.0, y + 0.5, z + x / 40).alias("n"), F.array(x + 1.1, y - z / 9, z + 0.7).alias("c"), F.array(x + 1.5, y - 1.9, z - y / 7).alias("o"), (F.col("l_partkey") % 2).alias("chain"), F.col("node").alias("residue_index"))
-    e = structure.along_edges(structure.knn_edges(_nodes(spark, sf_dir), 3), structure.backbone(n), ["n", "ca", "c", "o", "cb", "chain", "residue_index"])
+    n = _nodes(spark, sf_dir).select("name", "node", "xyz", F.col("xyz").alias("ca"), F.array(x - 1.0, y + 0.5, z + x / 40).alias("n"), F.array(x + 1.1, y - z / 9, z + 0.7).alias("c"), F.array(x + 1.5, y - 1.9, z - y / 7).alias("o"), (F.col("l_partkey") % 2).alias("chain"), F.col("node").alias("residue_index"))
+    e = structure.knn_ends(structure.backbone(n), 3, ["n", "ca", "c", "o", "cb", "chain", "residue_index"])
     same, place = structure.edge_places(F.col("a"), F.col("b"))
-    basis = structure.edge_rbf(e).select("name", "src", "dst", same.alias("same_chain"), place.alias("class"), "p")
-    part = lambda k: rounded(total(F.slice("p", 16 * k + 1, 16)), 5)
+    basis = structure.edge_rbf(e, sums=True).select("name", "src", "dst", same.alias("same_chain"), place.alias("class"), "p")
+    part = lambda k: rounded(F.get("p", k), 5)
     return basis.select("name", "src", "dst", "same_chain", "class", rounded(total("p"), 5).alias("total"), part(4).alias("cb_cb"), part(24).alias("c_o"))
 
 

@@ -176,3 +176,45 @@ def test_edge_rbf_by_hand(spark):
         assert [v is None for v in got[k]] == [v is None for v in want]
         assert np.allclose([v for v in got[k] if v is not None], [v for v in want if v is not None])
     assert structure.edge_rbf(edges.filter("k > 9")).count() == 0
+
+
+@pytest.mark.parametrize("whole", [512, 4])
+def test_ends_of_nearest_edges_are_those_of_joins(spark, monkeypatch, whole):
+    """Nodes bring their columns along, through arrays (no join) and through cells, masked ones as well; a node without a number is no end."""
+    monkeypatch.setattr(structure, "WHOLE", whole)
+    rng = np.random.default_rng(5)
+    rows = [(name, k, rng.normal(size=3).tolist(), bool(rng.random() < 0.8), f"{name}{k}", float(k)) for name, n in (("s", 9), ("t", 4), ("u", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "name string, node int, xyz array<double>, ok boolean, told string, at double")
+    got = structure.knn_ends(df, 3, ["told", "at"], mask="ok")
+    want = structure.along_edges(structure.knn_edges(df, 3, mask="ok"), df, ["told", "at"])
+    columns = ["name", "src", "dst", "rank", "dist", "a", "b"]
+    found = sorted(map(tuple, got.select(columns).collect()))
+    assert found == sorted(map(tuple, want.select(columns).collect())) and len(found) == 3 * 9 + 3 * 4 + 1
+    if whole == 512:
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+        more = df.unionByName(spark.createDataFrame([("s", None, [9.0, 9.0, 9.0], True, "none", 0.0)], df.schema))
+        want = structure.along_edges(structure.knn_edges(more, 3, mask="ok"), more, ["told", "at"])
+        assert sorted(map(tuple, structure.knn_ends(more, 3, ["told", "at"], mask="ok").select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_sums_of_edge_rbf(spark):
+    """One sum for each pair of atoms leaves the workers in place of the values; null where an atom has no coordinate."""
+    rng = np.random.default_rng(6)
+    rows = [(k, *({"ca": rng.normal(size=3).tolist(), "n": [1.0, None, 2.0] if k == 2 else rng.normal(size=3).tolist()} for _ in "ab")) for k in range(4)]
+    kind = "struct<ca: array<double>, n: array<double>>"
+    edges = spark.createDataFrame(rows, f"k int, a {kind}, b {kind}")
+    pairs = (("ca", "ca"), ("ca", "n"), ("n", "n"))
+    both = structure.edge_rbf(structure.edge_rbf(edges, pairs, sums=True), pairs, "q").orderBy("k").collect()
+    for r in both:
+        parts = [r.q[16 * i : 16 * i + 16] for i in range(3)]
+        assert r.p == [None if None in v else pytest.approx(sum(v), abs=1e-12) for v in parts]
+    assert both[2].p[0] is not None and both[2].p[1:] == [None, None]
+
+
+@pytest.mark.parametrize("name", ["edge_atom_rbf"])
+def test_edge_features_join_nothing(spark, name):
+    """Both ends of an edge come from its structure's array, and lines are exchanged once, by structure."""
+    from steinlake.plans import graph_queries
+
+    plan = getattr(graph_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Exchange") == 1
