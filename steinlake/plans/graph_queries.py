@@ -71,8 +71,8 @@ SELECT name, src, dst, round(d[1], 5) + 0.0 AS d1, round(d[2], 5) + 0.0 AS d2, r
 def ca_edge_features(spark, sf_dir):
     """Edges of traces: the direction in a node's frame, the rotation between the frames of both ends (zeros where it has no quaternion), and nine pairs' distances."""
     f = _traces(spark, sf_dir).withColumn("at", F.col("xyz"))
-    e = structure.along_edges(structure.knn_edges(_nodes(spark, sf_dir), 3), f, ["xyz", "frame", "at", "before", "after"])
-    e = structure.oriented_edges(structure.edge_rbf(e, structure.TRACE_PAIRS))
+    e = structure.knn_ends(f, 3, ["xyz", "frame", "at", "before", "after"])
+    e = structure.oriented_edges(structure.edge_rbf(e, structure.TRACE_PAIRS, sums=True))
     return e.select("name", "src", "dst", *(rounded(F.get("direction", k), 5).alias(f"d{k + 1}") for k in range(3)), *(rounded(F.get("rotation", k), 5).alias(f"q{k + 1}") for k in range(4)), rounded(total("p"), 5).alias("total"))
 
 

@@ -211,7 +211,7 @@ def test_sums_of_edge_rbf(spark):
     assert both[2].p[0] is not None and both[2].p[1:] == [None, None]
 
 
-@pytest.mark.parametrize("name", ["edge_atom_rbf"])
+@pytest.mark.parametrize("name", ["edge_atom_rbf", "ca_edge_features"])
 def test_edge_features_join_nothing(spark, name):
     """Both ends of an edge come from its structure's array, and lines are exchanged once, by structure."""
     from steinlake.plans import graph_queries
