@@ -329,13 +329,13 @@ def profile_letters(spark, sf_dir):
 SELECT name, chain, CAST(pos AS INTEGER) AS pos, CASE WHEN chain = 'R' THEN 0.5 ELSE l_discount END::DOUBLE AS coef, round(list_sum(v), 6) AS odds, round(list_sum(v) / 2, 6) AS bias FROM v""")
 def profile_dictionary(spark, sf_dir):
     """Profile dictionaries by structure and chain: a first line for all chains, then one that overrides it, folded in order."""
-    line = read(spark, sf_dir, "lineitem").withColumn("name", F.concat(F.lit("S"), "l_suppkey"))
+    # Lines are dealt out by structure while they are narrow; the profiles are made there.
+    line = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("name"), F.col("l_returnflag").alias("chain"), *ORDER).repartition("name")
     v = F.array(*(F.when(F.lit(k) == F.col("l_linenumber"), F.col("l_quantity").cast("double") / 10).otherwise(k / 10) for k in range(20)))
-    pos = F.row_number().over(Window.partitionBy("name", "l_returnflag").orderBy(*ORDER))
-    rows = line.select("name", F.col("l_returnflag").alias("chain"), pos.alias("pos"), F.col("l_discount").cast("double").alias("coef"), F.transform(v, lambda x: x / 2).alias("bias"), v.alias("log_odds"))
-    old = files.profile_lines(rows.withColumn("coef", F.lit(-1.0))).select("name", F.col("text").alias("old"))
-    new = files.profile_lines(rows.withColumn("coef", F.when(F.col("chain") == "R", 0.5).otherwise(F.col("coef"))))
-    folder = writers.write_named(old.join(new, "name").select("name", F.concat("old", F.lit("\n\n"), "text").alias("text")), new_folder(spark, "profile-dictionaries"), ".jsonl")
+    rows = line.withColumn("pos", F.row_number().over(Window.partitionBy("name", "chain").orderBy(*ORDER))).withColumn("log_odds", v)
+    coef = F.when(F.col("chain") == "R", 0.5).otherwise(F.col("l_discount").cast("double"))
+    rows = rows.select("name", "chain", "pos", F.lit(-1.0).alias("old"), coef.alias("coef"), F.transform("log_odds", lambda x: x / 2).alias("bias"), "log_odds")
+    folder = writers.write_named(files.profile_lines(rows, ("old", "coef")), new_folder(spark, "profile-dictionaries"), ".jsonl")
     sums = lambda c: rounded(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
     return files.read_profiles(spark, folder).select("name", "chain", "pos", "coef", sums("log_odds").alias("odds"), sums("bias").alias("bias"))
 

@@ -62,23 +62,28 @@ def folded_dictionary(spark: SparkSession, path: str, value: T.DataType) -> Data
     The fold runs over the lines of one file; a name that several files have comes once for each.
     """
     kind = T.MapType(T.StringType(), value)
-    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    maps = F.filter(F.transform("lines", lambda x: F.from_json(x, kind)), lambda m: m.isNotNull())
+    # An empty line, or one that is no object, is null.
+    maps = F.filter(F.transform(F.split("value", "\n"), lambda x: F.from_json(x, kind)), lambda m: m.isNotNull())
     later = lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
-    return whole.select(F.aggregate(maps, F.create_map().cast(kind), later).alias("m")).select(F.explode("m").alias("name", "value"))
+    # Opened where it is made: of a column, Spark would ask first whether it is empty, and so parse the files twice.
+    return spark.read.text(path, wholetext=True).select(F.explode(F.aggregate(maps, F.create_map().cast(kind), later)).alias("name", "value"))
 
 
 #: A structure's profiles by chain: how far to trust each position, probabilities and log-odds over the letters.
 PROFILE = T.MapType(T.StringType(), T.StructType([T.StructField("pssm_coef", T.ArrayType(T.DoubleType())), *(T.StructField(n, T.ArrayType(T.ArrayType(T.DoubleType()))) for n in ("pssm_bias", "pssm_log_odds"))]))
 
 
-def profile_lines(profiles: DataFrame) -> DataFrame:
-    """(name, text): the profile dictionary of each structure as one line, from (name, chain, pos, coef, bias, log_odds)."""
-    at = F.array_sort(F.collect_list(F.struct("pos", "coef", "bias", "log_odds")))
+def profile_lines(profiles: DataFrame, coefs: tuple[str, ...] = ("coef",)) -> DataFrame:
+    """(name, text): the profile dictionary of each structure as one line, from (name, chain, pos, coef, bias, log_odds).
+
+    coefs: columns of coefficients; the text has a line for each, in order, with an empty line between them.
+    """
+    at = F.array_sort(F.collect_list(F.struct("pos", *coefs, "bias", "log_odds")))
     chains = profiles.groupBy("name", "chain").agg(at.alias("r"))
-    parts = F.struct(*(F.transform("r", _field(c)).alias(n) for c, n in (("coef", "pssm_coef"), ("bias", "pssm_bias"), ("log_odds", "pssm_log_odds"))))
-    one = chains.select("name", "chain", parts.alias("p")).groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chain", "p")), _by_first)).alias("m"))
-    return one.select("name", F.to_json(F.create_map(F.col("name"), F.col("m"))).alias("text"))
+    one = chains.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("chain", "r")), _by_first).alias("c"))
+    parts = lambda r, coef: F.struct(*(F.transform(r, _field(c)).alias(n) for c, n in ((coef, "pssm_coef"), ("bias", "pssm_bias"), ("log_odds", "pssm_log_odds"))))
+    of = lambda coef: F.map_from_entries(F.transform("c", lambda x: F.struct(x["chain"], parts(x["r"], coef))))
+    return one.select("name", F.concat_ws("\n\n", *(F.to_json(F.create_map(F.col("name"), of(c))) for c in coefs)).alias("text"))
 
 
 def _field(name: str):

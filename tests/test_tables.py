@@ -306,3 +306,19 @@ def test_files_come_to_workers_in_small_batches(spark, tmp_path):
     texts = [p.read_bytes().decode() for p in (tmp_path / "out").iterdir() if p.suffix == ".txt" and not p.name.startswith(".")]
     assert len(texts) == 300 and all(t.endswith(" é\n") and int(t.split()[0]) <= 64 for t in texts)
     assert folder.endswith("/out") and spark.conf.get(setting) == before
+
+
+def test_profile_dictionaries_are_made_in_one_exchange_and_parsed_once(spark, tmp_path):
+    """A line for each column of coefficients, the last one counting, from one exchange; blank lines are none, and no filter parses the text as well."""
+    rows = [(n, c, k, -1.0, k / 4, [k / 2] * 3, [float(k)] * 3) for n in ("s", "t") for c in "BA" for k in (2, 1)]
+    df = spark.createDataFrame(rows, "name string, chain string, pos int, old double, coef double, bias array<double>, log_odds array<double>").repartition("name")
+    text = files.profile_lines(df, ("old", "coef"))
+    assert text._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.name: r.text for r in text.collect()}
+    one = {r.name: r.text for r in files.profile_lines(df.drop("old")).collect()}
+    assert got["s"].split("\n\n")[1] == one["s"] and got["s"].count('"pssm_coef":[-1.0,-1.0]') == 2
+    (tmp_path / "p.jsonl").write_text("\r\n \n" + got["s"] + "\r\n\r\n" + one["t"] + "\n \r\n")
+    read = files.read_profiles(spark, str(tmp_path / "p.jsonl"))
+    assert sorted(map(tuple, read.collect())) == sorted((n, c, k, k / 4, [k / 2] * 3, [float(k)] * 3) for n in ("s", "t") for c in "AB" for k in (1, 2))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
