@@ -31,8 +31,12 @@ FILES = (
 _TOKEN = re.compile(r"'(?:[^']|'(?=\S))*'|\"(?:[^\"]|\"(?=\S))*\"|#.*|\S+")
 
 
-def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """The values of a file in order, with whether each was quoted."""
+#: What only a line with a quote, a comment, a name or a keyword has.
+_MARKED = re.compile(r"['\"#_]")
+
+
+def _lines(text: str) -> Iterator[tuple[list[str], list[bool] | None]]:
+    """Each line's values with whether each was quoted; None where a line has values only, as most lines have, which are split without a pattern."""
     lines = iter(text.splitlines())
     for line in lines:
         if line.startswith(";"):
@@ -41,13 +45,26 @@ def tokens(text: str) -> Iterator[tuple[str, bool]]:
                 if line.startswith(";"):
                     break
                 block.append(line)
-            yield "\n".join(block), True
+            yield ["\n".join(block)], [True]
+            continue
+        if not _MARKED.search(line):
+            yield line.split(), None
             continue
+        values, quoted = [], []
         for m in _TOKEN.finditer(line):
             t = m[0]
             if t.startswith("#"):
                 break
-            yield (t[1:-1], True) if len(t) > 1 and t[0] in "'\"" and t[-1] == t[0] else (t, False)
+            marks = len(t) > 1 and t[0] in "'\"" and t[-1] == t[0]
+            values.append(t[1:-1] if marks else t)
+            quoted.append(marks)
+        yield values, quoted
+
+
+def tokens(text: str) -> Iterator[tuple[str, bool]]:
+    """The values of a file in order, with whether each was quoted."""
+    for values, quoted in _lines(text):
+        yield from zip(values, quoted or itertools.repeat(False))
 
 
 def categories(text: str) -> dict[str, list[dict[str, str]]]:
@@ -59,31 +76,36 @@ def categories(text: str) -> dict[str, list[dict[str, str]]]:
 
     def flush() -> None:
         if names and values:
-            rows = [dict(zip((n.split(".", 1)[1] for n in names), values[k : k + len(names)], strict=False)) for k in range(0, len(values), len(names))]
+            fields = [n.split(".", 1)[1] for n in names]
+            rows = [dict(zip(fields, values[k : k + len(names)], strict=False)) for k in range(0, len(values), len(names))]
             out.setdefault(names[0].split(".", 1)[0], []).extend(rows)
         names.clear()
         values.clear()
 
-    for value, quoted in tokens(text):
-        if not quoted and value == "loop_":
-            flush()
-            looping, item = True, None
-        elif not quoted and value.startswith("_") and "." in value:
-            if looping and not values:
-                names.append(value)
-            else:
+    for line, marks in _lines(text):
+        if looping and marks is None:
+            values += line
+            continue
+        for value, quoted in zip(line, marks or itertools.repeat(False)):
+            if not quoted and value == "loop_":
+                flush()
+                looping, item = True, None
+            elif not quoted and value.startswith("_") and "." in value:
+                if looping and not values:
+                    names.append(value)
+                else:
+                    flush()
+                    looping, item = False, value
+            elif not quoted and value.startswith("data_"):
                 flush()
-                looping, item = False, value
-        elif not quoted and value.startswith("data_"):
-            flush()
-            looping, item = False, None
-        elif looping:
-            values.append(value)
-        elif item is not None:
-            category, field = item.split(".", 1)
-            rows = out.setdefault(category, [{}])
-            rows[-1][field] = value
-            item = None
+                looping, item = False, None
+            elif looping:
+                values.append(value)
+            elif item is not None:
+                category, field = item.split(".", 1)
+                rows = out.setdefault(category, [{}])
+                rows[-1][field] = value
+                item = None
     flush()
     return out
 
@@ -102,13 +124,14 @@ def _residues(c: dict) -> tuple[list[dict], int]:
     best: dict[tuple, tuple] = {}
     skipped = 0
     for r in rows:
-        if r.get("pdbx_PDB_model_num", "1") != model or r.get("label_seq_id", ".") in (".", "?"):
+        place = r.get("label_seq_id", ".")
+        if r.get("pdbx_PDB_model_num", "1") != model or place in (".", "?"):
             continue
-        xyz = [_number(r.get(f"Cartn_{a}")) for a in "xyz"]
-        if None in xyz or not r["label_seq_id"].lstrip("-").isdigit():
+        xyz = _number(r.get("Cartn_x")), _number(r.get("Cartn_y")), _number(r.get("Cartn_z"))
+        if None in xyz or not place.lstrip("-").isdigit():
             skipped += 1
             continue
-        key = r["label_asym_id"], int(r["label_seq_id"]), r["label_atom_id"]
+        key = r["label_asym_id"], int(place), r["label_atom_id"]
         occupancy = _number(r.get("occupancy")) or 0.0
         if key not in best or occupancy > best[key][-1]:
             best[key] = (key[2], r["label_comp_id"], *xyz, occupancy)

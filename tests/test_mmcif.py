@@ -78,3 +78,25 @@ def test_meta(spark, folder):
 def test_assembly(spark, folder):
     out = mmcif.assembled(mmcif.mmcif_atoms(spark, folder), mmcif.mmcif_transforms(spark, folder)).filter("seq_id = 1").orderBy("operation").collect()
     assert [(r.operation, r.x, r.y, r.z) for r in out] == [("1", 9.0, 2.0, 3.0), ("2", 3.0, 9.0, 3.0)]
+
+
+def test_plain_lines_need_no_pattern(monkeypatch):
+    """Only lines with a quote, a comment, a name or a keyword are searched; what is read is the same as by the pattern alone."""
+    atoms = [f"A {k} GLY CA {k}.5 0.25 -1.0 0.50 1" for k in range(1, 200)]
+    names = "label_asym_id label_seq_id label_comp_id label_atom_id Cartn_x Cartn_y Cartn_z occupancy pdbx_PDB_model_num".split()
+    text = "\n".join(["data_q", "_exptl.method 'X-RAY # DIFFRACTION'", "loop_", *(f"_atom_site.{n}" for n in names), *atoms, "B 1 'C D' \"N'\" 1 2 3 . 1 # end", "A 7 x#y CA 1 2", "? 0.5 1", "_entry.id", "9ABC", ";", ""])
+    pattern, searched = mmcif._TOKEN, []
+
+    class Counted:
+        def finditer(self, line):
+            searched.append(line)
+            return pattern.finditer(line)
+
+    monkeypatch.setattr(mmcif, "_TOKEN", Counted())
+    got, found = mmcif.categories(text), list(mmcif.tokens(text))
+    assert len(searched) <= 2 * (text.count("\n") - len(atoms))
+    rows = got["_atom_site"]
+    assert got["_entry"] == [{"id": "9ABC"}] and got["_exptl"] == [{"method": "X-RAY # DIFFRACTION"}] and len(rows) == 201
+    assert [list(r.values()) for r in rows[:199]] == [a.split() for a in atoms] and list(rows[0]) == names
+    assert list(rows[199].values()) == ["B", "1", "C D", "N'", "1", "2", "3", ".", "1"] and list(rows[200].values()) == ["A", "7", "x#y", "CA", "1", "2", "?", "0.5", "1"]
+    assert [v for v, quoted in found if quoted] == ["X-RAY # DIFFRACTION", "C D", "N'", ""]
