@@ -63,7 +63,7 @@ def _observed(r: Column, atoms: tuple[str, ...]) -> Column:
 
 def design_table(
     residues: DataFrame, designed: DataFrame | None = None, fixed: DataFrame | None = None, omitted: DataFrame | None = None, profiles: DataFrame | None = None, bias: DataFrame | None = None,
-    ties: DataFrame | None = None, atoms: tuple[str, ...] = BACKBONE, alphabet: str = ALPHABET,
+    ties: DataFrame | None = None, atoms: tuple[str, ...] = BACKBONE, alphabet: str = ALPHABET, dealt: bool = False,
 ) -> DataFrame:
     """One row per residue of residues(name, chain, pos, aa, atoms): the input of a design.
 
@@ -71,6 +71,7 @@ def design_table(
     beta, member) are tables over (name, chain, pos); what names no residue is ignored. Adds: letter (number in the alphabet), observed, designed, free (designed and
     not fixed), omit (booleans over the alphabet), profile_weight, profile, log_odds, bias, tie, beta, member, and the columns of _numbered. Designed chains
     come first, each sort in order of name. Without a rule: weight 0, profile zeros, log-odds 1e4, bias zeros, beta 1.
+    dealt: all tables were dealt out by name (repartition) while they were narrow, and their rows, wide by now, are not exchanged again.
     """
     keys = ["name", "chain", "pos"]
     kinds = {k: residues.schema[k].dataType for k in keys}
@@ -90,7 +91,8 @@ def design_table(
         parts.append(ties.select(*at(ties), F.struct(F.col("tie").cast("string").alias("tie"), F.col("beta").cast("double").alias("beta"), F.col("member").cast("int").alias("member")).alias("_tie")))
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     absent = {"_chosen": "boolean", "_fixed": "boolean", "_letters": "string", "_profile": "struct<coef:double,bias:array<double>,log_odds:array<double>>", "_rule": "struct<aa:string,bias:double>", "_tie": "struct<tie:string,beta:double,member:int>"}
-    whole = whole.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in absent.items() if c not in whole.columns)).repartition("name")
+    whole = whole.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in absent.items() if c not in whole.columns))
+    whole = whole if dealt else whole.repartition("name")
     merged = whole.groupBy(*keys).agg(*(_first(c) for c in ("aa", *atoms, "_here", "_chosen", "_fixed", "_profile", "_tie")), F.collect_list("_letters").alias("_letters"), F.collect_list("_rule").alias("_rules"))
     here = F.struct("pos", "aa", *atoms, *(c for c in ("_fixed", "_profile", "_tie", "_letters", "_rules")))
     chains = merged.groupBy("name", "chain").agg(F.array_sort(F.collect_list(F.when(F.col("_here"), here)), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)).alias("residues"), F.max("_chosen").alias("_chosen"))

@@ -101,7 +101,8 @@ RESIDUE_SQL = """r AS MATERIALIZED (SELECT l_suppkey AS name, l_returnflag AS ch
 
 
 def _residues(spark, sf_dir):
-    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("name"), F.col("l_returnflag").alias("chain"), F.col("l_partkey").alias("pos")).agg(
+    # By structure while lines are narrow, for all that follows.
+    line = read(spark, sf_dir, "lineitem").repartition("l_suppkey").groupBy(F.col("l_suppkey").alias("name"), F.col("l_returnflag").alias("chain"), F.col("l_partkey").alias("pos")).agg(
         F.min(F.substring(F.lit("ACDEFGHIKL"), F.col("l_linenumber") + 1, F.lit(1))).alias("aa"), F.min("l_quantity").cast("double").alias("q"), (F.min("l_discount").cast("double") * 10).alias("d"), F.min("l_linenumber").alias("k"), F.bool_or(F.col("l_tax") > 0.07).alias("gone"))
     point = F.array("q", "d", F.lit(1.0))
     return line.withColumns({"n": point, "ca": F.when(~F.col("gone"), point), "c": point, "o": point})
@@ -121,7 +122,7 @@ def design_table(spark, sf_dir):
         r, designed=r.filter("name % 2 = 0 or chain <> 'A'").select("name", "chain").distinct(), fixed=seen.filter("k = 2").select(*key),
         omitted=seen.filter("k = 3").select(*key, F.explode(F.array(F.lit("A"), F.lit("CA"))).alias("letters")), profiles=seen.filter("k = 4").select(*key, F.col("d").alias("coef"), over(F.lit(0.5)).alias("bias"), over(F.col("q")).alias("log_odds")),
         bias=seen.filter("k = 5").select(*key, F.explode(F.array(F.struct(F.lit("C").alias("aa"), F.col("d").alias("bias")), F.struct(F.lit("C").alias("aa"), (2 * F.col("d")).alias("bias")))).alias("b")).select(*key, "b.*"),
-        ties=seen.filter("k = 1").select(*key, (F.col("pos") % 3).alias("tie"), F.lit(-0.5).alias("beta"), F.lit(0).alias("member")),
+        ties=seen.filter("k = 1").select(*key, (F.col("pos") % 3).alias("tie"), F.lit(-0.5).alias("beta"), F.lit(0).alias("member")), dealt=True,
     )
     return out.select(*key, "letter", "observed", "designed", "free", F.size(F.filter("omit", lambda x: x)).alias("omitted"), "profile_weight", F.get("log_odds", 7).alias("odds"), rounded(F.get("bias", 1)).alias("bias_c"), "tie", "beta", "chain_no", "place", "residue_index", "phi", "psi")
 

@@ -218,3 +218,14 @@ def test_edge_features_join_nothing(spark, name):
 
     plan = getattr(graph_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 0 and plan.count("Exchange") == 1
+
+
+def test_design_table_exchanges_narrow_lines_only(spark):
+    """Every exchange is one of lines by structure; wide residues and rules are not exchanged again."""
+    import re
+
+    from steinlake.plans import graph_queries
+
+    plan = graph_queries.design_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    kinds = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert kinds and set(kinds) == {"l_suppkey"} and plan.count("Exchange ") == len(kinds)
