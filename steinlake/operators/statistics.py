@@ -34,6 +34,8 @@ class Statistic:
     block: Callable[[Rows, Rows], np.ndarray] | None = None
     #: Columns that a block needs once, however many blocks it meets, made of its own; one row each, like the others.
     prepare: Callable[[Rows], Rows] = lambda rows: {}
+    #: Where h is a product of two positive definite kernels whose features may be few: both, as matrices like block's, of prepared rows.
+    factors: tuple[Callable[[Rows, Rows], np.ndarray], Callable[[Rows, Rows], np.ndarray]] | None = None
 
     @property
     def tiled(self) -> bool:
@@ -151,6 +153,8 @@ class ModelKernel:
     block_from: Callable[[Rows, Rows, np.ndarray], np.ndarray] | None = None
     #: The bandwidth of that k.
     ground: float | None = None
+    #: Whether it is known to be positive definite: d is a squared distance of embeddings.
+    definite: bool = False
 
     def expr(self) -> Column:
         return F.exp(-self.squared() / (2 * self.sigma**2))
@@ -203,7 +207,7 @@ def exp_mmd_particles(k=Gaussian(1.0), sigma: float = 1.0) -> ModelKernel:
         out += own(b)
         return out
 
-    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma, block, lambda r: {"own": own(r)} | _embedded(r, "points", k))
+    return ModelKernel(("points",), lambda: particle_mmd2(k), sigma, block, lambda r: {"own": own(r)} | _embedded(r, "points", k), definite=isinstance(k, Gaussian))
 
 
 def exp_wasserstein(sigma: float = 1.0) -> ModelKernel:
@@ -309,7 +313,8 @@ def kcsd_scored(kx, ky: Smooth, condition: str = "x", point: str = "y", score: s
 
 def kccsd_scored(kp: ModelKernel, ky: Smooth, point: str = "y", score: str = "score") -> Statistic:
     """Its form with a kernel on models (closed forms, particles, divergences) in place of one on conditions."""
-    block = (lambda a, b: kp.block(a, b) * ky.stein_block(a[point], b[point], a[score], b[score])) if kp.block_squared else None
+    stein_of = lambda a, b: ky.stein_block(a[point], b[point], a[score], b[score])
+    block = (lambda a, b: kp.block(a, b) * stein_of(a, b)) if kp.block_squared else None
     return Statistic("kccsd_scored", tuple(dict.fromkeys((*kp.needs, point, score))), lambda: kp.expr() * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score)), block, kp.prepare)
 
 
@@ -376,8 +381,10 @@ def particle_mmd2(k: Gaussian) -> Column:
 def skce_particles(k: Gaussian = Gaussian(1.0), sigma: float = 1.0, kernel: ModelKernel | None = None) -> Statistic:
     """Calibration error with particle models of a bounded number of points; the kernel on models as in skce."""
     kp = kernel or exp_mmd_particles(k, sigma)
-    block = (lambda a, b: kp.block(a, b) * _particle_residual_block(a, b, k)) if kp.block_squared else None
-    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k), block, lambda r: kp.prepare(r) | _residual_embedded(r, k))
+    residual = lambda a, b: _particle_residual_block(a, b, k)
+    block = (lambda a, b: kp.block(a, b) * residual(a, b)) if kp.block_squared else None
+    factors = (kp.block, residual) if kp.definite and isinstance(k, Gaussian) else None
+    return Statistic("skce_particles", tuple(dict.fromkeys((*kp.needs, "points", "y"))), lambda: kp.expr() * _particle_residual(k), block, lambda r: kp.prepare(r) | _residual_embedded(r, k), factors)
 
 
 def cgof_particles(kx=Gaussian(1.0), k: Gaussian = Gaussian(1.0)) -> Statistic:

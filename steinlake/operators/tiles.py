@@ -4,24 +4,30 @@ The statistic is defined over all pairs, so the work is quadratic; what moves is
 and up to GROUP blocks are a side of a tile: a task gets the blocks of two sides once, and does all their matrix products, so a block is
 sent only to as many tiles as there are sides. A tile's result is one short row: no row per pair ever exists, and neither a block nor a
 tile grows with the input. A row's signs are hashed once, when its block is packed, and travel in it as bits.
+
+From LINEAR rows on, statistics that are products of two positive definite kernels are summed without pairs where that is exact enough (see landmarks).
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .statistics import Statistic
+from . import landmarks
+from .statistics import Rows, Statistic
 
 BLOCK = 512
 #: Blocks of a tile's side at most, and sides that there should be at least, so that small inputs are spread too.
 GROUP, SIDES = 16, 8
 #: Rows of one side whose matrix of pairs is made at once, so that it stays in the processor's cache.
 STRIP = 128
+#: Rows from which sums without pairs are tried: below, tiles take less.
+LINEAR = 32_768
 
 
 def sign_bits(seed: str, draws: int, ids) -> bytes:
@@ -35,8 +41,8 @@ def signs(bits: bytes, draws: int, rows: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=draws * rows).reshape(draws, rows) * 2.0 - 1.0
 
 
-def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:
-    """(n_pairs, sum_h, sum_h2, boot) per tile of two sides. rows: i and the statistic's columns; boot[b] is the sum of e_i e_j h over i < j."""
+def pack_blocks(rows: DataFrame, statistic: Statistic, draws: int, seed: str, block: int) -> tuple[DataFrame, Callable[[object], Rows]]:
+    """The rows in checkpointed blocks of the statistic's columns, and what makes a block's columns again."""
     if not statistic.tiled:
         raise ValueError(f"{statistic.name} has no form over blocks; use diagonals")
     wide = {c: kind for c, kind in rows.dtypes if c in statistic.needs}
@@ -51,6 +57,24 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
         return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["i"].to_numpy()], "sizes": [frame["sizes"].iloc[0]], "data": [np.vstack(frame["v"].to_list()).astype("<f8").tobytes()], "signs": [sign_bits(seed, draws, frame["i"])]})
 
     blocks = packed.groupBy("block").applyInPandas(pack, "block long, ids array<long>, sizes array<int>, data binary, signs binary").checkpoint()
+
+    def unpack(row) -> Rows:
+        m = np.frombuffer(row.data, "<f8").reshape(len(row.ids), -1)
+        flat, point = np.split(np.asarray(row.sizes), 2)
+        found = zip(statistic.needs, np.split(m, np.cumsum(flat)[:-1], axis=1), point, strict=True)
+        return {c: x.reshape(len(x), -1, size) if c in nested else x if "array" in wide[c] else x[:, 0] for c, x, size in found}
+
+    return blocks, unpack
+
+
+def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:
+    """(n_pairs, sum_h, sum_h2, boot) per tile of two sides. rows: i and the statistic's columns; boot[b] is the sum of e_i e_j h over i < j."""
+    blocks, unpack = pack_blocks(rows, statistic, draws, seed, block)
+    return block_sums(blocks, unpack, statistic, draws)
+
+
+def block_sums(blocks: DataFrame, unpack: Callable[[object], Rows], statistic: Statistic, draws: int = 0) -> DataFrame:
+    """The same, from blocks."""
     count = int(blocks.agg(F.max("block")).first()[0] or 0) + 1
     group = max(1, min(GROUP, count // SIDES))
     sides = -(-count // group)
@@ -59,12 +83,6 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
     tiles = F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda k: F.struct(F.least(side, k.cast("long")).alias("low"), F.greatest(side, k.cast("long")).alias("high")))
     dealt = blocks.select("*", F.explode(tiles).alias("t")).select("block", "ids", "sizes", "data", "signs", "t.low", "t.high")
 
-    def unpack(row) -> dict[str, np.ndarray]:
-        m = np.frombuffer(row.data, "<f8").reshape(len(row.ids), -1)
-        flat, point = np.split(np.asarray(row.sizes), 2)
-        found = zip(statistic.needs, np.split(m, np.cumsum(flat)[:-1], axis=1), point, strict=True)
-        return {c: x.reshape(len(x), -1, size) if c in nested else x if "array" in wide[c] else x[:, 0] for c, x, size in found}
-
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(r, (x := unpack(r)) | statistic.prepare(x), signs(r.signs, draws, len(r.ids)) if draws else None) for r in frame.sort_values("block").itertuples()]
         low, high = frame["low"].iloc[0], frame["high"].iloc[0]
@@ -87,14 +105,22 @@ def tile_sums(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str =
 
     # A tile is much work for few bytes: there are as many tasks as tiles, and tiles are dealt by their number, so that no task has two while another has none.
     tasks = max(1, min(100_000, sides * (sides + 1) // 2))
-    number = F.col("low") * sides - F.floor(F.col("low") * (F.col("low") - 1) / 2) + F.col("high") - F.col("low")
-    spread = dealt.withColumn("task", F.pmod(number, F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
-    return spread.groupBy("task", "low", "high").applyInPandas(run, "n_pairs long, sum_h double, sum_h2 double, boot array<double>")
+    place = F.col("low") * sides - F.floor(F.col("low") * (F.col("low") - 1) / 2) + F.col("high") - F.col("low")
+    spread = dealt.withColumn("task", F.pmod(place, F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
+    sums = spread.groupBy("task", "low", "high").applyInPandas(run, "n_pairs long, sum_h double, sum_h2 double, boot array<double>")
+    number = lambda v: F.coalesce(v, F.lit(float("nan")))  # noqa: E731  # pandas hands NaN over as null, which sums would leave out
+    return sums.select("n_pairs", number(F.col("sum_h")).alias("sum_h"), number(F.col("sum_h2")).alias("sum_h2"), F.transform("boot", number).alias("boot"))
 
 
 def complete(rows: DataFrame, statistic: Statistic, draws: int = 0, seed: str = "0", block: int = BLOCK) -> DataFrame:
     """One row: m (pairs), val (their mean), mean_h2, and h0 (the bootstrap draws in order, an array)."""
-    sums = tile_sums(rows, statistic, draws, seed, block)
+    blocks, unpack = pack_blocks(rows, statistic, draws, seed, block)
+    if not draws and statistic.factors:
+        count = int(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0)
+        found = landmarks.complete(blocks, count, unpack, statistic.factors, statistic.prepare) if count >= max(2, LINEAR) else None
+        if found is not None:
+            return found
+    sums = block_sums(blocks, unpack, statistic, draws)
     if not draws:
         return sums.agg(F.sum("n_pairs").alias("m"), (F.sum("sum_h") / F.sum("n_pairs")).alias("val"), (F.sum("sum_h2") / F.sum("n_pairs")).alias("mean_h2"))
     total = sums.agg(F.sum("n_pairs").alias("m"), (F.sum("sum_h") / F.sum("n_pairs")).alias("val"), (F.sum("sum_h2") / F.sum("n_pairs")).alias("mean_h2"), *(F.sum(F.col("boot")[b]).alias(f"v{b}") for b in range(draws)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steinlake.functions import closed_forms, kernels, models
-from steinlake.operators import alignment, bandwidth, null, pairs, tiles
+from steinlake.operators import alignment, bandwidth, landmarks, null, pairs, tiles
 from steinlake.operators import statistics as S
 from steinlake.plans import hypothesis as H
 
@@ -350,3 +350,57 @@ def test_gaussian_models_of_odd_and_even_dimensions():
         v = s[:, None] ** 2 + t**2
         far = ((m[:, None] - n) ** 2).sum(-1)
         assert np.allclose(S._both(m, s, n, t, 1.3), (1 + v / 1.69) ** (-d / 2) * np.exp(-far / (2 * (v + 1.69))), rtol=1e-12)
+
+
+def particle_models(n, size=0.13, seed=8):
+    """Rows with eight particles, a point and a score of four dimensions, of any size."""
+    rng = np.random.default_rng(seed)
+    return [(i, (size * rng.normal(size=(8, 4))).tolist(), (size * rng.normal(size=4)).tolist(), (size * rng.normal(size=4)).tolist()) for i in range(n)]
+
+
+def without_tiles(*_):
+    raise AssertionError("pairs were made")
+
+
+@pytest.mark.parametrize("statistic", [S.skce_particles()], ids=["skce_particles"])
+def test_products_of_kernels_without_pairs(spark, monkeypatch, statistic):
+    """Rows outside the pool too: the sums over all pairs are those of tiles, and no pair is made."""
+    rows = spark.createDataFrame(particle_models(900, 0.02), "i long, points array<array<double>>, y array<double>, score array<double>")
+    tiled = tiles.complete(rows, statistic, block=64).first()
+    monkeypatch.setattr(tiles, "LINEAR", 0)
+    monkeypatch.setattr(landmarks, "POOL", 600)
+    monkeypatch.setattr(landmarks, "FAR", 100)
+    monkeypatch.setattr(tiles, "block_sums", without_tiles)
+    found = tiles.complete(rows, statistic, block=64).first()
+    assert found["m"] == tiled["m"] == 900 * 899 // 2
+    assert found["val"] == pytest.approx(tiled["val"], rel=1e-8, abs=1e-11) and found["mean_h2"] == pytest.approx(tiled["mean_h2"], rel=1e-8)
+
+
+def test_tiles_where_landmarks_leave_too_much(spark, monkeypatch):
+    """Points far apart, or one that is no number: the bound over all rows does not hold, and pairs are made."""
+    monkeypatch.setattr(tiles, "LINEAR", 0)
+    monkeypatch.setattr(landmarks, "POOL", 40)
+    monkeypatch.setattr(landmarks, "FAR", 10)
+    wide = particle_models(200, 2.0)
+    broken = [*particle_models(199, 0.01), (199, [[float("nan")] * 4] * 8, [0.0] * 4, [0.0] * 4)]
+    for made in (wide, broken):
+        rows = spark.createDataFrame(made, "i long, points array<array<double>>, y array<double>, score array<double>")
+        found = tiles.complete(rows, S.skce_particles(), block=64).first()
+        monkeypatch.setattr(tiles, "LINEAR", 1000)
+        tiled = tiles.complete(rows, S.skce_particles(), block=64).first()
+        monkeypatch.setattr(tiles, "LINEAR", 0)
+        assert found["m"] == tiled["m"] and found["val"] == pytest.approx(tiled["val"], nan_ok=True)
+    assert np.isnan(found["val"])
+
+
+def test_landmarks_of_repeated_rows():
+    """Equal rows are one landmark, and features give the kernel back."""
+    rng = np.random.default_rng(3)
+    x = {"x": np.repeat(rng.normal(size=(300, 2)), 2, axis=0)}
+    kernel = lambda a, b: kernels.Gaussian(1.0).block(a["x"], b["x"])
+    picked = landmarks.pivots(kernel, x)
+    assert len({k // 2 for k in picked}) == len(picked) < 300
+    space = landmarks.Features(kernel, landmarks.part(x, picked))
+    e, own, rest = space.of(x)
+    assert np.allclose(e @ e.T, kernel(x, x), atol=1e-7) and np.allclose(own, 1) and rest.mean() < 1e-8
+    assert not S.skce_particles(kernel=S.exp_wasserstein()).factors and not S.cgof_particles().factors
