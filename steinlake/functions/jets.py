@@ -95,6 +95,8 @@ class Smooth:
     """A kernel k(x, y) = form(r, t), with its Stein kernel as a column and over blocks."""
 
     form: Callable[[Jet, Jet], Jet]
+    #: Whether it is known to be positive definite; its Stein kernel then is too.
+    definite: bool = False
 
     def jet(self, r, t) -> Jet:
         return self.form(Jet(r, r=1.0), Jet(t, t=1.0))
@@ -126,12 +128,12 @@ class Smooth:
 
 def gaussian(sigma: float = 1.0) -> Smooth:
     """exp(-r / (2 sigma^2))."""
-    return Smooth(lambda r, t: (r / (-2 * sigma**2)).exp())
+    return Smooth(lambda r, t: (r / (-2 * sigma**2)).exp(), True)
 
 
 def inverse_multiquadric(sigma: float = 1.0, beta: float = -0.5) -> Smooth:
     """(1 + r / sigma^2) ** beta."""
-    return Smooth(lambda r, t: (r / sigma**2 + 1.0) ** beta)
+    return Smooth(lambda r, t: (r / sigma**2 + 1.0) ** beta, beta < 0)
 
 
 def polynomial(degree: float = 2.0, offset: float = 1.0) -> Smooth:
@@ -148,7 +150,7 @@ def combined(*parts: Smooth, product: bool = False) -> Smooth:
             out = out * k.form(r, t) if product else out + k.form(r, t)
         return out
 
-    return Smooth(form)
+    return Smooth(form, all(k.definite for k in parts))
 
 
 # Scores: the gradient of log density at a point, as a column of the row. They are added before pairs are formed, so once per row.

@@ -315,7 +315,8 @@ def kccsd_scored(kp: ModelKernel, ky: Smooth, point: str = "y", score: str = "sc
     """Its form with a kernel on models (closed forms, particles, divergences) in place of one on conditions."""
     stein_of = lambda a, b: ky.stein_block(a[point], b[point], a[score], b[score])
     block = (lambda a, b: kp.block(a, b) * stein_of(a, b)) if kp.block_squared else None
-    return Statistic("kccsd_scored", tuple(dict.fromkeys((*kp.needs, point, score))), lambda: kp.expr() * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score)), block, kp.prepare)
+    factors = (kp.block, stein_of) if kp.definite and ky.definite else None
+    return Statistic("kccsd_scored", tuple(dict.fromkeys((*kp.needs, point, score))), lambda: kp.expr() * ky.stein(c("a", point), c("b", point), c("a", score), c("b", score)), block, kp.prepare, factors)
 
 
 def _particle_residual(k: Gaussian) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steinlake.functions import closed_forms, kernels, models
+from steinlake.functions import jets as J
 from steinlake.operators import alignment, bandwidth, landmarks, null, pairs, tiles
 from steinlake.operators import statistics as S
 from steinlake.plans import hypothesis as H
@@ -362,7 +363,7 @@ def without_tiles(*_):
     raise AssertionError("pairs were made")
 
 
-@pytest.mark.parametrize("statistic", [S.skce_particles()], ids=["skce_particles"])
+@pytest.mark.parametrize("statistic", [S.skce_particles(), S.kccsd_scored(S.exp_mmd_particles(), J.inverse_multiquadric())], ids=["skce_particles", "kccsd_scored"])
 def test_products_of_kernels_without_pairs(spark, monkeypatch, statistic):
     """Rows outside the pool too: the sums over all pairs are those of tiles, and no pair is made."""
     rows = spark.createDataFrame(particle_models(900, 0.02), "i long, points array<array<double>>, y array<double>, score array<double>")
@@ -404,3 +405,5 @@ def test_landmarks_of_repeated_rows():
     e, own, rest = space.of(x)
     assert np.allclose(e @ e.T, kernel(x, x), atol=1e-7) and np.allclose(own, 1) and rest.mean() < 1e-8
     assert not S.skce_particles(kernel=S.exp_wasserstein()).factors and not S.cgof_particles().factors
+    ours = [S.kccsd_scored(S.exp_mmd_particles(), k).factors for k in (J.inverse_multiquadric(beta=0.5), J.combined(J.gaussian(), J.polynomial()), J.gaussian())]
+    assert [f is not None for f in ours] == [False, False, True]
