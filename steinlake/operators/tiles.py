@@ -26,8 +26,8 @@ BLOCK = 512
 GROUP, SIDES = 16, 8
 #: Rows of one side whose matrix of pairs is made at once, so that it stays in the processor's cache.
 STRIP = 128
-#: Rows from which sums without pairs are tried: below, tiles take less.
-LINEAR = 32_768
+#: Rows from which sums without pairs are tried: below, picking landmarks takes about as long as the pairs.
+LINEAR = 65_536
 
 
 def sign_bits(seed: str, draws: int, ids) -> bytes:
